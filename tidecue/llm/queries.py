@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import oracles, quality, toxicity
 from .ann import nearest
+from .line_dedup import count_repeated_lines
 from .near_dedup import near_duplicates
 from .substring_dedup import repeated_substrings
 
@@ -22,17 +23,37 @@ def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark, rows, rows.where(F.col("vec_id") % 20 == 0))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rated = quality.ratings(_table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    model = quality.fit(spark, docs, rated, grades=3)
+    return quality.grade_documents(docs, model).withColumn("held_out", toxicity.held_out())
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(spark, docs, _table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.score_toxicity(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, _table(spark, sf_dir, "documents"), k=4)
 
 
+def op8_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_repeated_lines(spark, _table(spark, sf_dir, "documents"))
+
+
 def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(spark, _table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nearest": op2_nearest,
+    "op4_quality": op4_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
+    "op8_repeated_lines": op8_repeated_lines,
     "op10_repeated_substrings": op10_repeated_substrings,
 }
 ORACLES: dict[str, str] = {
