@@ -16,8 +16,8 @@ from .components import connected_components
 
 TREES, DEPTH = 21, 3
 #: A region (equal first DEPTH values in one order) up to this size gives its pairs at once; a larger one is cut
-#: into blocks of BLOCK documents that are compared block against block.
-REGION, BLOCK = 12, 192
+#: into blocks that are compared block against block, sized by what a task holds: documents and shingles of a block.
+REGION, BLOCK, BLOCK_SHINGLES = 12, 1024, 1 << 18
 _SEED = 20240229
 
 
@@ -87,8 +87,8 @@ def _regions(trees: int, depth: int) -> Callable:
                 for j in range(depth):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sigs[:, t * depth + j])
                 keys[:, t] = key
-            doc = np.repeat(np.asarray(ids(batch)), trees)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(doc)], ["region", "doc_id"])
+            doc, n = (np.repeat(np.asarray(ids(batch, x)), trees) for x in ("doc_id", "n_shingles"))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(doc), pa.array(n)], ["region", "doc_id", "n_shingles"])
 
     return run
 
@@ -203,10 +203,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     live = about.where("digest is not null and doc_id is not null")
     classes = live.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     # the signature is a function of the set, so any row's is the class's
-    first = materialize(spark, live.join(classes, "digest").where("doc_id = first_id").groupBy("doc_id").agg(F.first("sig").alias("sig")), "first")
+    first = materialize(spark, live.join(classes, "digest").where("doc_id = first_id").groupBy("doc_id").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "first")
 
-    region = first.mapInArrow(_regions(trees, depth), "region long, doc_id long")
-    sized = region.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    region = first.mapInArrow(_regions(trees, depth), "region long, doc_id long, n_shingles long")
+    sized = region.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("mass")).where("size > 1")
     region = materialize(spark, region.join(sized, "region"), "regions")
     small = region.where(F.col("size") <= REGION).groupBy("region").agg(F.sort_array(F.collect_set("doc_id")).alias("m"))
     pairs = (
@@ -215,7 +215,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
         .distinct()
     )
     pairs = materialize(spark, pairs, "pairs")
-    large = region.where(F.col("size") > REGION).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    large = region.where(F.col("size") > REGION).withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("mass") / BLOCK_SHINGLES)).cast("int"))
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(large.select("doc_id")).distinct()
     wanted = wanted.join(first, "doc_id")
