@@ -32,3 +32,21 @@ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t FROM word ANTI JOIN g
 SELECT w.doc_id, len(w)::BIGINT AS n_words, (SELECT count(*) FROM gone g WHERE g.doc_id = w.doc_id) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
 """
+
+
+def licenses(templates: dict[str, str], word: str, k: int, percent: int, docs: str = "documents") -> str:
+    values = ", ".join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}')" for n, t in templates.items())
+    shingles = f"list_distinct(list_transform(range(1, greatest(len(w) - {k - 2}, 1)), lambda i: array_to_string(w[i:i + {k - 1}], ' ')))"
+    return f"""
+WITH t AS (SELECT license, {shingles} AS s FROM (SELECT license, regexp_extract_all(lower(x), '{word}') AS w FROM (VALUES {values}) v(license, x))),
+tt AS (SELECT license, s, len(s) AS n, greatest(4, 2 ** ceil(log2(2 * len(s))))::BIGINT AS l FROM t WHERE len(s) > 0),
+ts AS (SELECT license, n, l, unnest(s) AS x FROM tt),
+d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{word}') AS w FROM {docs}),
+p AS MATERIALIZED (SELECT doc_id, i - 1 AS i, array_to_string(w[i:i + {k - 1}], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM d WHERE len(w) >= {k})),
+hit AS (SELECT doc_id, license, n, l, i, x FROM p JOIN ts USING (x)),
+win AS (SELECT doc_id, license, n, l, x, unnest(CASE WHEN i // (l // 2) > 0 THEN [i // (l // 2) - 1, i // (l // 2)] ELSE [0] END) AS win FROM hit),
+found AS (SELECT doc_id, license, l, win FROM win GROUP BY doc_id, license, n, l, win HAVING 100 * count(DISTINCT x) >= {percent} * n)
+SELECT doc_id, coalesce((SELECT string_agg(DISTINCT license, ',' ORDER BY license) FROM found f WHERE f.doc_id = d.doc_id), '') AS licenses,
+  (SELECT count(DISTINCT (l, win)) FROM found f WHERE f.doc_id = d.doc_id) AS n_windows
+FROM {docs} d
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles, quality, toxicity
+from . import audio, licenses, oracles, packing, pieces, quality, toxicity
 from .ann import nearest
 from .line_dedup import count_repeated_lines
 from .near_dedup import near_duplicates
@@ -18,11 +18,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where the public vocabulary files are.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector played as a melody; the rows asked for search all recordings."""
+    rows = _table(spark, sf_dir, "embeddings")
+    return audio.scan(spark, rows, F.col("rec_id") % 20 == 0, key="vec_id", columns=("embedding",), decode=audio.melody("embedding"))
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "embeddings")
     return nearest(spark, rows, rows.where(F.col("vec_id") % 20 == 0))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(spark, _table(spark, sf_dir, "documents")).withColumn("licenses", F.array_join("licenses", ","))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rated = quality.ratings(_table(spark, sf_dir, "labels").where(~toxicity.held_out()))
@@ -40,23 +54,39 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, _table(spark, sf_dir, "documents"), k=4)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _table(spark, sf_dir, "documents"), packing.word_count("text"))
+
+
 def op8_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_repeated_lines(spark, _table(spark, sf_dir, "documents"))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
+    # a vocabulary file is part of the installation, and is read once on the driver
+    with open(model, "rb") as f:
+        loaded = pieces.PieceModel.load(f.read())
+    return pieces.digest_documents(_table(spark, sf_dir, "documents"), loaded)
+
+
 def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(spark, _table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_audio": op1_audio,
     "op2_nearest": op2_nearest,
+    "op3_licenses": op3_licenses,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_packing": op7_packing,
     "op8_repeated_lines": op8_repeated_lines,
+    "op9_pieces": op9_pieces,
     "op10_repeated_substrings": op10_repeated_substrings,
 }
 ORACLES: dict[str, str] = {
+    "op3_licenses": oracles.licenses(licenses.TEMPLATES, licenses.WORD, licenses.SHINGLE, licenses.PERCENT),
     "op6_near_duplicates": oracles.near_duplicates(4, 80),
     "op10_repeated_substrings": oracles.repeated_substrings(13),
 }
