@@ -1,11 +1,364 @@
-"""Registered queries over the driver's tables, each with SQL that gives the same rows where SQL can."""
+"""Registered queries over the driver's tables, each with SQL that gives the same rows where SQL can.
+
+The tables stand in for dialogue: days or users of ``events`` are episodes, an event is a line that starts at its time
+and lasts its value; ``documents`` are transcripts and ``benchmark`` items recordings.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import attribute, identify, segments, subtitles, timeline, translate, vad, voices
+from ..sources.pages import parse_html
 
 FLAGSHIP = "identify_document"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+DAY = 86400.0
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, user_id, event_type, value, day (text) and sec, the seconds of the day."""
+    e = _t(spark, sf_dir, "events")
+    sec = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.extract(F.lit("SECOND"), "ts").cast("double")
+    return e.select("event_id", "user_id", "event_type", "value", F.to_date("ts").cast("string").alias("day"), sec.alias("sec"), F.col("ts"))
+
+
+_EVENTS = """e AS (SELECT event_id, user_id, event_type, value, CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
+  hour(ts) * 3600 + minute(ts) * 60 + second(ts) + (microsecond(ts) % 1000000) / 1e6 AS sec, ts FROM events)"""
+_WORDS = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z'']+'), lambda x: length(x) > 1)"
+
+
+def identify_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    items = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("en"))
+    x = identify.identify(items, docs, heard_key="item_id", key="doc_id")
+    return x.select("item_id", F.col("best_id").alias("doc_id"), F.round("score", 6).alias("score"), F.round("runner_up", 6).alias("runner_up"), "accepted", "clear")
+
+
+IDENTIFY_SQL = f"""
+WITH h0 AS MATERIALIZED (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark), d0 AS MATERIALIZED (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+h AS MATERIALIZED (SELECT DISTINCT item_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS i FROM h0)),
+d AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d0)),
+n AS (SELECT item_id, count(*) AS n FROM h GROUP BY item_id),
+s AS (SELECT item_id, doc_id, count(*) AS c FROM h JOIN d USING (g) GROUP BY ALL),
+a AS (SELECT n.item_id, doc_id, c / n AS score, row_number() OVER (PARTITION BY n.item_id ORDER BY c DESC, doc_id) AS r FROM s JOIN n USING (item_id)),
+b AS (SELECT n.item_id, coalesce(x.doc_id, (SELECT min(doc_id) FROM documents)) AS doc_id, coalesce(x.score, 0.0) AS score, coalesce(y.score, 0.0) AS runner_up
+  FROM n LEFT JOIN a x ON x.item_id = n.item_id AND x.r = 1 LEFT JOIN a y ON y.item_id = n.item_id AND y.r = 2)
+SELECT item_id, doc_id, round(score, 6) AS score, round(runner_up, 6) AS runner_up, score >= 0.12 AS accepted,
+  score / CASE WHEN runner_up = 0 THEN 0.001 ELSE runner_up END >= 1.6 AS clear FROM b
+"""
+
+
+def text_norm_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select("doc_id", text.norm_words("text").alias("w"))
+    return d.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"))
+
+
+def jaccard_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(text.norm_words("text")).alias("w"))
+    before = F.coalesce(F.lag("w").over(W.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<string>"))
+    return c.withColumn("b", before).select("conv_id", "turn", F.round(text.jaccard("w", "b"), 6).alias("similarity"))
+
+
+def _plan_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir).where("value > 0")
+    return e.select("day", F.col("event_id").alias("line_idx"), F.col("sec").alias("onset"), F.col("value").alias("dur"), F.lit(DAY).alias("total"))
+
+
+def plan_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = timeline.deadlines(_plan_input(spark, sf_dir), "day")
+    return x.select("day", F.col("line_idx").alias("event_id"), F.round("deadline", 6).alias("deadline"))
+
+
+def plan_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = timeline.plan_timeline(_plan_input(spark, sf_dir), "day")
+    return x.select("day", F.col("line_idx").alias("event_id"), "place", "tempo")
+
+
+_PLAN = f"""{_EVENTS},
+l AS MATERIALIZED (SELECT day, event_id, sec AS o, value AS d, row_number() OVER (PARTITION BY day ORDER BY sec, event_id) AS k FROM e WHERE value > 0),
+b AS (SELECT l.*, count(*) OVER (PARTITION BY day) AS m, coalesce(sum(d / 1.6 + 0.12) OVER (PARTITION BY day ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0.0) AS s,
+  lead(o) OVER (PARTITION BY day ORDER BY k) AS nx FROM l),
+dl AS MATERIALIZED (SELECT *, min(CASE WHEN nx IS NULL THEN 86400.0 ELSE nx + 4.0 - 0.12 + s END) OVER (PARTITION BY day ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - s AS deadline FROM b)"""
+PLAN_DEADLINES_SQL = f"WITH {_PLAN} SELECT day, event_id, round(deadline, 6) AS deadline FROM dl"
+PLAN_TIMELINE_SQL = f"""
+WITH RECURSIVE {_PLAN},
+f AS (
+  SELECT day, event_id, k, d, greatest(o, 0.0) AS p, CASE WHEN deadline - greatest(o, 0.0) >= d - 1e-9 THEN 1.0::DOUBLE ELSE floor(least(d / greatest(deadline - greatest(o, 0.0), 0.3), 1.6) * 10000.0 + 0.5) / 10000.0 END AS tempo FROM dl WHERE k = 1
+  UNION ALL
+  SELECT day, event_id, k, d, p, CASE WHEN deadline - p >= d - 1e-9 THEN 1.0::DOUBLE ELSE floor(least(d / greatest(deadline - p, 0.3), 1.6) * 10000.0 + 0.5) / 10000.0 END FROM (
+    SELECT dl.day, dl.event_id, dl.k, dl.d, dl.deadline, greatest(dl.o, f.p + f.d / f.tempo + 0.12) AS p FROM f JOIN dl ON dl.day = f.day AND dl.k = f.k + 1))
+SELECT day, event_id, floor(p * 10000.0 + 0.5) / 10000.0 AS place, tempo FROM f
+"""
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = _events(spark, sf_dir).where("value > 0")
+    return e.select("day", F.col("sec").alias("s"), (F.col("sec") + F.col("value")).alias("e")), e.select("day").distinct().withColumn("total", F.lit(DAY))
+
+
+def silence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vad.silences(*_regions(spark, sf_dir), key="day")
+
+
+_REGIONS = f"""{_EVENTS}, r AS (SELECT day, sec AS s, sec + value AS t, 0 AS last FROM e WHERE value > 0),
+u AS (SELECT * FROM r UNION ALL SELECT DISTINCT day, 86400.0, 86400.0, 1 FROM r),
+g AS (SELECT day, s, greatest(coalesce(max(t) OVER (PARTITION BY day ORDER BY last, s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS t FROM u),
+q AS MATERIALIZED (SELECT day, floor(t * 1000.0 + 0.5) / 1000.0 AS s, floor(s * 1000.0 + 0.5) / 1000.0 AS e FROM g WHERE s - t >= 0.35)"""
+SILENCE_GAPS_SQL = f"WITH {_REGIONS} SELECT * FROM q"
+
+
+def speech_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions, totals = _regions(spark, sf_dir)
+    return vad.speech(vad.silences(regions, totals, key="day"), totals, key="day")
+
+
+SPEECH_REGIONS_SQL = f"""WITH {_REGIONS}, v AS (SELECT day, s, e, 0 AS last FROM q UNION ALL SELECT DISTINCT day, 86400.0, 86400.0, 1 FROM r),
+w AS (SELECT day, s, greatest(coalesce(max(e) OVER (PARTITION BY day ORDER BY last, s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), 0.0) AS t FROM v)
+SELECT day, floor(t * 1000.0 + 0.5) / 1000.0 AS s, floor(s * 1000.0 + 0.5) / 1000.0 AS e FROM w WHERE s - t > 0.05"""
+
+
+def asof_silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions, totals = _regions(spark, sf_dir)
+    e = _events(spark, sf_dir)
+    lines = e.select("day", F.col("event_id").cast("int").alias("line_idx"), F.col("sec").alias("onset"), (F.col("sec") + 0.5).alias("end"))
+    x = timeline.nearest_silences(lines, vad.silences(regions, totals, key="day"), e.select("day").distinct().withColumn("total", F.lit(DAY)), key="day")
+    return x.select("day", F.col("line_idx").cast("long").alias("event_id"), "quiet_before", "quiet_after")
+
+
+ASOF_SILENCE_SQL = f"""WITH {_REGIONS}
+SELECT e.day, e.event_id, coalesce(b.e, 0.0) AS quiet_before, coalesce(a.s, 86400.0) AS quiet_after
+FROM e ASOF LEFT JOIN q b ON b.day = e.day AND b.e <= e.sec + 1e-6 ASOF LEFT JOIN q a ON a.day = e.day AND a.s >= e.sec + 0.5 - 1e-6"""
+
+
+def range_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's reach into the speech that meets it, up to the next event."""
+    regions, totals = _regions(spark, sf_dir)
+    e = _events(spark, sf_dir)
+    nxt = F.coalesce(F.lead("sec").over(W.partitionBy("day").orderBy("sec", "event_id")), F.lit(DAY))
+    lines = e.select("day", F.col("event_id").alias("line_idx"), F.col("sec").alias("onset"), (F.col("sec") + 0.3).alias("end"), nxt.alias("next_onset"))
+    speech = vad.speech(vad.silences(regions, totals, key="day"), totals, key="day")
+    x = timeline.overlap_end(lines, speech, key="day")
+    return x.select("day", F.col("line_idx").alias("event_id"), text.round_to("reach", 4).alias("reach"))
+
+
+RANGE_OVERLAP_SQL = f"""WITH sp AS ({SPEECH_REGIONS_SQL}), {_EVENTS},
+l AS (SELECT day, event_id, sec, coalesce(lead(sec) OVER (PARTITION BY day ORDER BY sec, event_id), 86400.0) AS nx FROM e),
+m AS (SELECT l.day, l.event_id, l.sec, l.nx, max(sp.e) AS far FROM l LEFT JOIN sp ON sp.day = l.day AND sp.e > l.sec AND sp.s < l.sec + 0.3 + 0.4 GROUP BY ALL)
+SELECT day, event_id, floor(greatest(least(greatest(coalesce(far, sec + 0.3), sec + 0.3), nx), sec + 0.3) * 10000.0 + 0.5) / 10000.0 AS reach FROM m"""
+
+
+def largest_quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest silence in each hour of a day."""
+    regions, totals = _regions(spark, sf_dir)
+    spans = totals.select("day", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    spans = spans.select("day", "hour", (F.col("hour") * 3600.0).alias("lo"), ((F.col("hour") + 1) * 3600.0).alias("hi"))
+    return timeline.largest_quiet(spans, vad.silences(regions, totals, key="day"), ["day", "hour"], key="day")
+
+
+LARGEST_QUIET_SQL = f"""WITH {_REGIONS}, h AS (SELECT day, hour::INT AS hour, hour * 3600.0::DOUBLE AS lo, (hour + 1) * 3600.0::DOUBLE AS hi FROM (SELECT DISTINCT day FROM r), range(24) t(hour)),
+o AS (SELECT h.day, h.hour, greatest(lo, q.s) AS a, least(hi, q.e) AS b, row_number() OVER (PARTITION BY h.day, h.hour ORDER BY least(hi, q.e) - greatest(lo, q.s) DESC, greatest(lo, q.s)) AS n
+  FROM h JOIN q ON q.day = h.day WHERE least(hi, q.e) > greatest(lo, q.s))
+SELECT h.day, h.hour, CASE WHEN b - a >= 0.4 THEN a ELSE lo END AS lo, CASE WHEN b - a >= 0.4 THEN b ELSE hi END AS hi FROM h LEFT JOIN o ON o.day = h.day AND o.hour = h.hour AND n = 1"""
+
+
+def run_length_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    frame = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    x = e.select("user_id", "event_id", frame.alias("frame_idx"), (F.col("value") > 50).alias("mask"))
+    x = vad.flip_short_runs(vad.flip_short_runs(x, False, 3, key="user_id"), True, 2, key="user_id")
+    return x.select("user_id", "event_id", "mask")
+
+
+def _flip_sql(source: str, value: str, least: int) -> str:
+    return f"""(SELECT user_id, event_id, f, CASE WHEN m = {value} AND count(*) OVER (PARTITION BY user_id, run) < {least} THEN NOT m ELSE m END AS m FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY f) AS run FROM (SELECT *, CASE WHEN m <> lag(m) OVER (PARTITION BY user_id ORDER BY f) THEN 1 ELSE 0 END AS new FROM {source})))"""
+
+
+RUN_LENGTH_SQL = f"""WITH {_EVENTS}, x AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f, value > 50 AS m FROM e)
+SELECT user_id, event_id, m AS mask FROM {_flip_sql(_flip_sql("x", "false", 3), "true", 2)}"""
+
+
+def repeat_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    x = segments.drop_repeats(e.withColumn("n", n), text="event_type", key="user_id", order="n")
+    return x.select("user_id", "event_id", "event_type")
+
+
+REPEAT_SQL = f"""WITH {_EVENTS}, x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e),
+y AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, event_type ORDER BY n) AS run FROM x)
+SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, run ORDER BY n) AS k FROM y) WHERE k <= 2"""
+
+
+def _script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as episodes whose time runs an hour a second; two types name script lines, errors are unmatched."""
+    e = _events(spark, sf_dir)
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6) / 36000.0
+    kind = F.when(F.col("event_type") != "error", F.length("event_type"))
+    return e.select(F.col("user_id").alias("episode_id"), n.alias("line_idx"), at.alias("start"), (at + 0.2).alias("end"), F.col("event_type").alias("en"), kind.alias("sidx"), F.lit("A").alias("label"), F.lit("").alias("stext"), F.array().cast("array<struct<s:double,e:double>>").alias("words"))
+
+
+def merge_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = timeline.merge_by_script_line(_script(spark, sf_dir))
+    return x.select(F.col("episode_id").alias("user_id"), F.col("line_idx").cast("long").alias("island"), F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), "en", F.col("fragments").cast("long").alias("fragments"))
+
+
+MERGE_ISLANDS_SQL = f"""WITH {_EVENTS},
+x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, epoch_us(ts) / 1e6 / 36000.0 AS s, epoch_us(ts) / 1e6 / 36000.0 + 0.2 AS t, event_type AS en,
+  CASE WHEN event_type <> 'error' THEN length(event_type) END AS k FROM e),
+y AS (SELECT *, lag(k) OVER w AS k1, lag(k, 2) OVER w AS k2, lead(k) OVER w AS kn, s - lag(t) OVER w AS g, lag(s) OVER w - lag(t, 2) OVER w AS gb, lead(s) OVER w - t AS ga FROM x WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+z AS (SELECT *, coalesce((k IS NOT NULL AND ((k1 = k AND g <= 2.0) OR (k1 IS NULL AND k2 = k AND g <= 1.0 AND gb <= 1.0))) OR (k IS NULL AND k1 = kn AND g <= 1.0 AND ga <= 1.0), false) AS con FROM y),
+i AS (SELECT *, sum(CASE WHEN con THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY n) - 1 AS island FROM z)
+SELECT user_id, island::BIGINT AS island, round(arg_min(s, n), 4) AS start, round(arg_max(t, n), 4) AS "end", string_agg(en, ' ' ORDER BY n) AS en, count(*) AS fragments FROM i GROUP BY user_id, island"""
+
+
+def neighbour_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _script(spark, sf_dir).withColumns({"label": F.when(F.col("en") != "error", F.col("en")), "guest": F.lit("OtherMale")})
+    x = attribute.fill_by_neighbour(x)
+    return x.select(F.col("episode_id").alias("user_id"), F.col("line_idx").cast("long").alias("n"), "label")
+
+
+NEIGHBOUR_SQL = f"""WITH {_EVENTS},
+x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, epoch_us(ts) / 1e6 / 36000.0 AS s, epoch_us(ts) / 1e6 / 36000.0 + 0.2 AS t, CASE WHEN event_type <> 'error' THEN event_type END AS k FROM e),
+y AS (SELECT *, lag(k IGNORE NULLS) OVER w AS p, lead(k IGNORE NULLS) OVER w AS q, coalesce(s - lag(t) OVER w, 9e9) > coalesce(lead(s) OVER w - t, 9e9) AS far, count(k) OVER (PARTITION BY user_id ORDER BY n) AS run FROM x WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+z AS (SELECT *, bool_or(far) OVER (PARTITION BY user_id, run, k IS NULL ORDER BY n) AS flip FROM y)
+SELECT user_id, n, CASE WHEN k IS NOT NULL THEN k WHEN flip OR p IS NULL THEN coalesce(q, p, 'OtherMale') ELSE p END AS label FROM z"""
+
+
+def majority_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = attribute.majority(_events(spark, sf_dir), ["user_id"], "event_type", "event_id")
+    return x.select("user_id", "event_type", "n", "rows")
+
+
+MAJORITY_SQL = """WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM events GROUP BY ALL)
+SELECT user_id, event_type, n, (SELECT count(*) FROM events v WHERE v.user_id = c.user_id) AS rows FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) = 1"""
+
+
+def lookup_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents take the first label of an equal text in the same source, else the text's only one."""
+    d, l = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    old = d.join(l, "doc_id").select(F.lit("x").alias("episode_id"), F.lit(0).alias("file"), F.col("doc_id").alias("pos"), F.col("source").alias("sidx"), F.col("text").alias("en"), F.concat(F.lit("q"), F.col("quality").cast("string")).alias("zh"), F.concat(F.lit("t"), F.col("toxic").cast("string")).alias("emo"))
+    new = d.select(F.lit("x").alias("episode_id"), F.col("doc_id").alias("line_idx"), F.col("source").alias("sidx"), F.col("text").alias("en"), F.lit("A").alias("speaker"), F.lit("").alias("zh"), F.lit("").alias("emo"))
+    return translate.reuse_translations(new, old).select(F.col("line_idx").alias("doc_id"), "zh", "emo")
+
+
+LOOKUP_REUSE_SQL = r"""WITH o AS (SELECT d.doc_id, d.source, regexp_replace(d.text, '^\s+|\s+$', '', 'g') AS t, 'q' || l.quality AS zh, 't' || l.toxic AS emo FROM documents d JOIN labels l USING (doc_id) WHERE d.text <> ''),
+a AS (SELECT source, t, arg_min(zh, doc_id) AS zh, arg_min(emo, doc_id) AS emo FROM o GROUP BY ALL),
+b AS (SELECT t, min(zh) AS zh, min(emo) AS emo FROM o GROUP BY t HAVING count(DISTINCT (zh, emo)) = 1)
+SELECT d.doc_id, coalesce(a.zh, b.zh, '') AS zh, coalesce(a.emo, b.emo, '') AS emo FROM (SELECT doc_id, source, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents) d
+LEFT JOIN a ON a.source = d.source AND a.t = d.t LEFT JOIN b ON b.t = d.t"""
+
+
+def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    return e.select("event_id", text.char_budget(F.lit(0.0), F.col("value") / 10).alias("budget"))
+
+
+def srt_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    return e.select("event_id", text.srt_time("sec").alias("start"))
+
+
+SRT_SQL = f"""WITH {_EVENTS}, m AS (SELECT event_id, round_even(greatest(sec, 0.0) * 1000, 0)::BIGINT AS ms FROM e)
+SELECT event_id, lpad((ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || ',' || lpad((ms % 1000)::VARCHAR, 3, '0') AS start FROM m"""
+
+
+def stable_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "customer").select("c_custkey", text.stable_pick("c_name", 97).alias("pick"))
+
+
+#: 160 bits fold in two halves: 16**20 mod 97 is a constant of the fold.
+STABLE_PICK_SQL = f"""SELECT c_custkey, ((('0x' || substr(h, 1, 15))::UBIGINT::HUGEINT % 97 * {16**25 % 97} + ('0x' || substr(h, 16, 15))::UBIGINT::HUGEINT % 97 * {16**10 % 97} + ('0x' || substr(h, 31, 10))::UBIGINT::HUGEINT % 97) % 97)::BIGINT AS pick
+FROM (SELECT c_custkey, sha1(c_name) AS h FROM customer)"""
+
+
+def missing_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as episodes of seven script lines; the line numbers present are covered."""
+    from ..sources.profiles import Character, Profile
+
+    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
+    script = li.select(F.col("l_orderkey").alias("episode_id"), F.col("l_linenumber").alias("line_idx"), (F.col("l_linenumber") - 1).alias("sidx"), (F.col("l_linenumber") * 10.0).alias("start"), (F.col("l_linenumber") * 10.0 + F.col("q") / 10).alias("end"))
+    lines = li.select(F.col("l_orderkey").alias("episode_id")).distinct().select("episode_id", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("sidx"), F.lit("one two three").alias("text"), F.lit("Ann").alias("speaker"))
+    spans = script.where("false").select("episode_id", "sidx", F.col("start").alias("onset"), "end")
+    x = subtitles.missing_lines(script, lines, spans, Profile("p", (Character("Ann"),)))
+    return x.select(F.col("episode_id").alias("l_orderkey"), "sidx", "start", "end")
+
+
+MISSING_SQL = """WITH a AS (SELECT l_orderkey, l_linenumber - 1 AS sidx, l_linenumber * 10.0::DOUBLE AS a0, greatest(l_linenumber * 10.0::DOUBLE + min(l_quantity) / 10, l_linenumber * 10.0::DOUBLE + 0.3) AS a1 FROM lineitem GROUP BY l_orderkey, l_linenumber),
+t AS (SELECT l_orderkey, max(a1) AS last_end FROM a GROUP BY 1 HAVING count(*) / 7 >= 0.35),
+x AS (SELECT t.l_orderkey, s.sidx, last_end, a0, a1 FROM t CROSS JOIN (SELECT unnest(range(0, 7))::INT AS sidx) s LEFT JOIN a ON a.l_orderkey = t.l_orderkey AND a.sidx = s.sidx),
+y AS (SELECT *, coalesce(lag(a1 IGNORE NULLS) OVER w, 0.0) AS lo, coalesce(lead(a0 IGNORE NULLS) OVER w, last_end + 3.0) AS hi FROM x WINDOW w AS (PARTITION BY l_orderkey ORDER BY sidx)),
+m AS (SELECT *, sidx - row_number() OVER (PARTITION BY l_orderkey ORDER BY sidx) AS run FROM y WHERE a0 IS NULL),
+g AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, run) AS n, row_number() OVER (PARTITION BY l_orderkey, run ORDER BY sidx) AS k FROM m),
+h AS (SELECT *, CASE WHEN hi <= lo + 1e-6 THEN lo + 2.0 * n ELSE hi END AS hh FROM g),
+z AS (SELECT *, greatest(lo, lo + (hh - lo) / (n + 1) * k - 2.0 / 2) AS st FROM h)
+SELECT l_orderkey, sidx, floor(st * 1000.0 + 0.5) / 1000.0 AS start, floor(greatest(least(hh, st + 2.0), st + 0.5) * 1000.0 + 0.5) / 1000.0 AS "end" FROM z"""
+
+
+def voice_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as voiceprints, in episodes of about 500."""
+    e = _t(spark, sf_dir, "embeddings")
+    x = e.select(F.floor(F.col("vec_id") / 500).cast("string").alias("episode_id"), F.col("vec_id").cast("int").alias("line_idx"), F.lit(0).alias("win_idx"), "embedding")
+    return voices.line_clusters(voices.cluster_windows(x)).select("episode_id", F.col("line_idx").cast("long").alias("vec_id"), "cluster")
+
+
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "pages")
+    u = parse_html(F.col("html"))
+    return p.select("page_id", F.size(u).alias("utterances"), F.length(text.clean_markup("html")).alias("text_chars"))
+
+
+def pitch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components as pitches around 165 Hz: exact percentiles and the gender rule by label."""
+    e = _t(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("x")).select("label", (165 + 100 * F.col("x").cast("double")).alias("f0"))
+    q = e.groupBy("label").agg(*[F.round(F.percentile("f0", p), 6).alias(f"p{int(100 * p)}") for p in (0.10, 0.5, 0.95)])
+    return q.join(voices.gender_by_pitch(e, ["label"]), "label")
+
+
+PITCH_SQL = """WITH x AS (SELECT label, 165 + 100 * unnest(embedding)::DOUBLE AS f0 FROM embeddings),
+q AS (SELECT label, count(*) AS n, round(quantile_cont(f0, 0.10), 6) AS p10, round(quantile_cont(f0, 0.5), 6) AS p50, round(quantile_cont(f0, 0.95), 6) AS p95, median(f0) AS m FROM x GROUP BY label)
+SELECT label, p10, p50, p95, CASE WHEN n >= 5 AND m <= 155 THEN 'MALE' WHEN n >= 5 AND m >= 175 THEN 'FEMALE' ELSE '' END AS gender FROM q"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        identify_document, text_norm_words, jaccard_turns, plan_deadlines, plan_timeline, silence_gaps, speech_regions, asof_silence, range_overlap, largest_quiet,
+        run_length_filter, repeat_filter, merge_islands, neighbour_fill, majority_label, lookup_reuse, char_budget, srt_format, stable_pick, missing_layout,
+        voice_clusters, page_text, pitch_stats,
+    )
+}
+ORACLES: dict[str, str] = {
+    "identify_document": IDENTIFY_SQL,
+    "text_norm_words": f"SELECT doc_id, len(w)::BIGINT AS n_words, len(list_distinct(w))::BIGINT AS n_distinct FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents)",
+    "jaccard_turns": f"""WITH x AS MATERIALIZED (SELECT conv_id, turn, list_distinct({_WORDS.format("text")}) AS w FROM conversations),
+y AS (SELECT *, coalesce(lag(w) OVER (PARTITION BY conv_id ORDER BY turn), []) AS b FROM x)
+SELECT conv_id, turn, round(CASE WHEN len(w) > 0 AND len(b) > 0 THEN len(list_intersect(w, b)) / len(list_distinct(list_concat(w, b))) ELSE 0.0 END, 6)::DOUBLE AS similarity FROM y""",
+    "plan_deadlines": PLAN_DEADLINES_SQL,
+    "plan_timeline": PLAN_TIMELINE_SQL,
+    "silence_gaps": SILENCE_GAPS_SQL,
+    "speech_regions": SPEECH_REGIONS_SQL,
+    "asof_silence": ASOF_SILENCE_SQL,
+    "range_overlap": RANGE_OVERLAP_SQL,
+    "largest_quiet": LARGEST_QUIET_SQL,
+    "run_length_filter": RUN_LENGTH_SQL,
+    "repeat_filter": REPEAT_SQL,
+    "merge_islands": MERGE_ISLANDS_SQL,
+    "neighbour_fill": NEIGHBOUR_SQL,
+    "majority_label": MAJORITY_SQL,
+    "lookup_reuse": LOOKUP_REUSE_SQL,
+    "char_budget": "SELECT event_id, greatest(floor(greatest(value / 10 - 0.0, 0.6) * 4.6)::INT, 4)::INT AS budget FROM events",
+    "srt_format": SRT_SQL,
+    "stable_pick": STABLE_PICK_SQL,
+    "missing_layout": MISSING_SQL,
+    "pitch_stats": PITCH_SQL,
+}
