@@ -22,6 +22,8 @@ def materialize(spark: SparkSession, df: DataFrame, name: str = "t") -> DataFram
     survive lost executors."""
     path = f"{shared_dir(spark)}/tidecue/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    # the shuffles of this write are garbage now; a collection lets Spark's cleaner delete their files
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

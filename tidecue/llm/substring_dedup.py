@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ._store import materialize
-from ._tok import _BASE2, binary, chunks, column, ids, mix, runs
+from ._tok import binary, chunks, column, ids, mix, runs
 
 WINDOW = 13
 #: Words of a seed. A window's smallest seed hash is its minimiser; equal windows have equal minimisers.
@@ -72,18 +74,26 @@ def _row_number(texts: list[bytes] | None, h: np.ndarray) -> int:
     return 0 if texts is None else texts.index(_digest(h))
 
 
+def _keys_of(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """64-bit keys of the windows that start at the words ``at``."""
+    key = np.zeros(len(at), np.uint64)
+    for j in range(window):
+        key = key * np.uint64(0xA0761D6478BD642F) + h[at + j]
+    return mix(key).view(np.int64)
+
+
 def _edges(window: int, seed: int) -> Callable:
     """The windows whose minimiser is shared with another document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, shared, texts = ids(batch).to_pylist(), ids(batch, "seeds"), ids(batch, "texts")
+            doc, shared, texts = np.asarray(ids(batch)), ids(batch, "seeds"), ids(batch, "texts")
             for c in chunks(batch):
                 h = c.hashes()
                 if len(h) < window:
                     continue
                 m = _minimisers(h, window, seed)
-                where, owner, base = [], [], []
+                where, base = [], []
                 for i in range(c.hi - c.lo):
                     a, b = c.first[i], c.first[i + 1]
                     if b - a < window:
@@ -91,34 +101,48 @@ def _edges(window: int, seed: int) -> Callable:
                     mine = np.asarray(shared[c.lo + i].values).view(np.uint64)
                     at = np.flatnonzero(np.isin(m[a : b - window + 1], mine))
                     where.append(at + a)
-                    owner.append(np.full(len(at), doc[c.lo + i], np.int64))
                     base.append(at + (_row_number(texts[c.lo + i].as_py(), h[a:b]) << _ROW))
-                if not where:
+                at = np.concatenate(where) if where else np.zeros(0, np.int64)
+                if not len(at):
                     continue
-                at = np.concatenate(where)
-                k1, k2 = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-                for j in range(window):
-                    k1 = k1 * np.uint64(0xA0761D6478BD642F) + h[at + j]
-                    k2 = (k2 ^ h[at + j]) * _BASE2
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mix(k1).view(np.int64)), pa.array((mix(k2) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(base).astype(np.int64))],
-                    ["k1", "k2", "doc_id", "pos"],
-                )
+                # a window that a document repeats is one row; the other places are found when it is cut
+                row, pos, key = np.searchsorted(c.first, at, side="right") - 1, np.concatenate(base), _keys_of(h, at, window)
+                order = np.lexsort((pos, key, row))
+                new = np.ones(len(row), bool)
+                new[1:] = (np.diff(row[order]) != 0) | (np.diff(key[order]) != 0)
+                first = np.sort(order[new])
+                row, pos, key = row[first], pos[first], key[first]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc[row + c.lo]), pa.array(pos)], ["key", "doc_id", "pos"])
 
     return run
 
 
-def _words(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+def _raw(batch: pa.RecordBatch) -> Iterator[bytes]:
     data, offsets = column(batch, "text")
     for i in range(batch.num_rows):
-        yield data[offsets[i] : offsets[i + 1]].tobytes().split()
+        yield data[offsets[i] : offsets[i + 1]].tobytes()
+
+
+def _words(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+    return map(bytes.split, _raw(batch))
+
+
+def _runs_left(raw: bytes, drop: bytearray) -> str:
+    """The text between removed words, with its own white space; a space stands for what was removed inside."""
+    words, out, i = list(re.finditer(rb"[^\x20\x09-\x0D]+", raw)), [], 0
+    while i < len(words):
+        j = i
+        while j < len(words) and not drop[j]:
+            j += 1
+        if j > i:
+            out.append(raw[words[i].start() : words[j - 1].end()])
+        i = j + 1
+    return b" ".join(out).decode()
 
 
-def _number_of(words: list[bytes], texts: list[bytes] | None) -> int:
-    if texts is None:
-        return 0
+def _word_hashes(words: list[bytes]) -> np.ndarray:
     one = pa.RecordBatch.from_arrays([pa.array([b" ".join(words).decode()])], ["text"])
-    return _row_number(texts, next(chunks(one)).hashes())
+    return next(chunks(one)).hashes()
 
 
 def _span_digest(words: list[bytes], a: int, n: int) -> bytes:
@@ -130,7 +154,7 @@ def _quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, at, size, what = [], [], [], []
         for d, words, asked, texts in zip(ids(batch).to_pylist(), _words(batch), ids(batch, "asked").to_pylist(), ids(batch, "texts").to_pylist(), strict=True):
-            row = _number_of(words, texts)
+            row = 0 if texts is None else _row_number(texts, _word_hashes(words))
             for x in asked:
                 if x["src_pos"] >> _ROW == row:
                     doc.append(d)
@@ -140,24 +164,32 @@ def _quote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(size, pa.int64()), binary(what)], ["src_doc", "src_pos", "n", "quote"])
 
 
-def _cut(full: bool) -> Callable:
+def _same_windows(h: np.ndarray, drop: bytearray, spans: list[tuple[int, int]], window: int) -> None:
+    """Also drop the other places of the windows in the spans."""
+    key = _keys_of(h, np.arange(len(h) - window + 1), window)
+    gone = np.concatenate([key[a : a + n - window + 1] for a, n in spans])
+    for a in np.flatnonzero(np.isin(key, gone)).tolist():
+        drop[a : a + window] = b"\1" * window
+
+
+def _cut(full: bool, window: int) -> Callable:
     """Remove the spans that equal their source; ``full`` also gives the kept text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digests, gone, sha, left = [], [], [], []
-            for words, spans, texts in zip(_words(batch), ids(batch, "spans").to_pylist(), ids(batch, "texts").to_pylist(), strict=True):
-                row, drop = _number_of(words, texts), bytearray(len(words))
-                for x in spans:
-                    a = x["pos"] & ((1 << _ROW) - 1)
-                    if x["pos"] >> _ROW == row and _span_digest(words, a, x["n"]) == x["quote"]:
-                        drop[a : a + x["n"]] = b"\1" * x["n"]
+            for raw, words, spans, texts in zip(_raw(batch), _words(batch), ids(batch, "spans").to_pylist(), ids(batch, "texts").to_pylist(), strict=True):
+                h = _word_hashes(words)
+                row, drop = _row_number(texts, h), bytearray(len(words))
+                mine = [(x["pos"] & ((1 << _ROW) - 1), x["n"], x["quote"]) for x in spans if x["pos"] >> _ROW == row]
+                true = [(a, n) for a, n, quote in mine if _span_digest(words, a, n) == quote]
+                if true:
+                    _same_windows(h, drop, true, window)
                 text = b" ".join(w for w, g in zip(words, drop, strict=True) if not g)
-                one = pa.RecordBatch.from_arrays([pa.array([b" ".join(words).decode()])], ["text"])
-                digests.append(_digest(next(chunks(one)).hashes()))
+                digests.append(_digest(h))
                 gone.append(sum(drop))
                 sha.append(hashlib.sha256(text).hexdigest())
-                left.append(text.decode())
+                left.append(_runs_left(raw, drop) if full else None)
             arrays = [ids(batch), binary(digests), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(left, pa.string())] if full else arrays, ["doc_id", "digest", "gone", "cut_sha", *["kept_text"] * full])
 
@@ -170,7 +202,8 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WIND
 
     A word goes if a window of ``window`` words that covers it also starts in a document with a smaller doc_id.
     All windows are judged on the input. kept_sha256 is of the kept words joined by one space, in UTF-8;
-    kept_text is null where nothing was removed (the text stays as it is). Null, empty and blank texts have no
+    kept_text has the text that is left, white space between kept words as it was, and is null where nothing was
+    removed (the text stays as it is). Null, empty and blank texts have no
     words. Rows with a null doc_id take no part: nothing is removed from them or because of them. Rows that
     share a doc_id are one document: each is judged by itself, against smaller ids only. An empty table gives
     an empty result.
@@ -196,9 +229,8 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WIND
     seeds = materialize(spark, seeds.join(several, "doc_id", "left"), "seeds")
 
     texts = docs.where("doc_id is not null")
-    edges = texts.join(seeds, "doc_id").mapInArrow(_edges(window, seed), "k1 long, k2 int, doc_id long, pos long")
-    source = F.min(F.struct("doc_id", "pos")).over(W.partitionBy("k1", "k2"))
-    edges = edges.withColumn("source", source).where("doc_id > source.doc_id")
+    edges = texts.join(seeds, "doc_id").mapInArrow(_edges(window, seed), "key long, doc_id long, pos long")
+    edges = edges.withColumn("source", F.min(F.struct("doc_id", "pos")).over(W.partitionBy("key"))).where("doc_id > source.doc_id")
     edges = edges.select("doc_id", "pos", F.col("source.doc_id").alias("src_doc"), F.col("source.pos").alias("src_pos"))
     # an unbranched path: both coordinates advance together
     path = W.partitionBy("doc_id", "src_doc", F.col("src_pos") - F.col("pos")).orderBy("pos")
@@ -211,7 +243,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WIND
     quotes = texts.join(asked.join(several, "doc_id", "left"), "doc_id").mapInArrow(_quote, "src_doc long, src_pos long, n long, quote binary").distinct()
     cuts = spans.join(quotes, ["src_doc", "src_pos", "n"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "quote")).alias("spans"))
     schema = "doc_id long, digest binary, gone long, cut_sha string" + ", kept_text string" * text
-    cut = texts.join(cuts.join(several, "doc_id", "left"), "doc_id").mapInArrow(_cut(text), schema).dropDuplicates(["doc_id", "digest"])
+    cut = texts.join(cuts.join(several, "doc_id", "left"), "doc_id").mapInArrow(_cut(text, window), schema).dropDuplicates(["doc_id", "digest"])
 
     out = about.drop("mins").join(first, "digest", "left").join(cut, ["doc_id", "digest"], "left")
     copy = F.col("doc_id") > F.col("first_id")
@@ -223,3 +255,17 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WIND
         *[c.alias(k) for k, c in kept.items()], *["digest"] * text,
     )
     return out
+
+
+def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tags = [_digest(h[c.first[i] : c.first[i + 1]]) for c in chunks(batch) for h in [c.hashes()] for i in range(c.hi - c.lo)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, binary(tags)], [*batch.schema.names, "__tag"])
+
+
+def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the repeated passages cut from ``text``; every row and column stays, a text may become empty."""
+    kept = repeated_substrings(spark, docs, window, text=True).where("kept_text is not null").select(F.col("doc_id").alias("__of"), F.col("digest").alias("__is"), "kept_text").distinct()
+    tagged = docs.mapInArrow(_tagged, StructType([*docs.schema.fields, StructField("__tag", BinaryType())]))
+    both = tagged.join(kept, (tagged["doc_id"] == kept["__of"]) & (tagged["__tag"] == kept["__is"]), "left")
+    return both.withColumn("text", F.coalesce("kept_text", "text")).select(docs.columns)
