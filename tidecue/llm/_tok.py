@@ -17,7 +17,8 @@ CHUNK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE2 = np.uint64(0xD6E8FEB86659FD93 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+_IN_WORD = np.array([chr(x).isalnum() or x >= 128 for x in range(256)])
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,18 +31,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, kept by the next power of two."""
+    """base**i and base**-i modulo 2**64 for i < n at least; the longest tables are kept."""
     size = 1 << max(10, (n - 1).bit_length())
-    key = (int(base), size)
-    if key not in _tables:
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    key = int(base)
+    if key not in _tables or len(_tables[key][0]) < size:
         tables = []
-        for b in (base, inverse):
+        for b in (base, np.uint64(pow(int(base), -1, 1 << 64))):
             t = np.full(size, b, dtype=np.uint64)
             t[0] = 1
             tables.append(np.multiply.accumulate(t))
-        for old in [k for k in _tables if k[0] == int(base)]:
-            del _tables[old]
         _tables[key] = (tables[0], tables[1])
     return _tables[key]
 
@@ -79,8 +77,9 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def chunks(batch: pa.RecordBatch, name: str = "text", lower: bool = False, size: int = CHUNK) -> Iterator[Chunk]:
-    """Chunks of about ``size`` bytes (a longer single text makes a longer chunk)."""
+def chunks(batch: pa.RecordBatch, name: str = "text", lower: bool = False, size: int = CHUNK, letters: bool = False) -> Iterator[Chunk]:
+    """Chunks of about ``size`` bytes (a longer single text makes a longer chunk). With ``letters``, words are runs of
+    ASCII letters and digits and of bytes beyond ASCII."""
     data, offsets = column(batch, name)
     n, lo = len(offsets) - 1, 0
     while lo < n:
@@ -88,7 +87,7 @@ def chunks(batch: pa.RecordBatch, name: str = "text", lower: bool = False, size:
         b, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if lower:
             b = np.where((b >= 65) & (b <= 90), b + np.uint8(32), b)
-        word = ~((b == 32) | ((b >= 9) & (b <= 13)))
+        word = _IN_WORD[b] if letters else ~((b == 32) | ((b >= 9) & (b <= 13)))
         before = np.zeros(len(b), dtype=bool)
         before[1:] = word[:-1]
         inner = offs[:-1][offs[:-1] < len(b)]
