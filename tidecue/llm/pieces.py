@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tok import _BASE, _powers, column, ids, mix
+from ._tok import _BASE, column, ids, mix
 
 SPACE = "▁"
 #: Encoded words that a worker keeps; cells of a batch's tables; length from which merges run on a heap; texts of a step.
-CACHE, CELLS, LONG, ROWS = 200_000, 400_000, 48, 1024
+CACHE, CELLS, LONG, ROWS = 300_000, 400_000, 48, 1024
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 # Fixed values of the model format: piece types, the penalty of an unknown character.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -84,54 +84,68 @@ class PieceModel:
         keys = np.array([_hash(_codes([self.pieces[i]]), len(self.pieces[i]))[0, 0] for i in use], np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], use[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.keys >> np.uint64(44)] = True
+        # where the keys of each leading 20 bits start, and how many there are at most
+        lead = (self.keys >> np.uint64(44)).astype(np.int64)
+        self.start = np.full(1 << 20, -1, np.int32)
+        self.start[lead[::-1]] = np.arange(len(lead), dtype=np.int32)[::-1]
+        self.run = int(np.bincount(lead).max()) if len(lead) else 0
         self.unknown = int(np.flatnonzero(self.kinds == UNKNOWN)[0]) if (self.kinds == UNKNOWN).any() else -1
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.low = float(self.scores[use].min()) - UNKNOWN_PENALTY if len(use) else 0.0
         inverse = {i: bytes([x]) for x, i in self.bytes.items()}
-        self.out = [inverse.get(i) or (b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode()) for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True))]
+        out = [inverse.get(i) or (b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode()) for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True))]
+        self.out_size = np.array([len(x) for x in out])
+        self.out_start = np.concatenate([[0], np.cumsum(self.out_size)[:-1]])
+        self.out_bytes = np.frombuffer(b"".join(out), np.uint8)
 
     def spans(self, codes: np.ndarray) -> np.ndarray:
         """The id of the piece of each length (last axis, from 1) from each place of each word, -1 for none."""
         w, n = codes.shape
         out = np.full((w, n, min(n, self.longest)), -1, np.int32)
+        wide, h = codes.astype(np.uint64), np.ones((w, n), np.uint64)
         for size in range(1, out.shape[2] + 1):
-            h = _hash(codes, size)
-            at = np.nonzero(self.maybe[h >> np.uint64(44)])
-            found = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
-            hit = self.keys[found] == h[at]
-            out[at[0][hit], at[1][hit], size - 1] = self.key_ids[found[hit]]
+            h = h[:, : n - size + 1] * _BASE + wide[:, size - 1 :]
+            key = mix(h + np.uint64(size))
+            first = self.start[key >> np.uint64(44)]
+            row, at = np.nonzero(first >= 0)
+            first, key = first[row, at], key[row, at]
+            for step in range(self.run):
+                found = np.minimum(first + step, len(self.keys) - 1)
+                hit = self.keys[found] == key
+                out[row[hit], at[hit], size - 1] = self.key_ids[found[hit]]
         return out
 
+    def gains(self, spans: np.ndarray) -> np.ndarray:
+        return np.where(spans >= 0, self.scores[spans], -np.inf)
+
     def spelled(self, char: int) -> list[int]:
         """What stands for a character without a piece."""
         raw = chr(char).encode(errors="replace")
         return [self.bytes[x] for x in raw] if len(self.bytes) == 256 else [self.unknown]
 
-    def viterbi(self, codes: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    def viterbi(self, spans: np.ndarray, gains: np.ndarray) -> np.ndarray:
         """Ends of the best segmentation: back[w, e] is the length of the segment that ends at e. The sum of scores is
-        largest; ties go to the longer last segment."""
-        w, n = codes.shape
+        largest; ties go to the longer last segment. A character without a piece has the unknown score."""
+        w, n, most = gains.shape
+        gains = gains.copy()
+        gains[:, :, 0] = np.where(spans[:, :, 0] >= 0, gains[:, :, 0], self.low)
         best = np.full((w, n + 1), -np.inf)
         best[:, 0] = 0
         back = np.zeros((w, n + 1), np.int32)
+        rows = np.arange(w)
         for end in range(1, n + 1):
-            for size in range(min(end, spans.shape[2]), 0, -1):
-                piece = spans[:, end - size, size - 1]
-                score = best[:, end - size] + np.where(piece >= 0, self.scores[piece], self.low if size == 1 else -np.inf)
-                better = score > best[:, end]
-                best[better, end] = score[better]
-                back[better, end] = size
+            size = np.arange(min(end, most), 0, -1)
+            score = best[:, end - size] + gains[:, end - size, size - 1]
+            at = score.argmax(axis=1)
+            best[:, end], back[:, end] = score[rows, at], size[at]
         return back
 
-    def merges(self, codes: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    def merges(self, spans: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """Ends after merging, in each word the adjacent pair whose joint piece scores best (leftmost of equals), until
         none is left. In the form of ``viterbi``."""
-        w, n = codes.shape
+        w, n, _ = spans.shape
         if n > LONG:
             return np.stack([self._merge_long(x) for x in spans])
-        scores = np.where(spans >= 0, self.scores[spans], -np.inf)
         end = np.tile(np.arange(1, n + 2), (w, 1))  # of the segment from each place; place n ends the word
         end[:, n] = n
         alive = np.ones((w, n), bool)
@@ -195,7 +209,8 @@ class PieceModel:
             hi = min(int(np.searchsorted(size[order], n, side="right")), lo + max(1, CELLS // (int(n) * min(int(n), self.longest))))
             codes = _codes([words[i] for i in order[lo:hi]])
             spans = self.spans(codes)
-            done = [self._ids(codes, spans, getattr(self, way)(codes, spans)) for way in ways]
+            gains = self.gains(spans)
+            done = [self._ids(codes, spans, getattr(self, way)(spans, gains)) for way in ways]
             for i, x in zip(order[lo:hi], zip(*done, strict=True), strict=True):
                 out[i] = x
             lo = hi
@@ -222,8 +237,16 @@ class PieceModel:
         return out
 
     def decode(self, tokens: np.ndarray) -> bytes:
-        text = b"".join(map(self.out.__getitem__, tokens.tolist()))
-        return text[1:] if self.prefix and text[:1] == b" " else text
+        """The text of ids, in UTF-8."""
+        return self.decode_all(tokens, np.array([0, len(tokens)]))[0]
+
+    def decode_all(self, tokens: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The texts of several runs of ids (run i is offsets[i] to offsets[i + 1])."""
+        size = self.out_size[tokens]
+        ends = np.cumsum(size)
+        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.out_start[tokens] - (ends - size), size)
+        raw, at = self.out_bytes[place].tobytes(), np.concatenate([[0], ends])[offsets].tolist()
+        return [raw[a + (self.prefix and raw[a : a + 1] == b" ") : b] if b > a else b"" for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -232,30 +255,35 @@ def _codes(words: list[str]) -> np.ndarray:
 
 def _hash(codes: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` characters from each place."""
-    h = codes[:, : codes.shape[1] - size + 1].astype(np.uint64) + np.uint64(1)
-    for j in range(1, size):
-        h = h * _BASE + codes[:, j : codes.shape[1] - size + 1 + j]
+    h = np.ones((codes.shape[0], codes.shape[1] - size + 1), np.uint64)
+    for j in range(size):
+        h = h * _BASE + codes[:, j : codes.shape[1] - size + 1 + j].astype(np.uint64)
     return mix(h + np.uint64(size))
 
 
 class Encoder:
-    """Encodes texts with a cache of words; a worker has one."""
+    """Encodes texts with a cache of words in two generations: when the younger is full it becomes the older, and
+    words in use move on."""
 
     def __init__(self, model: PieceModel, ways: tuple[str, ...]) -> None:
-        self.model, self.ways, self.cache = model, ways, {}
+        self.model, self.ways = model, ways
+        self.young: dict[str, tuple[bytes, ...]] = {}
+        self.old: dict[str, tuple[bytes, ...]] = {}
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, ...]]:
         split = [self._units(t) for t in texts]
-        new = list({u for units in split for u in units if u not in self.cache})
-        if len(self.cache) + len(new) > CACHE:
-            self.cache = {}
-            new = list({u for units in split for u in units})
-        if new:
-            mark = SPACE if self.model.prefix else None
-            self.cache.update(zip(new, self.model.encode_words([u[1:] if u[0] == "\0" else mark + u for u in new], self.ways), strict=True))
+        wanted = set().union(*split) - self.young.keys()
+        if len(self.young) + len(wanted) > CACHE:
+            self.old, self.young = self.young, {}
+            wanted = set().union(*split)
+        moved = wanted & self.old.keys()
+        new = list(wanted - moved)
+        self.young.update((u, self.old[u]) for u in moved)
+        mark = SPACE if self.model.prefix else None
+        self.young.update(zip(new, self.model.encode_words([u[1:] if u[0] == "\0" else mark + u for u in new], self.ways), strict=True))
         for units in split:
-            got = [self.cache[u] for u in units]
-            yield tuple(b"".join([g[k] for g in got]) for k in range(len(self.ways)))
+            got = zip(*map(self.young.__getitem__, units), strict=True) if units else [()] * len(self.ways)
+            yield tuple(map(b"".join, got))
 
     def _units(self, text: str) -> list[str]:
         """Words between single spaces as they are; any other text as marked runs (no piece has a space mark after
@@ -275,16 +303,16 @@ def _run(model: PieceModel, ways: tuple[str, ...], full: bool) -> Callable:
             for lo in range(0, batch.num_rows, ROWS):
                 part = batch.slice(lo, ROWS)
                 raw = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, lo + part.num_rows)]
-                rows = [([np.frombuffer(x, np.int32) for x in got], t) for got, t in zip(encoder.encode([t.decode() for t in raw]), raw, strict=True)]
-                if full:
-                    flat = [g[0] for g, _ in rows]
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in flat])]), pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
-                    yield pa.RecordBatch.from_arrays([ids(part), lists], ["doc_id", "ids"])
-                    continue
-                arrays = [ids(part)]
-                names = ["doc_id"]
+                got = list(encoder.encode([t.decode() for t in raw]))
+                arrays, names = [ids(part)], ["doc_id"]
                 for k, way in enumerate(ways):
-                    arrays += [pa.array([len(g[k]) for g, _ in rows], pa.int64()), pa.array([hashlib.sha256(g[k].tobytes()).hexdigest() for g, _ in rows]), pa.array([model.decode(g[k]) == t for g, t in rows])]
+                    bounds = np.concatenate([[0], np.cumsum([len(g[k]) // 4 for g in got])])
+                    flat = np.frombuffer(b"".join([g[k] for g in got]), np.int32)
+                    if full:
+                        arrays, names = [ids(part), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))], ["doc_id", "ids"]
+                        break
+                    same = [x == t for x, t in zip(model.decode_all(flat, bounds), raw, strict=True)]
+                    arrays += [pa.array(np.diff(bounds)), pa.array([hashlib.sha256(g[k]).hexdigest() for g in got]), pa.array(same)]
                     names += [f"{way}_tokens", f"{way}_sha256", f"{way}_round_trip"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
