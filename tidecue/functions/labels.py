@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.profiles import Profile
-from .text import col, strip
+from .text import col, let, strip
 
 # Words that are no names, groups, marks of a different person, metadata hints and exclusions.
 NOT_NAMES = (
@@ -36,7 +36,10 @@ def valid_speaker(raw: Column | str) -> Column:
     """The label without asides and trailing marks, or null if it can't be a speaker's name."""
     t = strip(F.regexp_replace(col(raw), r"\(.*?\)", ""))
     t = strip(F.regexp_replace(t, r"^\.+|\.+$", ""))
-    t = strip(F.regexp_replace(t, ":+$", ""))
+    return let(strip(F.regexp_replace(t, ":+$", "")), _name_or_null)
+
+
+def _name_or_null(t: Column) -> Column:
     good = (
         F.length(t).between(2, 40)
         & ~t.rlike(r"\p{Nd}")
@@ -60,21 +63,29 @@ def canonical_speaker(raw: Column | str, profile: Profile) -> Column:
     n = strip(F.regexp_replace(n, ":+$", ""))
     n = F.regexp_replace(n, r"""^[."']+|[."']+$""", "")
     alias, full = _lookup(profile.aliases), _lookup(profile.full_names)
-    other = n.rlike(r"(?U)('s\b|\x{2019}s\b|\b(?:" + "|".join(OTHER_PERSON) + r")\b)")
-    parts = F.filter(F.transform(F.split(n, r"(?U)\s*(?:,|\band\b|&|\+|/)\s*"), strip), lambda x: x != "")
-    members = F.filter(parts, lambda x: F.map_contains_key(alias, x))
-    tokens = F.filter(F.split(n, r"(?U)\s+"), lambda x: x != "")
-    named = F.when(F.size(members) == 1, F.try_element_at(alias, F.try_element_at(members, F.lit(1)))).when(F.size(members) > 1, GROUP)
-    several = F.coalesce(named, F.when(F.forall(parts, lambda x: x.isin(GROUPS)), GROUP), F.lit(GUEST))
-    first = F.when(F.size(tokens) <= 3, F.try_element_at(alias, F.try_element_at(tokens, F.lit(1))))
-    return (
-        F.when((n == "") | other, GUEST)
-        .when(F.map_contains_key(alias, n), F.try_element_at(alias, n))
-        .when(F.map_contains_key(full, n), F.try_element_at(full, n))
-        .when(n.isin(GROUPS), GROUP)
-        .when(F.size(parts) > 1, several)
-        .otherwise(F.coalesce(first, F.lit(GUEST)))
-    )
+
+    def of_parts(parts: Column) -> Column:
+        members = F.filter(parts, lambda x: F.map_contains_key(alias, x))
+        one = lambda m: F.when(F.size(m) == 1, F.try_element_at(alias, F.try_element_at(m, F.lit(1)))).when(F.size(m) > 1, GROUP)
+        several = F.coalesce(let(members, one), F.when(F.forall(parts, lambda x: x.isin(GROUPS)), GROUP), F.lit(GUEST))
+        return F.when(F.size(parts) > 1, several)
+
+    def first_token(tokens: Column) -> Column:
+        return F.when(F.size(tokens) <= 3, F.try_element_at(alias, F.try_element_at(tokens, F.lit(1))))
+
+    def label(n: Column) -> Column:
+        other = n.rlike(r"(?U)('s\b|\x{2019}s\b|\b(?:" + "|".join(OTHER_PERSON) + r")\b)")
+        parts = F.filter(F.transform(F.split(n, r"(?U)\s*(?:,|\band\b|&|\+|/)\s*"), strip), lambda x: x != "")
+        tokens = F.filter(F.split(n, r"(?U)\s+"), lambda x: x != "")
+        return (
+            F.when((n == "") | other, GUEST)
+            .when(F.map_contains_key(alias, n), F.try_element_at(alias, n))
+            .when(F.map_contains_key(full, n), F.try_element_at(full, n))
+            .when(n.isin(GROUPS), GROUP)
+            .otherwise(F.coalesce(let(parts, of_parts), let(tokens, first_token), F.lit(GUEST)))
+        )
+
+    return let(n, label)
 
 
 def title_case(c: Column | str) -> Column:
@@ -86,8 +97,7 @@ def title_case(c: Column | str) -> Column:
 def display_name(raw: Column | str) -> Column:
     """A guest's own name from the script label, or null if it is unusable."""
     t = strip(F.regexp_replace(strip(F.regexp_replace(F.coalesce(col(raw), F.lit("")), r"\(.*?\)", "")), "^:+|:+$", ""))
-    t = title_case(t)
-    return F.when(F.length(t).between(2, 30), t)
+    return let(title_case(t), lambda name: F.when(F.length(name).between(2, 30), name))
 
 
 def role_gender(role: Column | str, profile: Profile) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: expressions that name a column often would repeat its tree."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def round_to(c: Column | str, digits: int) -> Column:
     """Rounded half up in plain double arithmetic, which every SQL engine repeats bit for bit."""
     scale = float(10**digits)
@@ -67,7 +73,10 @@ def clean_markup(c: Column | str) -> Column:
 
 def srt_time(seconds: Column | str) -> Column:
     """HH:MM:SS,mmm; negative times are zero."""
-    ms = F.bround(F.greatest(col(seconds), F.lit(0.0)) * 1000).cast("long")
+    return let(F.bround(F.greatest(col(seconds), F.lit(0.0)) * 1000).cast("long"), _clock)
+
+
+def _clock(ms: Column) -> Column:
     unit = lambda size, most, width: F.lpad(((ms / size).cast("long") % most).cast("string"), width, "0")
     hours = F.floor(ms / 3600000)
     return F.concat(F.when(hours < 10, F.concat(F.lit("0"), hours.cast("string"))).otherwise(hours.cast("string")), F.lit(":"), unit(60000, 60, 2), F.lit(":"), unit(1000, 60, 2), F.lit(","), unit(1, 1000, 3))

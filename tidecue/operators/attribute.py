@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import GROUP, OTHER_FEMALE, OTHER_MALE, SKIP, canonical_speaker, display_name, role_gender
-from ..functions.text import norm_words
+from ..functions.text import let, norm_words
 from ..sources.profiles import Profile
 
 
@@ -33,7 +33,8 @@ def script_labels(lines: DataFrame, profile: Profile) -> DataFrame:
     an unmatched line that sings the theme too, a group is left to the voices."""
     lines = lines.drop("__g").join(cluster_genders(lines).withColumnRenamed("gender", "__g"), ["episode_id", "cluster"], "left")
     voice = F.when(F.col("__g") != "", F.col("__g")).otherwise(F.coalesce("gender", F.lit("")))
-    who = canonical_speaker("raw", profile)
+    lines = lines.withColumn("__who", canonical_speaker("raw", profile))
+    who = F.col("__who")
     no_script = F.coalesce(F.col("raw"), F.lit("")) == ""
     theme = F.array(*[F.lit(w) for w in profile.theme_words]).cast("array<string>")
     sung = F.size(F.array_intersect(F.array_distinct(norm_words("en")), theme)) >= 3 if profile.theme_words else F.lit(False)
@@ -45,14 +46,14 @@ def script_labels(lines: DataFrame, profile: Profile) -> DataFrame:
         .when(who == GROUP, F.lit(None))
         .otherwise(F.coalesce(display_name("raw"), guest_of(voice)))
     )
-    return lines.withColumns({"guest": guest_of(voice), "label": label}).drop("__g")
+    return lines.withColumns({"guest": guest_of(voice), "label": label}).drop("__g", "__who")
 
 
 def fallback_speaker(raw: Column | str, profile: Profile, neighbour: Column | None = None) -> Column:
     """Label of a script line that nobody was heard to say."""
-    who = canonical_speaker(raw, profile)
     near = F.coalesce(F.when(neighbour != "", neighbour), F.lit(OTHER_FEMALE)) if neighbour is not None else F.lit(OTHER_FEMALE)
-    return F.when(who.isin(profile.main_cast), who).when(who == GROUP, near).otherwise(F.coalesce(display_name(raw), F.lit(OTHER_MALE)))
+    own = F.coalesce(display_name(raw), F.lit(OTHER_MALE))
+    return let(canonical_speaker(raw, profile), lambda who: F.when(who.isin(profile.main_cast), who).when(who == GROUP, near).otherwise(own))
 
 
 def _main_owner(lines: DataFrame, profile: Profile) -> DataFrame:

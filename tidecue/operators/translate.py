@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,6 +47,20 @@ def reuse_translations(script: DataFrame, old: DataFrame, key: str = "episode_id
     return x.withColumns({"zh": take("zh"), "emo": take("emo")}).select(*script.columns)
 
 
+def _asked(ask: Callable[[list[dict]], dict[int, dict]]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("line_idx")
+        try:
+            got = ask(rows[["line_idx", "speaker", "en", "budget", "context"]].to_dict("records"))
+        except Exception:  # noqa: BLE001  the next, smaller pass tries again
+            got = {}
+        rows["zh"] = [str(got.get(i, {}).get("zh", "")).strip() for i in rows["line_idx"]]
+        rows["emo"] = [str(got.get(i, {}).get("emo", "")) for i in rows["line_idx"]]
+        return rows[["episode_id", "line_idx", "zh", "emo"]]
+
+    return run
+
+
 def translate(spark: SparkSession, script: DataFrame, ask: Callable[[list[dict]], dict[int, dict]], sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """Asks a model for the open lines, in smaller and smaller batches until none is left out. ``ask`` gets the lines of a
     batch (line_idx, speaker, en, budget, context) and returns {line_idx: {zh, emo}} for those it managed; it runs on the
@@ -55,17 +70,7 @@ def translate(spark: SparkSession, script: DataFrame, ask: Callable[[list[dict]]
         n = F.row_number().over(W.partitionBy("episode_id").orderBy("line_idx")) - 1
         todo = todo.withColumn("batch", F.floor(n / size)).select("episode_id", "line_idx", "speaker", "en", "budget", "context", "batch")
 
-        def run(pdf, ask=ask):
-            rows = pdf.sort_values("line_idx")
-            try:
-                got = ask(rows[["line_idx", "speaker", "en", "budget", "context"]].to_dict("records"))
-            except Exception:  # noqa: BLE001  the next, smaller pass tries again
-                got = {}
-            rows["zh"] = [str(got.get(i, {}).get("zh", "")).strip() for i in rows["line_idx"]]
-            rows["emo"] = [str(got.get(i, {}).get("emo", "")) for i in rows["line_idx"]]
-            return rows[["episode_id", "line_idx", "zh", "emo"]]
-
-        done = todo.groupBy("episode_id", "batch").applyInPandas(run, "episode_id string, line_idx int, zh string, emo string")
+        done = todo.groupBy("episode_id", "batch").applyInPandas(_asked(ask), "episode_id string, line_idx int, zh string, emo string")
         done = done.where("zh <> ''").withColumnsRenamed({"zh": "__zh", "emo": "__emo"}).persist()
         empty = done.isEmpty()
         x = script.join(done, ["episode_id", "line_idx"], "left")

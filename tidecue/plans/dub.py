@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from ..operators import align, attribute, identify, subtitles, timeline, vad
 from ..operators.segments import clean_segments
 from ..sources.profiles import Profile
+from .stages import cut
 
 
 def script_of(raw: DataFrame, transcripts: DataFrame, voices: DataFrame, profile: Profile) -> DataFrame:
     """Dub lines (episode_id, line_idx, start, end, en, words, sidx, speaker, zh, emo, fallback) of recognised segments.
     ``transcripts`` are (episode_id, sidx, speaker, text) of all known episodes; ``voices`` (episode_id, line_idx, cluster,
     gender) may be empty. A recording whose match is not accepted has no script lines."""
-    heard = clean_segments(raw)
+    heard = cut(clean_segments(raw))
     who = identify.identify(heard.withColumnRenamed("episode_id", "heard_id"), transcripts).where("accepted")
     script = transcripts.join(who.select("heard_id", F.col("best_id").alias("episode_id")), "episode_id").drop("episode_id").withColumnRenamed("heard_id", "episode_id")
+    script = cut(script)
     lines, spans = align.align(heard, script)
+    lines, spans = cut(lines), cut(spans)
     lines = lines.join(voices, ["episode_id", "line_idx"], "left").withColumn("gender", F.coalesce("gender", F.lit("")))
-    cast = attribute.cast_speakers(lines, profile)
+    cast = cut(attribute.cast_speakers(lines, profile))
     merged = timeline.merge_by_script_line(cast).withColumnRenamed("label", "speaker")
     dub = merged.drop("fragments").withColumns({"zh": F.lit(""), "emo": F.lit(""), "fallback": F.lit(False)})
     return subtitles.insert_missing(dub, script, spans, profile)
@@ -28,11 +31,11 @@ def script_of(raw: DataFrame, transcripts: DataFrame, voices: DataFrame, profile
 def subtitles_of(script: DataFrame, durations: DataFrame, regions: DataFrame, totals: DataFrame) -> DataFrame:
     """(episode_id, seq, start, end, zh): the voiced lines where they are placed, then what was not voiced.
     ``durations`` are (episode_id, line_idx, dur) of the clips, ``regions`` the speech, ``totals`` (episode_id, total)."""
-    quiet = vad.silences(regions, totals)
+    quiet = cut(vad.silences(regions, totals))
     voiced = script.where("not fallback")
     windows = timeline.line_windows(voiced, quiet, totals, regions)
     todo = windows.join(durations, ["episode_id", "line_idx"]).join(totals, "episode_id")
-    plan = timeline.plan_timeline(todo).join(durations, ["episode_id", "line_idx"]).join(voiced.select("episode_id", "line_idx", "sidx", "zh"), ["episode_id", "line_idx"])
+    plan = cut(timeline.plan_timeline(todo)).join(durations, ["episode_id", "line_idx"]).join(voiced.select("episode_id", "line_idx", "sidx", "zh"), ["episode_id", "line_idx"])
     placed = plan.select("episode_id", "line_idx", "sidx", F.col("place").alias("start"), (F.col("place") + F.col("dur") / F.col("tempo")).alias("end"), "zh")
     free = subtitles.place_fallbacks(script, subtitles.placed_by_sidx(placed), quiet, totals)
     return subtitles.subtitle_table(placed, free, subtitles.retained(script, placed))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import asdict, is_dataclass
 
@@ -25,6 +26,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the folder that spark.checkpoint.dir names (one of our own only where none is set): the
+    plan behind it ends there, and its rows outlive lost executors."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidecue-")
+        spark.sparkContext.setCheckpointDir(named)
+    return df.checkpoint()
+
+
 def build_once(spark: SparkSession, root: str, parts: dict[str, object], build: Callable[[], DataFrame]) -> DataFrame:
     """The stage's table under ``root``; ``build`` runs only if nothing was finished for this identity before."""
     path = f"{root.rstrip('/')}/{identity(parts)}"
