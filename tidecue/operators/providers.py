@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from collections.abc import Callable
 from typing import Protocol
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import is_bad_voice, is_chinese, voice_gender
+
 
 class SpeechProvider(Protocol):
     """What a synthesis service offers. Calls cost money: a provider does its own retries, and is asked once."""
@@ -107,3 +110,59 @@ def backup_report(clips: DataFrame, script: DataFrame) -> DataFrame:
     """Lines by speaker that only the backup voice could say."""
     used = clips.where("used_backup and clip is not null").join(script.select("episode_id", "line_idx", "speaker"), ["episode_id", "line_idx"])
     return used.groupBy("speaker").agg(F.count(F.lit(1)).alias("lines")).orderBy(F.desc("lines"), "speaker")
+
+
+class LanguageModel(Protocol):
+    def reply(self, system: str, user: str) -> str: ...
+
+
+class MediaTools(Protocol):
+    """Binaries outside: audio from a video, a clip at another tempo, the finished video."""
+
+    def extract_audio(self, video: str) -> tuple[bytes, bytes]: ...
+
+    def at_tempo(self, clip: bytes, tempo: float) -> bytes: ...
+
+    def duration(self, clip: bytes) -> float: ...
+
+    def mux(self, video: str, dub: bytes, subtitles: str, burn: bool) -> str: ...
+
+
+def fitted(tools: MediaTools, clip: bytes, tempo: float) -> bytes:
+    """A clip at a tempo; up to one percent nothing is done."""
+    return clip if tempo <= 1.01 else tools.at_tempo(clip, tempo)
+
+
+def json_reply(model: LanguageModel, system: str, user: str, tries: int = 3, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """The JSON object of a model's reply, whatever stands around it; asks again if there is none."""
+
+    def ask() -> dict:
+        text = model.reply(system, user)
+        found = json.loads(text[text.index("{") : text.rindex("}") + 1])
+        if not isinstance(found, dict):
+            raise ValueError("no object")
+        return found
+
+    return retry(ask, tries, 1.0, sleep)
+
+
+def harvest(page: Callable[[int], list[dict]], most: int = 6) -> list[dict]:
+    """The items of up to ``most`` pages; the first empty or failing page ends them, what was there before stays."""
+    out: list[dict] = []
+    for n in range(1, most + 1):
+        try:
+            items = page(n)
+        except Exception:  # noqa: BLE001
+            break
+        if not items:
+            break
+        out += items
+    return out
+
+
+def voice_candidates(items: DataFrame) -> DataFrame:
+    """(pos, gender, voice) of a service's listing (pos, voice, title, description, languages): Mandarin voices of a known
+    gender that nothing in their description rules out."""
+    about = F.concat_ws(" ", "title", "description")
+    x = items.where(is_chinese("languages", "title") & ~is_bad_voice(about)).withColumn("gender", voice_gender(about))
+    return x.where("gender <> ''").select("pos", "gender", "voice")
