@@ -53,7 +53,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class OrdinalModel:
-    """P(grade <= k) = sigmoid(thresholds[k] - x @ weights - 0)."""
+    """P(grade <= k) = sigmoid(thresholds[k] - x @ weights)."""
 
     weights: np.ndarray
     thresholds: np.ndarray

@@ -67,25 +67,27 @@ def grammar(reach: int = 3, negated: float = 0.2, reported: float = 0.4, targete
     """Reported speech, negation and target transducers composed.
 
     After a report word the rest of the clause is reported. A negation reaches the next ``reach`` tokens. An insult
-    or threat within ``reach`` tokens after a target weighs more; a target within ``reach`` tokens after an insult
-    or threat adds to it (a factor of its own on the target token, whose emission is that of the last match).
-    A threat without any target near counts a little less than an insult, with one it counts most."""
+    or threat within ``reach`` tokens of a target weighs more, on either side: a target that follows adds the difference
+    (as a factor on the target token, whose emission is that of the match). A threat without any target near counts
+    less than an insult, with one it counts most."""
     report = Transducer({(0, "R"): (1, "R", 1.0), (1, "I"): (1, "i", reported), (1, "T"): (1, "t", reported)})
     negate = Transducer({(s, "N"): (reach, "N", 1.0) for s in range(reach + 1)}, 0, {s: max(0, s - 1) for s in range(reach + 1)})
     for s in range(1, reach + 1):
         for x, y in zip("ITit", "jkjk", strict=True):
             negate.arcs[s, x] = (s - 1, y, negated)
-    # states: (tokens since a target, tokens since a match), each 0 when out of reach
-    target = Transducer({}, (0, 0))
+    # states: tokens that a target still reaches, tokens that a match without a target still waits for one, and its kind
+    alone = 0.5
+    after = {"I": targeted - 1, "T": targeted / alone - 1}
+    target = Transducer({}, (0, 0, ""))
     for a in range(reach + 1):
-        for b in range(reach + 1):
-            less = (max(0, a - 1), max(0, b - 1))
-            target.rest[a, b] = less
-            target.arcs[(a, b), "Y"] = (reach, less[1]), "+" if b else "Y", targeted - 1 if b else 1.0
-            for x in "Ii" "j":
-                target.arcs[(a, b), x] = (less[0], reach), x, targeted if a else 1.0
-            for x in "Tt" "k":
-                target.arcs[(a, b), x] = (less[0], reach), x, threatened * (targeted if a else 0.5)
+        for b, kind in [(0, ""), *[(b, k) for b in range(1, reach + 1) for k in "IT"]]:
+            state, less = (a, b, kind), (max(0, b - 1), kind if b > 1 else "")
+            target.rest[state] = (max(0, a - 1), *less)
+            target.arcs[state, "Y"] = (reach, 0, ""), "+" if b else "Y", after[kind] if b else 1.0
+            for x in "Iij":
+                target.arcs[state, x] = (max(0, a - 1), 0, "") if a else (0, reach, "I"), x, targeted if a else 1.0
+            for x in "Ttk":
+                target.arcs[state, x] = (max(0, a - 1), 0, "") if a else (0, reach, "T"), x, threatened * (targeted if a else alone)
     return compose(compose(report, negate, SYMBOLS), target, SYMBOLS)
 
 
