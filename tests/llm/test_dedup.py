@@ -61,6 +61,9 @@ def test_near_duplicates_edge_cases(spark, none):
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in near_dedup.near_duplicates(spark, df).collect())
     assert got == [(0, 3, 0, True), (1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 0, 3, True)]
     assert sorted(r["doc_id"] or 0 for r in near_dedup.drop_near_duplicates(spark, df).collect()) == [0, 1, 3]
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    both = spark.createDataFrame([(3, a), (5, a + " more"), (5, b), (7, b), (8, c), (9, c + " too")], "doc_id int, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(spark, both).collect()) == [(3, 3), (5, 3), (5, 3), (7, 3), (8, 8), (9, 8)]
 
 
 def brute_substrings(rows, k):
