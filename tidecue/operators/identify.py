@@ -29,10 +29,9 @@ def identify(heard: DataFrame, transcripts: DataFrame, heard_key: str = "heard_i
     score = shared.groupBy(heard_key, key).agg(F.count(F.lit(1)).alias("shared")).join(n, heard_key).withColumn("score", F.col("shared") / F.col("n"))
     w = W.partitionBy(heard_key).orderBy(F.desc("score"), key)
     top = score.withColumns({"rank": F.row_number().over(w), "next": F.lead("score").over(w)}).where("rank = 1")
-    first = transcripts.agg(F.min(key).alias("first"))  # one row
-    best = n.join(top.select(heard_key, key, "score", "next"), heard_key, "left").join(F.broadcast(first))
-    zero = F.lit(0.0)
-    out = best.select(heard_key, F.coalesce(key, "first").alias("best_id"), F.coalesce("score", zero).alias("score"), F.coalesce("next", zero).alias("runner_up"))
+    best = n.join(top.select(heard_key, key, "score", "next"), heard_key, "left")
+    zero, first = F.lit(0.0), transcripts.agg(F.min(key)).scalar()
+    out = best.select(heard_key, F.coalesce(key, first).alias("best_id"), F.coalesce("score", zero).alias("score"), F.coalesce("next", zero).alias("runner_up"))
     ratio = F.col("score") / F.when(F.col("runner_up") == 0, 0.001).otherwise(F.col("runner_up"))
     return out.withColumns({"accepted": F.col("score") >= ACCEPT, "clear": ratio >= CLEAR})
 

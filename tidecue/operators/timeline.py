@@ -19,13 +19,15 @@ def interval_arrays(intervals: DataFrame, name: str, key: str = "episode_id") ->
     return intervals.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("s").cast("double").alias("s"), F.col("e").cast("double").alias("e")))).alias(name))
 
 
-def overlap_end(lines: DataFrame, regions: DataFrame, key: str = "episode_id", slack: float = 0.4) -> DataFrame:
+def overlap_end(lines: DataFrame, regions: DataFrame, key: str = "episode_id", slack: float = 0.4, cell: float = 60.0) -> DataFrame:
     """Adds ``reach``: ``end`` of each (key, line_idx, onset, end, next_onset) moved to where the speech that meets it ends,
-    not past the next onset and never inward. A range join within the key; its condition has the line's own end only, so
-    a plain maximum does."""
-    meets = (lines[key] == regions[key]) & (regions["e"] > lines["onset"]) & (regions["s"] < lines["end"] + slack)
-    far = lines.join(regions, meets).groupBy(lines[key], lines["line_idx"]).agg(F.max(regions["e"]).alias("__far"))
-    x = lines.join(far, [key, "line_idx"], "left")
+    not past the next onset and never inward. The condition has the line's own end only, so a plain maximum does. The
+    range join is an equi join on time cells that both sides are laid over; meeting twice doesn't change a maximum."""
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell))).alias("__cell")
+    a = lines.select(key, "line_idx", "onset", "end", cells(F.col("onset"), F.col("end") + slack))
+    b = regions.where("e >= s").select(key, "s", "e", cells(F.col("s"), F.col("e")))
+    far = a.join(b, [key, "__cell"]).where((F.col("e") > F.col("onset")) & (F.col("s") < F.col("end") + slack))
+    x = lines.join(far.groupBy(key, "line_idx").agg(F.max("e").alias("__far")), [key, "line_idx"], "left")
     reach = F.greatest(F.least(F.greatest(F.coalesce("__far", "end"), "end"), "next_onset"), "end")
     return x.withColumn("reach", reach).drop("__far")
 
