@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +18,30 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of the steps before: it waits for the driver to collect its garbage.
+    The first collection frees the steps' plans, and only the second one their shuffles."""
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut and the rows
     survive lost executors."""
     path = f"{shared_dir(spark)}/tidecue/{name}-{uuid.uuid4().hex}"
+    release(spark)
     df.write.option("compression", "zstd").parquet(path)
-    # the shuffles of this write are garbage now; a collection lets Spark's cleaner delete their files
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def forget(spark: SparkSession, table: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from ._store import materialize
+from ._store import forget, materialize, release
 from ._tok import binary, chunks, column, ids, mix, runs
 
 WINDOW = 13
@@ -215,18 +215,22 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WIND
     settled before that by digest.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    about = materialize(spark, docs.mapInArrow(_survey(window, seed), "doc_id long, n_words long, digest binary, sha string, mins binary"), "survey")
+    survey = materialize(spark, docs.mapInArrow(_survey(window, seed), "doc_id long, n_words long, digest binary, sha string, mins binary"), "survey")
+    about = materialize(spark, survey.drop("mins"), "about")
     here = about.where("doc_id is not null")
-    first = here.where(F.col("n_words") >= window).groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    long = here.where(F.col("n_words") >= window)
+    # a table of its own: a join whose sides are plain exchanges can split the rows of a hot text
+    first = materialize(spark, long.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "first")
     several = here.groupBy("doc_id").agg(F.sort_array(F.collect_set("digest")).alias("texts")).where("size(texts) > 1")
 
     by_seed = W.partitionBy("seed")
-    seeds = here.where("length(mins) > 0").select("doc_id", "mins").mapInArrow(_seeds, "seed long, doc_id long")
+    seeds = survey.where("doc_id is not null and length(mins) > 0").select("doc_id", "mins").mapInArrow(_seeds, "seed long, doc_id long")
     seeds = seeds.withColumns({"low": F.min("doc_id").over(by_seed), "high": F.max("doc_id").over(by_seed)}).where("low < high")
     # a text that is a copy of a smaller document's is gone as a whole: its windows name no source and need none
-    firsts = here.join(first, "digest").where("doc_id = first_id").select("doc_id").distinct()
+    firsts = long.join(first, "digest").where("doc_id = first_id").select("doc_id").distinct()
     seeds = seeds.join(firsts, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
     seeds = materialize(spark, seeds.join(several, "doc_id", "left"), "seeds")
+    forget(spark, survey)
 
     texts = docs.where("doc_id is not null")
     edges = texts.join(seeds, "doc_id").mapInArrow(_edges(window, seed), "key long, doc_id long, pos long")
@@ -239,13 +243,16 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WIND
     spans = edges.groupBy("doc_id", "src_doc", shift, "path").agg(F.min("pos").alias("pos"), F.min("src_pos").alias("src_pos"), (F.max("pos") - F.min("pos") + window).alias("n"))
     spans = materialize(spark, spans.select("doc_id", "pos", "src_doc", "src_pos", "n"), "spans")
 
+    release(spark)
     asked = spans.groupBy("src_doc", "src_pos", "n").agg(F.lit(1).alias("one")).groupBy(F.col("src_doc").alias("doc_id")).agg(F.collect_list(F.struct("src_pos", "n")).alias("asked"))
     quotes = texts.join(asked.join(several, "doc_id", "left"), "doc_id").mapInArrow(_quote, "src_doc long, src_pos long, n long, quote binary").distinct()
     cuts = spans.join(quotes, ["src_doc", "src_pos", "n"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "quote")).alias("spans"))
     schema = "doc_id long, digest binary, gone long, cut_sha string" + ", kept_text string" * text
     cut = texts.join(cuts.join(several, "doc_id", "left"), "doc_id").mapInArrow(_cut(text, window), schema).dropDuplicates(["doc_id", "digest"])
 
-    out = about.drop("mins").join(first, "digest", "left").join(cut, ["doc_id", "digest"], "left")
+    short = about.where(F.col("n_words") < window).withColumn("first_id", F.lit(None).cast("long"))
+    known = about.where(F.col("n_words") >= window).join(first, "digest", "left").unionByName(short)
+    out = known.join(cut, ["doc_id", "digest"], "left")
     copy = F.col("doc_id") > F.col("first_id")
     kept = {"kept_text": F.when(copy, F.lit("")).otherwise(F.col("kept_text"))} if text else {}
     out = out.select(
@@ -265,7 +272,8 @@ def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated passages cut from ``text``; every row and column stays, a text may become empty."""
-    kept = repeated_substrings(spark, docs, window, text=True).where("kept_text is not null").select(F.col("doc_id").alias("__of"), F.col("digest").alias("__is"), "kept_text").distinct()
+    kept = repeated_substrings(spark, docs, window, text=True).where("kept_text is not null").select(F.col("doc_id").alias("__of"), F.col("digest").alias("__is"), F.col("kept_text").alias("__kept")).distinct()
+    kept = materialize(spark, kept, "kept")
     tagged = docs.mapInArrow(_tagged, StructType([*docs.schema.fields, StructField("__tag", BinaryType())]))
     both = tagged.join(kept, (tagged["doc_id"] == kept["__of"]) & (tagged["__tag"] == kept["__is"]), "left")
-    return both.withColumn("text", F.coalesce("kept_text", "text")).select(docs.columns)
+    return both.withColumn("text", F.coalesce("__kept", "text")).select(docs.columns)
