@@ -26,11 +26,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, name: str = "t", free: bool = True) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut and the rows
     survive lost executors."""
     path = f"{shared_dir(spark)}/tidecue/{name}-{uuid.uuid4().hex}"
-    release(spark)
+    if free:
+        release(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import materialize, release
 from ._tok import binary, chunks, ids, runs
 from .components import connected_components
 
@@ -62,13 +62,14 @@ def _describe(k: int, lower: bool, n_values: int) -> Callable:
     return run
 
 
-def _only_sets(k: int, lower: bool) -> Callable:
+def _only_sets(k: int, lower: bool, n_values: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _perms(n_values)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                out = [s.tobytes() for _, s in _sets(part, k, lower)]
-                yield pa.RecordBatch.from_arrays([ids(part), ids(part, "sig"), binary(out)], ["doc_id", "sig", "shingles"])
+                sets = [s for _, s in _sets(part, k, lower)]
+                yield pa.RecordBatch.from_arrays([ids(part), binary([_minhash(s, a, b).tobytes() for s in sets]), binary([s.tobytes() for s in sets])], ["doc_id", "sig", "shingles"])
 
     return run
 
@@ -198,12 +199,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     longest-common-prefix neighbours are confirmed first and then whatever the signatures still allow and is not
     connected yet, so that a region of thousands gives a spanning forest and never its pairs, and loses no link.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     about = materialize(spark, docs.mapInArrow(_describe(k, lower, trees * depth), "doc_id long, n_shingles long, digest binary, sig binary"), "sigs")
     live = about.where("digest is not null and doc_id is not null")
-    classes = live.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    # the signature is a function of the set, so any row's is the class's
-    first = materialize(spark, live.join(classes, "digest").where("doc_id = first_id").groupBy("doc_id").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "first")
+    # a table of its own: a join whose sides are plain exchanges can split the rows of a hot class
+    classes = materialize(spark, live.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "classes")
+    first = materialize(spark, live.join(classes, "digest").where("doc_id = first_id").select("doc_id", "sig", "n_shingles").distinct(), "first")
+    several = live.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 <> d1").select("doc_id")
+    own = live.join(several, "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
 
     region = first.mapInArrow(_regions(trees, depth), "region long, doc_id long, n_shingles long")
     sized = region.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("mass")).where("size > 1")
@@ -218,8 +221,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     large = region.where(F.col("size") > REGION).withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("mass") / BLOCK_SHINGLES)).cast("int"))
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(large.select("doc_id")).distinct()
-    wanted = wanted.join(first, "doc_id")
-    sets = materialize(spark, docs.join(wanted, "doc_id").mapInArrow(_only_sets(k, lower), "doc_id long, sig binary, shingles binary").dropDuplicates(["doc_id"]), "sets")
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_only_sets(k, lower, trees * depth), "doc_id long, sig binary, shingles binary")
+    sets = materialize(spark, sets.where("length(shingles) > 0").dropDuplicates(["doc_id", "sig"]), "sets")
 
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
     links = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm(percent), "a long, b long")
@@ -234,14 +237,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     )
     blocked = met.join(sets, "doc_id").groupBy("region", "x", "y").applyInArrow(_blocks(percent, trees, depth), "a long, b long")
 
-    comp = connected_components(spark, links.union(blocked))
+    comp = connected_components(spark, links.union(blocked).union(own))
     of_class = classes.join(comp, F.col("first_id") == F.col("node"), "left").select("digest", F.coalesce("component", "first_id").alias("component_id"))
+    release(spark)
     return _on_rows(about, of_class)
 
 
 def _on_rows(about: DataFrame, of_class: DataFrame) -> DataFrame:
     """The classes' components back on every row."""
-    joined = about.join(of_class, "digest", "left")
+    none = about.where("digest is null").withColumn("component_id", F.lit(None).cast("long"))  # not all in one task
+    joined = about.where("digest is not null").join(of_class, "digest", "left").unionByName(none)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
