@@ -206,3 +206,34 @@ def test_extra_columns_pass_through(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h", "x", "y", 3)], SCHEMA).withColumn("component_id", F.lit(7))
     assert near_dedup.drop_near_duplicates(spark, df).columns == df.columns
     assert line_dedup.drop_repeated_lines(spark, df).columns == df.columns
+
+
+def test_all_lines_within_the_edit_bound_are_linked(spark, monkeypatch):
+    """Brute-force edit similarity alone decides: no sketch, no hash distance."""
+    rng = random.Random(6)
+    word = lambda: f"{rng.choice('abcdefg')}{rng.randrange(3000)}"
+    rows = []
+    for n in [9, 10, 11, 14, 19, 20, 21, 29, 30, 33, 45, 60, 100, 230] * 6:
+        line = [word() for _ in range(n)]
+        rows.append(line)
+        for most in (1, n // 10, n // 10, n // 10 + 1):
+            new = list(line)
+            for _ in range(most):
+                at = rng.randrange(len(new))
+                new[at : at + rng.randrange(2)] = [word() for _ in range(rng.randrange(2))]
+            rows.append(new)
+    rows += [["a"] * 40, ["a"] * 44, ["a"] * 50, ["a", "b"] * 20, ["a", "b"] * 21]
+    code = {w: i for i, w in enumerate({w for r in rows for w in r})}
+    code = [np.array([code[w] for w in r], np.uint64) for r in rows]
+    low = list(range(len(rows)))
+    links = [(a, b) for b in range(len(rows)) for a in range(b) if line_dedup.within(code[a], code[b], max(len(rows[a]), len(rows[b])) // 10)]
+    for _ in rows:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    want = {i for i, x in enumerate(low) if x != i}
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string").repartition(3)
+    assert len(want) > 150
+    for bucket, block in ((16, 1024), (1, 2)):
+        monkeypatch.setattr(line_dedup, "BUCKET", bucket)
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        assert {r["doc_id"] for r in line_dedup.repeated_lines(spark, df).collect()} == want
