@@ -280,6 +280,17 @@ def test_batches_hold_every_row_once_within_budget(spark, monkeypatch):
     assert packing.pack(spark, df.limit(0), packing.word_count("text")).count() == 0
 
 
+def test_long_texts_are_packed_with_the_least_padding(spark):
+    """Lengths over 1,024, many of them within a hundredth of each other."""
+    rng = random.Random(5)
+    x = [rng.choice([700, 1100, 1500, 2300]) + rng.randrange(14) for _ in range(40)]
+    x = [v for v in x for _ in range(rng.choice([1, 1, 6]))]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "doc_id long, n long")
+    for k in (2, 4):
+        got = packing.pack(spark, df, F.col("n"), buckets=k).toPandas()
+        assert got.padding.sum() == brute_buckets(x, k) - sum(x)
+
+
 # -- pieces
 
 

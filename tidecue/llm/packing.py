@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,9 +10,6 @@ from pyspark.sql import functions as F
 from ._store import materialize
 
 BUCKETS, BUDGET = 8, 65536
-#: Lengths up to FINE have a histogram bin each; above, bins are a hundredth wide, so that even lengths of 10**9 make
-#: about 2,400 bins.
-FINE, RATIO = 1024, 1.01
 SHARD = 65536
 
 
@@ -26,20 +21,33 @@ def word_count(text: Column | str) -> Column:
 def optimal_boundaries(edges: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
     """At most k of ``edges`` (ascending lengths) as bucket boundaries, the last one among them, so that the sum over
     rows of the smallest boundary that holds them is least. Dynamic programming: the best of j buckets that end at
-    an edge extends the best of j - 1 that end before it. Ties go to fewer and to smaller boundaries."""
+    an edge extends the best of j - 1 that end before it. Ties go to fewer and to smaller boundaries.
+
+    The first best place to extend never moves back as the edge grows (moving both ends past each other costs more),
+    so each level halves the edges and searches between the places of its neighbours: O(k n log n) for n lengths."""
     n = len(edges)
     if not n:
         return []
-    total = np.concatenate([[0], np.cumsum(counts, dtype=np.float64)])
+    # whole numbers: sums of padded lengths stay exact
+    edges = np.asarray(edges).astype(np.int64)
+    total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
     best = edges * total[1:]
     back = [np.zeros(n, int)]
     finals = [best[-1]]
-    for _ in range(1, min(k, n)):
-        now, came = np.full(n, np.inf), np.zeros(n, int)
-        for j in range(1, n):
-            options = best[:j] + edges[j] * (total[j + 1] - total[1 : j + 1])
-            came[j] = int(np.argmin(options))
-            now[j] = options[came[j]]
+    for level in range(1, min(k, n)):
+        now, came = np.full(n, np.iinfo(np.int64).max), np.zeros(n, int)
+        # edge j as the end of bucket ``level`` has as many edges before it at least
+        todo = [(level, n - 1, level - 1, n - 2)]
+        while todo:
+            lo, hi, first, last = todo.pop()
+            if lo > hi:
+                continue
+            j = (lo + hi) // 2
+            end = min(j - 1, last)
+            options = best[first : end + 1] + edges[j] * (total[j + 1] - total[first + 1 : end + 2])
+            came[j] = first + int(np.argmin(options))
+            now[j] = options[came[j] - first]
+            todo += [(lo, j - 1, first, came[j]), (j + 1, hi, came[j], last)]
         best = now
         back.append(came)
         finals.append(best[-1])
@@ -58,14 +66,13 @@ def pack(spark: SparkSession, rows: DataFrame, length: Column, buckets: int = BU
     batch: their bucket, batch, slot and padding are null. Rows may share a key or have a null one; equal rows are
     interchangeable. An empty table gives an empty result.
 
-    Only the histogram reaches the driver. Rows are numbered through hash shards of about SHARD rows whose offsets
+    Only the histogram, a row for each distinct length, reaches the driver. Rows are numbered through hash shards of about SHARD rows whose offsets
     add up the shard sizes, so a bucket with any share of the rows is never in one task.
     """
     sized = materialize(spark, rows.select(F.col(key).alias("doc_id"), length.cast("long").alias("n_tokens")), "lengths")
     live = sized.where("n_tokens > 0")
-    fine = F.when(F.col("n_tokens") <= FINE, F.col("n_tokens")).otherwise(FINE + F.ceil(F.log(F.col("n_tokens") / FINE) / math.log(RATIO)))
-    bins = live.groupBy(fine.cast("int").alias("bin")).agg(F.max("n_tokens").alias("edge"), F.count(F.lit(1)).alias("n")).orderBy("edge").collect()
-    bounds = optimal_boundaries(np.array([r["edge"] for r in bins], dtype=np.float64), np.array([r["n"] for r in bins]), buckets)
+    bins = live.groupBy(F.col("n_tokens").alias("edge")).agg(F.count(F.lit(1)).alias("n")).orderBy("edge").collect()
+    bounds = optimal_boundaries(np.array([r["edge"] for r in bins], dtype=np.int64), np.array([r["n"] for r in bins], dtype=np.int64), buckets)
     empty = [F.lit(None).cast("int").alias("bucket"), *[F.lit(None).cast("long").alias(c) for c in ("bucket_tokens", "batch", "slot", "padding")]]
     if not bounds:
         return sized.select("doc_id", "n_tokens", *empty)
