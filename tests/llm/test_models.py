@@ -241,6 +241,23 @@ def test_toxic_documents_are_found_and_clean_ones_left(spark):
     assert toxicity.fit(spark, docs, table.limit(0)).stems == {}
 
 
+def test_the_prefilter_equals_scoring_every_clause():
+    import pyarrow as pa
+
+    m = toxicity.ToxicityModel({"idio": 4.0, "über": 3.0}, {"scum": 3.0, "ox": 2.5, "q": 2.0, "éà": 2.0, "rat": 2.0})
+    words = ["idiot", "IDIOTS", "scum", "ox", "OX", "oxen", "q", "rat", "ratio", "kill", "\u212aill", "éÀ", "ÜBERall", "dÉtruire", "nice", "été", "you", "日本", "l'idiot"]
+    marks = [" ", "¡", "«", "»", "“", "”", "’", "—", "\xa0", "3", "_", "'", ". ", "! ", "\n", ";", "é", "  "]
+    rng = random.Random(4)
+    texts = ["¡idiota!", "«idiot»", "“idiot”", "—idiot", "\xa0scum", "an ox", "q", "", None, "ox", "en"]
+    texts += ["".join(rng.choice(marks) + rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(1500)]
+    got = toxicity.clause_features(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]), m)
+    for t, row in zip(texts, got, strict=True):
+        scores = [s for c in toxicity.CLAUSE.split(t or "") if (s := m.clause(c))]
+        want = [1, math.log1p(sum(scores)), math.log1p(max(scores)), math.log1p(1000 * len(scores) / len(t.encode()))] if scores else [1, 0, 0, 0]
+        assert row == pytest.approx(want), t
+    assert (got[:8, 1] > 0).sum() == 7
+
+
 # -- packing
 
 

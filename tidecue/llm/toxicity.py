@@ -101,15 +101,18 @@ class ToxicityModel:
     def __post_init__(self) -> None:
         self.fixed = {w: "N" for w in NEGATIONS} | {w: "R" for w in REPORTS} | {w: "Y" for w in TARGETS}
         self.threats = {w: 2.0 for w in THREATS}
-        # words that can start a match, by their first four bytes in either case
-        self.heads = np.zeros(1 << 16, bool)
+        # words that can start a match, by their first four bytes in lower case; those beyond ASCII are not looked up
+        self.heads, self.short = np.zeros(1 << 16, bool), np.zeros((2, 1 << 16), bool)
         for w in [*self.stems, *self.words, *self.threats]:
-            for v in {w, w.upper(), w.capitalize()}:
-                raw = bytes(x | 0x20 if x < 128 else x for x in v.encode()[:4])
-                # a word of three bytes can be followed by anything
-                four = np.array([[*raw, *[x] * (4 - len(raw))] for x in (range(256) if len(raw) == 3 else [0])], np.uint8).T
-                if len(raw) >= 3:
-                    self.heads[_slot(four)] = True
+            raw = bytes(x | 0x20 for x in w.encode()[:4])
+            if not w or max(raw) >= 128:
+                continue
+            if len(raw) < 3:  # whole words of one and two bytes
+                self.short[len(raw) - 1, raw[0] << 8 | (raw[1] if len(raw) > 1 else 0)] = True
+                continue
+            # a word of three bytes can be followed by anything
+            four = np.array([[*raw, *[x] * (4 - len(raw))] for x in (range(256) if len(raw) == 3 else [0])], np.uint8).T
+            self.heads[_slot(four)] = True
 
     def emission(self, word: str) -> tuple[str, float]:
         """The symbol of a lower-case word, and its weight."""
@@ -144,6 +147,15 @@ def _slot(four: np.ndarray) -> np.ndarray:
     return (((x[0] << np.uint32(24)) | (x[1] << np.uint32(16)) | (x[2] << np.uint32(8)) | x[3]) * np.uint32(2654435761)) >> np.uint32(16)
 
 
+def _can_match(model: ToxicityModel, folded: np.ndarray, goes_on: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which places can start a match: all that have a character beyond ASCII in four bytes (its class and its lower case
+    are left to ``clause``), else those in the model's tables."""
+    four = np.stack([folded[starts + j] for j in range(4)])
+    found = model.heads[_slot(four)] | (four >= 128).any(axis=0)
+    x, y = four[0].astype(np.int64) << 8, four[1].astype(np.int64)
+    return found | (model.short[0][x] & ~goes_on[starts + 1]) | (model.short[1][x | y] & ~goes_on[starts + 2])
+
+
 def clause_features(batch: pa.RecordBatch, model: ToxicityModel) -> np.ndarray:
     """For each row: 1, log of the sum of clause scores, log of the best clause, log of matched clauses per 1,000 bytes."""
     data, offsets = column(batch, "text")
@@ -155,13 +167,17 @@ def clause_features(batch: pa.RecordBatch, model: ToxicityModel) -> np.ndarray:
         offs = offsets[lo : hi + 1] - offsets[lo]
         b = np.concatenate([data[offsets[lo] : offsets[hi]], np.full(4, 32, np.uint8)])
         low = b | np.uint8(0x20)
-        letter = ((low >= 97) & (low <= 122)) | (b >= 128)
+        letter = (low >= 97) & (low <= 122)
         folded = np.where(b < 128, low, b)
+        goes_on = letter.copy()
+        goes_on[offs[:-1]] = False
+        # a word can start at each character beyond ASCII, and at a letter after anything but an ASCII letter
         first = letter.copy()
         first[1:] &= ~letter[:-1]
         first[offs[:-1]] = letter[offs[:-1]]
+        first |= b >= 0xC0
         starts = np.flatnonzero(first[:-3])
-        hits = starts[model.heads[_slot(np.stack([folded[starts + j] for j in range(4)]))]] if len(starts) else starts
+        hits = starts[_can_match(model, folded, goes_on, starts)] if len(starts) else starts
         owner = np.searchsorted(offs, hits, side="right") - 1
         for row in np.unique(owner):
             text = b[offs[row] : offs[row + 1]].tobytes()
