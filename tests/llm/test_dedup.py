@@ -237,3 +237,13 @@ def test_all_lines_within_the_edit_bound_are_linked(spark, monkeypatch):
         monkeypatch.setattr(line_dedup, "BUCKET", bucket)
         monkeypatch.setattr(line_dedup, "BLOCK", block)
         assert {r["doc_id"] for r in line_dedup.repeated_lines(spark, df).collect()} == want
+
+
+def test_the_query_drops_short_repeats(spark, tmp_path):
+    from tidecue.llm import queries
+
+    rows = [(1, "All rights reserved.\nhello", "en", "s", 26), (2, "hello there\n\nall rights reserved\n!!", "en", "s", 36), (3, "Hello", "en", "s", 5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_repeated_lines(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_lines"], r["n_removed"]) for r in got) == [(1, 2, 0), (2, 4, 1), (3, 1, 1)]

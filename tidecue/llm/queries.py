@@ -59,7 +59,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_repeated_lines(spark, _table(spark, sf_dir, "documents"))
+    return count_repeated_lines(spark, _table(spark, sf_dir, "documents"), min_words=1)
 
 
 def op9_pieces(spark: SparkSession, sf_dir: str, model: str = f"{TOKENIZERS}/piece_bpe_32k.model") -> DataFrame:
