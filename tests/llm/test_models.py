@@ -59,6 +59,64 @@ def test_code_estimates_stay_within_bounds():
     assert (np.abs(guess - q @ v.T) <= bound).mean() > 0.995
 
 
+def brute_nearest(rows, q, k=20):
+    """Exact products in Python's fractions of the vectors, rounded once."""
+    from fractions import Fraction
+
+    scores = [(float(sum(Fraction(a) * Fraction(b) for a, b in zip(v, rows[q], strict=True))), i) for i, v in rows.items() if i != q and len(v) == len(rows[q])]
+    return [i for _, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:k]]
+
+
+@pytest.mark.parametrize("size", [1.0, 1e39, 1e140, 1e-140, 1e-155])
+def test_no_finite_vector_is_lost(spark, size):
+    """Very large and very small vectors, and vectors of other lengths, are candidates like all others."""
+    rng = np.random.default_rng(1)
+    rows = {i: [float(x) for x in v] for i, v in enumerate(rng.standard_normal((60, 8)) * size)}
+    rows |= {60: [0.0] * 7 + [size * 1e-30], 61: [size * 1e3] + [0.0] * 7, 100: [size, size], 101: [size, -size], 120: [size]}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(spark, df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: want for q in rows if q % 20 == 0 and (want := brute_nearest(rows, q))} and got[100] == [101]
+
+
+@pytest.mark.parametrize("size", [2.0**700, 2.0**-700, 2.0**-1070, 2.0**1023])
+def test_blocks_keep_vectors_whose_products_leave_doubles_range(size):
+    v = np.sign(np.random.default_rng(2).standard_normal((100, 16))) * size
+    block = ann.Block.of(np.arange(100), v)
+    (best, *_), seen = ann.search_block(block, np.array([0]), v[:1], 20)
+    score = np.array([sum(np.sign(v[i]) * np.sign(v[0])) for i in range(100)])
+    assert len(best[0]) == 20 and seen >= 20 and not np.isnan(best[1]).any()
+    if size > 1:  # all products are infinite, so ties go to the smaller key
+        assert best[0].tolist() == [i for i in range(1, 100) if score[i] > 0][:20]
+
+
+def test_a_query_of_mixed_sizes_finds_all(spark):
+    df = spark.createDataFrame([(0, [1e39, 1.0]), (20, [2e39, 1.0]), (3, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["vec_id"]) for r in ann.nearest(spark, df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(0, 20), (0, 3)]
+
+
+def test_packed_estimates_equal_the_codes_product():
+    rng = np.random.default_rng(5)
+    v, q = rng.standard_normal((300, 40)), rng.standard_normal(40) / 8
+    block = ann.Block.of(np.arange(300), v)
+    x, exponents = ann.scaled(v)
+    codes, norms, fit = ann.encode(x, ann.rotation(40, 192))
+    plain = ((np.unpackbits(codes, axis=1) * 2.0 - 1) @ (ann.rotation(40, 192) @ q)) * norms / (fit * math.sqrt(192)) * 2.0**exponents
+    low, high = block.estimates(q, 0)
+    assert np.abs((low + high) / 2 - plain).max() < 0.05 * (high - low).min()
+    assert ((low <= v @ q) & (v @ q <= high)).mean() > 0.99
+
+
+def test_repeated_keys_and_ties_take_one_place_each(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS", 16)
+    rows = [(0, [1.0, 0.0])] + [(7, [5.0, 1.0 + i]) for i in range(60)] + [(i, [1.0, float(i % 3)]) for i in range(30, 70)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = [(r["vec_id"], r["score"]) for r in ann.nearest(spark, df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(7, 5.0)] + [(i, 1.0) for i in range(30, 49)]
+
+
 # -- audio
 
 

@@ -3,46 +3,77 @@
 from __future__ import annotations
 
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; one of our own only where none is set (tests, notebooks)."""
+    """The cluster's checkpoint folder. Where none is set, a local master gets a temporary one (tests, notebooks); on a
+    cluster that is an error, since executors and driver would not see each other's files."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors and the driver share")
         named = "file://" + tempfile.mkdtemp(prefix="tidecue-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of the steps before: it waits for the driver to collect its garbage.
-    The first collection frees the steps' plans, and only the second one their shuffles."""
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)
-    spark.sparkContext._jvm.System.gc()
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidecue/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def _ending_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends: the table that it writes replaces them."""
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN, before)
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str = "t", free: bool = True) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut and the rows
-    survive lost executors."""
-    path = f"{shared_dir(spark)}/tidecue/{name}-{uuid.uuid4().hex}"
-    if free:
-        release(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    survive lost executors. The table stays until ``forget`` or ``clean``."""
+    path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+    with _ending_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._tidecue_path = path
+    return table
 
 
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def forget(spark: SparkSession, table: DataFrame) -> None:
-    """Delete a table of ``materialize`` that nothing reads any more."""
-    files = table.inputFiles()
-    if files:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for t in tables:
+        _delete(spark, t._tidecue_path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all tables of this application. Results that were not read yet can't be read any more, so it is called
+    when they have been written."""
+    _delete(spark, _home(spark))
+
+
+def free_name(table: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it a name that no column of ``table`` has."""
+    taken = {c.lower() for c in table.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

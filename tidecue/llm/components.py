@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import materialize
+from ._store import forget, materialize
 
 
 def _stars(e: DataFrame) -> bool:
@@ -28,9 +28,10 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str = "a", b:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(spark, large, "large", free=False)
+        large = materialize(spark, large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = materialize(spark, small.where("u <> v").distinct(), "small", free=False)
+        before, e = e, materialize(spark, small.where("u <> v").distinct(), "small")
+        forget(spark, before, large)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

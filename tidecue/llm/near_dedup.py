@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import materialize, release
+from ._store import forget, materialize
 from ._tok import binary, chunks, ids, runs
 from .components import connected_components
 
@@ -239,7 +239,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
 
     comp = connected_components(spark, links.union(blocked).union(own))
     of_class = classes.join(comp, F.col("first_id") == F.col("node"), "left").select("digest", F.coalesce("component", "first_id").alias("component_id"))
-    release(spark)
     return _on_rows(about, of_class)
 
 

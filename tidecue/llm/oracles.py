@@ -50,3 +50,12 @@ SELECT doc_id, coalesce((SELECT string_agg(DISTINCT license, ',' ORDER BY licens
   (SELECT count(DISTINCT (l, win)) FROM found f WHERE f.doc_id = d.doc_id) AS n_windows
 FROM {docs} d
 """
+
+
+def nearest(k: int, step: int, table: str = "embeddings") -> str:
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id::BIGINT AS vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM {table} WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+ok AS MATERIALIZED (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, max(list_inner_product(q.e, d.e)) AS score FROM ok q JOIN ok d ON d.vec_id <> q.vec_id AND len(d.e) = len(q.e) WHERE q.vec_id % {step} = 0 GROUP BY ALL)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s) WHERE rank <= {k}
+"""

@@ -86,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeated_substrings": op10_repeated_substrings,
 }
 ORACLES: dict[str, str] = {
+    "op2_nearest": oracles.nearest(20, 20),
     "op3_licenses": oracles.licenses(licenses.TEMPLATES, licenses.WORD, licenses.SHINGLE, licenses.PERCENT),
     "op6_near_duplicates": oracles.near_duplicates(4, 80),
     "op10_repeated_substrings": oracles.repeated_substrings(13),

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from ._store import forget, materialize, release
+from ._store import forget, free_name, materialize
 from ._tok import binary, chunks, column, ids, mix, runs
 
 WINDOW = 13
@@ -223,27 +223,29 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WIND
     first = materialize(spark, long.groupBy("digest").agg(F.min("doc_id").alias("first_id")), "first")
     several = here.groupBy("doc_id").agg(F.sort_array(F.collect_set("digest")).alias("texts")).where("size(texts) > 1")
 
-    by_seed = W.partitionBy("seed")
     seeds = survey.where("doc_id is not null and length(mins) > 0").select("doc_id", "mins").mapInArrow(_seeds, "seed long, doc_id long")
-    seeds = seeds.withColumns({"low": F.min("doc_id").over(by_seed), "high": F.max("doc_id").over(by_seed)}).where("low < high")
+    # minima are aggregated on the map side and joined back, so a seed in a third of all documents is split like any row
+    shared = materialize(spark, seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed"), "shared")
     # a text that is a copy of a smaller document's is gone as a whole: its windows name no source and need none
     firsts = long.join(first, "digest").where("doc_id = first_id").select("doc_id").distinct()
-    seeds = seeds.join(firsts, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
+    seeds = seeds.join(shared, "seed", "left_semi").join(firsts, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
     seeds = materialize(spark, seeds.join(several, "doc_id", "left"), "seeds")
-    forget(spark, survey)
+    forget(spark, survey, shared)
 
     texts = docs.where("doc_id is not null")
-    edges = texts.join(seeds, "doc_id").mapInArrow(_edges(window, seed), "key long, doc_id long, pos long")
-    edges = edges.withColumn("source", F.min(F.struct("doc_id", "pos")).over(W.partitionBy("key"))).where("doc_id > source.doc_id")
-    edges = edges.select("doc_id", "pos", F.col("source.doc_id").alias("src_doc"), F.col("source.pos").alias("src_pos"))
+    edges = materialize(spark, texts.join(seeds, "doc_id").mapInArrow(_edges(window, seed), "key long, doc_id long, pos long"), "edges")
+    forget(spark, seeds)
+    sources = edges.groupBy("key").agg(F.min("doc_id").alias("src_doc"), F.min_by("pos", "doc_id").alias("src_pos"), F.max("doc_id").alias("last")).where("src_doc < last").drop("last")
+    sources = materialize(spark, sources, "sources")
+    found, edges = edges, edges.join(sources, "key").where("doc_id > src_doc").select("doc_id", "pos", "src_doc", "src_pos")
     # an unbranched path: both coordinates advance together
     path = W.partitionBy("doc_id", "src_doc", F.col("src_pos") - F.col("pos")).orderBy("pos")
     edges = edges.repartition("doc_id").withColumn("path", F.col("pos") - F.dense_rank().over(path))
     shift = (F.col("src_pos") - F.col("pos")).alias("shift")
     spans = edges.groupBy("doc_id", "src_doc", shift, "path").agg(F.min("pos").alias("pos"), F.min("src_pos").alias("src_pos"), (F.max("pos") - F.min("pos") + window).alias("n"))
     spans = materialize(spark, spans.select("doc_id", "pos", "src_doc", "src_pos", "n"), "spans")
+    forget(spark, found, sources)
 
-    release(spark)
     asked = spans.groupBy("src_doc", "src_pos", "n").agg(F.lit(1).alias("one")).groupBy(F.col("src_doc").alias("doc_id")).agg(F.collect_list(F.struct("src_pos", "n")).alias("asked"))
     quotes = texts.join(asked.join(several, "doc_id", "left"), "doc_id").mapInArrow(_quote, "src_doc long, src_pos long, n long, quote binary").distinct()
     cuts = spans.join(quotes, ["src_doc", "src_pos", "n"]).groupBy("doc_id").agg(F.collect_list(F.struct("pos", "n", "quote")).alias("spans"))
@@ -264,16 +266,22 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WIND
     return out
 
 
-def _tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        tags = [_digest(h[c.first[i] : c.first[i + 1]]) for c in chunks(batch) for h in [c.hashes()] for i in range(c.hi - c.lo)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, binary(tags)], [*batch.schema.names, "__tag"])
+def _tagged(tag: str) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tags = [_digest(h[c.first[i] : c.first[i + 1]]) for c in chunks(batch) for h in [c.hashes()] for i in range(c.hi - c.lo)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, binary(tags)], [*batch.schema.names, tag])
+
+    return run
 
 
 def drop_repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the repeated passages cut from ``text``; every row and column stays, a text may become empty."""
-    kept = repeated_substrings(spark, docs, window, text=True).where("kept_text is not null").select(F.col("doc_id").alias("__of"), F.col("digest").alias("__is"), F.col("kept_text").alias("__kept")).distinct()
+    """``docs`` with the repeated passages cut from ``text``; every row and column stays, whatever the columns are called, and a
+    text may become empty. Rows are treated as ``repeated_substrings`` says; where nothing was removed, the text stays as
+    it is (also null)."""
+    tag, of, mark, kept_text = (free_name(docs, x) for x in ("_tag", "_of", "_mark", "_kept"))
+    kept = repeated_substrings(spark, docs, window, text=True).where("kept_text is not null").select(F.col("doc_id").alias(of), F.col("digest").alias(mark), F.col("kept_text").alias(kept_text)).distinct()
     kept = materialize(spark, kept, "kept")
-    tagged = docs.mapInArrow(_tagged, StructType([*docs.schema.fields, StructField("__tag", BinaryType())]))
-    both = tagged.join(kept, (tagged["doc_id"] == kept["__of"]) & (tagged["__tag"] == kept["__is"]), "left")
-    return both.withColumn("text", F.coalesce("__kept", "text")).select(docs.columns)
+    tagged = docs.mapInArrow(_tagged(tag), StructType([*docs.schema.fields, StructField(tag, BinaryType())]))
+    both = tagged.join(kept, (F.col("doc_id") == F.col(of)) & (F.col(tag) == F.col(mark)), "left")
+    return both.withColumn("text", F.coalesce(kept_text, "text")).select(docs.columns)
