@@ -22,10 +22,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 TOKENIZERS = "/opt/tokenizers"
 
 
+#: The part of a melody that op1_audio asks for, and its noise (a tone's standard deviation is 0.7).
+EXCERPT, NOISE = slice(10, 54), 0.3
+
+
 def op1_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector played as a melody; the rows asked for search all recordings."""
+    """Every vector played as a melody; noisy excerpts of the rows asked for are looked up among all recordings."""
     rows = _table(spark, sf_dir, "embeddings")
-    return audio.scan(spark, rows, F.col("rec_id") % 20 == 0, key="vec_id", columns=("embedding",), decode=audio.melody("embedding"))
+    excerpt = audio.melody("embedding", notes=EXCERPT, noise=NOISE)
+    return audio.scan(spark, rows, F.col("rec_id") % 20 == 0, key="vec_id", columns=("embedding",), decode=audio.melody("embedding"), excerpt=excerpt)
 
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
