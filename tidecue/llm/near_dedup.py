@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import forget, materialize
-from ._tok import binary, chunks, ids, runs
+from ._store import forget, free_name, materialize
+from ._tok import binary, chunks, ids, mix, runs
 from .components import connected_components
+from .groups import Forest, cells, neighbours
 
 TREES, DEPTH = 21, 3
-#: A region (equal first DEPTH values in one order) up to this size gives its pairs at once; a larger one is cut
-#: into blocks that are compared block against block, sized by what a task holds: documents and shingles of a block.
-REGION, BLOCK, BLOCK_SHINGLES = 12, 1024, 1 << 18
+#: A region (equal first DEPTH values in one order) up to this size gives its pairs at once. In a larger one documents
+#: are sorted by the next DEEPER values and meet those that follow. What is then not connected is compared in blocks,
+#: sized by what a task holds: documents and shingles of a block.
+REGION, DEEPER, BLOCK, BLOCK_SHINGLES = 12, 8, 1024, 1 << 18
 _SEED = 20240229
 
 
@@ -75,11 +77,9 @@ def _only_sets(k: int, lower: bool, n_values: int) -> Callable:
 
 
 def _regions(trees: int, depth: int) -> Callable:
-    """A row for each document and order: the order, and the hash of the first ``depth`` values in it."""
+    """A row for each document and order: the hash of the first ``depth`` values in the order, and the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ._tok import mix
-
         for batch in batches:
             sigs = np.frombuffer(b"".join(ids(batch, "sig").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, -1).astype(np.uint64)
             keys = np.zeros((batch.num_rows, trees), np.uint64)
@@ -89,7 +89,8 @@ def _regions(trees: int, depth: int) -> Callable:
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sigs[:, t * depth + j])
                 keys[:, t] = key
             doc, n = (np.repeat(np.asarray(ids(batch, x)), trees) for x in ("doc_id", "n_shingles"))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(doc), pa.array(n)], ["region", "doc_id", "n_shingles"])
+            tree = np.tile(np.arange(trees, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(tree), pa.array(doc), pa.array(n)], ["region", "tree", "doc_id", "n_shingles"])
 
     return run
 
@@ -108,75 +109,48 @@ def _confirm(percent: int) -> Callable:
     return run
 
 
-class _Forest:
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
-def _links_of_block(sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int, trees: int, depth: int) -> list[tuple[int, int]]:
-    """A spanning forest of the confirmed links between rows marked ``left`` and the others (or among all, if all
-    are). Neighbours in sorted signature order, which share the longest prefixes, come first; then the other
-    pairs whose signatures allow the threshold, leaving out those that are connected by then."""
-    n, forest, found = len(sets), _Forest(len(sets)), []
+def _links_of_block(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray, known: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that connect what ``known`` (a component number for each row) leaves apart: between the rows of side
+    0 and those of side 1, or among all if all are of side 2. Pairs whose signatures agree in less than the threshold by
+    six standard errors are left out."""
+    n, forest, found = len(sets), Forest(len(sets)), []
+    _, start, which = np.unique(known, return_index=True, return_inverse=True)
+    for i in range(n):
+        forest.join(i, int(start[which[i]]))
     sizes = np.array([len(s) for s in sets])
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(n), sizes)
     common = counts[inverse] > 1
     number = np.cumsum(counts > 1) - 1
     bits = np.zeros((n, (int((counts > 1).sum()) + 63) // 64 + 1), np.uint64)
     np.bitwise_or.at(bits, (owner[common], number[inverse[common]] >> 6), np.uint64(1) << (number[inverse[common]] & 63).astype(np.uint64))
-
-    def confirmed(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        both = np.bitwise_count(bits[i] & bits[j]).sum(axis=1, dtype=np.int64)
-        return 100 * both >= percent * (sizes[i] + sizes[j] - both)
-
-    def link(i: np.ndarray, j: np.ndarray) -> None:
-        for x, y in zip(i[ok := confirmed(i, j)], j[ok], strict=True):
-            if forest.join(int(x), int(y)):
-                found.append((int(x), int(y)))
-
-    across = not left.all()
-    for t in range(trees):
-        order = np.lexsort([sigs[:, (t * depth + d) % sigs.shape[1]] for d in reversed(range(2 * depth))])
-        i, j = order[:-1], order[1:]
-        ok = left[i] != left[j] if across else np.ones(n - 1, bool)
-        link(i[ok], j[ok])
     likely = max(0.0, percent / 100 - 6 * np.sqrt(percent / 100 * (1 - percent / 100) / sigs.shape[1]))
-    rows, cols = (np.flatnonzero(left), np.flatnonzero(~left)) if across else (np.arange(n), np.arange(n))
+    among = bool((side == 2).all())
+    rows, cols = (np.arange(n), np.arange(n)) if among else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     for i in rows:
-        to = cols if across else cols[cols > i]
+        to = cols[cols > i] if among else cols
+        to = to[known[to] != known[i]]
+        small, large = np.minimum(sizes[to], sizes[i]), np.maximum(sizes[to], sizes[i])
+        to = to[100 * small >= percent * large]
         near = to[(sigs[to] == sigs[i]).mean(axis=1) >= likely]
-        small, large = np.minimum(sizes[near], sizes[i]), np.maximum(sizes[near], sizes[i])
-        near = near[100 * small >= percent * large]
-        roots = np.array([forest.root(int(x)) for x in near], dtype=np.int64)
-        near = near[roots != forest.root(int(i))] if len(near) else near
+        mine = forest.root(int(i))
+        near = near[np.array([forest.root(int(x)) for x in near], dtype=np.int64) != mine]
         if len(near):
-            link(np.full(len(near), i), near)
+            both = np.bitwise_count(bits[near] & bits[i]).sum(axis=1, dtype=np.int64)
+            for x in near[100 * both >= percent * (sizes[near] + sizes[i] - both)]:
+                if forest.join(int(i), int(x)):
+                    found.append((int(i), int(x)))
     return found
 
 
-def _blocks(percent: int, trees: int, depth: int) -> Callable:
+def _blocks(percent: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        doc = np.asarray(table.column("doc_id"))
-        side = np.asarray(table.column("side"))
-        sigs = np.stack([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in table.column("sig")])
-        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("shingles")]
-        if len(sets) < 2 or (side == 1).all():
-            found = []
-        else:
-            left = np.ones(len(sets), bool) if (side == 2).all() else side == 0
-            found = _links_of_block(sigs, sets, left, percent, trees, depth) if left.any() else []
+        doc, side, known = (np.asarray(table.column(x)) for x in ("doc_id", "side", "known"))
+        found: list[tuple[int, int]] = []
+        if (side == 2).all() or ((side == 0).any() and (side == 1).any()):
+            sigs = np.stack([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in table.column("sig")])
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("shingles")]
+            found = _links_of_block(sigs, sets, side, known, percent)
         return pa.table({"a": pa.array([int(doc[x]) for x, _ in found], pa.int64()), "b": pa.array([int(doc[y]) for _, y in found], pa.int64())})
 
     return run
@@ -189,15 +163,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     Documents whose distinct k-word shingle sets have ``100 * intersection >= percent * union`` are linked;
     component_id is the smallest doc_id reachable and kept says doc_id = component_id. The shingle of a text
     with fewer than k words is its whole word sequence; null, empty and blank texts have n_shingles 0 and are
-    linked with nothing. A null doc_id gives a null component_id and is kept. Rows that share a doc_id count as
-    one node. An empty table gives an empty result.
+    linked with nothing. Texts count whole, however long. A null doc_id gives a null component_id and is kept. Rows
+    that share a doc_id count as one node, and repeated rows stay. At the threshold itself documents are linked. An empty table
+    gives an empty result.
 
     Method: equal sets collapse to their smallest doc_id. An LSH forest holds ``trees`` orders of the MinHash
     values; documents that agree on the first ``depth`` values of an order form a region, which two documents
     at the threshold share in at least one order with probability 1 - (1 - 0.8**3)**21 > 1 - 3e-7. Small
-    regions give their pairs as candidates. Larger ones go deeper: they are cut into blocks, in which
-    longest-common-prefix neighbours are confirmed first and then whatever the signatures still allow and is not
-    connected yet, so that a region of thousands gives a spanning forest and never its pairs, and loses no link.
+    regions give their pairs as candidates. Larger ones go deeper: they are sorted by the next values, through range
+    partitions that no region can overfill, and the longest-common-prefix neighbours are the candidates. Regions that the
+    confirmed candidates leave in several components are closed: what is outside the largest component is
+    compared with all in blocks, as far as signatures allow the threshold (but for six standard errors).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     about = materialize(spark, docs.mapInArrow(_describe(k, lower, trees * depth), "doc_id long, n_shingles long, digest binary, sig binary"), "sigs")
@@ -208,36 +184,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     several = live.groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 <> d1").select("doc_id")
     own = live.join(several, "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
 
-    region = first.mapInArrow(_regions(trees, depth), "region long, doc_id long, n_shingles long")
-    sized = region.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("mass")).where("size > 1")
-    region = materialize(spark, region.join(sized, "region"), "regions")
-    small = region.where(F.col("size") <= REGION).groupBy("region").agg(F.sort_array(F.collect_set("doc_id")).alias("m"))
-    pairs = (
-        small.select(F.posexplode("m").alias("i", "a"), "m")
-        .select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
-        .distinct()
-    )
-    pairs = materialize(spark, pairs, "pairs")
-    large = region.where(F.col("size") > REGION).withColumn("blocks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("mass") / BLOCK_SHINGLES)).cast("int"))
+    region = first.mapInArrow(_regions(trees, depth), "region long, tree int, doc_id long, n_shingles long")
+    sized = region.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    regions = materialize(spark, region.join(sized, "region"), "regions")
+    small = regions.where(F.col("size") <= REGION).groupBy("region").agg(F.sort_array(F.collect_set("doc_id")).alias("m"))
+    pairs = small.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
+    # the same values in each order, from those after the region's on and around; any order of the bytes will do
+    large = regions.where(F.col("size") > REGION)
+    deeper = F.expr(f"substring(concat(sig, sig), {4 * depth} * (tree + 1) + 1, {4 * DEEPER})")
+    deep = materialize(spark, large.join(first.select("doc_id", "sig"), "doc_id").select(F.col("region").alias("group"), deeper.alias("rest"), F.col("doc_id").alias("id")), "deep")
+    pairs = materialize(spark, pairs.union(neighbours(deep)).where("a < b").distinct(), "pairs")
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(large.select("doc_id")).distinct()
     sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_only_sets(k, lower, trees * depth), "doc_id long, sig binary, shingles binary")
     sets = materialize(spark, sets.where("length(shingles) > 0").dropDuplicates(["doc_id", "sig"]), "sets")
 
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm(percent), "a long, b long")
-
-    # every pair of blocks of a large region is one group; a block meets itself once (side 2)
-    block = large.withColumn("me", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = block.select("region", "doc_id", "me", other)
-    met = met.select(
-        "region", "doc_id", F.least("me", "other").alias("x"), F.greatest("me", "other").alias("y"),
-        F.when(F.col("me") == F.col("other"), 2).when(F.col("me") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    blocked = met.join(sets, "doc_id").groupBy("region", "x", "y").applyInArrow(_blocks(percent, trees, depth), "a long, b long")
-
-    comp = connected_components(spark, links.union(blocked).union(own))
+    links = materialize(spark, pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm(percent), "a long, b long").union(own), "linked")
+    forget(spark, first, deep, pairs)
+    comp = materialize(spark, connected_components(spark, links), "components")
+    members = large.select(F.col("region").alias("group"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("mass"))
+    apart = materialize(spark, cells(members, comp, BLOCK, BLOCK_SHINGLES).withColumnRenamed("id", "doc_id"), "apart")
+    closing = materialize(spark, apart.join(sets, "doc_id").groupBy("group", "x", "y").applyInArrow(_blocks(percent), "a long, b long"), "closing")
+    forget(spark, regions, sets, links, apart)
+    if not closing.isEmpty():
+        comp = connected_components(spark, closing.union(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     of_class = classes.join(comp, F.col("first_id") == F.col("node"), "left").select("digest", F.coalesce("component", "first_id").alias("component_id"))
     return _on_rows(about, of_class)
 
@@ -252,6 +223,7 @@ def _on_rows(about: DataFrame, of_class: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates (the smallest doc_id); all its columns stay. Of rows
-    that repeat a kept doc_id, all stay: they are rows of one document."""
-    gone = near_duplicates(spark, docs, k, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    that repeat a kept doc_id, all stay: they are rows of one document. Rows are treated as ``near_duplicates`` says."""
+    of = free_name(docs, "_of")
+    gone = near_duplicates(spark, docs, k, percent).where("not kept").select(F.col("doc_id").alias(of)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(of), "left_anti").select(docs.columns)
