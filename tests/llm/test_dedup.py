@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -124,35 +127,40 @@ def test_lines_edit_distance(spark):
                 assert line_dedup._band(x, y, most) == (distance(a, b) <= most)
 
 
-def brute_lines(rows):
-    """The same definition by comparing all lines; the SimHash is the operator's own."""
-    import re
-
-    import pyarrow as pa
-
+def brute_lines(rows, least=5):
+    """The same definition by comparing all lines with a plain edit distance."""
     found = []
     for i, t in rows:
-        batch = pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t], pa.string())], ["doc_id", "text"])
-        sims = {r["line"]: r["sim"] for b in line_dedup._survey(5)(iter([batch])) for r in b.to_pylist()}
         for n, line in enumerate((t or "").split("\n")):
             w = re.findall("[a-z0-9\x80-\U0010ffff]+", line.translate(LOWER))
-            if len(w) >= 5:
-                found.append((i, n, tuple(w), sims[n]))
-    low = list(range(len(found)))
+            if len(w) >= least:
+                found.append((i, n, tuple(w)))
+    found.sort(key=lambda x: x[:2])
+    first = {}
+    for x, f in enumerate(found):
+        first.setdefault(f[2], x)
+    low = {w: x for w, x in first.items()}
+    near = [(a, b) for a in first for b in first if a < b and distance(a, b, max(len(a), len(b)) // 10)]
     changed = True
-    number = {w: k for k, w in enumerate({x for f in found for x in f[2]})}
-    code = [np.array([number[x] for x in f[2]], np.uint64) for f in found]
-    near = [[b for b in range(len(found)) if ((found[a][3] ^ found[b][3]) & (2**64 - 1)).bit_count() <= 3 and line_dedup._alike(code[a], code[b])] for a in range(len(found))]
-    order = sorted(range(len(found)), key=lambda x: found[x][:2])
-    rank = {x: r for r, x in enumerate(order)}
-    low = [rank[x] for x in range(len(found))]
     while changed:
         changed = False
-        for a in range(len(found)):
-            m = min(low[b] for b in near[a])
-            if m < low[a]:
-                low[a], changed = m, True
-    return {(f[0], f[1]) for x, f in enumerate(found) if low[x] != rank[x]}
+        for a, b in near:
+            m = min(low[a], low[b])
+            changed |= low[a] != m or low[b] != m
+            low[a] = low[b] = m
+    return {(f[0], f[1]) for x, f in enumerate(found) if low[f[2]] != x}
+
+
+def distance(a, b, most):
+    """Whether the edit distance is at most ``most``, by the full table."""
+    if abs(len(a) - len(b)) > most or (most == 0 and a != b) or sum((Counter(a) - Counter(b)).values()) > most:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1] <= most
 
 
 @pytest.mark.parametrize(("bucket", "block"), [(16, 1024), (1, 2)])
@@ -174,21 +182,6 @@ def test_lines_in_texts(spark, none):
     assert counts == [(0, 1, 0), (1, 3, 1), (2, 0, 0), (2, 4, 1), (3, 0, 0)]
 
 
-def test_more_lines_make_more_tables_and_the_same_links(spark):
-    assert [len(line_dedup._places(n)) for n in (10, 10**7, 10**9)] == [10, 20, 35]
-    rng = np.random.default_rng(0)
-    a = rng.integers(0, 2**63, 200, dtype=np.int64)
-    b = a.copy()
-    for i in range(200):
-        for bit in rng.choice(63, 3, replace=False):
-            b[i] ^= 1 << int(bit)
-    df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b, strict=True)], "a long, b long")
-    for n in (10, 10**7, 10**9):
-        of = lambda c: F.array(*[p for p in line_dedup._places(n)])  # noqa: B023, E731
-        pair = df.select(F.col("a").alias("sim"), "b").select(of("a").alias("x"), F.col("b").alias("sim")).select("x", of("b").alias("y"))
-        assert pair.where(~F.arrays_overlap("x", "y")).count() == 0
-
-
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3)]
@@ -247,3 +240,65 @@ def test_the_query_drops_short_repeats(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op8_repeated_lines(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["n_lines"], r["n_removed"]) for r in got) == [(1, 2, 0), (2, 4, 1), (3, 1, 1)]
+
+
+def test_a_hot_bucket_links_across_ranges_and_blocks(spark, monkeypatch):
+    """Lines that share a run of words: chains of edits, and others that are alike to none."""
+    monkeypatch.setattr(line_dedup, "BUCKET", 2)
+    monkeypatch.setattr(line_dedup, "BLOCK", 8)
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(9)]
+    line = common + [f"w{i}" for i in range(31)]
+    rows = []
+    for i in range(60):
+        line = list(line)
+        for _ in range(3):
+            line[rng.randrange(9, 40)] = f"x{rng.randrange(900)}"
+        rows.append((i, " ".join(line)))
+    rows += [(100 + i, " ".join(common + [f"y{rng.randrange(900)}" for _ in range(rng.randint(12, 40))])) for i in range(40)]
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["line"]) for r in line_dedup.repeated_lines(spark, df).collect()}
+    assert got == brute_lines(rows) and len(got) > 40
+
+
+def test_columns_of_any_name_pass_through(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    names = ["_gone", "__gone", "_of", "_tag", "_mark", "_kept", "__tag", "__kept", "__of", "digest", "spans", "node"]
+    df = spark.createDataFrame([(1, text), (2, text + "\nmore words that stay here alone")], "doc_id long, text string")
+    df = df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    for drop in (line_dedup.drop_repeated_lines, near_dedup.drop_near_duplicates, substring_dedup.drop_repeated_substrings):
+        out = drop(spark, df)
+        assert out.columns == df.columns and {tuple(r)[2:] for r in out.collect()} == {tuple(range(len(names)))}
+    left = {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(spark, df).collect()}
+    assert left == {1: text, 2: "more words that stay here alone"}
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.drop_repeated_substrings(spark, df).collect()}
+    assert left == {1: text, 2: "more words that stay here alone"}
+
+
+def test_intermediate_tables_go(spark, docs):
+    """What is left after an operator is what its result still reads; ``clean`` deletes that too."""
+    from tidecue.llm import _store
+
+    def tables():
+        home = _store._home(spark).removeprefix("file://")
+        return set(os.listdir(home)) if os.path.isdir(home) else set()
+
+    _store.clean(spark)
+    for run in (near_dedup.near_duplicates, line_dedup.repeated_lines, substring_dedup.repeated_substrings):
+        run(spark, docs).count()
+        assert not {x.split("-")[0] for x in tables()} & {"survey", "edges", "sources", "seeds", "shared", "marks", "buckets", "words", "sets", "regions", "pairs", "deep", "apart", "large", "linked"}
+        _store.clean(spark)
+        assert not tables()
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from tidecue.llm import _store
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    for master in ("spark://host:7077", "yarn", "k8s://x", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            _store.shared_dir(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master=master), conf=conf))

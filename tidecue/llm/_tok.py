@@ -31,17 +31,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least; the longest tables are kept."""
+    """base**i and base**-i modulo 2**64 for i < n at least; tables of up to two chunks are kept."""
     size = 1 << max(10, (n - 1).bit_length())
     key = int(base)
-    if key not in _tables or len(_tables[key][0]) < size:
-        tables = []
-        for b in (base, np.uint64(pow(int(base), -1, 1 << 64))):
-            t = np.full(size, b, dtype=np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
+    if key in _tables and len(_tables[key][0]) >= size:
+        return _tables[key]
+    tables = []
+    for b in (base, np.uint64(pow(int(base), -1, 1 << 64))):
+        t = np.full(size, b, dtype=np.uint64)
+        t[0] = 1
+        tables.append(np.multiply.accumulate(t))
+    if size <= 2 * CHUNK:
         _tables[key] = (tables[0], tables[1])
-    return _tables[key]
+    return tables[0], tables[1]
 
 
 @dataclass
@@ -58,11 +60,19 @@ class Chunk:
 
     def hashes(self, second: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; ``second`` gives an independent one."""
-        base = _BASE2 if second else _BASE
-        up, down = _powers(base, len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        base, out, lo = _BASE2 if second else _BASE, np.zeros(len(self.starts), np.uint64), 0
+        # blocks of whole words of about CHUNK bytes: what a long text takes is its words' numbers
+        while lo < len(out):
+            at = int(self.starts[lo])
+            hi = max(lo + 1, int(np.searchsorted(self.ends, at + CHUNK, side="right")))
+            b = self.data[at : int(self.ends[hi - 1])]
+            up, down = _powers(base, len(b) + 1)
+            sums = np.zeros(len(b) + 1, dtype=np.uint64)
+            np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
+            starts, ends = self.starts[lo:hi] - at, self.ends[lo:hi] - at
+            out[lo:hi] = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+            lo = hi
+        return out
 
 
 def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:

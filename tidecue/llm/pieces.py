@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import struct
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +20,9 @@ from pyspark.sql import functions as F
 from ._tok import _BASE, column, ids, mix
 
 SPACE = "▁"
-#: Encoded words that a worker keeps; cells of a batch's tables; length from which merges run on a heap; texts of a step.
-CACHE, CELLS, LONG, ROWS = 300_000, 400_000, 48, 1024
+#: Encoded words that a worker keeps; cells of a batch's tables; length beyond which a word is encoded by itself; texts
+#: of a step and their bytes; units of a text that are encoded at a time.
+CACHE, CELLS, LONG, ROWS, BYTES, UNITS = 300_000, 400_000, 256, 1024, 4 << 20, 200_000
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 # Fixed values of the model format: piece types, the penalty of an unknown character.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -89,6 +93,11 @@ class PieceModel:
         self.start = np.full(1 << 20, -1, np.int32)
         self.start[lead[::-1]] = np.arange(len(lead), dtype=np.int32)[::-1]
         self.run = int(np.bincount(lead).max()) if len(lead) else 0
+        # for words that are encoded by themselves; pieces of equal score share a rank, as the leftmost goes first
+        self.index = {self.pieces[i]: int(i) for i in use[::-1]}
+        self.gain = {p: float(self.scores[i]) for p, i in self.index.items()}
+        levels = {x: r for r, x in enumerate(sorted(set(self.gain.values()), reverse=True))}
+        self.rank = {p: levels[x] for p, x in self.gain.items()}
         self.unknown = int(np.flatnonzero(self.kinds == UNKNOWN)[0]) if (self.kinds == UNKNOWN).any() else -1
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.low = float(self.scores[use].min()) - UNKNOWN_PENALTY if len(use) else 0.0
@@ -144,8 +153,6 @@ class PieceModel:
         """Ends after merging, in each word the adjacent pair whose joint piece scores best (leftmost of equals), until
         none is left. In the form of ``viterbi``."""
         w, n, _ = spans.shape
-        if n > LONG:
-            return np.stack([self._merge_long(x) for x in spans])
         end = np.tile(np.arange(1, n + 2), (w, 1))  # of the segment from each place; place n ends the word
         end[:, n] = n
         alive = np.ones((w, n), bool)
@@ -168,36 +175,73 @@ class PieceModel:
         back[rows, ends] = ends - starts
         return back
 
-    def _merge_long(self, spans: np.ndarray) -> np.ndarray:
-        n, most = spans.shape
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        heap: list[tuple[float, int, int, int]] = []
-
-        def push(i: int) -> None:
-            if i >= 0 and end[i] < n:
-                size = end[end[i]] - i
-                if size <= most and spans[i, size - 1] >= 0:
-                    heapq.heappush(heap, (-self.scores[spans[i, size - 1]], i, end[i], i + size))
-
-        end.append(n)
-        gone = bytearray(n)
-        for i in range(n - 1):
-            push(i)
-        while heap:
-            _, i, mid, to = heapq.heappop(heap)
-            if gone[i] or end[i] != mid or gone[mid] or end[mid] != to:
+    def viterbi_long(self, word: str) -> np.ndarray:
+        """``viterbi`` of one long word, from each place over the pieces that start there: the tables are the best sums and
+        the backpointers only, ten bytes a character."""
+        n, most, known = len(word), self.longest, self.gain
+        best, back = array("d", [-math.inf]) * (n + 1), array("H", [0]) * (n + 1)
+        best[0] = 0.0
+        for i in range(n):
+            here = best[i]
+            for size in range(1, min(most, n - i) + 1):
+                gain = known.get(word[i : i + size])
+                if gain is None:
+                    if size > 1:
+                        continue
+                    gain = self.low
+                # earlier starts come first, so the longest of equals stays
+                if here + gain > best[i + size]:
+                    best[i + size], back[i + size] = here + gain, size
+        return np.array(back, np.int32)
+
+    def merges_long(self, word: str) -> np.ndarray:
+        """``merges`` of one long word. The queue holds a number for each pair: the rank of its score, then its place."""
+        n, rank = len(word), self.rank
+        end, before, gone = array("i", range(1, n + 2)), array("i", range(-1, n)), bytearray(n + 1)
+        end[n] = n
+
+        def number(i: int) -> int:
+            """Of the pair that starts at i, or -1."""
+            mid = end[i]
+            r = rank.get(word[i : end[mid]]) if mid < n and end[mid] - i <= self.longest else None
+            return -1 if r is None else r << 40 | i
+
+        queue = [x for i in range(n - 1) if (x := number(i)) >= 0]
+        heapq.heapify(queue)
+        while queue:
+            x = heapq.heappop(queue)
+            i = x & ((1 << 40) - 1)
+            if gone[i] or number(i) != x:
                 continue
-            gone[mid], end[i], after[i] = 1, to, to
-            if to < n:
-                before[to] = i
-            push(before[i])
-            push(i)
+            mid = end[i]
+            gone[mid], end[i] = 1, end[mid]
+            if end[i] < n:
+                before[end[i]] = i
+            for j in (before[i], i):
+                if j >= 0 and (y := number(j)) >= 0:
+                    heapq.heappush(queue, y)
         back = np.zeros(n + 1, np.int32)
         for i in range(n):
             if not gone[i]:
                 back[end[i]] = end[i] - i
         return back
 
+    def _ids_long(self, word: str, back: np.ndarray) -> bytes:
+        sizes, at = array("i"), len(word)
+        while at:
+            sizes.append(back[at])
+            at -= back[at]
+        out = array("i")
+        for size in reversed(sizes):
+            piece = self.index.get(word[at : at + size], -1)
+            out.extend([piece] if piece >= 0 else self.spelled(ord(word[at])))
+            at += size
+        return out.tobytes()
+
+    def encode_long(self, word: str, ways: tuple[str, ...]) -> tuple[bytes, ...]:
+        """int32 ids of one long word, for each of the ways."""
+        return tuple(self._ids_long(word, getattr(self, f"{way}_long")(word)) for way in ways)
+
     def encode_words(self, words: list[str], ways: tuple[str, ...]) -> list[tuple[bytes, ...]]:
         """int32 ids of each word, for each of the ways ("merges", "viterbi")."""
         out: list[tuple[bytes, ...]] = [()] * len(words)
@@ -206,6 +250,10 @@ class PieceModel:
         lo = 0
         while lo < len(order):
             n = size[order[lo]]
+            if n > LONG:
+                out[order[lo]] = self.encode_long(words[order[lo]], ways)
+                lo += 1
+                continue
             hi = min(int(np.searchsorted(size[order], n, side="right")), lo + max(1, CELLS // (int(n) * min(int(n), self.longest))))
             codes = _codes([words[i] for i in order[lo:hi]])
             spans = self.spans(codes)
@@ -242,10 +290,14 @@ class PieceModel:
 
     def decode_all(self, tokens: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The texts of several runs of ids (run i is offsets[i] to offsets[i + 1])."""
-        size = self.out_size[tokens]
-        ends = np.cumsum(size)
-        place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.out_start[tokens] - (ends - size), size)
-        raw, at = self.out_bytes[place].tobytes(), np.concatenate([[0], ends])[offsets].tolist()
+        at = np.concatenate([[0], np.cumsum(self.out_size[tokens])])[offsets].tolist()
+        parts = []
+        for lo in range(0, len(tokens), UNITS):
+            part = tokens[lo : lo + UNITS]
+            size = self.out_size[part]
+            ends = np.cumsum(size)
+            parts.append(self.out_bytes[np.arange(ends[-1]) + np.repeat(self.out_start[part] - (ends - size), size)].tobytes())
+        raw = b"".join(parts)
         return [raw[a + (self.prefix and raw[a : a + 1] == b" ") : b] if b > a else b"" for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
@@ -271,28 +323,52 @@ class Encoder:
         self.old: dict[str, tuple[bytes, ...]] = {}
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, ...]]:
-        split = [self._units(t) for t in texts]
-        wanted = set().union(*split) - self.young.keys()
+        short = [t if len(t) <= UNITS else "" for t in texts]
+        split = [next(self._units(t), []) for t in short]
+        self._learn(set().union(*split))
+        for text, units in zip(texts, split, strict=True):
+            if len(text) <= UNITS:
+                yield self._joined(units)
+            else:
+                parts = []
+                for units in self._units(text):
+                    self._learn(set(units))
+                    parts.append(self._joined(units))
+                yield tuple(map(b"".join, zip(*parts, strict=True)))
+
+    def _learn(self, units: set[str]) -> None:
+        """Encode what is in neither generation."""
+        self.long = {u: self.model.encode_long(self._word(u), self.ways) for u in units if len(u) > LONG}
+        units = units - self.long.keys()
+        wanted = units - self.young.keys()
         if len(self.young) + len(wanted) > CACHE:
             self.old, self.young = self.young, {}
-            wanted = set().union(*split)
+            wanted = units
         moved = wanted & self.old.keys()
         new = list(wanted - moved)
         self.young.update((u, self.old[u]) for u in moved)
-        mark = SPACE if self.model.prefix else None
-        self.young.update(zip(new, self.model.encode_words([u[1:] if u[0] == "\0" else mark + u for u in new], self.ways), strict=True))
-        for units in split:
-            got = zip(*map(self.young.__getitem__, units), strict=True) if units else [()] * len(self.ways)
-            yield tuple(map(b"".join, got))
+        self.young.update(zip(new, self.model.encode_words([self._word(u) for u in new], self.ways), strict=True))
+
+    def _word(self, unit: str) -> str:
+        return unit[1:] if unit[0] == "\0" else (SPACE if self.model.prefix else "") + unit
+
+    def _joined(self, units: list[str]) -> tuple[bytes, ...]:
+        if not units:
+            return (b"",) * len(self.ways)
+        got = [self.young[u] if len(u) <= LONG else self.long[u] for u in units]
+        return tuple(map(b"".join, zip(*got, strict=True)))
 
-    def _units(self, text: str) -> list[str]:
+    def _units(self, text: str) -> Iterator[list[str]]:
         """Words between single spaces as they are; any other text as marked runs (no piece has a space mark after
-        another character, so neither way of encoding crosses them)."""
-        if not text:
-            return []
-        if self.model.prefix and text[0] != " " and "  " not in text and SPACE not in text and "\0" not in text and text[-1] != " ":
-            return text.split(" ")
-        return ["\0" + u for u in _UNIT.findall((" " * self.model.prefix + text).replace(" ", SPACE))]
+        another character, so neither way of encoding crosses them). UNITS at most at a time."""
+        if self.model.prefix and text and text[0] != " " and "  " not in text and SPACE not in text and "\0" not in text and text[-1] != " ":
+            while text:
+                *units, text = text.split(" ", UNITS) if text.count(" ", 0, len(text)) >= UNITS else [*text.split(" "), ""]
+                yield units
+        elif text:
+            found = _UNIT.finditer((" " * self.model.prefix + text).replace(" ", SPACE))
+            while units := ["\0" + m.group() for m in islice(found, UNITS)]:
+                yield units
 
 
 def _run(model: PieceModel, ways: tuple[str, ...], full: bool) -> Callable:
@@ -300,8 +376,10 @@ def _run(model: PieceModel, ways: tuple[str, ...], full: bool) -> Callable:
         encoder = Encoder(model, ways)
         for batch in batches:
             data, offsets = column(batch, "text")
-            for lo in range(0, batch.num_rows, ROWS):
-                part = batch.slice(lo, ROWS)
+            hi = 0
+            while hi < batch.num_rows:
+                lo, hi = hi, min(hi + ROWS, batch.num_rows, max(hi + 1, int(np.searchsorted(offsets, offsets[hi] + BYTES, side="right")) - 1))
+                part = batch.slice(lo, hi - lo)
                 raw = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(lo, lo + part.num_rows)]
                 got = list(encoder.encode([t.decode() for t in raw]))
                 arrays, names = [ids(part)], ["doc_id"]
@@ -327,8 +405,11 @@ def encode_documents(docs: DataFrame, model: PieceModel, way: str | None = None)
 
 
 def digest_documents(docs: DataFrame, model: PieceModel, ways: tuple[str, ...] = ("viterbi", "merges")) -> DataFrame:
-    """One row per row of ``docs``: doc_id and, for each way, the number of tokens, the SHA-256 of the ids (int32, little
-    endian) and whether decoding them gives the text back."""
+    """One row per row of ``docs`` (doc_id, text; other columns are not read): doc_id and, for each way, the number of
+    tokens, the SHA-256 of the ids (int32, little endian) and whether decoding them gives the text back. Null and empty
+    texts have no tokens and give back an empty text. Very long texts and words are encoded whole. Ties between segmentations
+    go as ``viterbi`` and ``merges`` say, repeated rows give equal rows, a null doc_id stays null, and an empty table
+    gives an empty result."""
     kinds = ", ".join(f"{w}_tokens long, {w}_sha256 string, {w}_round_trip boolean" for w in ways)
     return _of(docs).mapInArrow(_run(model, ways, False), f"doc_id long, {kinds}")
 

@@ -17,28 +17,41 @@ BUCKETS, SAMPLE = 2048, 6000
 #: Dense features beside them: shares of upper case, digits, punctuation and word bytes, log length, share of
 #: distinct trigram buckets, share of words equal to one of the two words before, mean word length.
 SHAPES = 8
+#: Bytes of a text that are counted at a time.
+SLICE = 1 << 20
+
+
+def _trigrams(b: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each bucket of byte trigrams occurs in each row of a chunk."""
+    n = len(offsets) - 1
+    counts = np.zeros(n * BUCKETS, np.int64)
+    for lo in range(0, len(b) - 2, SLICE):
+        x = b[lo : lo + SLICE + 2].astype(np.uint32)
+        code = ((x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]) * np.uint32(2654435761) >> np.uint32(32 - 11)
+        row = np.searchsorted(offsets, np.arange(lo, lo + len(x)), side="right") - 1
+        inside = row[:-2] == row[2:]
+        counts += np.bincount(row[:-2][inside] * BUCKETS + code[inside], minlength=n * BUCKETS)
+    return counts.reshape(n, BUCKETS)
 
 
 def features(batch: pa.RecordBatch, name: str = "text") -> Iterator[np.ndarray]:
     """Feature rows of a batch, in order, a block for each chunk of text."""
+    kind = np.zeros(256, np.uint8)  # of a byte: 1 upper case, 2 digit, 3 punctuation
+    kind[33:128], kind[97:123], kind[65:91], kind[48:58], kind[127] = 3, 0, 1, 2, 3
     for c in chunks(batch, name):
-        n, b = c.hi - c.lo, c.data
-        size = np.diff(c.offsets)
-        row = np.repeat(np.arange(n), size)
-        code = b.astype(np.uint32)
-        code = ((code[:-2] << np.uint32(16)) | (code[1:-1] << np.uint32(8)) | code[2:]) * np.uint32(2654435761) >> np.uint32(32 - 11) if len(b) > 2 else code[:0]
-        inside = row[:-2] == row[2:] if len(b) > 2 else np.zeros(0, bool)
-        counts = np.bincount(row[:-2][inside] * BUCKETS + code[inside], minlength=n * BUCKETS).reshape(n, BUCKETS) if len(b) > 2 else np.zeros((n, BUCKETS))
-        share = lambda mask: np.bincount(row[mask], minlength=n) / np.maximum(size, 1)  # noqa: B023, E731
+        n, size = c.hi - c.lo, np.diff(c.offsets)
+        counts = _trigrams(c.data, c.offsets)
+        of_kind = kind[c.data]
+        share = lambda k: np.diff(np.searchsorted(np.flatnonzero(of_kind == k), c.offsets)) / np.maximum(size, 1)  # noqa: B023, E731
         words = np.diff(c.first)
         h = c.hashes()
         again = np.zeros(len(h), bool)
         again[1:] |= h[1:] == h[:-1]
         again[2:] |= h[2:] == h[:-2]
-        owner = np.repeat(np.arange(n), words)
+        owner = np.repeat(np.arange(n, dtype=np.int32), words)
         letters = np.bincount(owner, weights=c.ends - c.starts, minlength=n)
         shapes = [
-            share((b >= 65) & (b <= 90)), share((b >= 48) & (b <= 57)), share(((b > 32) & (b < 48)) | ((b > 57) & (b < 65)) | ((b > 90) & (b < 97)) | ((b > 122) & (b < 128))),
+            share(1), share(2), share(3),
             letters / np.maximum(size, 1), np.log1p(size) / 12, (counts > 0).sum(axis=1) / np.maximum(np.minimum(size, BUCKETS), 1),
             np.bincount(owner[again], minlength=n) / np.maximum(words, 1), letters / np.maximum(words, 1) / 12,
         ]
@@ -102,11 +115,13 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fit(spark: SparkSession, docs: DataFrame, rated: DataFrame, grades: int, sample: int = SAMPLE) -> OrdinalModel:
     """Fit on up to ``sample`` rated documents (those with the smallest hash of doc_id). ``rated`` has doc_id and
-    grade (0 to grades - 1; null and other grades are left out; of several the lowest counts)."""
+    grade (0 to grades - 1; null and other grades are left out; of several the lowest counts). Of texts that share a doc_id
+    the one with the smallest hash counts, so every run takes the same rows."""
     rated = rated.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, grades - 1)).groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most ``sample`` rows of 12 bytes
-    rows = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id").mapInArrow(_feature_rows, "grade int, x binary").limit(2 * sample).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(rated), "doc_id")
+    rows = rows.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text")).mapInArrow(_feature_rows, "grade int, x binary").collect()
     x = np.stack([np.frombuffer(r["x"], dtype=np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, BUCKETS + SHAPES), np.float32)
     return fit_ordinal(x, np.array([r["grade"] for r in rows], dtype=int), grades)
 
@@ -124,15 +139,17 @@ def _score(model: OrdinalModel) -> Callable:
 
 def grade_documents(docs: DataFrame, model: OrdinalModel, at_least: int = 1, threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; other columns are not read): doc_id, expected_grade, tail (the
-    probability of grade ``at_least`` or better), kept (tail >= threshold). Null and empty texts have zero
-    features and get the score of those; a null doc_id stays null."""
+    probability of grade ``at_least`` or better), kept (tail >= threshold, so a tail at the threshold is kept). Null and
+    empty texts have zero features and get the score of those; a null doc_id stays null. Texts count whole, however long. Equal
+    texts get equal scores, and repeated rows stay. An empty table gives an empty result."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_score(model), "doc_id long, expected_grade double, tails array<double>")
     tail = F.col("tails")[at_least - 1]
     return rows.select("doc_id", "expected_grade", tail.alias("tail"), (tail >= threshold).alias("kept"))
 
 
 def keep_documents(docs: DataFrame, model: OrdinalModel, at_least: int = 1, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose tail probability reaches the threshold, with all their columns."""
+    """The rows of ``docs`` whose tail probability reaches the threshold, with all their columns, whatever they are called.
+    Rows are treated as ``grade_documents`` says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
