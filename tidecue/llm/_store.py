@@ -34,7 +34,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def _ending_shuffles(spark: SparkSession) -> Iterator[None]:
+def ending_shuffles(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what runs inside go when it ends: the table that it writes replaces them."""
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
@@ -48,7 +48,7 @@ def materialize(spark: SparkSession, df: DataFrame, name: str = "t") -> DataFram
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage is cut and the rows
     survive lost executors. The table stays until ``forget`` or ``clean``."""
     path = f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
-    with _ending_shuffles(spark):
+    with ending_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._tidecue_path = path

@@ -228,7 +228,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WIND
     shared = materialize(spark, seeds.groupBy("seed").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("seed"), "shared")
     # a text that is a copy of a smaller document's is gone as a whole: its windows name no source and need none
     firsts = long.join(first, "digest").where("doc_id = first_id").select("doc_id").distinct()
-    seeds = seeds.join(shared, "seed", "left_semi").join(firsts, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
+    seeds = seeds.join(shared.hint("shuffle_hash"), "seed", "left_semi").join(firsts, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
     seeds = materialize(spark, seeds.join(several, "doc_id", "left"), "seeds")
     forget(spark, survey, shared)
 
@@ -237,7 +237,7 @@ def repeated_substrings(spark: SparkSession, docs: DataFrame, window: int = WIND
     forget(spark, seeds)
     sources = edges.groupBy("key").agg(F.min("doc_id").alias("src_doc"), F.min_by("pos", "doc_id").alias("src_pos"), F.max("doc_id").alias("last")).where("src_doc < last").drop("last")
     sources = materialize(spark, sources, "sources")
-    found, edges = edges, edges.join(sources, "key").where("doc_id > src_doc").select("doc_id", "pos", "src_doc", "src_pos")
+    found, edges = edges, edges.join(sources.hint("shuffle_hash"), "key").where("doc_id > src_doc").select("doc_id", "pos", "src_doc", "src_pos")
     # an unbranched path: both coordinates advance together
     path = W.partitionBy("doc_id", "src_doc", F.col("src_pos") - F.col("pos")).orderBy("pos")
     edges = edges.repartition("doc_id").withColumn("path", F.col("pos") - F.dense_rank().over(path))
