@@ -5,11 +5,12 @@ A group is any set of rows that may be alike (they share a bucket or a prefix).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._tok import ids
@@ -79,3 +80,44 @@ def cells(rows: DataFrame, known: DataFrame, block: int, block_mass: int) -> Dat
     to_rest = F.transform(upto("rests"), lambda o: cell(F.least("me", o), F.col("mains") + F.greatest(F.col("me"), o), F.when(F.col("me") == o, 2).when(F.col("me") < o, 0).otherwise(1)))
     met = met.select("group", "id", "known", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(to_main, to_rest))).alias("cell"))
     return met.select("group", "cell.x", "cell.y", "id", "known", "cell.side")
+
+
+def members_mark(member: str) -> list[Column]:
+    """Aggregates that are equal for groups of the same members: exclusive ors of their hashes."""
+    return [F.bit_xor(F.xxhash64(member)).alias("same_a"), F.bit_xor(F.xxhash64(member, F.lit(1))).alias("same_b")]
+
+
+def different(sized: DataFrame) -> DataFrame:
+    """Of groups (size, ``members_mark``) with the same members, one."""
+    return sized.dropDuplicates(["size", "same_a", "same_b"]).drop("same_a", "same_b")
+
+
+def by_cell(rows: DataFrame, links: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b) that ``links`` gives for the rows of each cell (group, x, y). Cells follow each other in sorted partitions, so
+    many small ones cost no more than their rows, and only one is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last: tuple[int, ...] | None = None
+        for batch in batches:
+            at = [np.asarray(ids(batch, c)) for c in ("group", "x", "y")]
+            new = np.flatnonzero(np.any([np.diff(v) != 0 for v in at], axis=0)) + 1
+            found: list[tuple[int, int]] = []
+            for lo, hi in itertools.pairwise([0, *new.tolist(), batch.num_rows]):
+                if lo == hi:
+                    continue
+                cell = tuple(int(v[lo]) for v in at)
+                if held and cell != last:
+                    found += links(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = cell
+            yield _pairs(found)
+        if held:
+            yield _pairs(links(pa.Table.from_batches(held)))
+
+    return rows.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[j] for p in found], pa.int64()) for j in (0, 1)], ["a", "b"])

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ._store import forget, free_name, materialize
 from ._tok import binary, chunks, ids, mix, runs
 from .components import connected_components
-from .groups import Forest, cells, neighbours
+from .groups import Forest, by_cell, cells, different, members_mark, neighbours
 
 TREES, DEPTH = 21, 3
 #: A region (equal first DEPTH values in one order) up to this size gives its pairs at once. In a larger one documents
@@ -144,14 +144,13 @@ def _links_of_block(sigs: np.ndarray, sets: list[np.ndarray], side: np.ndarray,
 
 
 def _blocks(percent: int) -> Callable:
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> list[tuple[int, int]]:
         doc, side, known = (np.asarray(table.column(x)) for x in ("doc_id", "side", "known"))
-        found: list[tuple[int, int]] = []
         if (side == 2).all() or ((side == 0).any() and (side == 1).any()):
             sigs = np.stack([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in table.column("sig")])
             sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table.column("shingles")]
-            found = _links_of_block(sigs, sets, side, known, percent)
-        return pa.table({"a": pa.array([int(doc[x]) for x, _ in found], pa.int64()), "b": pa.array([int(doc[y]) for _, y in found], pa.int64())})
+            return [(int(doc[x]), int(doc[y])) for x, y in _links_of_block(sigs, sets, side, known, percent)]
+        return []
 
     return run
 
@@ -185,8 +184,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     own = live.join(several, "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("first_id").alias("b"))
 
     region = first.mapInArrow(_regions(trees, depth), "region long, tree int, doc_id long, n_shingles long")
-    sized = region.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    regions = materialize(spark, region.join(sized, "region"), "regions")
+    sized = region.groupBy("region").agg(F.count(F.lit(1)).alias("size"), *members_mark("doc_id")).where("size > 1")
+    # the same documents often share several regions
+    sized = materialize(spark, different(sized), "sized")
+    regions = materialize(spark, region.join(sized.hint("shuffle_hash"), "region"), "regions")
+    forget(spark, sized)
     small = regions.where(F.col("size") <= REGION).groupBy("region").agg(F.sort_array(F.collect_set("doc_id")).alias("m"))
     pairs = small.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b"))
     # the same values in each order, from those after the region's on and around; any order of the bytes will do
@@ -205,7 +207,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     comp = materialize(spark, connected_components(spark, links), "components")
     members = large.select(F.col("region").alias("group"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("mass"))
     apart = materialize(spark, cells(members, comp, BLOCK, BLOCK_SHINGLES).withColumnRenamed("id", "doc_id"), "apart")
-    closing = materialize(spark, apart.join(sets, "doc_id").groupBy("group", "x", "y").applyInArrow(_blocks(percent), "a long, b long"), "closing")
+    closing = materialize(spark, by_cell(apart.join(sets, "doc_id"), _blocks(percent)), "closing")
     forget(spark, regions, sets, links, apart)
     if not closing.isEmpty():
         comp = connected_components(spark, closing.union(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
