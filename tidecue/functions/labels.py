@@ -10,24 +10,36 @@ from pyspark.sql import functions as F
 from ..sources.profiles import Profile
 from .text import col, let, strip
 
-# Words that are no names, groups, marks of a different person, metadata hints and exclusions.
+# Words that are no names, marks of a line that is no speaker's, groups, marks of a different person, and the
+# words that voice metadata is read by.
 NOT_NAMES = (
-    "and the you yes no oh ok okay but so if am is are was were that this what why how who when where not huge very really just now here there i me my "
-    "we he she it they her him his hers do did does don't didn't can can't will won't never always more less yeah hey hi hello wow god please thanks sorry "
-    "wait stop look listen one two end note flashback"
-).split() + ["all right", "thank you", "time lapse", "cut to"]
+    "and", "the", "you", "yes", "no", "oh", "ok", "okay", "but", "so", "if", "am", "is", "are", "was", "were", "that", "this", "what", "why", "how",
+    "who", "when", "where", "not", "huge", "very", "really", "just", "now", "here", "there", "all right", "i", "me", "my", "we", "he", "she", "it",
+    "they", "her", "him", "his", "hers", "do", "did", "does", "don't", "didn't", "can", "can't", "will", "won't", "never", "always", "more", "less",
+    "yeah", "hey", "hi", "hello", "wow", "god", "please", "thanks", "thank you", "sorry", "wait", "stop", "look", "listen", "one", "two", "end", "note",
+    "time lapse", "cut to", "flashback",
+)
 NOT_SPEAKERS = "scene|credits|note|time lapse|cut to|commercial|written by|transcribed|opening|closing"
-GROUPS = "all everyone everybody guys girls both together gang group".split() + ["the girls", "the guys"]
+GROUPS = (
+    "all", "everyone", "everybody", "guys", "girls", "both", "together", "gang", "group", "the girls", "the guys",
+)
 OTHER_PERSON = (
-    "fake young old baby mini future evil imposter double mrs mr ms dr miss grandmother grandma granny grandpa grandfather mom mother dad father "
-    "sister brother aunt uncle cousin niece nephew sr jr senior junior"
-).split()
-FEMALE_HINTS = "女 妹 姐 娘 少女 女生 女声 女士 小姐 阿姨 奶奶 姑娘 女性 御姐 萝莉 女孩 女神 妈妈 母亲 太太 female woman girl lady".split()
-MALE_HINTS = "男 哥 弟弟 少年 男生 男声 先生 大叔 叔叔 爷 男性 帅哥 男孩 爸爸 父亲 大哥 male boy gentleman guy".split()
+    "fake", "young", "old", "baby", "mini", "future", "evil", "imposter", "double", "mrs", "mr", "ms", "dr", "miss", "grandmother", "grandma", "granny",
+    "grandpa", "grandfather", "mom", "mother", "dad", "father", "sister", "brother", "aunt", "uncle", "cousin", "niece", "nephew", "sr", "jr", "senior",
+    "junior",
+)
+FEMALE_HINTS = (
+    "女", "妹", "姐", "娘", "少女", "女生", "女声", "女士", "小姐", "阿姨", "奶奶", "姑娘", "女性", "御姐", "萝莉", "女孩", "女神", "妈妈", "母亲", "太太", "female", "woman", "girl",
+    "lady",
+)
+MALE_HINTS = (
+    "男", "哥", "弟弟", "少年", "男生", "男声", "先生", "大叔", "叔叔", "爷", "男性", "帅哥", "男孩", "爸爸", "父亲", "大哥", "male", "boy", "gentleman", "guy",
+)
 DENIED = (
-    "sexy seductive seduction sensual erotic nsfw moan moaning breathy asmr whisper kiss flirt flirty girlfriend boyfriend sultry intimate bedroom 18+ "
-    "性感 娇喘 呻吟 诱惑 魅惑 耳语 助眠 撩 暧昧 挑逗 骚 湿 喘息 喘 小奶音 哄睡 女友 男友 床 情欲 娇滴滴 嗲"
-).split()
+    "sexy", "seductive", "seduction", "sensual", "erotic", "nsfw", "moan", "moaning", "breathy", "asmr", "whisper", "kiss", "flirt", "flirty",
+    "girlfriend", "boyfriend", "sultry", "intimate", "bedroom", "18+", "性感", "娇喘", "呻吟", "诱惑", "魅惑", "耳语", "助眠", "撩", "暧昧", "挑逗", "骚", "湿", "喘息", "喘",
+    "小奶音", "哄睡", "女友", "男友", "床", "情欲", "娇滴滴", "嗲",
+)
 OTHER_MALE, OTHER_FEMALE, SKIP, GROUP, GUEST = "OtherMale", "OtherFemale", "Skip", "GROUP", "GUEST"
 MAX_GUEST_F0 = 300.0
 
@@ -44,7 +56,7 @@ def _name_or_null(t: Column) -> Column:
         F.length(t).between(2, 40)
         & ~t.rlike(r"\p{Nd}")
         & ~F.lower(t).rlike(NOT_SPEAKERS)
-        & ~F.lower(t).isin(NOT_NAMES)
+        & ~F.lower(t).isin(*NOT_NAMES)
         & (F.size(F.split(t, r"(?U)\s+")) <= 4)
         & t.rlike("[A-Za-z]{2}")
     )
@@ -67,7 +79,7 @@ def canonical_speaker(raw: Column | str, profile: Profile) -> Column:
     def of_parts(parts: Column) -> Column:
         members = F.filter(parts, lambda x: F.map_contains_key(alias, x))
         one = lambda m: F.when(F.size(m) == 1, F.try_element_at(alias, F.try_element_at(m, F.lit(1)))).when(F.size(m) > 1, GROUP)
-        several = F.coalesce(let(members, one), F.when(F.forall(parts, lambda x: x.isin(GROUPS)), GROUP), F.lit(GUEST))
+        several = F.coalesce(let(members, one), F.when(F.forall(parts, lambda x: x.isin(*GROUPS)), GROUP), F.lit(GUEST))
         return F.when(F.size(parts) > 1, several)
 
     def first_token(tokens: Column) -> Column:
@@ -81,7 +93,7 @@ def canonical_speaker(raw: Column | str, profile: Profile) -> Column:
             F.when((n == "") | other, GUEST)
             .when(F.map_contains_key(alias, n), F.try_element_at(alias, n))
             .when(F.map_contains_key(full, n), F.try_element_at(full, n))
-            .when(n.isin(GROUPS), GROUP)
+            .when(n.isin(*GROUPS), GROUP)
             .otherwise(F.coalesce(let(parts, of_parts), let(tokens, first_token), F.lit(GUEST)))
         )
 
@@ -109,7 +121,7 @@ def guest_gender(name: Column | str) -> Column:
     return F.when(F.lower(col(name)).rlike("(a|ie|y|elle|ine)$"), "FEMALE").otherwise("MALE")
 
 
-def _any(c: Column | str, hints: list[str]) -> Column:
+def _any(c: Column | str, hints: tuple[str, ...]) -> Column:
     low = F.lower(F.coalesce(col(c), F.lit("")))
     return F.exists(F.array(*[F.lit(h) for h in hints]), lambda h: F.contains(low, h))
 

@@ -14,17 +14,21 @@ def duck(track: np.ndarray, clips: list[tuple[float, np.ndarray]], rate: int, le
     """The track at ``level``, at LOW at most around each clip (start in seconds, samples), the gain smoothed by a moving
     average; clips are added, cut at the track's end, and the sum stays within -1 and 1."""
     n, ramp = len(track), max(int(RAMP * rate), 1)
-    gain = np.full(n, level, np.float32)
-    placed = [(int(start * rate), clip) for start, clip in clips if int(start * rate) < n]
-    for at, clip in placed:
-        span = slice(max(at - ramp, 0), min(at + len(clip), n) + ramp)
-        gain[span] = np.minimum(gain[span], LOW)
-    if n:
-        gain = np.convolve(gain, np.full(ramp, 1 / ramp, np.float32), mode="same")
-    out = track.astype(np.float32) * gain
-    for at, clip in placed:
-        out[at : at + len(clip)] += VOICE * clip[: n - at]
-    return np.clip(out, -1, 1)
+    if not n:
+        return np.zeros(0, np.float32)
+    starts = np.array([int(start * rate) for start, _ in clips], int)
+    sizes = np.array([len(samples) for _, samples in clips], int)
+    starts, sizes = starts[starts < n], sizes[starts < n]
+    # how many clips cover a sample: borders, added up
+    opens = np.maximum(starts - ramp, 0)
+    closes = np.minimum(np.minimum(starts + sizes, n) + ramp, n)
+    covered = np.cumsum(np.bincount(opens, minlength=n + 1) - np.bincount(closes, minlength=n + 1))[:n] > 0
+    smooth = np.convolve(np.where(covered, min(LOW, level), level).astype(np.float32), np.full(ramp, 1 / ramp, np.float32), mode="same")
+    voices = np.zeros(n, np.float32)
+    for start, samples in clips:
+        room = voices[int(start * rate) :]
+        room[: len(samples)] += samples[: len(room)]
+    return (track.astype(np.float32) * smooth + VOICE * voices).clip(-1, 1)
 
 
 def assemble(tracks: DataFrame, clips: DataFrame, rate: int, level: float) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,23 +16,39 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from ..functions.labels import NOT_NAMES, NOT_SPEAKERS
 
 UTTERANCES = ArrayType(StructType([StructField("speaker", StringType()), StructField("text", StringType())]))
-_NO_NAMES = frozenset(NOT_NAMES)
-#: What ends an utterance on a page with bold labels.
-_STAGE = re.compile(r"\[\s*scene|\bcommercial break\b|\bopening credits\b|\bclosing credits\b", re.I)
-_CAPITALS = re.compile(r"([A-Z][A-Z'.\- ]{1,30}?):\s*(.*)")
+# What ends an utterance on a page with bold labels, a name in capitals before a colon.
+STAGE = re.compile(r"\[\s*scene|\bcommercial break\b|\bopening credits\b|\bclosing credits\b", re.I)
+CAPITALS = re.compile(r"([A-Z][A-Z'.\- ]{1,30}?):\s*(.*)")
+#: A label between the marks around it.
+_CORE = re.compile(r"\s*\.*\s*(?P<name>.*?)\s*:*\s*\.*\s*", re.S)
+#: What a name is not, and what it has: each pattern with whether it has to be found.
+_RULES = tuple((re.compile(p, re.I), found) for p, found in ((r"[a-z]{2}", True), (r"\A.{2,40}\Z", True), (r"\d", False), (r"\S(?:\s+\S+){4}", False), (NOT_SPEAKERS, False)))
 
 
 def speaker_label(raw: str) -> str | None:
     """As ``functions.labels.valid_speaker``, on a Python string."""
-    t = re.sub(r"\(.*?\)", "", raw).strip().strip(".").strip().rstrip(":").strip()
-    fits = 2 <= len(t) <= 40 and len(t.split()) <= 4 and re.search("[A-Za-z]{2}", t) and not re.search(r"\d", t)
-    return t if fits and t.lower() not in _NO_NAMES and not re.search(NOT_SPEAKERS, t, re.I) else None
+    name = _CORE.fullmatch(re.sub(r"\(.*?\)", "", raw))["name"]
+    return name if name.lower() not in NOT_NAMES and all(bool(p.search(name)) == found for p, found in _RULES) else None
 
 
 def tidy(text: str) -> str:
     return " ".join(re.sub(r"\[[^\]]*\]|\([^)]*\)", " ", html.unescape(text)).split())
 
 
+#: What a page says in order: a name, words, or the end of what somebody says.
+NAME, WORDS, END = range(3)
+
+
+def utterances(events: Iterable[tuple[int, str]], least: int, until: re.Pattern | None = None) -> list[dict[str, str]]:
+    """Words go to the name before them, up to where ``until`` is found. What has no valid name or fewer than ``least``
+    characters is left out."""
+    kinds, values = zip(*events, (END, ""), strict=True)
+    borders = [i for i, k in enumerate(kinds) if k != WORDS]
+    said = ((values[i], "".join(values[i + 1 : j])) for i, j in pairwise(borders) if kinds[i] == NAME)
+    cut = ((speaker_label(name), tidy(until.split(words, maxsplit=1)[0] if until else words)) for name, words in said)
+    return [{"speaker": who, "text": text} for who, text in cut if who and len(text) >= least]
+
+
 class _Runs(HTMLParser):
     """The page as runs of text, each in bold or not; a bold element is one run."""
 
@@ -67,55 +84,39 @@ class _Runs(HTMLParser):
         self.runs[-1][1] += data
 
 
+def _bold_events(runs: list[list]) -> Iterator[tuple[int, str]]:
+    """A label is bold text of up to 45 characters with a colon at its end or right after it. Other bold text is emphasis
+    within the dialogue."""
+    colon = False
+    for (bold, data), (_, after) in pairwise([*runs, [False, ""]]):
+        name = data.strip()
+        bare = name.rstrip(":").strip()
+        outside = after.lstrip().startswith(":")
+        if bold and 1 <= len(bare) <= 45 and ":" not in bare and (name.endswith(":") or outside):
+            yield NAME, bare
+            colon = not name.endswith(":")
+            continue
+        yield WORDS, data.lstrip()[1:] if colon else data
+        colon = False
+
+
+def _plain_events(page: str) -> Iterator[tuple[int, str]]:
+    """Lines that start with a name in capitals and a colon; further lines go on until a line in brackets."""
+    for line in re.sub(r"<[^>]+>", "\n", page).splitlines():
+        for part in filter(None, map(str.strip, html.unescape(line).splitlines())):
+            named = CAPITALS.fullmatch(part)
+            yield from ((NAME, named[1]), (WORDS, f"{named[2]}\n")) if named else ((END, ""),) if part[0] in "[(" else ((WORDS, f"{part}\n"),)
+
+
 def bold_dialogue(page: str) -> list[dict[str, str]]:
-    """A label is bold text of up to 45 characters with a colon at its end or right after it. Other bold text is
-    emphasis within the dialogue."""
     parser = _Runs()
     parser.feed(page)
     parser.close()
-    out: list[dict[str, str]] = []
-    label, text = None, ""
-
-    def close() -> None:
-        spoken = tidy(_STAGE.split(text)[0])
-        if label and (who := speaker_label(label)) and len(spoken) >= 2:
-            out.append({"speaker": who, "text": spoken})
-
-    for i, (bold, data) in enumerate(parser.runs):
-        inner = data.strip()
-        name = inner.rstrip(":").strip()
-        after = parser.runs[i + 1][1].lstrip() if i + 1 < len(parser.runs) else ""
-        if bold and 1 <= len(name) <= 45 and ":" not in name and (inner.endswith(":") or after.startswith(":")):
-            close()
-            label, text = name, ""
-            if not inner.endswith(":"):
-                parser.runs[i + 1][1] = after[1:]
-        else:
-            text += data
-    close()
-    return out
+    return utterances(_bold_events(parser.runs), 2, STAGE)
 
 
 def plain_dialogue(page: str) -> list[dict[str, str]]:
-    """Lines that start with a name in capitals and a colon; further lines go on until a line in brackets."""
-    out: list[dict[str, str]] = []
-    who, spoken = None, []
-
-    def close() -> None:
-        if who and (text := tidy(" ".join(spoken))):
-            out.append({"speaker": who, "text": text})
-
-    for line in filter(None, map(str.strip, html.unescape(re.sub(r"<[^>]+>", "\n", page)).splitlines())):
-        if m := _CAPITALS.fullmatch(line):
-            close()
-            who, spoken = speaker_label(m[1]), [m[2]]
-        elif who and line[0] in "[(":
-            close()
-            who = None
-        elif who:
-            spoken.append(line)
-    close()
-    return out
+    return utterances(_plain_events(page), 1)
 
 
 def page_dialogue(page: str | None) -> list[dict[str, str]]:
