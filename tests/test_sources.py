@@ -124,13 +124,14 @@ def test_every_oracle_belongs_to_a_query():
 def test_registered_queries_agree_with_sql(spark):
     import duckdb
 
-    from tidecue.plans import catalog
+    from tidecue.plans import catalog, dialogue
 
+    queries = catalog.QUERIES | dialogue.QUERIES
     sf, db = "/root/testdata/sf0.001", duckdb.connect()
     for t in "customer lineitem events documents embeddings benchmark labels conversations".split():
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for name, sql in catalog.ORACLES.items():
-        got, want = catalog.QUERIES[name](spark, sf).toPandas(), db.sql(sql).df()
+    for name, sql in (catalog.ORACLES | dialogue.ORACLES).items():
+        got, want = queries[name](spark, sf).toPandas(), db.sql(sql).df()
         assert sorted(got.columns) == sorted(want.columns), name
         plain = lambda x: sorted(map(repr, x[sorted(x.columns)].astype(object).where(x[sorted(x.columns)].notna(), None).values.tolist()))
         assert len(got) == len(want) and [eval(a, {"nan": None}) for a in plain(got)][:50] == [pytest.approx(eval(b, {"nan": None})) for b in plain(want)][:50], name  # noqa: S307
