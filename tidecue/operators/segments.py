@@ -43,8 +43,16 @@ def valid_words(words: Column | str) -> Column:
 
 def monotone_times(segments: DataFrame) -> DataFrame:
     """A line that starts before the one above ends starts at its end, and then lasts 0.3 s at least. The end carried
-    is the corrected one, so this is a fold along the episode."""
-    rows = segments.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("line_idx", "start", "end"))).alias("r"))
+    is the corrected one, so this is a fold along the episode. It starts anew at lines that begin after all that lines
+    before could reach (each moves its end by 0.3 s at most beyond the one before), so it runs along short stretches."""
+    w = in_order()
+    earlier = w.rowsBetween(W.unboundedPreceding, -1)
+    n = F.row_number().over(w)
+    x = segments.withColumn("__own", F.col("end") - 0.3 * n).withColumn("__n", n)
+    reach = F.max("__own").over(earlier) + 0.3 * F.col("__n")
+    x = x.withColumn("__stretch", F.coalesce((F.col("start") >= reach + 1e-6).cast("int"), F.lit(0)))
+    x = x.withColumn("__stretch", F.sum("__stretch").over(w))
+    rows = x.groupBy("episode_id", "__stretch").agg(F.array_sort(F.collect_list(F.struct("line_idx", "start", "end"))).alias("r"))
     seen = F.struct(F.lit(float("-inf")).alias("last"), F.array().cast("array<struct<line_idx:int,start:double,end:double>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -86,11 +94,13 @@ def split_merged(segments: DataFrame) -> DataFrame:
 
 def merge_utterances(segments: DataFrame, most_gap: float = 0.25, most_length: float = 8.0) -> DataFrame:
     """Fragments that follow at once and without a sentence's end between them are one line, of up to ``most_length``
-    seconds. Gap and punctuation are local; only the group's start has to be carried, so the fold gives numbers alone."""
+    seconds. Gap and punctuation are local; only the group's start has to be carried, so the fold gives numbers alone, and
+    runs along stretches without a gap or a sentence's end."""
     w = in_order()
     joins = (F.col("start") - F.lag("end").over(w) <= most_gap) & ~F.lag("en").over(w).rlike(SENTENCE_END)
     x = segments.withColumn("__near", F.coalesce(joins, F.lit(False)))
-    rows = x.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("line_idx", "start", "end", "__near"))).alias("r"))
+    x = x.withColumn("__stretch", F.sum((~F.col("__near")).cast("int")).over(w))
+    rows = x.groupBy("episode_id", "__stretch").agg(F.array_sort(F.collect_list(F.struct("line_idx", "start", "end", "__near"))).alias("r"))
     empty = F.struct(F.lit(-1).alias("g"), F.lit(0.0).cast("double").alias("from"), F.array().cast("array<struct<line_idx:int,group:int>>").alias("out"))
 
     def step(acc: Column, r: Column) -> Column:
@@ -99,7 +109,8 @@ def merge_utterances(segments: DataFrame, most_gap: float = 0.25, most_length: f
         one = F.struct(r["line_idx"].cast("int").alias("line_idx"), g.alias("group"))
         return F.struct(g.alias("g"), F.when(on, acc["from"]).otherwise(r["start"]).alias("from"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    numbered = rows.select("episode_id", F.inline(F.aggregate("r", empty, step, lambda a: a["out"])))
+    numbered = rows.select("episode_id", "__stretch", F.inline(F.aggregate("r", empty, step, lambda a: a["out"])))
+    numbered = numbered.withColumn("group", F.dense_rank().over(W.partitionBy("episode_id").orderBy("__stretch", "group")) - 1).drop("__stretch")
     parts = F.array_sort(F.collect_list(F.struct("line_idx", strip("en").alias("en"), F.coalesce("words", F.array().cast("array<struct<s:double,e:double>>")).alias("words"))))
     merged = x.join(numbered, list(ORDER)).groupBy("episode_id", "group").agg(F.min_by("start", "line_idx").alias("start"), F.max_by("end", "line_idx").alias("end"), parts.alias("p"))
     return merged.select("episode_id", F.col("group").alias("line_idx"), "start", "end", F.array_join("p.en", " ").alias("en"), F.flatten("p.words").alias("words"))

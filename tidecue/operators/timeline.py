@@ -49,9 +49,12 @@ def nearest_silences(lines: DataFrame, silences: DataFrame, totals: DataFrame, k
     return x.withColumns({"quiet_before": F.coalesce("quiet_before", F.lit(0.0)), "quiet_after": F.coalesce("quiet_after", "__t")}).drop("__t")
 
 
-def largest_quiet(spans: DataFrame, silences: DataFrame, keys: list[str], key: str = "episode_id") -> DataFrame:
-    """Replaces lo, hi of (keys, lo, hi) by the longest silence within, if it has 0.4 s (ties: the earliest)."""
-    hit = spans.join(silences, key).withColumns({"a": F.greatest("lo", "s"), "b": F.least("hi", "e")}).where("b > a")
+def largest_quiet(spans: DataFrame, silences: DataFrame, keys: list[str], key: str = "episode_id", cell: float = 300.0) -> DataFrame:
+    """Replaces lo, hi of (keys, lo, hi) by the longest silence within, if it has 0.4 s (ties: the earliest). Spans and
+    silences meet in the time cells that both lie over; meeting twice doesn't change a maximum."""
+    met = lambda df, lo, hi: df.where(F.col(hi) >= F.col(lo)).withColumn("__cell", F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))))
+    hit = met(spans, "lo", "hi").join(met(silences.select(key, "s", "e"), "s", "e"), [key, "__cell"])
+    hit = hit.withColumns({"a": F.greatest("lo", "s"), "b": F.least("hi", "e")}).where("b > a")
     best = hit.groupBy(*keys).agg(F.max_by(F.struct("a", "b"), F.struct(F.col("b") - F.col("a"), -F.col("a"))).alias("q"))
     fits = F.col("q.b") - F.col("q.a") >= 0.4
     x = spans.join(best, keys, "left")
@@ -146,9 +149,17 @@ def deadlines(lines: DataFrame, key: str = "episode_id") -> DataFrame:
 def plan_timeline(lines: DataFrame, key: str = "episode_id") -> DataFrame:
     """(key, line_idx, place, tempo) of (key, line_idx, onset, dur, total): a line starts on its onset or MIN_GAP after the
     one before, at normal speed unless its deadline forces up to MAX_SPEEDUP. The rounded tempo feeds the next line, so
-    this is a fold along the episode's order."""
-    x = deadlines(lines, key)
-    rows = x.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("onset", "line_idx", "dur", "deadline"))).alias("r"))
+    this is a fold along the episode's order.
+
+    The fold starts anew at lines that begin on their own onset whatever the tempo before: there all lines before would
+    be over even at normal speed. So it runs along short scenes, and its time follows their lengths, not the episode's."""
+    order = W.partitionBy(key).orderBy("onset", "line_idx")
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    x = deadlines(lines, key).withColumn("__used", F.coalesce(F.sum(F.col("dur") + MIN_GAP).over(earlier), F.lit(0.0)))
+    free = F.col("__used") + F.max(F.col("onset") - F.col("__used")).over(earlier)
+    x = x.withColumn("__scene", F.coalesce((F.col("onset") >= free + _TINY).cast("int"), F.lit(0)))
+    x = x.withColumn("__scene", F.sum("__scene").over(order))
+    rows = x.groupBy(key, "__scene").agg(F.array_sort(F.collect_list(F.struct("onset", "line_idx", "dur", "deadline"))).alias("r"))
     index = x.schema["line_idx"].dataType.simpleString()
     out = f"array<struct<line_idx:{index},place:double,tempo:double>>"
     start = F.struct(F.lit(None).cast("double").alias("end"), F.array().cast(out).alias("out"))

@@ -27,12 +27,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the folder that spark.checkpoint.dir names (one of our own only where none is set): the
-    plan behind it ends there, and its rows outlive lost executors."""
+    """``df`` as a checkpoint in the folder that spark.checkpoint.dir names: the plan behind it ends there, and its rows
+    outlive lost executors. Where none is set, a local master gets a temporary one; on a cluster that is an error, since its
+    machines would not see each other's files."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidecue-")
-        spark.sparkContext.setCheckpointDir(named)
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidecue-"))
     return df.checkpoint()
 
 
