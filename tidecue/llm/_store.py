@@ -7,7 +7,10 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -55,6 +58,30 @@ def materialize(spark: SparkSession, df: DataFrame, name: str = "t") -> DataFram
     return table
 
 
+#: Bits of the filter that ``maybe_in`` sends to the tasks: 4 MB, whatever the table holds.
+FILTER_BITS = 1 << 25
+
+
+def bit_filter(spark: SparkSession, keys: DataFrame, key: str, hashed: bool = False) -> Broadcast:
+    """A bitmap of the hashes of ``key`` (a long; with ``hashed`` a hash already) modulo FILTER_BITS. Its size is fixed; the more keys there are, the less it
+    sifts, so what passes has to be joined with ``keys`` still. It is put together on the executors."""
+    bit = F.pmod(F.col(key) if hashed else F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+    parts = keys.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("position")).groupBy("bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    with ending_shuffles(spark):
+        rows = parts.collect()  # FILTER_BITS / 32,768 rows of 4 kB at most
+    for r in rows:
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + len(r["bits"])] |= np.frombuffer(r["bits"], np.uint8)
+    return spark.sparkContext.broadcast(out)
+
+
+def maybe_in(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Which of the hashes (xxhash64 of keys, as Spark computes them) are in a filter."""
+    at = hashed % FILTER_BITS
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
 def n_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

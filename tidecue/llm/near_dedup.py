@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import forget, free_name, materialize
+from ._store import bit_filter, forget, free_name, materialize, maybe_in
 from ._tok import binary, chunks, ids, mix, runs
 from .components import connected_components
 from .groups import Forest, by_cell, cells, different, members_mark, neighbours
@@ -64,12 +65,15 @@ def _describe(k: int, lower: bool, n_values: int) -> Callable:
     return run
 
 
-def _only_sets(k: int, lower: bool, n_values: int) -> Callable:
+def _only_sets(k: int, lower: bool, n_values: int, wanted: Broadcast) -> Callable:
+    """Signatures and sets of the rows whose doc_id (with its hash) is in the filter ``wanted``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _perms(n_values)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            mine = batch.filter(pa.array(maybe_in(wanted.value, np.asarray(ids(batch, "hashed")))))
+            for lo in range(0, mine.num_rows, 256):
+                part = mine.slice(lo, 256)
                 sets = [s for _, s in _sets(part, k, lower)]
                 yield pa.RecordBatch.from_arrays([ids(part), binary([_minhash(s, a, b).tobytes() for s in sets]), binary([s.tobytes() for s in sets])], ["doc_id", "sig", "shingles"])
 
@@ -198,8 +202,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     pairs = materialize(spark, pairs.union(neighbours(deep)).where("a < b").distinct(), "pairs")
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(large.select("doc_id")).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_only_sets(k, lower, trees * depth), "doc_id long, sig binary, shingles binary")
-    sets = materialize(spark, sets.where("length(shingles) > 0").dropDuplicates(["doc_id", "sig"]), "sets")
+    # texts stay where they are: a filter of fixed size goes to them, and the sets of what passes are joined
+    wanted = materialize(spark, wanted, "wanted")
+    texts = docs.where("doc_id is not null").withColumn("hashed", F.xxhash64("doc_id"))
+    sets = texts.mapInArrow(_only_sets(k, lower, trees * depth, bit_filter(spark, wanted, "doc_id")), "doc_id long, sig binary, shingles binary")
+    sets = materialize(spark, sets.where("length(shingles) > 0").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "sig"]), "sets")
+    forget(spark, wanted)
 
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}"))
     links = materialize(spark, pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm(percent), "a long, b long").union(own), "linked")
