@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
-from ..operators import align, attribute, identify, segments, subtitles, timeline, translate, voices
+from ..operators import align, attribute, identify, providers, segments, subtitles, timeline, translate, voices
 from ..sources import transcripts
 from ..sources.profiles import Character, Profile
 
@@ -371,12 +371,77 @@ n AS (SELECT *, sum((speaker IS NOT NULL)::INT) OVER (PARTITION BY episode_id OR
 SELECT episode_id, sidx::INT AS sidx, max(speaker) AS speaker, string_agg(body, ' ' ORDER BY turn) AS text FROM n WHERE sidx >= 0 GROUP BY 1, 2"""
 
 
+def _clip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines to be voiced, and the stamp of the clip that each has from before."""
+    x = _lines(spark, sf_dir).withColumns({"voice": F.col("speaker"), "emo": _pick(("", "[sad]"), "event_id"), "backup": _pick(("bak", "", "Ann"), "event_id"), "provider": F.lit("p")})
+    old = F.when(F.col("event_id") % 3 == 0, F.col("voice")).when(F.col("event_id") % 3 == 1, "bak").otherwise("old")
+    return x.withColumn("stamp", F.concat_ws("|", "zh", old, _pick(("", "[sad]", "[mad]"), F.expr("event_id div 2")), "provider"))
+
+
+_CLIPS = f"""{_LINES}, k AS (SELECT *, speaker AS voice, {_sql_pick(("", "[sad]"), "event_id")} AS emo, {_sql_pick(("bak", "", "Ann"), "event_id")} AS backup, CASE event_id % 3 WHEN 0 THEN speaker WHEN 1 THEN 'bak' ELSE 'old' END AS old,
+  {_sql_pick(("", "[sad]", "[mad]"), "event_id // 2")} AS olde FROM l)"""
+
+
+def clip_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order in which voices and emotions are tried for a line."""
+    said = F.transform(providers.attempts(), lambda a: F.concat_ws("/", a["voice"], a["emotion"], a["backup"].cast("string")))
+    return _clip_lines(spark, sf_dir).select("episode_id", "line_idx", F.array_join(said, ",").alias("attempts"))
+
+
+ATTEMPTS_SQL = f"""WITH {_CLIPS} SELECT {_ID}, voice || '/' || emo || '/false' || CASE WHEN emo <> '' THEN ',' || voice || '//false' ELSE '' END
+  || CASE WHEN backup IN ('', voice) THEN '' ELSE ',' || backup || '/' || emo || '/true' || CASE WHEN emo <> '' THEN ',' || backup || '//true' ELSE '' END END AS attempts FROM k"""
+
+
+def clip_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips made before that are still good for their line."""
+    x = _clip_lines(spark, sf_dir)
+    made = x.select("episode_id", "line_idx", "stamp", F.when(F.col("event_id") % 5 != 0, F.col("event_id").cast("string").cast("binary")).alias("clip"))
+    return providers.reusable_clips(x.drop("stamp"), made).withColumn("clip", F.col("clip").cast("string"))
+
+
+REUSE_SQL = f"WITH {_CLIPS} SELECT {_ID}, event_id::VARCHAR AS clip FROM k WHERE event_id % 5 <> 0 AND old <> '' AND old IN (voice, backup) AND olde IN ('', emo)"
+
+
+def listed_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search shows of a service's listing, and which listed voices are candidates for guests."""
+    x = _names(spark, sf_dir).select(F.col("c_custkey").alias("pos"), F.concat(F.lit("v"), F.col("c_custkey").cast("string")).alias("voice"), "title", F.col("emo").alias("description"), F.array(F.when(F.col("c_custkey") % 4 == 0, "ZH-cn").otherwise("en")).alias("languages"))
+    hits = providers.search_hits(x).select(F.lit("hit").alias("kind"), "pos", "voice", "gender", "description", "languages")
+    return hits.unionByName(providers.voice_candidates(x).select(F.lit("candidate").alias("kind"), "pos", "voice", "gender", F.lit("").alias("description"), F.lit("").alias("languages")))
+
+
+LISTED_SQL = f"""WITH {_NAMES}, v AS (SELECT c_custkey AS pos, 'v' || c_custkey AS voice, title AS t, title || ' ' || emo AS title, emo, CASE WHEN c_custkey % 4 = 0 THEN 'ZH-cn' ELSE 'en' END AS spoken FROM c),
+g AS (SELECT *, CASE WHEN {_has(labels.FEMALE_HINTS)} THEN 'FEMALE' WHEN {_has(labels.MALE_HINTS)} THEN 'MALE' ELSE '' END AS gender FROM v WHERE NOT {_has(labels.DENIED)})
+SELECT 'hit' AS kind, pos, voice, CASE WHEN gender = '' THEN '?' ELSE gender END AS gender, replace(substr(emo, 1, 80), chr(10), ' ') AS description, spoken AS languages FROM (SELECT * FROM g ORDER BY pos LIMIT 25)
+UNION ALL SELECT 'candidate', pos, voice, gender, '', '' FROM g WHERE gender <> '' AND (spoken = 'ZH-cn' OR regexp_matches(t, '[一-鿿]'))"""
+
+
+def guest_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voices that a user pasted, a gender and an identifier on a line."""
+    k = F.col("p_partkey")
+    first = F.concat(_pick(("女 ", "Female: ", "male ", "M-", "# f ", "x "), "p_partkey"), F.expr("repeat('a1', int(p_partkey % 20))"))
+    text = F.concat(first, F.lit("\n  男 "), F.md5(k.cast("string")), F.lit(" note"))
+    return voices.parse_guest_pool(_t(spark, sf_dir, "part").select(text.alias("text")))
+
+
+GUEST_POOL_SQL = f"""SELECT 0 AS pos, CASE WHEN p_partkey % 6 < 2 THEN 'FEMALE' ELSE 'MALE' END AS gender, repeat('a1', (p_partkey % 20)::INT) AS voice FROM part WHERE p_partkey % 6 < 4 AND p_partkey % 20 >= 12
+UNION ALL SELECT 1, 'MALE', md5(p_partkey::VARCHAR) FROM part"""
+
+
+def enough_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voiceprints of the episodes that have enough lines for clusters."""
+    return voices.enough_lines(_lines(spark, sf_dir).where("event_id % 5 = 0").select("episode_id", "line_idx"))
+
+
+ENOUGH_SQL = f"WITH {_LINES}, p AS (SELECT * FROM l WHERE event_id % 5 = 0) SELECT {_ID} FROM p WHERE episode_id IN (SELECT episode_id FROM p GROUP BY 1 HAVING count(DISTINCT line_idx) >= 8)"
+
+
 _QUERIES: tuple[tuple[Callable[[SparkSession, str], DataFrame], str], ...] = (
     (valid_speaker, VALID_SQL), (canonical_speaker, CANONICAL_SQL), (display_name, DISPLAY_SQL), (voice_metadata, METADATA_SQL), (clean_fields, CLEAN_SQL), (credible_segments, CREDIBLE_SQL),
     (monotone_times, MONOTONE_SQL), (merge_utterances, UTTERANCES_SQL), (word_times, WORD_TIMES_SQL), (best_lines, BEST_LINES_SQL), (anchored_spans, ANCHORED_SQL), (match_report, REPORT_SQL),
     (script_labels, SCRIPT_LABELS_SQL), (cluster_genders, CLUSTER_GENDERS_SQL), (cluster_fill, CLUSTER_FILL_SQL), (cluster_majority, CLUSTER_MAJORITY_SQL), (worklists, WORKLISTS_SQL), (review_rows, REVIEW_SQL),
     (retained_subtitles, RETAINED_SQL), (placed_by_sidx, f'WITH {_LINES} SELECT episode_id, sidx, round(min(start), 6) AS p0, round(max("end"), 6) AS p1 FROM l WHERE sidx IS NOT NULL GROUP BY 1, 2'),
     (voice_windows, VOICE_WINDOWS_SQL), (sampled_lines, SAMPLED_SQL), (voice_choice, VOICE_CHOICE_SQL), (name_colon, NAME_COLON_SQL), (srt_with_speakers, SRT_SQL),
+    (clip_attempts, ATTEMPTS_SQL), (clip_reuse, REUSE_SQL), (listed_voices, LISTED_SQL), (guest_pool, GUEST_POOL_SQL), (enough_lines, ENOUGH_SQL),
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f, _ in _QUERIES}
 ORACLES: dict[str, str] = {f.__name__: sql for f, sql in _QUERIES}

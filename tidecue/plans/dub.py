@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align, attribute, identify, subtitles, timeline, vad
 from ..operators.segments import clean_segments
 from ..sources.profiles import Profile
-from .stages import cut
+from .stages import cut, script_once
 
 
 def script_of(raw: DataFrame, transcripts: DataFrame, voices: DataFrame, profile: Profile) -> DataFrame:
@@ -28,6 +28,15 @@ def script_of(raw: DataFrame, transcripts: DataFrame, voices: DataFrame, profile
     return subtitles.insert_missing(dub, script, spans, profile)
 
 
+def stored_script(spark: SparkSession, root: str, media: str, raw: DataFrame, transcripts: DataFrame, voices: DataFrame, profile: Profile) -> tuple[DataFrame, bool]:
+    """``script_of`` once for a recording (``media`` identifies its content) and a profile, and whether it was edited since."""
+    return script_once(spark, root, script_parts(media, profile), lambda: script_of(raw, transcripts, voices, profile))
+
+
+def script_parts(media: str, profile: Profile) -> dict[str, object]:
+    return {"stage": "script", "media": media, "profile": profile}
+
+
 def subtitles_of(script: DataFrame, durations: DataFrame, regions: DataFrame, totals: DataFrame) -> DataFrame:
     """(episode_id, seq, start, end, zh): the voiced lines where they are placed, then what was not voiced.
     ``durations`` are (episode_id, line_idx, dur) of the clips, ``regions`` the speech, ``totals`` (episode_id, total)."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, is_dataclass
 
@@ -45,3 +46,36 @@ def build_once(spark: SparkSession, root: str, parts: dict[str, object], build:
     if not exists(spark, path):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def script_once(spark: SparkSession, root: str, parts: dict[str, object], build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
+    """The script's table, and whether a person has edited it: what was edited goes before what was built, and is never
+    built over."""
+    edited = edited_path(root, parts)
+    if exists(spark, edited):
+        return spark.read.parquet(edited), True
+    return build_once(spark, root, parts, build), False
+
+
+def edited_path(root: str, parts: dict[str, object]) -> str:
+    return f"{root.rstrip('/')}/{identity(parts)}-edited"
+
+
+def save_edited(script: DataFrame, root: str, parts: dict[str, object]) -> None:
+    """Keep an edited script for later runs over the same inputs. It may come from the table that it replaces, so it is
+    cut from that first."""
+    cut(script).write.mode("overwrite").parquet(edited_path(root, parts))
+
+
+def stage_copy(spark: SparkSession, path: str, folder: str) -> str:
+    """A copy of a finished file under its own name in a new private folder, to be handed out while the original may go on
+    changing. Both may be in any file system that Spark knows."""
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    source = hadoop.Path(path)
+    home = hadoop.Path(f"{folder.rstrip('/')}/{uuid.uuid4().hex}")
+    there = home.getFileSystem(conf)
+    there.mkdirs(home)
+    there.setPermission(home, hadoop.permission.FsPermission("700"))
+    copy = hadoop.Path(home, source.getName())
+    hadoop.FileUtil.copy(source.getFileSystem(conf), source, there, copy, False, conf)
+    return copy.toString()
