@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
-from ..operators import align, attribute, identify, providers, segments, subtitles, timeline, translate, voices
+from ..operators import align, attribute, identify, providers, segments, subtitles, timeline, translate, vad, voices
 from ..sources import transcripts
 from ..sources.profiles import Character, Profile
 
@@ -435,13 +435,41 @@ def enough_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENOUGH_SQL = f"WITH {_LINES}, p AS (SELECT * FROM l WHERE event_id % 5 = 0) SELECT {_ID} FROM p WHERE episode_id IN (SELECT episode_id FROM p GROUP BY 1 HAVING count(DISTINCT line_idx) >= 8)"
 
 
+def energy_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quiet stretches by energy; suppliers are recordings and their line items frames, loud and quiet in turns. Where a
+    model found regions enough, those are taken."""
+    order = W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    x = _t(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), (F.row_number().over(order) - 1).alias("frame_idx"), F.col("l_quantity").cast("double").alias("q"))
+    frames = x.select(F.col("k").cast("string").alias("episode_id"), "frame_idx", F.when(F.expr("frame_idx div (9 + k % 40) % 2 = 0"), F.col("q") / 1e6).otherwise(F.col("q")).alias("power"))
+    found = _t(spark, sf_dir, "supplier").where("s_suppkey % 6 > 0").select(F.col("s_suppkey").cast("string").alias("episode_id"), F.explode(F.expr("sequence(1, int(s_suppkey % 6))")).alias("j"))
+    found = found.select("episode_id", F.col("j").cast("double").alias("s"), (F.col("j") + 0.5).alias("e"))
+    return vad.choose_regions(found, vad.energy_silences(frames))
+
+
+def _flipped(source: str, value: str, least: int) -> str:
+    return f"""(SELECT episode_id, i, CASE WHEN m = {value} AND count(*) OVER (PARTITION BY episode_id, m, g) < {least} THEN NOT m ELSE m END AS m
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY episode_id, m ORDER BY i) AS g FROM {source}))"""
+
+
+ENERGY_SQL = f"""WITH f AS (SELECT l_suppkey AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS i, l_quantity::DOUBLE AS q FROM lineitem),
+p AS (SELECT k::VARCHAR AS episode_id, i, CASE WHEN i // (9 + k % 40) % 2 = 0 THEN q / 1e6 ELSE q END AS power FROM f),
+d AS MATERIALIZED (SELECT episode_id, i, 10 * log10((power + coalesce(lag(power) OVER (PARTITION BY episode_id ORDER BY i), 0)) / 2 + 1e-12) AS db FROM p),
+v AS (SELECT episode_id, quantile_cont(db, 0.10) AS lo, quantile_cont(db, 0.95) AS hi FROM d GROUP BY 1 HAVING count(*) >= 3 AND quantile_cont(db, 0.95) - quantile_cont(db, 0.10) >= 1e-6),
+m AS MATERIALIZED (SELECT episode_id, i, db > lo + {vad.THRESHOLD} * (hi - lo) AS m FROM d JOIN v USING (episode_id)),
+c AS MATERIALIZED {_flipped("m", "false", round(vad.CLOSE / vad.FRAME))}, o AS MATERIALIZED {_flipped("c", "true", round(vad.MIN_SPEECH / vad.FRAME))},
+q AS (SELECT episode_id, min(i) * {vad.FRAME}::DOUBLE AS s, (max(i) + 1) * {vad.FRAME}::DOUBLE AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY episode_id ORDER BY i) AS g FROM o WHERE NOT m) GROUP BY episode_id, g),
+n AS (SELECT s_suppkey::VARCHAR AS episode_id, unnest(range(1, s_suppkey % 6 + 1))::DOUBLE AS s, s_suppkey % 6 AS found FROM supplier)
+SELECT episode_id, s, s + 0.5 AS e, 'neural' AS source FROM n WHERE found >= 3
+UNION ALL SELECT episode_id, round(s, 3), round(e, 3), 'energy' FROM q WHERE e - s >= {vad.MIN_SILENCE} AND episode_id NOT IN (SELECT episode_id FROM n WHERE found >= 3)"""
+
+
 _QUERIES: tuple[tuple[Callable[[SparkSession, str], DataFrame], str], ...] = (
     (valid_speaker, VALID_SQL), (canonical_speaker, CANONICAL_SQL), (display_name, DISPLAY_SQL), (voice_metadata, METADATA_SQL), (clean_fields, CLEAN_SQL), (credible_segments, CREDIBLE_SQL),
     (monotone_times, MONOTONE_SQL), (merge_utterances, UTTERANCES_SQL), (word_times, WORD_TIMES_SQL), (best_lines, BEST_LINES_SQL), (anchored_spans, ANCHORED_SQL), (match_report, REPORT_SQL),
     (script_labels, SCRIPT_LABELS_SQL), (cluster_genders, CLUSTER_GENDERS_SQL), (cluster_fill, CLUSTER_FILL_SQL), (cluster_majority, CLUSTER_MAJORITY_SQL), (worklists, WORKLISTS_SQL), (review_rows, REVIEW_SQL),
     (retained_subtitles, RETAINED_SQL), (placed_by_sidx, f'WITH {_LINES} SELECT episode_id, sidx, round(min(start), 6) AS p0, round(max("end"), 6) AS p1 FROM l WHERE sidx IS NOT NULL GROUP BY 1, 2'),
     (voice_windows, VOICE_WINDOWS_SQL), (sampled_lines, SAMPLED_SQL), (voice_choice, VOICE_CHOICE_SQL), (name_colon, NAME_COLON_SQL), (srt_with_speakers, SRT_SQL),
-    (clip_attempts, ATTEMPTS_SQL), (clip_reuse, REUSE_SQL), (listed_voices, LISTED_SQL), (guest_pool, GUEST_POOL_SQL), (enough_lines, ENOUGH_SQL),
+    (clip_attempts, ATTEMPTS_SQL), (clip_reuse, REUSE_SQL), (listed_voices, LISTED_SQL), (guest_pool, GUEST_POOL_SQL), (enough_lines, ENOUGH_SQL), (energy_map, ENERGY_SQL),
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f, _ in _QUERIES}
 ORACLES: dict[str, str] = {f.__name__: sql for f, sql in _QUERIES}
