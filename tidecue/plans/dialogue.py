@@ -463,13 +463,36 @@ SELECT episode_id, s, s + 0.5 AS e, 'neural' AS source FROM n WHERE found >= 3
 UNION ALL SELECT episode_id, round(s, 3), round(e, 3), 'energy' FROM q WHERE e - s >= {vad.MIN_SILENCE} AND episode_id NOT IN (SELECT episode_id FROM n WHERE found >= 3)"""
 
 
+#: Recognised lines, some with two voices.
+SPOKEN = ("- Abcd. - Efgh?", "just one", "- One. - Two! — Three", "no - split here", "\u2013 Well\u2026 \u2013 no.", "-  alone", "", "A. - B")
+
+
+def split_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with several voices become lines of their own."""
+    words = F.expr("CASE WHEN event_id % 6 > 0 THEN transform(sequence(1, int(event_id % 6)), j -> named_struct('s', start + j * 0.1D, 'e', start + j * 0.1D + 0.05D)) END")
+    x = _lines(spark, sf_dir).select("episode_id", "line_idx", "start", "end", _pick(SPOKEN, "event_id").alias("en"), words.alias("words"))
+    x = segments.split_merged(x)
+    return x.select("episode_id", "line_idx", "part", F.round("start", 5).alias("start"), F.round("end", 5).alias("end"), "en", F.size("words").alias("words"))
+
+
+SPLIT_SQL = rf"""WITH {_LINES}, x AS (SELECT episode_id, line_idx, start, "end" AS fin, (event_id % 6)::INT AS nw,
+  regexp_replace(trim({_sql_pick(SPOKEN, 'event_id')}), '^[-–—]\s*', '') AS t FROM l),
+p AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(t, '([.?!…"])\s+[-–—]\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y)), lambda y: y <> '') AS q FROM x),
+r AS (SELECT *, CASE WHEN len(q) > 1 THEN q ELSE [t] END AS parts FROM p),
+n AS (SELECT *, unnest(range(0, len(parts))) AS part, greatest(length(array_to_string(parts, '')), 1) AS chars FROM r),
+k AS (SELECT *, parts[part + 1] AS en, length(array_to_string(parts[1:part], '')) AS gone, coalesce(list_sum(list_transform(parts[1:part], lambda y: round_even(nw * length(y) / chars, 0))), 0)::INT AS taken FROM n),
+w AS (SELECT *, greatest(least(nw - taken, CASE WHEN part = len(parts) - 1 THEN nw ELSE round_even(nw * length(en) / chars, 0)::INT END), 0) AS words FROM k),
+z AS (SELECT *, CASE WHEN len(parts) = 1 THEN start WHEN words > 0 THEN start + (taken + 1) * 0.1::DOUBLE ELSE round(start + (fin - start) * gone / chars, 3) END AS b FROM w)
+SELECT {_ID}, part::INT AS part, round(b, 5) AS start, round(CASE WHEN len(parts) = 1 THEN fin WHEN words > 0 THEN greatest(start + (taken + words) * 0.1::DOUBLE + 0.05::DOUBLE, b + 0.3) ELSE round(start + (fin - start) * (gone + length(en)) / chars, 3) END, 5) AS "end", en, words::INT AS words FROM z"""
+
+
 _QUERIES: tuple[tuple[Callable[[SparkSession, str], DataFrame], str], ...] = (
     (valid_speaker, VALID_SQL), (canonical_speaker, CANONICAL_SQL), (display_name, DISPLAY_SQL), (voice_metadata, METADATA_SQL), (clean_fields, CLEAN_SQL), (credible_segments, CREDIBLE_SQL),
     (monotone_times, MONOTONE_SQL), (merge_utterances, UTTERANCES_SQL), (word_times, WORD_TIMES_SQL), (best_lines, BEST_LINES_SQL), (anchored_spans, ANCHORED_SQL), (match_report, REPORT_SQL),
     (script_labels, SCRIPT_LABELS_SQL), (cluster_genders, CLUSTER_GENDERS_SQL), (cluster_fill, CLUSTER_FILL_SQL), (cluster_majority, CLUSTER_MAJORITY_SQL), (worklists, WORKLISTS_SQL), (review_rows, REVIEW_SQL),
     (retained_subtitles, RETAINED_SQL), (placed_by_sidx, f'WITH {_LINES} SELECT episode_id, sidx, round(min(start), 6) AS p0, round(max("end"), 6) AS p1 FROM l WHERE sidx IS NOT NULL GROUP BY 1, 2'),
     (voice_windows, VOICE_WINDOWS_SQL), (sampled_lines, SAMPLED_SQL), (voice_choice, VOICE_CHOICE_SQL), (name_colon, NAME_COLON_SQL), (srt_with_speakers, SRT_SQL),
-    (clip_attempts, ATTEMPTS_SQL), (clip_reuse, REUSE_SQL), (listed_voices, LISTED_SQL), (guest_pool, GUEST_POOL_SQL), (enough_lines, ENOUGH_SQL), (energy_map, ENERGY_SQL),
+    (clip_attempts, ATTEMPTS_SQL), (clip_reuse, REUSE_SQL), (listed_voices, LISTED_SQL), (guest_pool, GUEST_POOL_SQL), (enough_lines, ENOUGH_SQL), (energy_map, ENERGY_SQL), (split_merged, SPLIT_SQL),
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f, _ in _QUERIES}
 ORACLES: dict[str, str] = {f.__name__: sql for f, sql in _QUERIES}
