@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, licenses, oracles, packing, pieces, quality, toxicity
+from . import audio, licenses, oracles, packing, pattern_packing, pieces, quality, toxicity
 from .ann import nearest
 from .line_dedup import count_repeated_lines
 from .near_dedup import near_duplicates
@@ -78,6 +78,12 @@ def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(spark, _table(spark, sf_dir, "documents"))
 
 
+def op13_pattern_packing(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
+    with open(tokenizer, encoding="utf-8") as f:
+        loaded = f.read()
+    return pattern_packing.pack_sequences(spark, _table(spark, sf_dir, "documents"), loaded)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio": op1_audio,
     "op2_nearest": op2_nearest,
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_lines": op8_repeated_lines,
     "op9_pieces": op9_pieces,
     "op10_repeated_substrings": op10_repeated_substrings,
+    "op13_pattern_packing": op13_pattern_packing,
 }
 ORACLES: dict[str, str] = {
     "op2_nearest": oracles.nearest(20, 20),
