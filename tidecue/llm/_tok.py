@@ -87,9 +87,9 @@ def column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def chunks(batch: pa.RecordBatch, name: str = "text", lower: bool = False, size: int = CHUNK, letters: bool = False) -> Iterator[Chunk]:
+def chunks(batch: pa.RecordBatch, name: str = "text", lower: bool = False, size: int = CHUNK, letters: bool = False, inside: np.ndarray | None = None) -> Iterator[Chunk]:
     """Chunks of about ``size`` bytes (a longer single text makes a longer chunk). With ``letters``, words are runs of
-    ASCII letters and digits and of bytes beyond ASCII."""
+    ASCII letters and digits and of bytes beyond ASCII; with ``inside``, of the bytes for which it is true."""
     data, offsets = column(batch, name)
     n, lo = len(offsets) - 1, 0
     while lo < n:
@@ -97,7 +97,7 @@ def chunks(batch: pa.RecordBatch, name: str = "text", lower: bool = False, size:
         b, offs = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
         if lower:
             b = np.where((b >= 65) & (b <= 90), b + np.uint8(32), b)
-        word = _IN_WORD[b] if letters else ~((b == 32) | ((b >= 9) & (b <= 13)))
+        word = inside[b] if inside is not None else _IN_WORD[b] if letters else ~((b == 32) | ((b >= 9) & (b <= 13)))
         before = np.zeros(len(b), dtype=bool)
         before[1:] = word[:-1]
         inner = offs[:-1][offs[:-1] < len(b)]

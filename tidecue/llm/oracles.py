@@ -59,3 +59,47 @@ ok AS MATERIALIZED (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL
 s AS (SELECT q.vec_id AS query_id, d.vec_id, max(list_inner_product(q.e, d.e)) AS score FROM ok q JOIN ok d ON d.vec_id <> q.vec_id AND len(d.e) = len(q.e) WHERE q.vec_id % {step} = 0 GROUP BY ALL)
 SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s) WHERE rank <= {k}
 """
+
+
+def divergence(min_docs: int, terms: int, docs: str = "documents") -> str:
+    f = "((({0} - {1}) * ({0} - {1})) // ({0} + {1}))"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM {docs}),
+kept AS MATERIALIZED (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM d) GROUP BY ALL HAVING count(*) >= {min_docs}),
+c AS MATERIALIZED (SELECT lang, source, t, count(*) AS n FROM (SELECT lang, source, unnest(w) AS t FROM d) JOIN kept USING (lang, t) GROUP BY ALL),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+v AS MATERIALIZED (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+x AS MATERIALIZED (
+  SELECT lang, source, t, n, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p
+  FROM (SELECT lang, source, t, coalesce(n, 0)::HUGEINT AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, t)) JOIN v USING (lang)),
+q AS MATERIALIZED (
+  SELECT lang, t, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q
+  FROM (SELECT lang, t, sum(n)::HUGEINT AS n FROM c GROUP BY ALL) JOIN v USING (lang)),
+s AS (SELECT a.lang, a.source, b.source AS item, sum({f.format("a.p", "b.p")}) AS value FROM x a JOIN x b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, t AS item, {f.format("p", "q")} AS value FROM x JOIN q USING (lang, t) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= {terms}
+"""
+
+
+def collocations(max_words: int, min_count: int, covered: int, rows: int, docs: str = "documents") -> str:
+    return rf"""
+WITH p AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM {docs})),
+n AS MATERIALIZED (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+f AS MATERIALIZED (
+  SELECT lang, w[i:i + m - 1] AS w, count(*)::HUGEINT AS f
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT lang, w, unnest(range(1, {max_words + 1})) AS m FROM p) WHERE len(w) >= m)
+  GROUP BY ALL HAVING count(*) >= {min_count}),
+c AS MATERIALIZED (SELECT lang, w, f AS a FROM f WHERE len(w) > 1),
+cut AS (SELECT x.lang, x.w, x.a, k, l.f AS l, r.f AS r, (2000000 * a) // (l.f + r.f) AS score
+  FROM (SELECT lang, w, a, unnest(range(1, len(w))) AS k FROM c) x JOIN f l ON l.lang = x.lang AND l.w = x.w[:k] JOIN f r ON r.lang = x.lang AND r.w = x.w[k + 1:]),
+best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, w ORDER BY score, k) AS o FROM cut) WHERE o = 1),
+inside AS (SELECT lang, w[i:i + m - 1] AS w, max(a) AS longer FROM (SELECT lang, w, a, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT lang, w, a, unnest(range(2, len(w))) AS m FROM c)) GROUP BY lang, w[i:i + m - 1]),
+kept AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, n, score FROM best LEFT JOIN inside USING (lang, w) JOIN n USING (lang) WHERE longer IS NULL OR 100 * longer < {covered} * a)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= {rows}
+"""

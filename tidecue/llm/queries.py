@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, licenses, oracles, packing, pattern_packing, pieces, quality, toxicity
+from . import audio, collocations, licenses, oracles, packing, pattern_packing, pieces, quality, toxicity
 from .ann import nearest
+from .divergence import MIN_DOCS, TERMS, source_divergence
 from .line_dedup import count_repeated_lines
 from .near_dedup import near_duplicates
 from .substring_dedup import repeated_substrings
@@ -78,6 +79,14 @@ def op10_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(spark, _table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(spark, _table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark, _table(spark, sf_dir, "documents"))
+
+
 def op13_pattern_packing(spark: SparkSession, sf_dir: str, tokenizer: str = f"{TOKENIZERS}/word_bpe_49k.json") -> DataFrame:
     with open(tokenizer, encoding="utf-8") as f:
         loaded = f.read()
@@ -95,6 +104,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_lines": op8_repeated_lines,
     "op9_pieces": op9_pieces,
     "op10_repeated_substrings": op10_repeated_substrings,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_collocations": op12_collocations,
     "op13_pattern_packing": op13_pattern_packing,
 }
 ORACLES: dict[str, str] = {
@@ -102,4 +113,6 @@ ORACLES: dict[str, str] = {
     "op3_licenses": oracles.licenses(licenses.TEMPLATES, licenses.WORD, licenses.SHINGLE, licenses.PERCENT),
     "op6_near_duplicates": oracles.near_duplicates(4, 80),
     "op10_repeated_substrings": oracles.repeated_substrings(13),
+    "op11_source_divergence": oracles.divergence(MIN_DOCS, TERMS),
+    "op12_collocations": oracles.collocations(collocations.MAX_WORDS, collocations.MIN_COUNT, collocations.COVERED, collocations.ROWS),
 }
