@@ -133,13 +133,13 @@ def ordered_rows(table):
 def test_registered_queries_agree_with_sql(spark):
     import duckdb
 
-    from tidecue.plans import catalog, dialogue
+    from tidecue.plans import catalog, dialogue, sequences
 
-    queries = catalog.QUERIES | dialogue.QUERIES
+    queries = catalog.QUERIES | dialogue.QUERIES | sequences.QUERIES
     sf, db = "/root/testdata/sf0.001", duckdb.connect()
     for f in sorted(Path(sf).glob("*.parquet")):
         db.sql(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
-    for name, sql in (catalog.ORACLES | dialogue.ORACLES).items():
+    for name, sql in (catalog.ORACLES | dialogue.ORACLES | sequences.ORACLES).items():
         got, want = queries[name](spark, sf).toPandas(), db.sql(sql).df()
         assert sorted(got.columns) == sorted(want.columns), name
         got, want = ordered_rows(got), ordered_rows(want)

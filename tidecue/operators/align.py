@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_words, round_to
+from ..plans.stages import cut
+from .blocks import CELLS, LEVELS, matching_blocks, positions
 
 MATCH, NEAR, LEAD = 0.34, 0.30, 0.10
 
@@ -27,33 +28,20 @@ def token_times() -> Column:
     return F.when(n > 0, F.transform(k, lambda i: F.get(w, at(i)))).otherwise(F.transform(k, even))
 
 
-def _words_of(rows: pd.DataFrame, order: str, column: str) -> Iterator[tuple[int, int, str]]:
-    rows = rows.sort_values(order, kind="stable")
-    for owner, tokens in zip(rows[order], rows[column], strict=True):
-        for t, word in enumerate(tokens):
-            yield int(owner), t, word
-
-
-def word_matches(heard: DataFrame, script: DataFrame) -> DataFrame:
+def word_matches(heard: DataFrame, script: DataFrame, levels: tuple[int, ...] = LEVELS, cells: int = CELLS) -> DataFrame:
     """(episode_id, line_idx, sidx, s, e): the words that the two sides share in one common order.
 
-    ``heard`` has episode_id, line_idx, start, end, en, words; ``script`` has episode_id, sidx, text. Each episode is
-    one cogroup: the matching blocks of the whole word sequences decide, which no relational form gives."""
+    ``heard`` has episode_id, line_idx, start, end, en, words; ``script`` has episode_id, sidx, text. The matching blocks of
+    the whole word sequences decide. Lines without words, and episodes that one side lacks, match nothing."""
     h = heard.select("episode_id", "line_idx", "start", "end", "words", norm_words("en").alias("tokens"))
-    h = h.select("episode_id", "line_idx", "tokens", token_times().alias("times"))
-    s = script.select("episode_id", "sidx", norm_words("text").alias("tokens"))
-
-    def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = list(_words_of(a, "line_idx", "tokens")), list(_words_of(b, "sidx", "tokens"))
-        times = dict(zip(a["line_idx"], a["times"], strict=True))
-        blocks = SequenceMatcher(None, [w for _, _, w in x], [w for _, _, w in y], autojunk=False).get_matching_blocks()
-        pairs = ((x[p + i], y[q + i]) for p, q, n in blocks for i in range(n))
-        episode = a["episode_id"].iloc[0] if len(a) else b["episode_id"].iloc[0]
-        rows = [(episode, line, sidx, times[line][t]["s"], times[line][t]["e"]) for (line, t, _), (sidx, _, _) in pairs]
-        return pd.DataFrame(rows, columns=["episode_id", "line_idx", "sidx", "s", "e"])
-
-    schema = "episode_id string, line_idx int, sidx int, s double, e double"
-    return h.groupBy("episode_id").cogroup(s.groupBy("episode_id")).applyInPandas(match, schema)
+    h = cut(h.select("episode_id", "line_idx", "tokens", token_times().alias("times")))
+    a = cut(positions(h, "episode_id", "line_idx", "tokens"))
+    b = cut(positions(script.select("episode_id", "sidx", norm_words("text").alias("tokens")), "episode_id", "sidx", "tokens"))
+    blocks = matching_blocks(a, b, levels, cells).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("ahi") - F.col("alo") - 1)))
+    pairs = blocks.select("key", (F.col("alo") + F.col("k")).alias("i"), (F.col("blo") + F.col("k")).alias("j"))
+    pairs = pairs.join(a.select("key", F.col("pos").alias("i"), F.col("owner").alias("line_idx"), "t"), ["key", "i"]).join(b.select("key", F.col("pos").alias("j"), F.col("owner").alias("sidx")), ["key", "j"])
+    timed = pairs.withColumnRenamed("key", "episode_id").join(h.select("episode_id", "line_idx", "times"), ["episode_id", "line_idx"]).withColumn("time", F.get("times", F.col("t")))
+    return timed.select("episode_id", F.col("line_idx").cast("int").alias("line_idx"), F.col("sidx").cast("int").alias("sidx"), F.col("time.s").cast("double").alias("s"), F.col("time.e").cast("double").alias("e"))
 
 
 def best_lines(matches: DataFrame, heard: DataFrame) -> DataFrame:
@@ -77,49 +65,70 @@ def anchored_spans(matches: DataFrame, script: DataFrame, least: float = MATCH)
     return x.select("episode_id", "sidx", round_to("onset", 3).alias("onset"), round_to(F.greatest("end", F.col("onset") + 0.3), 3).alias("end"), "n")
 
 
-_WORD = re.compile("[a-z']+")
-
-
-def _bag(text: str | None) -> set[str]:
-    return {w for w in _WORD.findall((text or "").lower()) if len(w) > 1}
-
-
-def _alike(a: set[str], b: set[str]) -> float:
-    return len(a & b) / len(a | b) if a and b else 0.0
+def _gap_candidates(lines: DataFrame, script: DataFrame) -> DataFrame:
+    """Unmatched lines of (episode_id, line_idx, en, sidx) with ``run``, the line at which their run of unmatched lines begins,
+    ``prev`` and ``next``, the matched script lines around the run, ``last``, the script's last line, and ``found``, the script lines
+    in between with (j, score) that can matter: the likeness of the best has to reach NEAR and lead by LEAD, so no score under
+    the difference of both changes anything."""
+    order = W.partitionBy("episode_id").orderBy("line_idx")
+    back, ahead = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    x = lines.select("episode_id", "line_idx", "en", "sidx").withColumns({"prev": F.last("sidx", ignorenulls=True).over(back), "next": F.first("sidx", ignorenulls=True).over(ahead)})
+    x = x.withColumn("run", F.coalesce(F.last(F.when(F.col("sidx").isNotNull(), F.col("line_idx")), ignorenulls=True).over(back), F.lit(-1))).where("sidx is null").drop("sidx")
+    x = x.join(script.groupBy("episode_id").agg((F.count(F.lit(1)) - 1).cast("int").alias("last")), "episode_id")
+    bag = lambda c: F.array_distinct(norm_words(c))
+    lo, hi = F.greatest(F.coalesce("prev", F.lit(0)), F.lit(0)), F.least(F.coalesce("next", F.col("last") + 1), "last")
+    runs = x.select("episode_id", "run", lo.alias("lo"), hi.alias("hi")).distinct().where("lo <= hi")
+    # an inverted index of the script lines that a run of unmatched lines may take, and of its own lines
+    place = F.row_number().over(W.partitionBy("episode_id").orderBy("sidx")) - 1
+    said = script.select("episode_id", place.alias("j"), bag("text").alias("words"))
+    said = runs.withColumn("j", F.explode(F.sequence("lo", "hi"))).join(said, ["episode_id", "j"]).select("episode_id", "run", "j", F.size("words").alias("m"), F.explode("words").alias("word"))
+    heard = x.select("episode_id", "run", "line_idx", bag("en").alias("words")).select("episode_id", "run", "line_idx", F.size("words").alias("n"), F.explode("words").alias("word"))
+    both = heard.join(said, ["episode_id", "run", "word"]).groupBy("episode_id", "line_idx", "j", "n", "m").agg(F.count(F.lit(1)).alias("c"))
+    scored = both.withColumn("score", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).where(F.col("score") > NEAR - LEAD - 1e-9)
+    return x.join(scored.groupBy("episode_id", "line_idx").agg(F.collect_list(F.struct("j", "score")).alias("found")), ["episode_id", "line_idx"], "left")
+
+
+def _fill_run(prev: int | None, after: int | None, last: int, found: list[list[tuple[int, float]]]) -> list[int | None]:
+    """What the lines of one run take, in order; each one taken opens the interval of the next."""
+    out: list[int | None] = []
+    for candidates in found:
+        lo, hi = max(prev if prev is not None else 0, 0), min(last, after if after is not None else last)
+        ranked = sorted(((score, j) for j, score in candidates if lo <= j <= hi), reverse=True)[:2]
+        take = None
+        if ranked and ranked[0][0] >= NEAR and ranked[0][0] >= (ranked[1][0] if len(ranked) > 1 else 0.0) + LEAD:
+            take = ranked[0][1]
+        elif lo <= hi and prev is not None and after is not None and after - prev in (0, 2):
+            take = (prev + after) // 2
+        prev = take if take is not None else prev
+        out.append(take)
+    return out
 
 
 def fill_gaps(lines: DataFrame, script: DataFrame) -> DataFrame:
     """(episode_id, line_idx, sidx) with gaps filled where the script leaves little doubt.
 
     ``lines`` has episode_id, line_idx, en, sidx (null: unmatched). An unmatched line looks between the script lines
-    before (filled ones count) and after it: the clearly most similar one, else the one line that is missing there,
-    else the line that both sides are part of."""
-
-    def fill(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a = a.sort_values("line_idx", kind="stable")
-        found = [None if pd.isna(x) else int(x) for x in a["sidx"]]
-        script_bags = [_bag(t) for t in b.sort_values("sidx", kind="stable")["text"]]
-        ahead, following = None, []
-        for x in reversed(found):
-            following.append(ahead)
-            ahead = x if x is not None else ahead
-        last = None
-        for i, (en, after) in enumerate(zip(a["en"], reversed(following), strict=True)):
-            if found[i] is None:
-                lo, hi = max(last if last is not None else 0, 0), min(len(script_bags) - 1, after if after is not None else len(script_bags))
-                bag = _bag(en)
-                ranked = sorted(((_alike(bag, script_bags[j]), j) for j in range(lo, hi + 1)), reverse=True)[:2]
-                if ranked and ranked[0][0] >= NEAR and ranked[0][0] >= (ranked[1][0] if len(ranked) > 1 else 0) + LEAD:
-                    found[i] = ranked[0][1]
-                elif ranked and None not in (last, after) and after - last in (0, 2):
-                    found[i] = (last + after) // 2
-            last = found[i] if found[i] is not None else last
-        out = pd.DataFrame({"episode_id": a["episode_id"], "line_idx": a["line_idx"]})
-        out["sidx"] = pd.array(found, dtype="Int32")
-        return out
-
-    cols = lines.select("episode_id", "line_idx", "en", "sidx")
-    return cols.groupBy("episode_id").cogroup(script.select("episode_id", "sidx", "text").groupBy("episode_id")).applyInPandas(fill, "episode_id string, line_idx int, sidx int")
+    before (filled ones count) and after it: the clearly most similar one (the later one of equals), else the one line that is
+    missing there, else the line that both sides are part of. ``sidx`` counts the script's lines from 0. Episodes without a
+    script stay as they are.
+
+    Scores come from joins; only the lines of one run between two matches, with the few script lines that are near enough,
+    are gone through in order."""
+    open_lines = _gap_candidates(lines, script)
+    kind = lines.schema["episode_id"].dataType.simpleString()
+    line = F.struct("line_idx", F.coalesce("found", F.array().cast("array<struct<j:int,score:double>>")).alias("found"))
+    runs = open_lines.groupBy("episode_id", "run").agg(F.first("prev").alias("prev"), F.first("next").alias("next"), F.first("last").alias("last"), F.array_sort(F.collect_list(line)).alias("lines"))
+
+    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for episode, prev, after, last, rows in part.itertuples(index=False):
+                got = _fill_run(None if pd.isna(prev) else int(prev), None if pd.isna(after) else int(after), int(last), [[(f["j"], f["score"]) for f in r["found"]] for r in rows])
+                out += [(episode, r["line_idx"], j) for r, j in zip(rows, got, strict=True) if j is not None]
+            yield pd.DataFrame(out, columns=["episode_id", "line_idx", "filled"])
+
+    filled = runs.select("episode_id", "prev", "next", "last", "lines").mapInPandas(fill, f"episode_id {kind}, line_idx int, filled int")
+    return lines.join(filled, ["episode_id", "line_idx"], "left").select("episode_id", "line_idx", F.coalesce("sidx", "filled").alias("sidx"))
 
 
 def align(heard: DataFrame, script: DataFrame) -> tuple[DataFrame, DataFrame]:

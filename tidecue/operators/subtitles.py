@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import CHARS_PER_SECOND, chunk_by_two, round_to, srt_time, strip, wrap_cjk
+from ..plans.stages import cut
 from ..sources.profiles import Profile
 from .attribute import fallback_speaker
+from .lookup import NUMBERS, SECONDS, asof, numbered
 from .timeline import MIN_GAP, largest_quiet
 
 COVERAGE, MIN_DUR, MAX_DUR = 0.35, 1.0, 3.5
@@ -50,12 +52,21 @@ def missing_lines(script: DataFrame, transcript: DataFrame, spans: DataFrame, pr
     )
 
 
+def script_order(script: DataFrame) -> DataFrame:
+    """``script`` with its lines numbered anew (line_idx) by (start, sidx), those without a sidx last among equal starts; lines that are
+    equal in both keep the order of the line_idx they had. Lines are numbered by stretches of time."""
+    if "line_idx" not in script.columns:
+        script = script.withColumn("line_idx", F.lit(None).cast("int"))
+    by = ["start", F.col("sidx").asc_nulls_last(), F.col("line_idx").asc_nulls_last()]
+    x = numbered(script, ["episode_id"], by, F.col("start"), "__n", cell=SECONDS)
+    return x.withColumn("line_idx", F.col("__n").cast("int")).drop("__n", "__n_of")
+
+
 def insert_missing(script: DataFrame, transcript: DataFrame, spans: DataFrame, profile: Profile) -> DataFrame:
     """The script with the missing lines, numbered anew by (start, sidx)."""
     added = missing_lines(script, transcript, spans, profile)
-    x = script.drop("line_idx").unionByName(added, allowMissingColumns=True).withColumn("fallback", F.coalesce("fallback", F.lit(False)))
-    order = W.partitionBy("episode_id").orderBy("start", F.col("sidx").asc_nulls_last())
-    return x.withColumn("line_idx", F.row_number().over(order) - 1)
+    x = script.unionByName(added, allowMissingColumns=True).withColumn("fallback", F.coalesce("fallback", F.lit(False)))
+    return script_order(x)
 
 
 def placed_by_sidx(placed: DataFrame) -> DataFrame:
@@ -67,32 +78,31 @@ def _text() -> Column:
 
 
 def place_fallbacks(script: DataFrame, placed: DataFrame, silences: DataFrame, totals: DataFrame) -> DataFrame:
-    """(episode_id, start, end, zh) of the fallback lines: in even slots of the largest silence between the placed lines
-    around them; where nothing is placed, at their provisional times."""
+    """(episode_id, start, end, zh, line_idx) of the fallback lines: in even slots of the largest silence between the placed lines
+    around them, in the order of (sidx, line_idx); where nothing is placed, at their provisional times, if they have a text.
+
+    ``placed`` has one row (episode_id, sidx, p0, p1) for each placed script line. The lines between the same two placed ones
+    share a gap; it may end before it starts, or hold no silence. Neighbours are looked up and lines numbered by cells of
+    script lines, so a long gap is split like any other rows."""
     rows = script.where("fallback").select("episode_id", "line_idx", "sidx", "start", "end", _text().alias("text"))
-    any_placed = placed.select("episode_id").distinct().withColumn("some", F.lit(True))
-    rows = rows.join(any_placed, "episode_id", "left").withColumn("free", F.col("sidx").isNull() | F.col("some").isNull())
-    anchor = placed.select("episode_id", "sidx", F.lit(None).cast("int").alias("line_idx"), "p0", "p1", F.lit("").alias("text"), F.lit(0).alias("side"))
-    null = F.lit(None).cast("double")
-    x = rows.where("not free").select("episode_id", "sidx", "line_idx", null.alias("p0"), null.alias("p1"), "text", F.lit(1).alias("side")).unionByName(anchor)
-    # anchors after the lines of the same sidx: a line's own number counts as the anchor behind it
-    w = W.partitionBy("episode_id").orderBy("sidx", F.desc("side"), "line_idx")
-    x = x.withColumns({
-        "prev": F.last("p1", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), "next": F.first("p0", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)),
-        "group": F.count("p0").over(w.rowsBetween(W.unboundedPreceding, 0)),
-    }).where("side = 1").join(totals, "episode_id")
-    x = x.withColumns({"lo": F.coalesce(F.col("prev") + MIN_GAP, F.lit(0.0)), "hi": F.coalesce(F.col("next") - MIN_GAP, "total")})
-    g = x.groupBy("episode_id", "group").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
+    any_placed = placed.where("sidx is not null").select("episode_id").distinct().withColumn("some", F.lit(True))
+    rows = cut(rows.join(any_placed, "episode_id", "left").withColumn("free", F.col("sidx").isNull() | F.col("some").isNull()).drop("some"))
+    near = {"mark": "sidx", "cell": NUMBERS}
+    x = asof(rows.where("not free"), placed, F.col("sidx"), "before", value=F.struct("sidx", "p1"), strict=True, **near)
+    x = asof(x, placed, F.col("sidx"), "behind", value=F.struct("sidx", "p0"), forward=True, **near)
+    x = x.select("episode_id", "line_idx", "sidx", "text", F.col("before.sidx").alias("after_sidx"), (F.col("before.p1") + MIN_GAP).alias("lo"), (F.col("behind.p0") - MIN_GAP).alias("hi"))
+    x = x.join(totals.select("episode_id", "total"), "episode_id").withColumns({"after_sidx": F.coalesce("after_sidx", F.lit(-1)), "lo": F.coalesce("lo", F.lit(0.0)), "hi": F.coalesce("hi", "total")})
+    x = cut(numbered(x, ["episode_id", "after_sidx"], ["sidx", "line_idx"], F.col("sidx"), "k"))
+    g = x.groupBy("episode_id", "after_sidx").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
     g = g.withColumn("hi", F.when(F.col("hi") <= F.col("lo"), F.col("lo") + MIN_DUR * F.col("n")).otherwise(F.col("hi")))
-    g = largest_quiet(g, silences, ["episode_id", "group"])
-    x = x.drop("lo", "hi").join(g, ["episode_id", "group"])
-    k = F.row_number().over(W.partitionBy("episode_id", "group").orderBy("sidx", "line_idx")) - 1
+    g = largest_quiet(g, silences, ["episode_id", "after_sidx"])
+    x = x.drop("lo", "hi").join(g, ["episode_id", "after_sidx"])
     slot = F.greatest(F.col("hi") - F.col("lo"), F.lit(0.0)) / F.col("n")
     want = F.when(F.col("text") != "", F.greatest(F.lit(MIN_DUR), F.least(F.lit(MAX_DUR), F.length("text") / CHARS_PER_SECOND))).otherwise(MIN_DUR)
-    x = x.withColumns({"st": F.col("lo") + k * slot, "len": F.least(want, F.greatest(slot - MIN_GAP, F.lit(MIN_DUR)))})
-    even = x.select("episode_id", round_to("st", 3).alias("start"), round_to(F.greatest(F.col("st") + F.col("len"), F.col("st") + MIN_DUR), 3).alias("end"), F.col("text").alias("zh"))
+    x = x.withColumns({"st": F.col("lo") + F.col("k") * slot, "len": F.least(want, F.greatest(slot - MIN_GAP, F.lit(MIN_DUR)))})
+    even = x.select("episode_id", round_to("st", 3).alias("start"), round_to(F.greatest(F.col("st") + F.col("len"), F.col("st") + MIN_DUR), 3).alias("end"), F.col("text").alias("zh"), "line_idx")
     own = rows.where("free and text <> ''").withColumn("e", F.greatest(F.coalesce("end", F.col("start") + MIN_DUR), F.col("start") + MIN_DUR))
-    return even.unionByName(own.select("episode_id", round_to("start", 3).alias("start"), round_to("e", 3).alias("end"), F.col("text").alias("zh")))
+    return even.unionByName(own.select("episode_id", round_to("start", 3).alias("start"), round_to("e", 3).alias("end"), F.col("text").alias("zh"), "line_idx"))
 
 
 def retained(script: DataFrame, placed: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, norm_words, round_to
+from ..plans.stages import cut
+from .lookup import NUMBERS, asof, running_most
 
 #: Seconds: air between lines, pause that splits a speech, drift allowed, bridged pause. Greatest speed-up.
 MIN_GAP, SPLIT_GAP, MAX_LAG, BRIDGE, MAX_SPEEDUP = 0.12, 2.0, 4.0, 1.0, 1.6
@@ -14,11 +16,6 @@ _TINY = 1e-6
 _INTERVALS = "array<struct<s:double,e:double>>"
 
 
-def interval_arrays(intervals: DataFrame, name: str, key: str = "episode_id") -> DataFrame:
-    """Each key's intervals as one sorted array; an episode's silences are few, and joins on the key need no range."""
-    return intervals.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("s").cast("double").alias("s"), F.col("e").cast("double").alias("e")))).alias(name))
-
-
 def overlap_end(lines: DataFrame, regions: DataFrame, key: str = "episode_id", slack: float = 0.4, cell: float = 60.0) -> DataFrame:
     """Adds ``reach``: ``end`` of each (key, line_idx, onset, end, next_onset) moved to where the speech that meets it ends,
     not past the next onset and never inward. The condition has the line's own end only, so a plain maximum does. The
@@ -74,31 +71,49 @@ def raw_windows(lines: DataFrame) -> DataFrame:
     return x.withColumn("onset", onset).withColumn("word_end", F.greatest(end, F.col("onset") + 0.3)).drop("__w")
 
 
+def quiet_stretches(silences: DataFrame, key: str = "episode_id") -> DataFrame:
+    """(key, s, e, reach, upto) of distinct silences, in the order of (s, e): ``reach`` is the latest end so far, ``upto`` the end of
+    the stretch of adjoining silences that each one lies in. Silences may overlap."""
+    x = silences.where("s is not null and e is not null").select(key, F.col("s").cast("double").alias("s"), F.col("e").cast("double").alias("e"))
+    x = cut(running_most(cut(x.distinct()), ["s", "e"], "e", "reach", key=key))
+    # a stretch begins where all silences that start earlier are over
+    x = asof(x, x, F.col("s"), "__over", key=key, mark="s", tie=("reach",), value=F.col("reach"), strict=True)
+    begins = x.where("__over is null or s - 1e-6 > __over").select(key, F.col("s").alias("t")).distinct()
+    x = asof(x.drop("__over"), begins, F.col("s"), "stretch", key=key, value=F.col("t"))
+    return x.join(x.groupBy(key, "stretch").agg(F.max("e").alias("upto")), [key, "stretch"]).drop("stretch")
+
+
 def line_windows(lines: DataFrame, silences: DataFrame, totals: DataFrame, speech: DataFrame | None = None) -> DataFrame:
     """(episode_id, line_idx, onset, word_end, quiet_before, quiet_after): each line's true window. Its end goes out to the
-    end of the speech it is in, then the window is moved out of silences, in their order."""
-    x = raw_windows(lines).join(interval_arrays(silences, "sil"), "episode_id", "left").join(totals, "episode_id", "left")
-    x = x.withColumns({"sil": F.coalesce("sil", F.array().cast(_INTERVALS)), "next": F.coalesce(F.lead("onset").over(W.partitionBy("episode_id").orderBy("line_idx")), "total")})
+    end of the speech it is in, then the window is moved out of silences: an onset to the end of its stretch of adjoining
+    silences, an end back to where the silence it lies in starts, or the first one after the onset.
+
+    All that a line needs of silences and speech are lookups by place, in sorted running values; no episode's silences are
+    held together. Silences and speech may overlap and repeat; a line of an episode without any keeps its words' window, and
+    one of an episode without a total has no ``quiet_after`` unless a silence follows."""
+    x = raw_windows(lines).select("episode_id", "line_idx", F.col("onset").cast("double").alias("onset"), F.col("word_end").cast("double").alias("word_end"))
+    # the next line by number, not by time
+    x = asof(x, x.select("episode_id", F.col("line_idx").alias("t"), "onset"), F.col("line_idx"), "next", value=F.col("onset"), forward=True, strict=True, cell=NUMBERS)
+    x = x.join(totals.select("episode_id", "total"), "episode_id", "left").withColumn("next", F.coalesce("next", "total"))
     if speech is not None:
-        x = x.join(interval_arrays(speech, "reg"), "episode_id", "left")
-        far = F.aggregate(F.coalesce("reg", F.array().cast(_INTERVALS)), F.col("word_end"), lambda a, r: F.when((r["e"] > F.col("onset")) & (r["s"] < F.col("word_end") + 0.4), F.greatest(a, r["e"])).otherwise(a))
-        x = x.withColumn("word_end", F.when(F.size("reg") > 0, F.greatest(F.least(far, "next"), "word_end")).otherwise(F.col("word_end")))
-
-    def nudge(a: Column, r: Column) -> Column:
-        o = F.when((r["s"] - _TINY <= a["o"]) & (a["o"] < r["e"]), r["e"]).otherwise(a["o"])
-        return F.struct(o.alias("o"), F.when((r["s"] < a["w"]) & (a["w"] <= r["e"] + _TINY), r["s"]).otherwise(a["w"]).alias("w"))
-
-    x = x.withColumn("ow", F.aggregate("sil", F.struct(F.col("onset").alias("o"), F.col("word_end").alias("w")), nudge))
-    x = x.withColumns({"onset": F.col("ow.o"), "word_end": F.col("ow.w")})
-    inner = F.get(F.filter("sil", lambda r: (F.col("onset") < r["s"]) & (r["s"] < F.col("word_end"))), F.lit(0))["s"]
-    x = x.withColumn("word_end", F.greatest(F.coalesce(inner, "word_end"), F.col("onset") + 0.3))
-    # up to the first silence that ends later
-    late = F.filter(F.sequence(F.lit(0), F.size("sil")), lambda i: F.coalesce(F.get("sil", i)["e"] > F.col("onset") + _TINY, F.lit(True)))
-    before = F.get("sil", F.get(late, F.lit(0)) - 1)["e"]
-    before = F.when(F.get(late, F.lit(0)) > 0, before).otherwise(0.0)
-    after = F.get(F.filter("sil", lambda r: r["s"] >= F.col("word_end") - _TINY), F.lit(0))["s"]
+        regions = cut(running_most(cut(speech.where("s is not null and e is not null").select("episode_id", F.col("s").cast("double").alias("s"), F.col("e").cast("double").alias("e"))), ["s", "e"], "e", "reach"))
+        # of all speech that starts before the end, the latest end; if it lies before the line, it changes nothing
+        x = asof(x, regions, F.col("word_end") + 0.4, "far", mark="s", tie=("reach",), value=F.col("reach"), strict=True)
+        x = x.join(regions.select("episode_id").distinct().withColumn("some", F.lit(True)), "episode_id", "left")
+        far = F.greatest(F.least(F.greatest(F.coalesce("far", "word_end"), "word_end"), F.coalesce("next", "word_end")), "word_end")
+        x = x.withColumn("word_end", F.when(F.col("some"), far).otherwise(F.col("word_end"))).drop("far", "some")
+    quiet = cut(quiet_stretches(silences))
+    early, late = quiet.withColumn("t", F.col("s") - _TINY), quiet.withColumn("t", F.col("reach") + _TINY)
+    x = asof(x, early, F.col("onset"), "at", tie=("s",), value=F.col("upto"))
+    x = asof(x, late, F.col("word_end"), "over", tie=("s",), value=F.col("s"), forward=True)
+    x = x.withColumns({"onset": F.greatest("onset", "at"), "word_end": F.when(F.col("over") < F.col("word_end"), F.col("over")).otherwise(F.col("word_end"))})
+    x = asof(x, quiet.withColumn("t", F.col("s")), F.col("onset"), "inner", value=F.col("s"), forward=True, strict=True)
+    x = x.withColumn("word_end", F.greatest(F.when(F.col("inner") < F.col("word_end"), F.col("inner")).otherwise(F.col("word_end")), F.col("onset") + 0.3))
+    # the silence before the first one that ends later
+    x = asof(x, quiet.withColumn("t", F.col("reach")), F.col("onset") + _TINY, "before", tie=("s", "e"), value=F.struct("s", "e"))
+    x = asof(x, quiet.withColumn("t", F.col("s")), F.col("word_end") - _TINY, "after", value=F.col("s"), forward=True)
     r4 = lambda c, name: round_to(c, 4).alias(name)
-    return x.select("episode_id", "line_idx", r4(F.col("onset"), "onset"), r4(F.col("word_end"), "word_end"), r4(before, "quiet_before"), r4(F.coalesce(after, "total"), "quiet_after"))
+    return x.select("episode_id", "line_idx", r4(F.col("onset"), "onset"), r4(F.col("word_end"), "word_end"), r4(F.coalesce("before.e", F.lit(0.0)), "quiet_before"), r4(F.coalesce("after", "total"), "quiet_after"))
 
 
 def mark_islands(rows: DataFrame, key: str = "episode_id", order: str = "line_idx") -> DataFrame:
