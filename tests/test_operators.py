@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 from difflib import SequenceMatcher
 
@@ -185,7 +186,7 @@ def test_missing_lines_and_fallback_subtitles(spark):
     placed = spark.createDataFrame([("e", 0, 0, 0.0, 1.0, "甲"), ("e", 2, 2, 5.0, 6.0, "乙")], "episode_id string, line_idx int, sidx int, start double, end double, zh string")
     sil = spark.createDataFrame([("e", 2.0, 4.0)], "episode_id string, s double, e double")
     t = spark.createDataFrame([("e", 10.0)], "episode_id string, total double")
-    free = subtitles.place_fallbacks(both, subtitles.placed_by_sidx(placed), sil, t)
+    free = subtitles.place_fallbacks(both, subtitles.placed_by_sidx(placed), sil, t).drop("line_idx")
     ((_, s, e, zh),) = rows(free)
     assert zh == "text number 1" and s == 2.0 and e == pytest.approx(3.88)
     table = subtitles.subtitle_table(placed, free, subtitles.retained(both, placed.limit(1)))
@@ -261,13 +262,48 @@ def test_voice_maps_and_guests(spark):
     text = "M " + "a1" * 12 + "\n# F " + "b" * 24 + "\n女 学生 " + "c" * 24 + "\nx " + "d" * 24 + "\nF short"
     parsed = voices.parse_guest_pool(spark.createDataFrame([(text,)], "text string"))
     assert [r[1:] for r in rows(parsed, "pos")] == [("MALE", "a1" * 12), ("FEMALE", "c" * 24)]
-    ring = [("FEMALE", v, 0) for v in ("a", "b", "c")]
-    args = ({}, {}, {"OtherFemale": "g", "OtherMale": "g"})
-    first = voices.assign_guests(["Dora", "Emma", "Skip", ""], {}, ring, {"c"}, *args)
-    assert set(first) == {"Dora", "Emma"} and set(first.values()) == {"a", "b"}
-    assert voices.assign_guests(["Dora", "Fia"], first, ring, {"c"}, *args)["Dora"] == first["Dora"]
-    assert voices.assign_guests(["Dora"], {"Dora": "a"}, ring, set(), {}, {"a": 400.0}, {})["Dora"] != "a"
-    assert voices.assign_guests(["Zed"], {}, [], set(), {}, {}, {}) == {}
+
+
+def served_by_a_loop(names, known, pool, reserved, genders, f0, generic):
+    """One guest after the other, by name; what one takes, the next ones do not get."""
+    out = {n: v for n, v in known.items() if f0.get(v) is None or f0[v] <= 300}
+    taken = set(out.values())
+    for name in sorted({n for n in names if n and n != "Skip"} - set(out)):
+        woman = (genders.get(name) or ("FEMALE" if name.lower().endswith(("a", "ie", "y", "elle", "ine")) else "MALE")) == "FEMALE"
+        lists = [[v for _, _, v in sorted((s, p, v) for g, v, s, p in pool if g == of)] for of in (("FEMALE", "MALE") if woman else ("MALE", "FEMALE"))]
+        fit = [v for v in lists[0] or lists[1] if v not in reserved and (f0.get(v) is None or f0[v] <= 300)]
+        open_ = [v for v in fit if v not in taken] or fit
+        pick = open_[int(hashlib.sha1(name.encode()).hexdigest(), 16) % len(open_)] if open_ else generic.get("OtherFemale" if woman else "OtherMale", "")
+        if pick:
+            out[name] = pick
+            taken.add(pick)
+    return out
+
+
+def test_guests_are_served_as_in_a_row(spark):
+    rng, want, tables = random.Random(8), set(), {k: [] for k in ("names", "pool", "known", "reserved", "genders", "generic")}
+    people = ["Dora", "Emma", "Skip", "", "Zed", "Bo", "Amy", "Ine", "Élan", "Kyle", "Max", "Gus", "Rosie", "Abel"] + [f"Guest {i}" for i in range(30)]
+    for show in map(str, range(40)):
+        voices_ = [f"v{i}" for i in range(rng.randint(0, 12))]
+        pool = [(rng.choice(["MALE", "FEMALE"] if rng.random() < 0.8 else ["MALE"]), v, rng.randint(0, 1), i) for i, v in enumerate(voices_)]
+        pool += [("FEMALE", v, 1, 50) for v in voices_[:1] if rng.random() < 0.4]  # the same voice for both
+        f0 = {v: rng.choice([None, 200.0, 300.0, 400.0]) for v in voices_}
+        names, reserved = rng.sample(people, rng.randint(0, len(people))), {v for v in voices_ if rng.random() < 0.2}
+        known = {n: rng.choice(voices_) for n in people[4:9] if voices_ and rng.random() < 0.3}
+        genders = {n: rng.choice(["MALE", "FEMALE", ""]) for n in names if rng.random() < 0.4}
+        generic = {"OtherMale": "g1", "OtherFemale": rng.choice(["g2", "", *voices_])} if rng.random() < 0.7 else {}
+        want |= {(show, *x) for x in served_by_a_loop(names, known, pool, reserved, genders, f0, generic).items()}
+        tables["names"] += [(show, n) for n in names]
+        tables["pool"] += [(show, *x, f0[x[1]]) for x in pool]
+        tables["known"] += [(show, *x) for x in known.items()]
+        tables["reserved"] += [(show, v) for v in reserved]
+        tables["genders"] += [(show, *x) for x in genders.items()]
+        tables["generic"] += [(show, *x) for x in generic.items()]
+    schemas = {"names": "speaker string", "pool": "gender string, voice string, source int, pos int, f0 double", "known": "speaker string, voice string", "reserved": "voice string", "genders": "speaker string, gender string", "generic": "speaker string, voice string"}
+    frames = {k: spark.createDataFrame(v, f"show string, {schemas[k]}") for k, v in tables.items()}
+    got = [tuple(r) for r in voices.guest_voices(**frames).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert voices.guest_voices(**{k: v.limit(0) for k, v in frames.items()}).count() == 0
 
 
 def test_clips_try_the_backup_voice(spark):

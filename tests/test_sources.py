@@ -37,10 +37,18 @@ PLAIN = "<p>ANN: Hello there</p><p>more of it</p><p>[Scene]</p><p>lost</p><p>BOB
 
 
 def test_pages(spark):
-    assert pages.bold_dialogue(BOLD.split("</script>")[1]) == [{"speaker": "Ann", "text": "It is really good & new."}, {"speaker": "Bob", "text": "Yes ."}]
-    assert pages.plain_dialogue(PLAIN) == [{"speaker": "ANN", "text": "Hello there more of it"}, {"speaker": "BOB O'NEIL", "text": "Hi"}]
-    assert pages.page_dialogue(PLAIN) == pages.plain_dialogue(PLAIN) and pages.page_dialogue(None) == []
+    table = lambda text: spark.createDataFrame([("e", text)], "page_id string, html string")
+    said = lambda x: [(r["speaker"], r["text"]) for r in x.orderBy("n").collect()]
+    bold, plain = [("Ann", "It is really good & new."), ("Bob", "Yes .")], [("ANN", "Hello there more of it"), ("BOB O'NEIL", "Hi")]
+    assert said(pages.bold_dialogue(table(BOLD))) == bold and said(pages.plain_dialogue(table(PLAIN))) == plain
+    assert [(r["speaker"], r["text"]) for r in pages.page_dialogue(table(PLAIN)).orderBy("sidx").collect()] == plain
+    assert pages.page_dialogue(table(None)).count() == 0 and pages.page_dialogue(table("")).count() == 0
     assert lines(transcripts.parse_pages(raw(spark, BOLD))) == [(0, "Ann", "It is really good & new."), (1, "Bob", "Yes .")]
+    # nesting, closing tags too many, a label with its colon inside, comments, an endless script, entities that hold marks
+    odd = "</b></strong><b>Ann: </b>one<!-- <b>No:</b> --> <b>t<strong>w</strong>o</b> &lt;three&gt;<br>four</b><b>Bob</b> : five &#65;<B>Too: many:</B> six<b></b><b>Cid</b>x<script><b>Dee:</b> gone"
+    assert said(pages.bold_dialogue(table(odd))) == [("Ann", "one two <three> four"), ("Bob", "five AToo: many: sixCidx")]
+    lost = "<p>ANN:</p><p>BOB: (nods)</p>SCENE: no name<br>MARY-LOU: a\x0bb&amp;amp;c<br>(aside)<br>more<br>X: short name"
+    assert said(pages.plain_dialogue(table(lost))) == [("MARY-LOU", "a b&c")]
 
 
 def test_local_folder_and_build_once(spark, tmp_path):
@@ -133,13 +141,13 @@ def ordered_rows(table):
 def test_registered_queries_agree_with_sql(spark):
     import duckdb
 
-    from tidecue.plans import catalog, dialogue, sequences
+    from tidecue.plans import catalog, dialogue, episodes, sequences
 
-    queries = catalog.QUERIES | dialogue.QUERIES | sequences.QUERIES
+    queries = catalog.QUERIES | dialogue.QUERIES | episodes.QUERIES | sequences.QUERIES
     sf, db = "/root/testdata/sf0.001", duckdb.connect()
     for f in sorted(Path(sf).glob("*.parquet")):
         db.sql(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
-    for name, sql in (catalog.ORACLES | dialogue.ORACLES | sequences.ORACLES).items():
+    for name, sql in (catalog.ORACLES | dialogue.ORACLES | episodes.ORACLES | sequences.ORACLES).items():
         got, want = queries[name](spark, sf).toPandas(), db.sql(sql).df()
         assert sorted(got.columns) == sorted(want.columns), name
         got, want = ordered_rows(got), ordered_rows(want)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,13 +52,24 @@ def test_fit_key_and_fingerprint(spark):
     assert text.fingerprint({"b": 1, "a": [2]}) == text.fingerprint({"a": [2], "b": 1})
 
 
-def test_wrapping_keeps_every_character_and_breaks_after_marks():
-    for s in ("短", "一二三四五六七八九十一二三四五，六七八九十", "abc" * 20, "x，" * 30, ""):
-        lines = text.wrap_line(s)
-        assert "".join(lines) == s.replace(" ", "")
-        assert all(len(x) <= 18 for x in lines)
-    assert text.wrap_line("一二三四五六七八九十一二三四五，六七八九十")[0].endswith("，")
-    assert text.wrap_line("一" * 18) == ["一" * 18]
+def wrapped_by_a_loop(text, width):
+    rest, lines = (text or "").strip(), []
+    if len(rest) <= width:
+        return [rest]
+    while len(rest) >= width:
+        marks = [k for k in range(width - 5, width) if rest[k - 1] in "，。！？、；：,.!?;… "]
+        at = marks[-1] if marks else width
+        lines.append(rest[:at].strip())
+        rest = rest[at:]
+    return [x for x in [*lines, rest.strip()] if x]
+
+
+def test_wrapping_keeps_every_character_and_breaks_after_marks(spark):
+    rng = random.Random(5)
+    texts = ["短", "一二三四五六七八九十一二三四五，六七八九十", "abc" * 20, "x，" * 30, "", None, " " * 40, "一" * 18, "一" * 19, "😀" * 40, "𠀀，" * 30, "a" * 5000]
+    texts += ["".join(rng.choice("一二ab, ，。😀\n") for _ in range(rng.randint(0, 90))) for _ in range(300)]
+    assert column(spark, texts, text.wrap_cjk("x")) == [wrapped_by_a_loop(s, 18) for s in texts]
+    assert column(spark, ["abcdefghij, klm"], text.wrap_cjk("x", 8)) == [wrapped_by_a_loop("abcdefghij, klm", 8)]
 
 
 def test_screens_of_two_lines(spark):

@@ -9,7 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 #: Spoken Mandarin characters in a second, and the least budget of a line.
 CHARS_PER_SECOND, MIN_BUDGET = 4.6, 4
@@ -117,24 +117,31 @@ def fit_key(identity: Column | str, tempo: Column | str) -> Column:
 BREAKS = "，。！？、；：,.!?;… "
 
 
-def wrap_line(text: str | None, width: int = 18) -> list[str]:
-    """Lines of up to ``width`` characters. A full line breaks after the last punctuation mark among its last five
-    characters but one, else where it is full."""
-    rest = (text or "").strip()
-    if len(rest) <= width:
-        return [rest]
-    lines = []
-    while len(rest) >= width:
-        marks = [k for k in range(width - 1, max(width - 6, 0), -1) if rest[k - 1] in BREAKS]
-        cut = marks[0] if marks else width
-        lines.append(rest[:cut].strip())
-        rest = rest[cut:]
-    return [x for x in [*lines, rest.strip()] if x]
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def wrap_cjk(s: pd.Series) -> pd.Series:
-    return s.map(wrap_line)
+def wrap_cjk(c: Column | str, width: int = 18) -> Column:
+    """Lines of up to ``width`` characters, as an array. A full line breaks after the last punctuation mark among its last five
+    characters but one, else where it is full; lines of white space alone are left out. A text that fits is one line; null
+    is an empty one.
+
+    One fold over the characters: it keeps the open line and the finished ones."""
+    mark = lambda x, k: F.contains(F.lit(BREAKS), x.substr(k, 1))
+
+    def step(a: Column, ch: Column) -> Column:
+        line = F.concat(a["line"], ch)
+
+        def broken(full: Column) -> Column:
+            at = F.lit(width)
+            for k in range(max(width - 5, 1), width):
+                at = F.when(mark(full, k), F.lit(k)).otherwise(at)
+            return let(at, lambda k: F.struct(full.substr(k + 1, F.lit(width)).alias("line"), F.concat(a["done"], F.array(strip(full.substr(F.lit(1), k)))).alias("done")))
+
+        return F.when(F.length(line) >= width, let(line, broken)).otherwise(F.struct(line.alias("line"), a["done"].alias("done")))
+
+    def lines(text: Column) -> Column:
+        start = F.struct(F.lit("").alias("line"), F.array().cast("array<string>").alias("done"))
+        folded = F.aggregate(F.split(text, ""), start, step, lambda a: F.filter(F.concat(a["done"], F.array(strip(a["line"]))), lambda x: x != ""))
+        return F.when(F.length(text) <= width, F.array(text)).otherwise(folded)
+
+    return let(strip(F.coalesce(col(c), F.lit(""))), lines)
 
 
 def chunk_by_two(lines: Column | str) -> Column:

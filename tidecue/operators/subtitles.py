@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import CHARS_PER_SECOND, chunk_by_two, round_to, srt_time, strip, wrap_cjk
+from ..functions.text import CHARS_PER_SECOND, chunk_by_two, let, round_to, srt_time, strip, wrap_cjk
 from ..plans.stages import cut
 from ..sources.profiles import Profile
 from .attribute import fallback_speaker
@@ -124,12 +124,12 @@ def subtitle_table(*parts: DataFrame) -> DataFrame:
 
 def srt_cues(entries: DataFrame) -> DataFrame:
     """(episode_id, n, cue): SubRip cues of (episode_id, seq, start, end, zh); a long text is shown two lines at a time."""
-    x = entries.select("episode_id", "seq", "start", F.greatest(F.col("end") - F.col("start"), F.lit(0.4)).alias("span"), wrap_cjk(F.coalesce("zh", F.lit(""))).alias("lines"))
-    x = x.withColumn("screens", chunk_by_two("lines"))
+    x = entries.select("episode_id", "seq", "start", F.greatest(F.col("end") - F.col("start"), F.lit(0.4)).alias("span"), let(wrap_cjk("zh"), chunk_by_two).alias("screens"))
     x = x.select("*", F.posexplode("screens").alias("part", "text"))
     each = F.col("span") / F.size("screens")
     x = x.withColumn("st", F.col("start") + F.col("part") * each).withColumn("en", F.col("st") + each)
-    n = F.row_number().over(W.partitionBy("episode_id").orderBy("seq", "part"))
+    x = numbered(x, ["episode_id"], ["seq", "part"], F.col("seq"), "at")
+    n = F.col("at") + 1
     cue = F.concat(n.cast("string"), F.lit("\n"), srt_time("st"), F.lit(" --> "), srt_time("en"), F.lit("\n"), "text", F.lit("\n"))
     return x.select("episode_id", n.alias("n"), cue.alias("cue"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import attribute, identify, segments, subtitles, timeline, translate, vad, voices
-from ..sources.pages import parse_html
+from ..sources.pages import page_dialogue
 
 FLAGSHIP = "identify_document"
 DAY = 86400.0
@@ -314,8 +314,8 @@ def voice_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "pages")
-    u = parse_html(F.col("html"))
-    return p.select("page_id", F.size(u).alias("utterances"), F.length(text.clean_markup("html")).alias("text_chars"))
+    said = page_dialogue(p).groupBy("page_id").agg(F.count(F.lit(1)).alias("utterances"))
+    return p.select("page_id", F.length(text.clean_markup("html")).alias("text_chars")).join(said, "page_id", "left").select("page_id", F.coalesce("utterances", F.lit(0)).alias("utterances"), "text_chars")
 
 
 def pitch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

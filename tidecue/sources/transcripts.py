@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import valid_speaker
 from ..functions.text import clean_script_text, strip
 from ..plans.stages import build_once
-from .pages import parse_html
+from .pages import page_dialogue
 from .profiles import FORMATS, Transcripts
 
 #: A transcript with fewer lines was most likely read in the wrong format.
@@ -59,8 +59,7 @@ def parse_srt_with_speakers(raw: DataFrame) -> DataFrame:
 
 def parse_pages(raw: DataFrame) -> DataFrame:
     """Web pages."""
-    rows = raw.select("episode_id", parse_html(F.col("content")).alias("u"))
-    return rows.select("episode_id", F.posexplode("u").alias("sidx", "u")).select("episode_id", "sidx", "u.speaker", "u.text")
+    return page_dialogue(raw, "episode_id", "content")
 
 
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {"name_colon": parse_name_colon, "srt_with_speakers": parse_srt_with_speakers, "html": parse_pages}
