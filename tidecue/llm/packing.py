@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ._store import materialize
 
 BUCKETS, BUDGET = 8, 65536
-SHARD = 65536
 
 
 def word_count(text: Column | str) -> Column:
@@ -66,19 +65,19 @@ def pack(spark: SparkSession, rows: DataFrame, length: Column, buckets: int = BU
     batch: their bucket, batch, slot and padding are null. Rows may share a key or have a null one; equal rows are
     interchangeable. An empty table gives an empty result.
 
-    Only the histogram, a row for each distinct length, reaches the driver. Rows are numbered through hash shards of about SHARD rows whose offsets
-    add up the shard sizes, so a bucket with any share of the rows is never in one task.
+    Only the histogram, a row for each distinct length, reaches the driver. Rows are numbered within shards, the rows that one task measured, and
+    the table of lengths keeps each one's shard. Offsets add up the shards' sizes, so neither a bucket nor a key, a null
+    one included, with any share of the rows is ever in one task. Very long texts are rows like others: only their length goes on.
     """
-    sized = materialize(spark, rows.select(F.col(key).alias("doc_id"), length.cast("long").alias("n_tokens")), "lengths")
+    sized = materialize(spark, rows.select(F.col(key).alias("doc_id"), length.cast("long").alias("n_tokens"), F.spark_partition_id().alias("shard")), "lengths")
     live = sized.where("n_tokens > 0")
     bins = live.groupBy(F.col("n_tokens").alias("edge")).agg(F.count(F.lit(1)).alias("n")).orderBy("edge").collect()
     bounds = optimal_boundaries(np.array([r["edge"] for r in bins], dtype=np.int64), np.array([r["n"] for r in bins], dtype=np.int64), buckets)
     empty = [F.lit(None).cast("int").alias("bucket"), *[F.lit(None).cast("long").alias(c) for c in ("bucket_tokens", "batch", "slot", "padding")]]
     if not bounds:
         return sized.select("doc_id", "n_tokens", *empty)
-    shards = max(1, sum(r["n"] for r in bins) // SHARD)
     bucket = sum(((F.col("n_tokens") > b).cast("int") for b in bounds[:-1]), F.lit(0))
-    live = live.withColumns({"bucket": bucket, "shard": F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards))})
+    live = live.withColumn("bucket", bucket)
     before = W.partitionBy("bucket").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     offset = live.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("n")).select("bucket", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     place = F.row_number().over(W.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens")) - 1
