@@ -338,11 +338,11 @@ def test_boundaries_are_optimal():
             assert sum(min(y for y in b if y >= v) for v in x) == brute_buckets(x, k)
 
 
-def test_batches_hold_every_row_once_within_budget(spark, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD", 16)
+def test_batches_hold_every_row_once_within_budget(spark):
     rng = random.Random(3)
     rows = [(i, "a " * rng.choice([3, 4, 9, 30, 200]), "x") for i in range(200)] + [(7, "a a", "x"), (None, "a a a", "x"), (300, None, "x"), (301, " ", "x"), (302, "a " * 5000, "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, batch string")
+    rows += [(None, "a a a", "x")] * 90
+    df = spark.createDataFrame(rows, "doc_id long, text string, batch string").repartition(5)
     got = packing.pack(spark, df, packing.word_count("text"), buckets=3, budget=400).toPandas()
     live = got[got.n_tokens > 0]
     assert len(got) == len(rows) and len(live) == len(rows) - 2 and got[got.n_tokens == 0].bucket.isna().all()
@@ -447,3 +447,13 @@ def test_merges_equal_the_library():
     texts = ["  Hello  world\nfoo ", "", "a", "é日本🎉 x", "\tindent  twice", "q" * 300, "ab" * 200] + ["".join(rng.choice("etaoin shrdlu,.é\n") for _ in range(200)) for _ in range(100)]
     got = [np.frombuffer(x, np.int32).tolist() for (x,) in pieces.Encoder(m, ("merges",)).encode(texts)]
     assert got == library.encode(texts)
+
+
+def test_short_texts_make_small_blocks():
+    import pyarrow as pa
+
+    texts = ["", None, "a b", "x" * 4000] * 600
+    blocks = list(quality.features(pa.record_batch([pa.array(texts)], ["text"])))
+    assert max(map(len, blocks)) <= quality.ROWS and sum(map(len, blocks)) == len(texts)
+    one = next(quality.features(pa.record_batch([pa.array(texts[:4])], ["text"])))
+    assert all(np.allclose(b[:4], one) for b in blocks)

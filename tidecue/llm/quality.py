@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -17,8 +18,8 @@ BUCKETS, SAMPLE = 2048, 6000
 #: Dense features beside them: shares of upper case, digits, punctuation and word bytes, log length, share of
 #: distinct trigram buckets, share of words equal to one of the two words before, mean word length.
 SHAPES = 8
-#: Bytes of a text that are counted at a time.
-SLICE = 1 << 20
+#: Bytes of a text that are counted at a time, and rows of a block (their features are dense).
+SLICE, ROWS = 1 << 20, 512
 
 
 def _trigrams(b: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -35,10 +36,10 @@ def _trigrams(b: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def features(batch: pa.RecordBatch, name: str = "text") -> Iterator[np.ndarray]:
-    """Feature rows of a batch, in order, a block for each chunk of text."""
+    """Feature rows of a batch, in order, a block for each chunk of text; short texts make blocks of ROWS rows."""
     kind = np.zeros(256, np.uint8)  # of a byte: 1 upper case, 2 digit, 3 punctuation
     kind[33:128], kind[97:123], kind[65:91], kind[48:58], kind[127] = 3, 0, 1, 2, 3
-    for c in chunks(batch, name):
+    for c in itertools.chain.from_iterable(chunks(batch.slice(lo, ROWS), name) for lo in range(0, batch.num_rows, ROWS)):
         n, size = c.hi - c.lo, np.diff(c.offsets)
         counts = _trigrams(c.data, c.offsets)
         of_kind = kind[c.data]
