@@ -83,8 +83,9 @@ def cells(rows: DataFrame, known: DataFrame, block: int, block_mass: int) -> Dat
 
 
 def members_mark(member: str) -> list[Column]:
-    """Aggregates that are equal for groups of the same members: exclusive ors of their hashes."""
-    return [F.bit_xor(F.xxhash64(member)).alias("same_a"), F.bit_xor(F.xxhash64(member, F.lit(1))).alias("same_b")]
+    """Aggregates that are equal for groups of the same members, each as often: sums of their hashes."""
+    mark = lambda *c: F.sum(F.xxhash64(member, *c).cast("decimal(20,0)"))
+    return [mark().alias("same_a"), mark(F.lit(1)).alias("same_b")]
 
 
 def different(sized: DataFrame) -> DataFrame:
