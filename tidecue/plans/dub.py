@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import align, attribute, identify, subtitles, timeline, vad
 from ..operators.segments import clean_segments
 from ..sources.profiles import Profile
-from .stages import cut, script_once
+from .stages import build_once, cut, script_once
 
 
 def script_of(raw: DataFrame, transcripts: DataFrame, voices: DataFrame, profile: Profile) -> DataFrame:
@@ -33,6 +35,17 @@ def stored_script(spark: SparkSession, root: str, media: str, raw: DataFrame, tr
     return script_once(spark, root, script_parts(media, profile), lambda: script_of(raw, transcripts, voices, profile))
 
 
+def stored_regions(spark: SparkSession, root: str, media: str, detect: Callable[[], DataFrame], settings: object = None) -> DataFrame:
+    """(episode_id, s, e): the speech that ``detect`` finds in a recording, once for it and the detector's settings."""
+    return build_once(spark, root, {"stage": "speech", "media": media, "settings": settings}, detect)
+
+
+def stored_voices(spark: SparkSession, root: str, media: str, raw: DataFrame, listen: Callable[[DataFrame], DataFrame], model: str) -> DataFrame:
+    """(episode_id, line_idx, cluster, gender): the voices that ``listen`` tells apart in a recording's segments, once for it, its
+    cleaning rules and the model's name."""
+    return build_once(spark, root, {"stage": "voices", "media": media, "model": model}, lambda: listen(clean_segments(raw)))
+
+
 def script_parts(media: str, profile: Profile) -> dict[str, object]:
     return {"stage": "script", "media": media, "profile": profile}
 

@@ -7,12 +7,15 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, is_dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import fingerprint
 
 #: Part of every stage's identity; rises when an operator's results change.
 REVISION = 1
+#: The file that names a stage's finished table.
+MANIFEST = "CURRENT"
 
 
 def identity(parts: dict[str, object]) -> str:
@@ -20,11 +23,41 @@ def identity(parts: dict[str, object]) -> str:
     return fingerprint(plain | {"revision": REVISION})
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a finished table is there, in any file system Spark knows."""
+def _file(spark: SparkSession, path: str) -> tuple[object, object]:
+    """A path and its file system, of any kind that Spark knows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def published(spark: SparkSession, path: str) -> str | None:
+    """The finished table of a stage, which its manifest names; None if there is none."""
+    at, there = _file(spark, f"{path}/{MANIFEST}")
+    return f"{path}/{spark.read.text(at.toString()).first()[0]}" if there.exists(at) else None
+
+
+def publish(spark: SparkSession, path: str, table: DataFrame, replace: bool = False) -> str:
+    """Write ``table`` under a name of its own, then make the manifest of ``path`` name it, in one step: readers see the table of
+    before or this one, never half of one. Without ``replace`` the first of several writers is the one that counts; the others
+    drop theirs. Returns the path that counts."""
+    name = uuid.uuid4().hex
+    table.write.parquet(f"{path}/{name}")
+    at, there = _file(spark, f"{path}/{MANIFEST}")
+    note, _ = _file(spark, f"{path}/.{name}")
+    out = there.create(note, True)
+    out.write(bytearray(name.encode()))
+    out.close()
     jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    how = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(how, 1)
+    options[0] = how.OVERWRITE if replace else how.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(note, at, options)
+    except Py4JJavaError as taken:
+        if "FileAlreadyExists" not in str(taken.java_exception):
+            raise
+        there.delete(note, False)
+        there.delete(_file(spark, f"{path}/{name}")[0], True)
+    return published(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -41,18 +74,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def build_once(spark: SparkSession, root: str, parts: dict[str, object], build: Callable[[], DataFrame]) -> DataFrame:
-    """The stage's table under ``root``; ``build`` runs only if nothing was finished for this identity before."""
+    """The stage's table under ``root``; ``build`` runs only if nothing was finished for this identity before. A build that fails
+    leaves nothing that counts, and of builds at the same time all get the table of the first."""
     path = f"{root.rstrip('/')}/{identity(parts)}"
-    if not exists(spark, path):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(published(spark, path) or publish(spark, path, build()))
 
 
 def script_once(spark: SparkSession, root: str, parts: dict[str, object], build: Callable[[], DataFrame]) -> tuple[DataFrame, bool]:
     """The script's table, and whether a person has edited it: what was edited goes before what was built, and is never
     built over."""
-    edited = edited_path(root, parts)
-    if exists(spark, edited):
+    edited = published(spark, edited_path(root, parts))
+    if edited:
         return spark.read.parquet(edited), True
     return build_once(spark, root, parts, build), False
 
@@ -62,9 +94,8 @@ def edited_path(root: str, parts: dict[str, object]) -> str:
 
 
 def save_edited(script: DataFrame, root: str, parts: dict[str, object]) -> None:
-    """Keep an edited script for later runs over the same inputs. It may come from the table that it replaces, so it is
-    cut from that first."""
-    cut(script).write.mode("overwrite").parquet(edited_path(root, parts))
+    """Keep an edited script for later runs over the same inputs; it may come from the table that it replaces."""
+    publish(script.sparkSession, edited_path(root, parts), script, replace=True)
 
 
 def stage_copy(spark: SparkSession, path: str, folder: str) -> str:
