@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidecue.operators import align, attribute, identify, mix, providers, segments, subtitles, timeline, translate, vad, voices
+from tidecue.operators import align, attribute, identify, lookup, mix, providers, segments, subtitles, timeline, translate, vad, voices
 from tidecue.sources.profiles import Character, Profile
 
 SHOW = Profile("Show", (Character("Alice", (), "F"), Character("Bob", (), "M")), skip_intro_seconds=1.0, theme_words=("sun", "moon", "star"))
@@ -314,8 +314,42 @@ def test_clips_try_the_backup_voice(spark):
 
 def test_mix_ducks_under_clips(spark):
     rate, track = 1000, np.ones(10000, np.float32) * 0.5
-    out = mix.duck(track, [(3.0, np.full(1000, 0.2, np.float32)), (20.0, np.ones(5, np.float32))], rate, 0.4)
+    out = mix.duck(track, [(3000, 4000, 0, np.full(1000, 0.2, np.float32))], rate, 0.4)
     assert out[1000] == pytest.approx(0.2, abs=1e-3) and out[3500] == pytest.approx(0.5 * 0.06 + 0.95 * 0.2, abs=1e-3) and np.abs(out).max() <= 1
-    a = spark.createDataFrame([("e", track.tolist())], "episode_id string, samples array<float>")
-    b = spark.createDataFrame([("e", 3.0, [0.2] * 1000)], "episode_id string, start double, samples array<float>")
-    assert len(mix.assemble(a, b, rate, 0.4).first()["samples"]) == 10000
+    # the gain is a moving average, as a convolution has it
+    covered = np.full(10000, 0.4)
+    covered[2940:4060] = 0.06
+    plain = track * np.convolve(covered, np.full(60, 1 / 60), mode="same")
+    plain[3000:4000] += 0.95 * 0.2
+    assert np.allclose(out, plain, atol=1e-6)
+
+
+def test_blocks_mix_as_the_whole_track_does(spark):
+    rng, rate, a, b, want = np.random.default_rng(2), 400, [], [], {}
+    for e in range(12):
+        n = int(rng.integers(0, 3000)) if e else 0
+        track = rng.uniform(-1, 1, n).astype(np.float32)
+        clips = sorted((float(np.round(rng.uniform(0, 8), 3)), k, rng.uniform(-1, 1, int(rng.integers(0, 900))).astype(np.float32)) for k in range(int(rng.integers(0, 6))))
+        a.append((str(e), track.tolist()))
+        b += [(str(e), k, s, x.tolist()) for s, k, x in clips]
+        on = [(int(s * rate), min(int(s * rate) + len(x), n), 0, x) for s, _, x in clips if int(s * rate) < n]
+        want[str(e)] = mix.duck(track, on, rate, 0.4)
+    tracks = spark.createDataFrame(a, "episode_id string, samples array<float>")
+    clips = spark.createDataFrame(b, "episode_id string, clip_idx int, start double, samples array<float>")
+    for size in (64, 1000, 1 << 16):
+        got = mix.assemble(mix.track_blocks(tracks, size), clips, rate, 0.4, size).orderBy("episode_id", "block").collect()
+        for e, whole in want.items():
+            mine = np.array([x for r in got if r["episode_id"] == e for x in r["samples"]], np.float32)
+            assert mine.tobytes() == whole.tobytes(), (e, size)
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(3)
+    data = [(k, float(x)) for k in range(20) for x in np.round(rng.normal(0, 3, int(rng.integers(1, 60))), 1)] + [(5, None), (99, None)]
+    df = spark.createDataFrame(data, "k int, v double")
+    for cell in (0.5, 100.0):
+        got = {r["k"]: r for r in lookup.exact_quantiles(df, ["k"], "v", {"a": 0.1, "m": 0.5, "z": 0.95, "top": 1.0}, cell=cell).collect()}
+        assert set(got) == set(range(20))
+        for k, r in got.items():
+            v = [x for j, x in data if j == k and x is not None]
+            assert r["n"] == len(v) and [r[c] for c in ("a", "m", "z", "top")] == pytest.approx([np.quantile(v, q) for q in (0.1, 0.5, 0.95, 1.0)])

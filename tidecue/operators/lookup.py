@@ -71,3 +71,20 @@ def numbered(rows: DataFrame, group: list[str], by: list[Column | str], place: C
         met[0] = met[0] & more
     x = x.alias("a").join(sizes.alias("b"), met[0]).select("a.*", "b.__first", f"b.{name}_of")
     return x.withColumn(name, F.row_number().over(W.partitionBy(*group, "__cell").orderBy(*by)) - 1 + F.col("__first")).drop("__cell", "__first")
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], *, cell: float) -> DataFrame:
+    """(keys, n, and for each name its share's quantile) of the values that are not null, between the two nearest ones as they are
+    apart. Values are numbered by cells of their size, so a key's values are never held or sorted together."""
+    x = numbered(rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v")), keys, ["__v"], F.col("__v"), "__at", cell=cell)
+    last = F.col("__at_of") - 1
+    out = [F.max("__at_of").alias("n")]
+    near = F.lit(False)
+    for name, share in shares.items():
+        place = last * share
+        low, part = F.floor(place), place - F.floor(place)
+        near = near | (F.col("__at") == low) | (F.col("__at") == low + 1)
+        a = F.max(F.when(F.col("__at") == low, F.col("__v")))
+        b = F.max(F.when(F.col("__at") == low + 1, F.col("__v")))
+        out.append(F.when(F.max(part) > 0, a + (b - a) * F.max(part)).otherwise(a).alias(name))
+    return x.where(near).groupBy(*keys).agg(*out)

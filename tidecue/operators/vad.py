@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import round_to
+from ..plans.stages import cut
+from .lookup import exact_quantiles
 
 #: Seconds: least silence, quiet dips bridged, speech blips dropped, a frame; share of the range over the floor.
 MIN_SILENCE, CLOSE, MIN_SPEECH, FRAME, THRESHOLD = 0.35, 0.18, 0.12, 0.02, 0.20
@@ -46,9 +48,10 @@ def energy_silences(frames: DataFrame, key: str = "episode_id") -> DataFrame:
     w = W.partitionBy(key).orderBy("frame_idx")
     smooth = (F.col("power") + F.coalesce(F.lag("power").over(w), F.lit(0.0))) / 2
     db = frames.select(key, "frame_idx", (10 * F.log10(smooth + 1e-12)).alias("db"))
-    level = db.groupBy(key).agg(F.percentile("db", 0.10).alias("floor"), F.percentile("db", 0.95).alias("peak"), F.count(F.lit(1)).alias("n"))
+    db = cut(db)
+    level = exact_quantiles(db, [key], "db", {"floor": 0.10, "peak": 0.95}, cell=1.0)
     level = level.where((F.col("n") >= 3) & (F.col("peak") - F.col("floor") >= 1e-6))
-    mask = db.join(level, key).select(key, "frame_idx", (F.col("db") > F.col("floor") + THRESHOLD * (F.col("peak") - F.col("floor"))).alias("mask"))
+    mask = db.join(level.drop("n"), key).select(key, "frame_idx", (F.col("db") > F.col("floor") + THRESHOLD * (F.col("peak") - F.col("floor"))).alias("mask"))
     mask = flip_short_runs(mask, False, round(CLOSE / FRAME), key=key)
     mask = flip_short_runs(mask, True, round(MIN_SPEECH / FRAME), key=key)
     quiet = mask.where(~F.col("mask")).withColumn("island", F.col("frame_idx") - F.row_number().over(w))

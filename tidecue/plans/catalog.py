@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import attribute, identify, segments, subtitles, timeline, translate, vad, voices
+from ..operators.lookup import exact_quantiles
 from ..sources.pages import page_dialogue
 
 FLAGSHIP = "identify_document"
@@ -321,8 +322,8 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pitch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components as pitches around 165 Hz: exact percentiles and the gender rule by label."""
     e = _t(spark, sf_dir, "embeddings").select("label", F.explode("embedding").alias("x")).select("label", (165 + 100 * F.col("x").cast("double")).alias("f0"))
-    q = e.groupBy("label").agg(*[F.round(F.percentile("f0", p), 6).alias(f"p{int(100 * p)}") for p in (0.10, 0.5, 0.95)])
-    return q.join(voices.gender_by_pitch(e, ["label"]), "label")
+    q = exact_quantiles(e, ["label"], "f0", {"p10": 0.10, "p50": 0.5, "p95": 0.95}, cell=1.0)
+    return q.select("label", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p95")]).join(voices.gender_by_pitch(e, ["label"]), "label")
 
 
 PITCH_SQL = """WITH x AS (SELECT label, 165 + 100 * unnest(embedding)::DOUBLE AS f0 FROM embeddings),

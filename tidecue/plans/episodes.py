@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import BREAKS
-from ..operators import subtitles, translate, voices
+from ..operators import mix, subtitles, translate, voices
 from ..sources import pages
 from .catalog import _t
 from .dialogue import _LINES, _VALID, _lines
@@ -136,8 +136,35 @@ def reviewed_script(spark: SparkSession, sf_dir: str) -> DataFrame:
 REVIEWED_SQL = f"""WITH {_LINES}, e AS (SELECT *, event_id % 3 = 0 AS edited, CASE WHEN event_id % 3 <> 0 THEN speaker WHEN event_id % 4 = 0 THEN 'Ann' WHEN event_id % 4 = 2 THEN 'Skip' WHEN event_id % 4 = 3 THEN 'Cid' ELSE speaker END AS who FROM l)
 SELECT episode_id, line_idx, who AS speaker, CASE WHEN edited AND event_id % 2 = 1 THEN '改' || event_id WHEN edited AND who = 'Skip' THEN '' ELSE zh END AS zh FROM e"""
 
+#: Vectors in a row are the blocks of a track, fifty to a track.
+TRACK, RATE, LEVEL = 50, 1000, 0.4
+
+
+def ducked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as blocks of samples, each seventh one also as a clip that starts somewhere else; what a block sums up to, and its
+    peak."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 1
+    episode, place = F.floor(F.col("vec_id") / TRACK).cast("string").alias("episode_id"), (F.col("vec_id") % TRACK).cast("int")
+    clips = e.where("vec_id % 7 = 0").select(episode, place.alias("clip_idx"), (place * size / F.lit(float(RATE)) + F.col("vec_id") % 11 / F.lit(100.0)).alias("start"), F.col("embedding").alias("samples"))
+    x = mix.assemble(e.select(episode, place.alias("block"), F.col("embedding").alias("samples")), clips, RATE, LEVEL, size)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return x.select("episode_id", "block", F.round(total, 4).alias("total"), F.round(F.array_max(F.transform("samples", F.abs)).cast("double"), 5).alias("peak"))
+
+
+MIX_SQL = f"""WITH d AS (SELECT max(len(embedding))::BIGINT AS b FROM embeddings), ramp AS (SELECT {int(mix.RAMP * RATE)}::BIGINT AS r),
+s AS MATERIALIZED (SELECT vec_id // {TRACK} AS ep, (vec_id % {TRACK}) * b + k - 1 AS i, embedding[k]::FLOAT AS x, vec_id % {TRACK} AS block, b FROM (SELECT vec_id, embedding, b, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings, d)),
+n AS (SELECT ep, count(*) AS total FROM s GROUP BY ep),
+c AS MATERIALIZED (SELECT ep, idx, pos, total, embedding, least(pos + len(embedding), total) AS stop, start FROM (SELECT vec_id // {TRACK} AS ep, vec_id % {TRACK} AS idx, embedding, ((vec_id % {TRACK}) * b / {float(RATE)}::DOUBLE + vec_id % 11 / 100.0::DOUBLE) AS start, floor(start * {RATE})::BIGINT AS pos FROM embeddings, d WHERE vec_id % 7 = 0) JOIN n USING (ep) WHERE pos < total),
+border AS (SELECT ep, i, sum(v) AS v FROM (SELECT ep, greatest(pos - r, 0) AS i, 1 AS v FROM c, ramp UNION ALL SELECT ep, least(stop + r, total), -1 FROM c, ramp) GROUP BY ALL),
+g AS (SELECT s.*, (sum(coalesce(v, 0)) OVER (PARTITION BY s.ep ORDER BY s.i) > 0)::INT AS low FROM s LEFT JOIN border USING (ep, i)),
+w AS (SELECT *, sum(low) OVER h AS low_n, count(*) OVER h AS near FROM g WINDOW h AS (PARTITION BY ep ORDER BY i ROWS BETWEEN {int(mix.RAMP * RATE) // 2} PRECEDING AND {(int(mix.RAMP * RATE) - 1) // 2} FOLLOWING)),
+v AS (SELECT ep, i, list(y ORDER BY start, idx) AS ys FROM (SELECT ep, pos + k - 1 AS i, embedding[k]::FLOAT AS y, start, idx FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS k FROM c)) GROUP BY ALL),
+o AS (SELECT w.ep, w.block, greatest(-1.0::FLOAT, least(1.0::FLOAT, x * ((low_n * {mix.LOW}::DOUBLE + (near - low_n) * {LEVEL}::DOUBLE) / r)::FLOAT + {mix.VOICE}::FLOAT * coalesce(list_reduce(ys, lambda p, q: p + q), 0.0::FLOAT))) AS z, w.i FROM w JOIN ramp ON true LEFT JOIN v USING (ep, i))
+SELECT ep::VARCHAR AS episode_id, block::INT AS block, round(sum(z::DOUBLE ORDER BY i), 4) AS total, round(max(abs(z))::DOUBLE, 5) AS peak FROM o GROUP BY ep, block"""
+
 _QUERIES: tuple[tuple[Callable[[SparkSession, str], DataFrame], str], ...] = (
-    (page_dialogues, DIALOGUES_SQL), (guest_voices, GUESTS_SQL), (subtitle_cues, CUES_SQL), (reviewed_script, REVIEWED_SQL),
+    (page_dialogues, DIALOGUES_SQL), (guest_voices, GUESTS_SQL), (subtitle_cues, CUES_SQL), (reviewed_script, REVIEWED_SQL), (ducked_mix, MIX_SQL),
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f, _ in _QUERIES}
 ORACLES: dict[str, str] = {f.__name__: sql for f, sql in _QUERIES} | {"page_text": PAGE_TEXT_SQL}
