@@ -316,8 +316,8 @@ def identify(spark: SparkSession, prints: DataFrame, queries: DataFrame, own: bo
     bits, then the smallest id. A query does not meet recordings of its own id unless ``own``. Rows that share an id and
     have the same integers are one recording; with other integers they are further recordings, and n_matches counts
     pairs of such recordings. Recordings without integers and null ids take no part. Silence and held tones are runs of one integer, which
-    has one vote. Very long recordings make blocks of their own. An alignment without a single equal integer is not found;
-    that happens to chance ones which are as short and as wrong as OVERLAP and ERROR allow.
+    has one vote. Very long recordings make blocks of their own. By definition an alignment has an equal integer: chance
+    ones as short and as wrong as OVERLAP and ERROR allow may have none, and are none.
 
     A block of queries meets every block of recordings once, through an equi-join on a shard number, and gives one
     row for each query that matches: matches never leave the block one by one.
