@@ -13,19 +13,21 @@ ACCEPT, CLEAR = 0.12, 1.6
 
 
 def line_trigrams(lines: DataFrame, key: str, text: str) -> DataFrame:
-    """Distinct (key, trigram); trigrams don't cross lines. The words are materialised before they are windowed."""
+    """(key, trigram) of each line, distinct within it; trigrams don't cross lines. The words are materialised before they are
+    windowed."""
     words = lines.select(F.col(key), norm_words(text).alias("w"))
-    return words.select(key, F.explode(trigrams("w")).alias("trigram")).distinct()
+    return words.select(key, F.explode(trigrams("w")).alias("trigram"))
 
 
 def identify(heard: DataFrame, transcripts: DataFrame, heard_key: str = "heard_id", key: str = "episode_id", heard_text: str = "en", text: str = "text") -> DataFrame:
     """For each recording with a trigram: best transcript (ties: the smaller id), its score, the runner-up's, and
     whether it is accepted and clear. A recording that shares nothing gets the smallest id with score 0.
 
-    An inverted index joins the two sides on the trigram: only what is heard meets the transcripts."""
-    h = line_trigrams(heard, heard_key, heard_text)
+    The two sides are joined on the trigram, and only what both have is made distinct: the transcripts' other trigrams, nearly
+    all of them, are never shuffled where what is heard is small enough for Spark to send to all tasks."""
+    h = line_trigrams(heard, heard_key, heard_text).distinct()
     n = h.groupBy(heard_key).agg(F.count(F.lit(1)).alias("n"))
-    shared = line_trigrams(transcripts.where(F.col(text).isNotNull()), key, text).join(h, "trigram")
+    shared = line_trigrams(transcripts.where(F.col(text).isNotNull()), key, text).join(h, "trigram").dropDuplicates([heard_key, key, "trigram"])
     score = shared.groupBy(heard_key, key).agg(F.count(F.lit(1)).alias("shared")).join(n, heard_key).withColumn("score", F.col("shared") / F.col("n"))
     w = W.partitionBy(heard_key).orderBy(F.desc("score"), key)
     top = score.withColumns({"rank": F.row_number().over(w), "next": F.lead("score").over(w)}).where("rank = 1")

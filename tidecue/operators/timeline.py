@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -164,7 +168,7 @@ def deadlines(lines: DataFrame, key: str = "episode_id") -> DataFrame:
 def plan_timeline(lines: DataFrame, key: str = "episode_id") -> DataFrame:
     """(key, line_idx, place, tempo) of (key, line_idx, onset, dur, total): a line starts on its onset or MIN_GAP after the
     one before, at normal speed unless its deadline forces up to MAX_SPEEDUP. The rounded tempo feeds the next line, so
-    this is a fold along the episode's order.
+    this is a fold along the episode's order, scene by scene, one row a scene.
 
     The fold starts anew at lines that begin on their own onset whatever the tempo before: there all lines before would
     be over even at normal speed. So it runs along short scenes, and its time follows their lengths, not the episode's."""
@@ -174,16 +178,21 @@ def plan_timeline(lines: DataFrame, key: str = "episode_id") -> DataFrame:
     free = F.col("__used") + F.max(F.col("onset") - F.col("__used")).over(earlier)
     x = x.withColumn("__scene", F.coalesce((F.col("onset") >= free + _TINY).cast("int"), F.lit(0)))
     x = x.withColumn("__scene", F.sum("__scene").over(order))
-    rows = x.groupBy(key, "__scene").agg(F.array_sort(F.collect_list(F.struct("onset", "line_idx", "dur", "deadline"))).alias("r"))
-    index = x.schema["line_idx"].dataType.simpleString()
-    out = f"array<struct<line_idx:{index},place:double,tempo:double>>"
-    start = F.struct(F.lit(None).cast("double").alias("end"), F.array().cast(out).alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        place = F.greatest(r["onset"].cast("double"), F.coalesce(a["end"] + MIN_GAP, F.lit(0.0)))
-        room = r["deadline"] - place
-        tempo = F.when(room >= r["dur"] - 1e-9, 1.0).otherwise(round_to(F.least(r["dur"] / F.greatest(room, F.lit(0.3)), F.lit(MAX_SPEEDUP)), 4))
-        one = F.struct(r["line_idx"].alias("line_idx"), round_to(place, 4).alias("place"), tempo.alias("tempo"))
-        return F.struct((place + r["dur"] / tempo).alias("end"), F.concat(a["out"], F.array(one)).alias("out"))
-
-    return rows.select(key, F.inline(F.aggregate("r", start, step, lambda a: a["out"])))
+    index, kind = x.schema["line_idx"].dataType.simpleString(), x.schema[key].dataType.simpleString()
+    line = F.struct(F.col("onset").cast("double").alias("onset"), "line_idx", F.col("dur").cast("double").alias("dur"), F.col("deadline").cast("double").alias("deadline"))
+    scenes = x.groupBy(key, "__scene").agg(F.array_sort(F.collect_list(line)).alias("r")).select(key, "r")
+
+    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for of, lines in part.itertuples(index=False):
+                end = None
+                for r in lines:
+                    at = max(r["onset"], 0.0 if end is None else end + MIN_GAP)
+                    room = r["deadline"] - at
+                    tempo = 1.0 if room >= r["dur"] - 1e-9 else math.floor(min(r["dur"] / max(room, 0.3), MAX_SPEEDUP) * 1e4 + 0.5) / 1e4
+                    out.append((of, r["line_idx"], math.floor(at * 1e4 + 0.5) / 1e4, tempo))
+                    end = at + r["dur"] / tempo
+            yield pd.DataFrame(out, columns=[key, "line_idx", "place", "tempo"])
+
+    return scenes.mapInPandas(place, f"{key} {kind}, line_idx {index}, place double, tempo double")
