@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 import os
+import pickle
 import random
 import re
 import struct
@@ -259,10 +260,26 @@ def test_grammar_composes_negation_report_and_target():
     assert plain == 4.0 and m.clause("nice day") == 0.0
     assert m.clause("you are a moron") > plain and m.clause("what a moron you are") > plain
     assert m.clause("he is not a moron") < plain and m.clause("she said the moron went home") < plain
-    assert m.clause("i will kill you") == m.clause("you kill time") > m.clause("to kill time") > 0
+    assert m.clause("i will kill you") > m.clause("you kill time") > m.clause("to kill time") > 0
     assert m.clause("no moron said the scum") < m.clause("moron scum")
 
 
+def test_patterns_of_several_words():
+    m = toxicity.ToxicityModel({"moro": 4.0}, {})
+    assert m.clause("i will make you pay") > 0 and m.clause("we make them all suffer") > 0
+    assert m.clause("you pay the bill") == m.clause("make a good soup and pay") == m.clause("they suffer") == 0
+    assert m.clause("you piece of trash") > m.clause("a piece of trash") > 0
+    assert m.clause("take out the trash") == m.clause("a piece of cake") == m.clause("piece the trash of") == 0
+    assert 0 < m.clause("she said i will make you pay") < m.clause("i will make you pay")
+    assert 0 < m.clause("he is no piece of trash") < m.clause("he is a piece of trash")
+    # the prefilter lets them through
+    import pyarrow as pa
+
+    got = toxicity.clause_features(pa.RecordBatch.from_arrays([pa.array(["I will make you PAY.", "Trash is taken out", "a sack of filth"])], ["text"]), m)
+    assert got[0, 1] > 0 and got[1, 1] == 0 and got[2, 1] > 0
+    assert len(pickle.dumps(m)) < 1_000_000
+
+
 def test_composition_is_one_machine_after_the_other():
     f = toxicity.Transducer({(0, "a"): (1, "b", 0.5), (1, "a"): (0, "a", 2.0)})
     g = toxicity.Transducer({("s", "b"): ("t", "c", 3.0)}, "s")

@@ -146,8 +146,8 @@ def test_a_fit_takes_the_same_rows_every_time(spark):
 
 
 def test_scores_equal_a_plain_walk(spark):
-    """Every clause by regular expressions, a dictionary for the lexicon and the three machines one after the other."""
-    words = "moron scum kill you not said the good day never idiots threat them".split()
+    """Every clause by regular expressions, a dictionary for the lexicon and the five machines one after the other."""
+    words = "moron scum kill you not said the good day never idiots threat them will make pay piece of trash".split()
     rng = random.Random(8)
     texts = ["", None] + [" ".join(rng.choice(words) + rng.choice(["", "", "", ".", "!", "\n"]) for _ in range(rng.randint(1, 40))) for _ in range(80)]
     m = toxicity.ToxicityModel({"moro": 4.0, "idio": 5.0}, {"scum": 3.0})
@@ -155,10 +155,23 @@ def test_scores_equal_a_plain_walk(spark):
     def clause(text):
         """(kind, weight) of each word; then report, negation, target by hand."""
         total, reported, negated, reach, waiting = 0.0, False, 0, 0, None
+        will, made, part = 0, 0, ""
         for w in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", text.lower()):
             kind = "R" if w in toxicity.REPORTS else "N" if w in toxicity.NEGATIONS else "Y" if w in toxicity.TARGETS else "T" if w in toxicity.THREATS else "I" if w == "scum" or w[:4] in ("moro", "idio") else "O"
             weight = {"T": 2.0, "I": 3.0 if w == "scum" else 4.0 if w[:4] == "moro" else 5.0}.get(kind, 0.0)
             factor = 1.0
+            # patterns of several words first
+            if part == "piece of" and w == "trash":
+                kind, weight = "I", 3.0
+            part = "piece" if w == "piece" else "piece of" if part == "piece" and w == "of" else ""
+            if w == "will" or w == "make":
+                will, made = (3, 0) if w == "will" else (0, 3)
+            elif w == "pay" and made:
+                kind, weight, made = "T", 2.0, 0
+            elif kind == "T":
+                factor, will, made = (1.25 if will else 1.0), 0, 0
+            else:
+                will, made = max(0, will - 1), max(0, made - 1)
             if kind == "R":
                 reported = True
             if kind in "IT":

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,12 @@ STEM_MIN, STEM_MAX = 4, 7
 THREATS = "kill hurt destroy beat murder shoot strangle burn tuer frapper détruire töten schlagen zerstören matar golpear destruir".split()
 TARGETS = "you your yours yourself they them he she him her tu toi vous votre ils elles du dich dir ihr euch sie tú usted ustedes vosotros ellos ellas".split()
 NEGATIONS = "not no never nor neither without isn't aren't wasn't don't ne pas jamais non nicht kein keine nie nunca jamás tampoco".split()
+WILLS = "will shall gonna i'll we'll they'll he'll she'll werde werden vais allons voy vamos".split()
+MAKERS = "make making made watch faire ferai lasse lassen hacer haré".split()
+HARMS = "pay suffer regret bleed scream souffrir regretter saigner leiden bereuen bluten pagar sufrir lamentar sangrar".split()
+PARTS = "piece pieces waste bunch load pile sack morceau tas stück haufen pedazo montón".split()
+JOINS = "of de von".split()
+OBJECTS = "trash garbage crap filth space oxygen ordure merde dreck müll abfall basura mierda".split()
 REPORTS = "said says say wrote writes reported reports claimed claims called quoted quote dit disait écrit sagte sagt schrieb behauptet dijo dice escribió".split()
 
 TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
@@ -45,7 +52,8 @@ class Transducer:
         return self.arcs.get((state, symbol)) or (self.rest.get(state, state), symbol, 1.0)
 
 
-SYMBOLS = "ITYNRO"  # insult, threat, target, negation, report, other
+#: insult, threat, target, negation, report, other; of patterns of several words: will, maker, harm; part, join, object.
+SYMBOLS = "ITYNROWMVPFX"
 MARKED = "itjk"  # reported insult and threat, negated insult and threat
 
 
@@ -65,10 +73,37 @@ def compose(f: Transducer, g: Transducer, symbols: str) -> Transducer:
     return Transducer(arcs, start)
 
 
+def insults() -> Transducer:
+    """A part, a join and an object in a row are an insult ("a piece of trash"); an object alone is nothing."""
+    m = Transducer({}, 0, {s: 0 for s in (0, 1, 2)})
+    for s in (0, 1, 2):
+        m.arcs |= {(s, "P"): (1, "O", 1.0), (s, "F"): (2 if s == 1 else 0, "O", 1.0), (s, "X"): (0, "I", 1.0) if s == 2 else (0, "O", 0.0)}
+    return m
+
+
+def threats(reach: int = 3, meant: float = 1.25) -> Transducer:
+    """A harm within ``reach`` tokens of a maker is a threat ("make you pay"), alone it is nothing; a threat that soon after a
+    will weighs more."""
+    wait = [("", 0), *[(k, n) for k in "WM" for n in range(1, reach + 1)]]
+    m = Transducer({}, ("", 0), {(k, n): (k, n - 1) if n > 1 else ("", 0) for k, n in wait})
+    for k, n in wait:
+        m.arcs |= {((k, n), "W"): (("W", reach), "O", 1.0), ((k, n), "M"): (("M", reach), "O", 1.0), ((k, n), "T"): (("", 0), "T", meant if k == "W" else 1.0)}
+        m.arcs[(k, n), "V"] = (("", 0), "T", 1.0) if k == "M" else (m.rest[k, n], "O", 0.0)
+    return m
+
+
+def numbered(m: Transducer, symbols: str) -> Transducer:
+    """The same machine with numbers as states."""
+    names = {s: i for i, s in enumerate(dict.fromkeys([m.start, *(s for s, _ in m.arcs)]))}
+    return Transducer({(names[s], x): (names[to], out, w) for (s, x), (to, out, w) in m.arcs.items()}, names[m.start])
+
+
+@cache
 def grammar(reach: int = 3, negated: float = 0.2, reported: float = 0.4, targeted: float = 1.5, threatened: float = 1.5) -> Transducer:
-    """Reported speech, negation and target transducers composed.
+    """Insult, threat, reported speech, negation and target transducers composed.
 
-    After a report word the rest of the clause is reported. A negation reaches the next ``reach`` tokens. An insult
+    Patterns of several words become insults and threats like those of one. After a report word the rest of the clause is reported.
+    A negation reaches the next ``reach`` tokens. An insult
     or threat within ``reach`` tokens of a target weighs more, on either side: a target that follows adds the difference
     (as a factor on the target token, whose emission is that of the match). A threat without any target near counts
     less than an insult, with one it counts most."""
@@ -90,7 +125,10 @@ def grammar(reach: int = 3, negated: float = 0.2, reported: float = 0.4, targete
                 target.arcs[state, x] = (max(0, a - 1), 0, "") if a else (0, reach, "I"), x, targeted if a else 1.0
             for x in "Ttk":
                 target.arcs[state, x] = (max(0, a - 1), 0, "") if a else (0, reach, "T"), x, threatened * (targeted if a else alone)
-    return compose(compose(report, negate, SYMBOLS), target, SYMBOLS)
+    machine = insults()
+    for follower in (threats(reach), report, negate, target):
+        machine = compose(machine, follower, SYMBOLS)
+    return numbered(machine, SYMBOLS)
 
 
 @dataclass
@@ -98,14 +136,16 @@ class ToxicityModel:
     stems: dict[str, float]
     words: dict[str, float]
     weights: np.ndarray = field(default_factory=lambda: np.array([-2.0, 1.0, 1.0, 0.0]))
-    machine: Transducer = field(default_factory=grammar)
 
     def __post_init__(self) -> None:
-        self.fixed = {w: "N" for w in NEGATIONS} | {w: "R" for w in REPORTS} | {w: "Y" for w in TARGETS}
+        lists = ((JOINS, "F"), (PARTS, "P"), (MAKERS, "M"), (WILLS, "W"), (TARGETS, "Y"), (REPORTS, "R"), (NEGATIONS, "N"))
+        self.fixed = {w: symbol for words, symbol in lists for w in words}
         self.threats = {w: 2.0 for w in THREATS}
+        # what completes a pattern: its weight counts if the machine lets it
+        self.ends = {w: ("V", 2.0) for w in HARMS} | {w: ("X", 3.0) for w in OBJECTS}
         # words that can start a match, by their first four bytes in lower case; those beyond ASCII are not looked up
         self.heads, self.short = np.zeros(1 << 16, bool), np.zeros((2, 1 << 16), bool)
-        for w in [*self.stems, *self.words, *self.threats]:
+        for w in [*self.stems, *self.words, *self.threats, *self.ends]:
             raw = bytes(x | 0x20 for x in w.encode()[:4])
             if not w or max(raw) >= 128:
                 continue
@@ -127,16 +167,17 @@ class ToxicityModel:
         for n in range(STEM_MIN, min(STEM_MAX, len(word)) + 1):
             if (w := self.stems.get(word[:n])) is not None:
                 return "I", w
-        return "O", 0.0
+        return self.ends.get(word, ("O", 0.0))
 
     def clause(self, text: str) -> float:
         """The score of one clause: emission times the grammar's factor, summed along its path."""
-        state, total, last = self.machine.start, 0.0, 0.0
+        machine = grammar()  # made once in each process, not sent to it
+        state, total, last = machine.start, 0.0, 0.0
         for match in TOKEN.finditer(text.lower()):
             word = match.group()
             symbol, weight = self.emission(word)
-            state, out, factor = self.machine.step(state, symbol)
-            if weight:
+            state, out, factor = machine.step(state, symbol)
+            if weight and factor:
                 last = weight * factor
                 total += last
             elif out == "+":
@@ -287,7 +328,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = S
     """Learn the insult lexicon and the calibration from up to ``sample`` labelled documents (doc_id, toxic 0 or 1;
     null labels are left out, of several the largest counts; of texts that share a doc_id the one with the smallest hash
     counts, and equal texts of one label count once). Without both labels the lexicon is empty and the score rests on
-    the threat words."""
+    the threats and the patterns."""
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # at most ``sample`` rows of 12 bytes
