@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidecue.operators import align, attribute, identify, lookup, mix, providers, segments, subtitles, timeline, translate, vad, voices
+from tidecue.operators import align, attribute, identify, lookup, mix, pitch, providers, segments, subtitles, timeline, translate, vad, voices
 from tidecue.sources.profiles import Character, Profile
 
 SHOW = Profile("Show", (Character("Alice", (), "F"), Character("Bob", (), "M")), skip_intro_seconds=1.0, theme_words=("sun", "moon", "star"))
@@ -353,3 +353,18 @@ def test_exact_quantiles(spark):
         for k, r in got.items():
             v = [x for j, x in data if j == k and x is not None]
             assert r["n"] == len(v) and [r[c] for c in ("a", "m", "z", "top")] == pytest.approx([np.quantile(v, q) for q in (0.1, 0.5, 0.95, 1.0)])
+
+
+def test_recordings_in_blocks_have_the_pitch_of_the_whole(spark):
+    rng, rate, tracks = np.random.default_rng(4), 1600, {}
+    for e in range(10):
+        n = int(rng.integers(0, 900)) if e else 0
+        tracks[str(e)] = (np.where(np.arange(n) % (6 + e) < 3, 0.5, -0.5) + rng.normal(0, 0.3, n)).astype(np.float32)
+    tracks["quiet"] = np.zeros(500, np.float32)
+    table = spark.createDataFrame([(e, x.tolist()) for e, x in tracks.items()], "episode_id string, samples array<float>")
+    for size in (10, 64, 1 << 12):
+        got = {r["episode_id"]: r["f0"] for r in pitch.track_pitches(mix.track_blocks(table, size), rate, size).collect()}
+        want = {e: voices.median_pitch(x, rate) for e, x in tracks.items()}
+        assert set(got) == set(want) and sum(v is not None for v in want.values()) >= 4
+        for e, v in want.items():
+            assert got[e] == (pytest.approx(v) if v is not None else None), (e, size)

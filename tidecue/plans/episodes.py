@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import BREAKS
-from ..operators import mix, subtitles, translate, voices
+from ..operators import mix, pitch, subtitles, translate, voices
 from ..sources import pages
 from .catalog import _t
 from .dialogue import _LINES, _VALID, _lines
@@ -163,8 +163,47 @@ v AS (SELECT ep, i, list(y ORDER BY start, idx) AS ys FROM (SELECT ep, pos + k -
 o AS (SELECT w.ep, w.block, greatest(-1.0::FLOAT, least(1.0::FLOAT, x * ((low_n * {mix.LOW}::DOUBLE + (near - low_n) * {LEVEL}::DOUBLE) / r)::FLOAT + {mix.VOICE}::FLOAT * coalesce(list_reduce(ys, lambda p, q: p + q), 0.0::FLOAT))) AS z, w.i FROM w JOIN ramp ON true LEFT JOIN v USING (ep, i))
 SELECT ep::VARCHAR AS episode_id, block::INT AS block, round(sum(z::DOUBLE ORDER BY i), 4) AS total, round(max(abs(z))::DOUBLE, 5) AS peak FROM o GROUP BY ep, block"""
 
+#: A rate at which a vector of 64 is a frame.
+PITCH_RATE = 1600
+
+
+def _hummed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Vectors as blocks of tracks, on a square wave of the track's own period."""
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 1
+    track, place = F.floor(F.col("vec_id") / TRACK), (F.col("vec_id") % TRACK).cast("int")
+    period = 6 + track % 9
+    hum = F.transform("embedding", lambda v, k: (v.cast("double") + F.when((place * size + k) % period < 3, 0.25).otherwise(-0.25)).cast("float"))
+    return e.select(track.cast("string").alias("episode_id"), place.alias("block"), hum.alias("samples")), size
+
+
+def frame_pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, size = _hummed(spark, sf_dir)
+    x = pitch.frame_table(blocks, PITCH_RATE, size)
+    return x.select("episode_id", "frame", F.round(F.coalesce("f0", F.lit(0.0)), 6).alias("f0"))
+
+
+def track_pitches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, size = _hummed(spark, sf_dir)
+    return pitch.track_pitches(blocks, PITCH_RATE, size).select("episode_id", F.round(F.coalesce("f0", F.lit(0.0)), 6).alias("f0"), "frames")
+
+
+_SIZE, _HOP = int(pitch.FRAME * PITCH_RATE), int(pitch.STEP * PITCH_RATE)
+_FIRST, _LAST = int(PITCH_RATE / 500), int(PITCH_RATE / 70)
+_FRAMES = f"""WITH d AS (SELECT max(len(embedding))::BIGINT AS b FROM embeddings),
+s AS MATERIALIZED (SELECT vec_id // {TRACK} AS ep, (vec_id % {TRACK}) * b + k - 1 AS i, (embedding[k]::DOUBLE + CASE WHEN ((vec_id % {TRACK}) * b + k - 1) % (6 + vec_id // {TRACK} % 9) < 3 THEN 0.25::DOUBLE ELSE -0.25::DOUBLE END)::FLOAT::DOUBLE AS x FROM (SELECT vec_id, embedding, b, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings, d)),
+n AS MATERIALIZED (SELECT ep, count(*) AS n, max(x * x) AS peak FROM s GROUP BY ep),
+f AS MATERIALIZED (SELECT ep, f, list(x ORDER BY i) AS x FROM (SELECT ep, i, x, unnest(range(greatest(0, (i - {_SIZE} + {_HOP}) // {_HOP}), i // {_HOP} + 1)) AS f FROM s) JOIN n USING (ep) WHERE f * {_HOP} < n - {_SIZE} GROUP BY ep, f),
+c AS MATERIALIZED (SELECT ep, f, list_transform(x, lambda v: v - list_sum(x) / {_SIZE}) AS y FROM f),
+a AS MATERIALIZED (SELECT ep, f, l, list_inner_product(y[1:{_SIZE} - l], y[1 + l:{_SIZE}]) AS ac, list_inner_product(y, y) AS energy FROM (SELECT ep, f, y, unnest(range({_FIRST}, {_LAST})) AS l FROM c)),
+best AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY ep, f ORDER BY ac DESC, l) = 1),
+p AS MATERIALIZED (SELECT ep, f, CASE WHEN energy >= 0.05 * CASE WHEN peak > 0 THEN peak ELSE 1.0 END * {_SIZE} AND ac >= 0.45 * energy THEN {PITCH_RATE} / l::DOUBLE END AS f0 FROM best JOIN n USING (ep))
+"""
+FRAMES_SQL = _FRAMES + "SELECT ep::VARCHAR AS episode_id, f AS frame, round(coalesce(f0, 0.0), 6)::DOUBLE AS f0 FROM p"
+TRACKS_SQL = _FRAMES + "SELECT n.ep::VARCHAR AS episode_id, round(CASE WHEN count(f0) >= 5 THEN median(f0) ELSE 0.0 END, 6)::DOUBLE AS f0, count(f0) AS frames FROM n LEFT JOIN p USING (ep) GROUP BY n.ep"
+
 _QUERIES: tuple[tuple[Callable[[SparkSession, str], DataFrame], str], ...] = (
-    (page_dialogues, DIALOGUES_SQL), (guest_voices, GUESTS_SQL), (subtitle_cues, CUES_SQL), (reviewed_script, REVIEWED_SQL), (ducked_mix, MIX_SQL),
+    (page_dialogues, DIALOGUES_SQL), (guest_voices, GUESTS_SQL), (subtitle_cues, CUES_SQL), (reviewed_script, REVIEWED_SQL), (ducked_mix, MIX_SQL), (frame_pitches, FRAMES_SQL), (track_pitches, TRACKS_SQL),
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f, _ in _QUERIES}
 ORACLES: dict[str, str] = {f.__name__: sql for f, sql in _QUERIES} | {"page_text": PAGE_TEXT_SQL}
