@@ -102,9 +102,10 @@ def _level(gaps: DataFrame, a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     return met.groupBy("key", "gap").applyInPandas(divide, f"key {kind}, block boolean, alo int, ahi int, blo int, bhi int")
 
 
-def _at_once(gaps: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """(key, alo, ahi, blo, bhi): all blocks of small gaps, one gap a row."""
-    side = lambda words, lo, hi, name: _within(words, gaps, lo, hi).groupBy("key", "gap").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias(name))
+def _at_once(gaps: DataFrame, a: DataFrame, b: DataFrame, whole: bool) -> DataFrame:
+    """(key, alo, ahi, blo, bhi): all blocks of small gaps, one gap a row. Gaps that are ``whole`` sequences need no positions."""
+    inside = lambda words, lo, hi: words.join(gaps.select("key", "gap"), "key") if whole else _within(words, gaps, lo, hi)
+    side = lambda words, lo, hi, name: inside(words, lo, hi).groupBy("key", "gap").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias(name))
     x = side(a, "alo", "ahi", "a").join(side(b, "blo", "bhi", "b"), ["key", "gap"]).where(F.arrays_overlap("a.word", "b.word"))
     kind = gaps.schema["key"].dataType.simpleString()
     x = x.select("key", F.col("a.pos")[0].alias("alo"), F.col("b.pos")[0].alias("blo"), F.col("a.word").alias("a"), F.col("b.word").alias("b"))
@@ -131,8 +132,8 @@ def matching_blocks(a: DataFrame, b: DataFrame, levels: tuple[int, ...] = LEVELS
     gaps = cut(whole.select("key", F.lit(0).alias("gap"), F.lit(0).alias("alo"), "ahi", F.lit(0).alias("blo"), "bhi"))
     found: list[DataFrame] = []
     small = (F.col("ahi") - F.col("alo")).cast("long") * (F.col("bhi") - F.col("blo")) <= cells
-    for k in levels:
-        found.append(_at_once(gaps.where(small), a, b))
+    for n, k in enumerate(levels):
+        found.append(_at_once(gaps.where(small), a, b, whole=n == 0))
         large = gaps.where(~small)
         if large.isEmpty():
             break
