@@ -9,7 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: Spoken Mandarin characters in a second, and the least budget of a line.
 CHARS_PER_SECOND, MIN_BUDGET = 4.6, 4
@@ -54,21 +54,35 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     return F.when((F.size(col(a)) > 0) & (F.size(col(b)) > 0), both / union).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf(StringType())
-def unescape_html(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+#: Character references: as browsers take them, the semicolon may be missing; and those that are ended by one.
+_LOOSE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_ENDED = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,31});"
 
 
-def clean_script_text(c: Column | str, entities: bool = False) -> Column:
-    """Without [..] and (..), white space collapsed; with ``entities`` HTML entities are resolved first (in Python)."""
-    x = unescape_html(col(c)) if entities else col(c)
+@F.pandas_udf(ArrayType(StringType()))
+def _resolved(found: pd.Series) -> pd.Series:
+    return found.map(lambda refs: [html.unescape(r) for r in refs], na_action="ignore")
+
+
+def unescape_html(c: Column | str, ended: bool = False) -> Column:
+    """With HTML character references resolved; with ``ended`` only those that a semicolon ends. Only the references go through
+    Python, not the text around them."""
+    kind = _ENDED if ended else _LOOSE
+    parts = F.split(col(c), kind)
+    refs = _resolved(F.regexp_extract_all(col(c), F.lit(kind), F.lit(0)))
+    return F.array_join(F.zip_with(parts, refs, lambda part, ref: F.concat(part, F.coalesce(ref, F.lit("")))), "")
+
+
+def clean_script_text(c: Column | str, entities: bool = False, ended: bool = False) -> Column:
+    """Without [..] and (..), white space collapsed; with ``entities`` HTML entities are resolved first (``ended``: see unescape_html)."""
+    x = unescape_html(c, ended) if entities else col(c)
     x = F.regexp_replace(F.regexp_replace(x, r"\[[^\]]*\]", " "), r"\([^)]*\)", " ")
     return strip(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
-def clean_markup(c: Column | str) -> Column:
+def clean_markup(c: Column | str, ended: bool = False) -> Column:
     """Text of an HTML fragment: tags become spaces, then as ``clean_script_text``."""
-    return clean_script_text(F.regexp_replace(col(c), "<[^>]+>", " "), entities=True)
+    return clean_script_text(F.regexp_replace(col(c), "<[^>]+>", " "), entities=True, ended=ended)
 
 
 def srt_time(seconds: Column | str) -> Column:

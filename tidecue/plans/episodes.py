@@ -28,7 +28,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.page_dialogue(_pages(spark, sf_dir)).withColumn("sidx", F.col("sidx").cast("long"))
+    return pages.page_dialogue(_pages(spark, sf_dir), ended=True).withColumn("sidx", F.col("sidx").cast("long"))
 
 
 _UNESCAPE = "replace(replace(replace(replace({0}, '&copy;', '©'), '&quot;', '\"'), '&middot;', '·'), '&amp;', '&')"
