@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, norm_words, round_to
 from ..plans.stages import cut
-from .lookup import NUMBERS, asof, running_most
+from .lookup import NUMBERS, SECONDS, asof, running_most
 
 #: Seconds: air between lines, pause that splits a speech, drift allowed, bridged pause. Greatest speed-up.
 MIN_GAP, SPLIT_GAP, MAX_LAG, BRIDGE, MAX_SPEEDUP = 0.12, 2.0, 4.0, 1.0, 1.6
@@ -152,17 +152,34 @@ def merge_by_script_line(segments: DataFrame) -> DataFrame:
     return g.select("episode_id", F.col("island").alias("line_idx"), "start", "end", text.alias("en"), F.flatten("p.words").alias("words"), "sidx", "label", F.size("p").alias("fragments"))
 
 
-def deadlines(lines: DataFrame, key: str = "episode_id") -> DataFrame:
+def deadlines(lines: DataFrame, key: str = "episode_id", cell: float = SECONDS) -> DataFrame:
     """Adds ``deadline``, when each of (key, line_idx, onset, dur, total) has to be over. The backward recurrence
     D[k] = min(onset[k+1] + MAX_LAG, D[k+1] - dur[k+1] / MAX_SPEEDUP) - MIN_GAP unrolls: with S[k] the sum of what later
-    lines need, D[k] + S[k] is a reverse running minimum."""
-    order = W.partitionBy(key).orderBy("onset", "line_idx")
-    later = order.rowsBetween(1, W.unboundedFollowing)
-    need = F.coalesce(F.sum(F.col("dur") / MAX_SPEEDUP + MIN_GAP).over(later), F.lit(0.0))
-    x = lines.where(F.col("dur") > 0).withColumn("__s", need).withColumn("__next", F.lead("onset").over(order))
+    lines need, D[k] + S[k] is a reverse running minimum.
+
+    Both run from the last line on, so that each row is added once. Lines are dealt by cells of time; a cell takes the sum, the next
+    onset and the least bound of those behind it from one row for each."""
+    x = lines.where(F.col("dur") > 0).withColumns({"__cell": F.floor(F.col("onset") / cell), "__need": F.col("dur") / MAX_SPEEDUP + MIN_GAP})
+    of = [key, "__cell"]
+    back = W.partitionBy(*of).orderBy(F.desc("onset"), F.desc("line_idx"))
+    behind = W.partitionBy(key).orderBy(F.desc("__cell")).rowsBetween(W.unboundedPreceding, -1)
+
+    def carry(rows: DataFrame, cells: DataFrame) -> DataFrame:
+        # keys may be null, and so may onsets
+        met = F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")) & F.col("a.__cell").eqNullSafe(F.col("b.__cell"))
+        return rows.alias("a").join(cells.alias("b"), met).select("a.*", *[f"b.{c}" for c in cells.columns if c not in of])
+
+    sums = x.groupBy(*of).agg(F.sum("__need").alias("__sum"), F.min("onset").alias("__first"))
+    sums = sums.select(*of, F.coalesce(F.sum("__sum").over(behind), F.lit(0.0)).alias("__sum"), F.last("__first").over(behind).alias("__first"))
+    x = carry(x, sums).withColumn("__s", F.col("__sum") + F.coalesce(F.sum("__need").over(back.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    x = x.withColumn("__next", F.coalesce(F.lag("onset").over(back), "__first"))
     # the last line's term is the total; S of the last line is 0
     bound = F.when(F.col("__next").isNull(), F.col("total")).otherwise(F.col("__next") + MAX_LAG - MIN_GAP + F.col("__s"))
-    return x.withColumn("deadline", F.min(bound).over(order.rowsBetween(0, W.unboundedFollowing)) - F.col("__s")).drop("__s", "__next")
+    x = x.withColumn("__bound", bound)
+    least = x.groupBy(*of).agg(F.min("__bound").alias("__least"))
+    x = carry(x, least.select(*of, F.min("__least").over(behind).alias("__least")))
+    least = F.least(F.min("__bound").over(back.rowsBetween(W.unboundedPreceding, 0)), "__least")
+    return x.withColumn("deadline", least - F.col("__s")).drop("__cell", "__need", "__sum", "__first", "__s", "__next", "__bound", "__least")
 
 
 def plan_timeline(lines: DataFrame, key: str = "episode_id") -> DataFrame:
