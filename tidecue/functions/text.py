@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import html
 import json
+import re
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
 #: Spoken Mandarin characters in a second, and the least budget of a line.
 CHARS_PER_SECOND, MIN_BUDGET = 4.6, 4
@@ -55,13 +56,14 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
 
 
 #: Character references: as browsers take them, the semicolon may be missing; and those that are ended by one.
-_LOOSE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_LOOSE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\x00\t\n\f <&#;]{1,32};?)"
 _ENDED = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{1,31});"
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _resolved(found: pd.Series) -> pd.Series:
-    return found.map(lambda refs: [html.unescape(r) for r in refs], na_action="ignore")
+@F.pandas_udf(StringType())
+def _resolved(refs: pd.Series) -> pd.Series:
+    """Each of references joined by line ends, which are in none; what they stand for, joined by zeros, which none stands for."""
+    return refs.map(lambda r: "\0".join(map(html.unescape, r.split("\n"))) if r else "", na_action="ignore")
 
 
 def unescape_html(c: Column | str, ended: bool = False) -> Column:
@@ -69,8 +71,9 @@ def unescape_html(c: Column | str, ended: bool = False) -> Column:
     Python, not the text around them."""
     kind = _ENDED if ended else _LOOSE
     parts = F.split(col(c), kind)
-    refs = _resolved(F.regexp_extract_all(col(c), F.lit(kind), F.lit(0)))
-    return F.array_join(F.zip_with(parts, refs, lambda part, ref: F.concat(part, F.coalesce(ref, F.lit("")))), "")
+    found = F.split(_resolved(F.array_join(F.regexp_extract_all(col(c), F.lit(kind), F.lit(0)), "\n")), "\0")
+    whole = F.array_join(F.zip_with(parts, found, lambda part, ref: F.concat(part, F.coalesce(ref, F.lit("")))), "")
+    return F.when(F.contains(col(c), F.lit("&")), whole).otherwise(col(c))
 
 
 def clean_script_text(c: Column | str, entities: bool = False, ended: bool = False) -> Column:
@@ -136,24 +139,14 @@ def wrap_cjk(c: Column | str, width: int = 18) -> Column:
     characters but one, else where it is full; lines of white space alone are left out. A text that fits is one line; null
     is an empty one.
 
-    One fold over the characters: it keeps the open line and the finished ones."""
-    mark = lambda x, k: F.contains(F.lit(BREAKS), x.substr(k, 1))
-
-    def step(a: Column, ch: Column) -> Column:
-        line = F.concat(a["line"], ch)
-
-        def broken(full: Column) -> Column:
-            at = F.lit(width)
-            for k in range(max(width - 5, 1), width):
-                at = F.when(mark(full, k), F.lit(k)).otherwise(at)
-            return let(at, lambda k: F.struct(full.substr(k + 1, F.lit(width)).alias("line"), F.concat(a["done"], F.array(strip(full.substr(F.lit(1), k)))).alias("done")))
-
-        return F.when(F.length(line) >= width, let(line, broken)).otherwise(F.struct(line.alias("line"), a["done"].alias("done")))
+    Whole lines are found by one pattern, greedy first: the latest mark that may end a line, else the full width."""
+    low = max(width - 5, 1)
+    marked = f"(?=.{{{width}}}).{{{low - 1},{width - 2}}}[{re.escape(BREAKS)}]|" if low < width else ""
+    pattern = f"(?s){marked}.{{{width}}}|.+"
 
     def lines(text: Column) -> Column:
-        start = F.struct(F.lit("").alias("line"), F.array().cast("array<string>").alias("done"))
-        folded = F.aggregate(F.split(text, ""), start, step, lambda a: F.filter(F.concat(a["done"], F.array(strip(a["line"]))), lambda x: x != ""))
-        return F.when(F.length(text) <= width, F.array(text)).otherwise(folded)
+        found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), strip), lambda x: x != "")
+        return F.when(F.length(text) <= width, F.array(text)).otherwise(found)
 
     return let(strip(F.coalesce(col(c), F.lit(""))), lines)
 
