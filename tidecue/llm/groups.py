@@ -17,6 +17,8 @@ from ._tok import ids
 
 #: How many rows that follow in the sorted order a row meets.
 NEAREST = 2
+#: Rows and bytes of cells that are gone through together, and pairs that are looked at at a time.
+HELD_ROWS, HELD_BYTES, PAIRS = 1 << 14, 32 << 20, 1 << 20
 
 
 class Forest:
@@ -35,27 +37,39 @@ class Forest:
         return x != y
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
+#: Of two rows' carried columns, which pairs may be linked.
+May = Callable[[list[np.ndarray], list[np.ndarray]], np.ndarray]
+
+
+def neighbours(rows: DataFrame, may: May | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """(a, b) with a < b: of ``rows`` (group, rest, id), each with the NEAREST that follow in its group, in the order of
-    ``rest``. Range partitions hold no more of a group than of anything else; pairs across their borders are left out."""
+    ``rest``. Range partitions hold no more of a group than of anything else; pairs across their borders are left out, and so are
+    those that ``may`` rules out by the numbers in the columns ``carried``."""
     order = ["group", "rest", "id"]
-    return rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_followers, "a long, b long").where("a < b")
+    return rows.select(*order, *carried).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_followers(may, carried), "a long, b long").where("a < b")
 
 
-def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _followers(may: May | None, carried: tuple[str, ...]) -> Callable:
     """Of sorted rows (group, id), each with the NEAREST that follow in its group."""
-    group, key = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        old = len(key)
-        group, key = (np.concatenate([x, np.asarray(ids(batch, n))]) for x, n in ((group, "group"), (key, "id")))
-        a, b = [], []
-        for step in range(1, NEAREST + 1):
-            to = np.arange(max(old, step), len(key))
-            to = to[group[to] == group[to - step]]
-            a.append(np.minimum(key[to], key[to - step]))
-            b.append(np.maximum(key[to], key[to - step]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-        group, key = group[-NEAREST:], key[-NEAREST:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["group", "id", *carried]
+        held = [np.zeros(0, np.int64) for _ in names]
+        for batch in batches:
+            old = len(held[0])
+            group, key, *more = held = [np.concatenate([x, np.asarray(ids(batch, n))]) for x, n in zip(held, names, strict=True)]
+            a, b = [], []
+            for step in range(1, NEAREST + 1):
+                to = np.arange(max(old, step), len(key))
+                to = to[group[to] == group[to - step]]
+                if may:
+                    to = to[may([x[to] for x in more], [x[to - step] for x in more])]
+                a.append(np.minimum(key[to], key[to - step]))
+                b.append(np.maximum(key[to], key[to - step]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            held = [x[-NEAREST:] for x in held]
+
+    return run
 
 
 def cells(rows: DataFrame, known: DataFrame, block: int, block_mass: int) -> DataFrame:
@@ -120,5 +134,54 @@ def by_cell(rows: DataFrame, links: Callable[[pa.Table], list[tuple[int, int]]])
     return rows.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def in_cells(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``work`` gives for many whole cells (group, x, y) at a time: it gets their rows by cell and side, and the rows'
+    cells, numbered from 0 on. No more is held than HELD rows or bytes and one cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table) -> pa.RecordBatch:
+            order = np.lexsort([np.asarray(table.column(c)) for c in ("side", "y", "x", "group")])
+            table = table.take(pa.array(order)).combine_chunks()
+            at = [np.asarray(table.column(c)) for c in ("group", "x", "y")]
+            return work(table, np.append(0, np.cumsum(np.any([np.diff(v) != 0 for v in at], axis=0))))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD_ROWS or sum(b.nbytes for b in held) >= HELD_BYTES:
+                table = pa.Table.from_batches(held)
+                at = [np.asarray(table.column(c)) for c in ("group", "x", "y")]
+                border = np.flatnonzero(np.any([np.diff(v) != 0 for v in at], axis=0))
+                # the last cell may go on
+                if len(border):
+                    cut = int(border[-1]) + 1
+                    yield done(table.slice(0, cut))
+                    held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    return rows.repartition("group", "x", "y").sortWithinPartitions("group", "x", "y").mapInArrow(run, schema)
+
+
+def meetings(cell: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of rows in order of (cell, side) that meet: those of side 0 all of side 1 in their cell, those of side 2 each
+    other. PAIRS at a time, or what one row meets."""
+    n = len(cell)
+    kind, end = cell * 4 + side, np.searchsorted(cell, cell, side="right")
+    first = np.where(side == 0, np.searchsorted(kind, cell * 4 + 1), np.where(side == 2, np.arange(1, n + 1), end))
+    count = end - first
+    upto = np.append(0, np.cumsum(count))
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PAIRS, side="right")) - 1)
+        c = count[lo:hi]
+        i = np.repeat(np.arange(lo, hi), c)
+        yield i, np.arange(len(i)) + np.repeat(first[lo:hi] - (np.cumsum(c) - c), c)
+        lo = hi
+
+
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[j] for p in found], pa.int64()) for j in (0, 1)], ["a", "b"])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ._store import bit_filter, forget, free_name, materialize, maybe_in, n_parts
 from ._tok import _BASE, Chunk, _powers, binary, chunks, column, ids, mix, runs
 from .components import connected_components
-from .groups import Forest, by_cell, cells, different, members_mark, neighbours
+from .groups import Forest, cells, different, in_cells, meetings, members_mark, neighbours
 
 #: Lines of fewer words are left alone by default. Two lines are linked if at most 1/EDIT of the longer one's words have
 #: to be edited.
@@ -91,12 +91,11 @@ def _marks(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
 def _lines(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each line of a chunk that has words: its row, its number in the row, and (with the end) its first word."""
     breaks = np.flatnonzero(c.data == 10)
-    row = np.searchsorted(c.offsets, c.starts, side="right") - 1
-    number = np.searchsorted(breaks, c.starts) - np.searchsorted(breaks, c.offsets[row])
-    new = np.ones(len(c.starts), bool)
-    new[1:] = (row[1:] != row[:-1]) | (number[1:] != number[:-1])
-    at = np.flatnonzero(new)
-    return row[at], number[at], np.append(at, len(c.starts))
+    at = np.union1d(np.searchsorted(c.starts, breaks), c.first[:-1])
+    at = at[at < len(c.starts)]
+    row = np.searchsorted(c.first, at, side="right") - 1
+    number = np.searchsorted(breaks, c.starts[at]) - np.searchsorted(breaks, c.offsets[row])
+    return row, number, np.append(at, len(c.starts))
 
 
 @dataclass
@@ -291,49 +290,94 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
     return within(x, y, max(len(x), len(y)) // EDIT)
 
 
+def _near(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Whether lines (words, sketch) may be within the edit bound."""
+    most = np.maximum(x[0], y[0]) // EDIT
+    return (np.abs(x[0] - y[0]) <= most) & (np.bitwise_count((x[1] ^ y[1]).view(np.uint64)) <= 2 * most)
+
+
+def _packed(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of binary texts one after the other, and where each begins (with the end)."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    size = np.asarray(pa.compute.binary_length(texts)).astype(np.int64) // 8
+    first = np.append(0, np.cumsum(size))
+    words = np.frombuffer(b"".join(x.as_buffer() for x in texts), np.uint64) if first[-1] else np.zeros(0, np.uint64)
+    return words, first
+
+
+def _tally(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Words in each of 128 hash classes, a row for each text: an edit changes the sum of differences by two at most."""
+    n = len(first) - 1
+    at = np.repeat(np.arange(n) * 128, np.diff(first)) + ((words >> np.uint64(6)) & np.uint64(127)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=128 * n), 1 << 14).astype(np.int16).reshape(n, 128)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        read = lambda name: [np.frombuffer(x.as_buffer(), np.uint64) for x in ids(batch, name)]  # noqa: B023, E731
-        keep = pa.array([_alike(x, y) for x, y in zip(read("ta"), read("tb"), strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([ids(batch, "a").filter(keep), ids(batch, "b").filter(keep)], ["a", "b"])
-
-
-def _blocks(table: pa.Table) -> list[tuple[int, int]]:
-    """Links that connect what ``known`` leaves apart: between sides 0 and 1, or among all of side 2."""
-    key, sim, side, known = (np.asarray(table.column(x)) for x in ("id", "sim", "side", "known"))
-    among = bool((side == 2).all())
-    if not among and not ((side == 0).any() and (side == 1).any()):
-        return []
-    size = np.asarray(pa.compute.binary_length(table.column("text"))) // 8
-    rows, cols = (np.arange(len(key)), np.arange(len(key))) if among else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-    left, right = [], []
-    for lo in range(0, len(rows), 128):
-        i, j = rows[lo : lo + 128, None], cols[None]
-        most = np.maximum(size[i], size[j]) // EDIT
-        ok = (np.abs(size[i] - size[j]) <= most) & (known[i] != known[j]) & (np.bitwise_count((sim[i] ^ sim[j]).view(np.uint64)) <= 2 * most)
-        at = np.nonzero(ok & (i < j) if among else ok)
-        left.append(rows[lo + at[0]])
-        right.append(cols[at[1]])
-    left, right = np.concatenate(left), np.concatenate(right)
-    if not len(left):
-        return []
-    text = table.column("text").combine_chunks()
-    words = {i: np.frombuffer(text[i].as_buffer(), np.uint64) for i in np.union1d(left, right).tolist()}
-    # words in each hash class: an edit changes the sum of differences by two at most
-    tally = np.zeros((len(key), 128), np.int16)
-    for i, w in words.items():
-        tally[i] = np.minimum(np.bincount((w >> np.uint64(6)) & np.uint64(127), minlength=128), 1 << 14)
-    near = np.concatenate([np.abs(tally[left[lo : lo + 4096]] - tally[right[lo : lo + 4096]]).sum(axis=1, dtype=np.int64) for lo in range(0, len(left), 4096)])
-    ok = near <= 2 * (np.maximum(size[left], size[right]) // EDIT)
-    forest, found = Forest(len(key)), []
-    _, start, which = np.unique(known, return_index=True, return_inverse=True)
-    for i in range(len(key)):
-        forest.join(i, int(start[which[i]]))
-    for i, j in zip(left[ok].tolist(), right[ok].tolist(), strict=True):
-        if forest.root(i) != forest.root(j) and _alike(words[i], words[j]):
-            forest.join(i, j)
-            found.append((int(key[i]), int(key[j])))
-    return found
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 1024):
+            batch = whole.slice(lo, 1024)
+            (x, at_x), (y, at_y) = (_packed(ids(batch, c)) for c in ("ta", "tb"))
+            size = np.diff(at_x), np.diff(at_y)
+            most = np.maximum(*size) // EDIT
+            ok = np.abs(_tally(x, at_x) - _tally(y, at_y)).sum(axis=1, dtype=np.int64) <= 2 * most
+            # lines of the same length are mostly told by their words place by place
+            same = np.flatnonzero(ok & (size[0] == size[1]))
+            n = size[0][same]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            differ = np.append(0, np.cumsum(x[np.repeat(at_x[same], n) + inside] != y[np.repeat(at_y[same], n) + inside]))
+            sure = np.zeros(len(ok), bool)
+            sure[same] = np.diff(differ[np.append(0, np.cumsum(n))]) <= most[same]
+            for i in np.flatnonzero(ok & ~sure).tolist():
+                ok[i] = within(x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]], int(most[i]))
+            keep = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([ids(batch, "a").filter(keep), ids(batch, "b").filter(keep)], ["a", "b"])
+
+
+def _meeting(table: pa.Table, cell: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of cells that meet, are not connected and may be within the edit bound."""
+    side, known, words, sim = (np.asarray(table.column(x)).astype(np.int64) for x in ("side", "known", "words", "sim"))
+    for i, j in meetings(cell, side):
+        new = known[i] != known[j]
+        i, j = i[new], j[new]
+        ok = _near([words[i], sim[i]], [words[j], sim[j]])
+        yield i[ok], j[ok]
+
+
+def _open(table: pa.Table, cell: np.ndarray) -> pa.RecordBatch:
+    """The rows of cells that may be linked with another one there: only their texts are needed."""
+    some = np.zeros(len(cell), bool)
+    for i, j in _meeting(table, cell):
+        some[i] = some[j] = True
+    return pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.filter(pa.array(some)).columns], table.schema.names)
+
+
+def _links(table: pa.Table, cell: np.ndarray) -> pa.RecordBatch:
+    """Links (a, b) that connect what ``known`` leaves apart in cells."""
+    key, known = (np.asarray(table.column(x)) for x in ("id", "known"))
+    words, first = _packed(table.column("text"))
+    size, tally = np.diff(first), _tally(words, first)
+    # differences of sums are no larger than the sums of differences, and quicker
+    coarse = tally.reshape(len(key), 8, 16).sum(axis=1, dtype=np.int32)
+    forest, a, b = Forest(len(key)), [], []
+    order = np.lexsort((known, cell))
+    for x, y in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
+        if cell[x] == cell[y] and known[x] == known[y]:
+            forest.join(x, y)
+    for left, right in _meeting(table, cell):
+        most = 2 * (np.maximum(size[left], size[right]) // EDIT)
+        near = np.zeros(len(left), np.int32)
+        for k in range(coarse.shape[1]):
+            near += np.abs(coarse[left, k] - coarse[right, k])
+        left, right = left[near <= most], right[near <= most]
+        for lo in range(0, len(left), 4096):
+            i, j = left[lo : lo + 4096], right[lo : lo + 4096]
+            ok = np.abs(tally[i] - tally[j]).sum(axis=1, dtype=np.int64) <= 2 * (np.maximum(size[i], size[j]) // EDIT)
+            for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                if forest.root(x) != forest.root(y) and _alike(words[first[x] : first[x + 1]], words[first[y] : first[y + 1]]):
+                    forest.join(x, y)
+                    a.append(int(key[x]))
+                    b.append(int(key[y]))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _cut(min_words: int, full: bool, named: str = "gone", most: float = 1.0) -> Callable:
@@ -342,24 +386,30 @@ def _cut(min_words: int, full: bool, named: str = "gone", most: float = 1.0) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = {i: {(x["line"], x["key"]) for x in r} for i, r in enumerate(ids(batch, named).to_pylist()) if r}
-            drop: dict[int, set[int]] = {i: set() for i in gone}
             data, offsets = column(batch, "text")
-            if gone:
-                keys = np.array(sorted({k for x in gone.values() for _, k in x}), np.int64)
-                for c in chunks(batch, lower=True, letters=True):
-                    x, lost = Lines.of(c, min_words), np.zeros(c.hi - c.lo, np.int64)
-                    for j in np.flatnonzero(np.isin(x.key, keys)).tolist():
-                        row = int(x.row[j])
-                        if (int(x.number[j]), int(x.key[j])) in gone.get(c.lo + row, ()):
-                            drop[c.lo + row].add(int(x.number[j]))
-                            lost[row] += x.size[j]
-                    for row in np.flatnonzero(lost > most * np.diff(c.first)).tolist():
-                        drop[c.lo + row] = set()
+            gone = {i: r for i, r in enumerate(ids(batch, named).to_pylist()) if r}
+            lines = {i: data[offsets[i] : offsets[i + 1]].tobytes().split(b"\n") for i in gone}
+            drop: dict[int, set[int]] = {i: set() for i in gone}
+            lost = np.zeros(batch.num_rows, np.int64)
+            # rows may share a doc_id, so a line counts if its hash is the one named; no other line is read
+            asked = [(i, x["line"], x["key"]) for i, r in gone.items() for x in r if x["line"] < len(lines[i])]
+            said = pa.array([lines[i][n] for i, n, _ in asked], pa.large_binary()).cast(pa.large_string())
+            for c in chunks(pa.RecordBatch.from_arrays([said], ["text"]), lower=True, letters=True):
+                x = Lines.of(c, min_words)
+                for row, key, size in zip((c.lo + x.row).tolist(), x.key.tolist(), x.size.tolist(), strict=True):
+                    i, n, named_key = asked[row]
+                    if key == named_key:
+                        drop[i].add(n)
+                        lost[i] += size
+            if most < 1 and drop:
+                rows = np.array(list(drop))
+                for c in chunks(pa.RecordBatch.from_arrays([ids(batch, "text").take(pa.array(rows))], ["text"]), letters=True):
+                    for i in rows[c.lo : c.hi][lost[rows[c.lo : c.hi]] > most * np.diff(c.first)].tolist():
+                        drop[i] = set()
             texts: list[bytes | None] = [None] * batch.num_rows
             for i, d in drop.items():
                 if d:
-                    texts[i] = b"\n".join(x for j, x in enumerate(data[offsets[i] : offsets[i + 1]].tobytes().split(b"\n")) if j not in d)
+                    texts[i] = b"\n".join(x for j, x in enumerate(lines[i]) if j not in d)
             if full:
                 text = ids(batch, "text")
                 changed = pa.array([t is not None for t in texts])
@@ -398,8 +448,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     kinds = "doc_id long, line long, key long, sim long, words int, part int, marks binary, keys binary"
     survey = materialize(spark, docs.mapInArrow(_survey(min_words, parts), kinds), "survey")
     lines = materialize(spark, survey.where("part is null").select("doc_id", "line", "key", "sim", "words"), "lines")
-    classes = lines.groupBy("key", "sim", "words", "doc_id").agg(F.min("line").alias("line")).groupBy("key", "sim", "words")
-    classes = materialize(spark, classes.agg(F.min("doc_id").alias("first_doc"), F.min_by("line", "doc_id").alias("line")).withColumnRenamed("first_doc", "doc_id"), "classes")
+    classes = lines.groupBy("key", "sim", "words", "doc_id").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n")).groupBy("key", "sim", "words")
+    classes = materialize(spark, classes.agg(F.min("doc_id").alias("first_doc"), F.min_by("line", "doc_id").alias("line"), F.sum("n").alias("n")).withColumnRenamed("first_doc", "doc_id"), "classes")
     # which marks lines have in common is found from packed ranges; only those become rows
     packed = survey.where("part is not null").select("part", "marks", "keys")
     shared = packed.mapInArrow(_once, "part int, marks binary, keys binary").groupBy("part").applyInArrow(_shared, "part int, shared binary")
@@ -409,11 +459,10 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     index = materialize(spark, index.distinct(), "index")
     forget(spark, survey, shared)
     # what a bucket holds is aggregated on the map side and joined back, so that a bucket of any size is split like other rows
-    known = index.join(classes.select("key", "sim", "words"), "key")
-    sized = known.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *members_mark("key")).where("size > 1")
+    sized = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *members_mark("key")).where("size > 1")
     # lines that share a passage share all its marks: of buckets with the same lines one is enough
     sized = materialize(spark, different(sized), "sized")
-    buckets = materialize(spark, known.join(sized.hint("shuffle_hash"), "bucket"), "buckets")
+    buckets = materialize(spark, index.join(sized.hint("shuffle_hash"), "bucket").join(classes.select("key", "sim", "words"), "key"), "buckets")
     forget(spark, index, sized)
 
     small = buckets.where(F.col("size") <= BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("words", "key", "sim"))).alias("m"))
@@ -421,7 +470,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     near = lambda x, y: (y["words"] - x["words"] <= most(y)) & (F.bit_count(x["sim"].bitwiseXOR(y["sim"])) <= 2 * most(y))
     after = lambda x, i: F.transform(F.filter(F.slice("m", i + 2, BUCKET), lambda y: near(x, y)), lambda y: F.struct(F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b")))
     pairs = materialize(spark, small.select(F.explode(F.flatten(F.transform("m", after))).alias("p")).select("p.a", "p.b").distinct(), "pairs")
-    large = buckets.where(F.col("size") > BUCKET).select(F.col("bucket").alias("group"), F.col("key").alias("id"), F.col("words").alias("mass"), "sim")
+    large = buckets.where(F.col("size") > BUCKET).select(F.col("bucket").alias("group"), F.col("key").alias("id"), F.col("words").alias("mass"), "words", "sim")
 
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(large.select("id")).distinct()
     # texts stay where they are: a filter of fixed size goes to them, and the lines that pass are joined
@@ -431,21 +480,24 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     forget(spark, wanted)
     # lines of a large bucket meet those that begin or end like them
     deep = large.join(text.select(F.col("key").alias("id"), "text"), "id")
-    deep = materialize(spark, deep.select("group", F.substring("text", 1, 8 * ENDS).alias("start"), F.expr(f"substring(text, greatest(1, length(text) - {8 * ENDS - 1}))").alias("stop"), "id"), "deep")
-    near = [neighbours(deep.select("group", F.col(c).alias("rest"), "id")) for c in ("start", "stop")]
+    deep = materialize(spark, deep.select("group", F.substring("text", 1, 8 * ENDS).alias("start"), F.expr(f"substring(text, greatest(1, length(text) - {8 * ENDS - 1}))").alias("stop"), "id", "words", "sim"), "deep")
+    near = [neighbours(deep.select("group", F.col(c).alias("rest"), "id", "words", "sim"), _near, ("words", "sim")) for c in ("start", "stop")]
     of = lambda c: text.select(F.col("key").alias(c), F.col("text").alias(f"t{c}"))
     links = pairs.union(near[0]).union(near[1]).distinct().join(of("a"), "a").join(of("b"), "b").mapInArrow(_confirm, "a long, b long")
     links = materialize(spark, links, "near")
     forget(spark, pairs, deep)
     comp = materialize(spark, connected_components(spark, links), "components")
-    apart = materialize(spark, cells(large, comp, BLOCK, BLOCK_WORDS), "apart")
-    closing = apart.join(classes.select(F.col("key").alias("id"), "sim"), "id").join(text.select(F.col("key").alias("id"), "text"), "id")
-    closing = materialize(spark, by_cell(closing, _blocks), "closing")
+    # who may be linked in a cell is told by length and sketch; only those lines' texts go there
+    apart = cells(large.drop("words", "sim"), comp, BLOCK, BLOCK_WORDS).join(classes.select(F.col("key").alias("id"), "words", "sim"), "id")
+    cell = "group long, x int, y int, id long, known long, side int, words int, sim long"
+    apart = materialize(spark, in_cells(apart.select("group", "x", "y", "id", "known", "side", "words", "sim"), _open, cell), "apart")
+    closing = materialize(spark, in_cells(apart.join(text.select(F.col("key").alias("id"), "text"), "id"), _links, "a long, b long"), "closing")
     forget(spark, buckets, text, links, apart)
     if not closing.isEmpty():
         comp = connected_components(spark, closing.union(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     group = comp
-    grouped = classes.join(group, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("component", "key"))
+    # a class of one line that is linked with none loses none
+    grouped = classes.join(group, F.col("key") == F.col("node"), "left").where("component is not null or n > 1").withColumn("group", F.coalesce("component", "key"))
     first = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "line")).alias("stays"))
     grouped = grouped.select("key", "group").distinct().join(first, "group")
     gone = lines.select("doc_id", "line", "key").join(grouped, "key").where((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("line") != F.col("stays.line")))
