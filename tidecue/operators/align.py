@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from difflib import SequenceMatcher
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_words, round_to
-from ..plans.stages import cut
+from ..plans.stages import cut, kept
 from .blocks import CELLS, LEVELS, matching_blocks, positions
 
 MATCH, NEAR, LEAD = 0.34, 0.30, 0.10
@@ -33,17 +36,49 @@ def word_matches(heard: DataFrame, script: DataFrame, levels: tuple[int, ...] =
 
     ``heard`` has episode_id, line_idx, start, end, en, words; ``script`` has episode_id, sidx, text. The matching blocks of
     the whole word sequences decide. Lines without words, and episodes that one side lacks, match nothing."""
-    h = heard.select("episode_id", "line_idx", "start", "end", "words", norm_words("en").alias("tokens"))
-    h = cut(h.select("episode_id", "line_idx", "tokens", token_times().alias("times")))
-    a = cut(positions(h, "episode_id", "line_idx", "tokens"))
-    b = cut(positions(script.select("episode_id", "sidx", norm_words("text").alias("tokens")), "episode_id", "sidx", "tokens"))
-    blocks = matching_blocks(a, b, levels, cells).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("ahi") - F.col("alo") - 1)))
-    pairs = blocks.select("key", (F.col("alo") + F.col("k")).alias("i"), (F.col("blo") + F.col("k")).alias("j"))
-    pairs = pairs.join(a.select("key", F.col("pos").alias("i"), F.col("owner").alias("line_idx"), "t"), ["key", "i"]).join(b.select("key", F.col("pos").alias("j"), F.col("owner").alias("sidx")), ["key", "j"])
-    timed = pairs.withColumnRenamed("key", "episode_id").join(h.select("episode_id", "line_idx", "times"), ["episode_id", "line_idx"]).withColumn("time", F.get("times", F.col("t")))
+    h = kept(heard.select("episode_id", "line_idx", "start", "end", "words", norm_words("en").alias("tokens")))
+    said = kept(script.select("episode_id", "sidx", norm_words("text").alias("tokens")))
+    size = lambda x, name: x.groupBy("episode_id").agg(F.sum(F.size("tokens")).alias(name)).where(F.col(name) > 0)
+    sizes = kept(size(h, "m").join(size(said, "n"), "episode_id"))
+    small = F.col("m") * F.col("n") <= cells
+    pairs = _whole_matches(h, said, sizes.where(small))
+    if not (large := sizes.where(~small).select("episode_id")).isEmpty():
+        a = cut(positions(h.join(large, "episode_id", "left_semi"), "episode_id", "line_idx", "tokens"))
+        b = cut(positions(said.join(large, "episode_id", "left_semi"), "episode_id", "sidx", "tokens"))
+        blocks = matching_blocks(a, b, levels, cells).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("ahi") - F.col("alo") - 1)))
+        met = blocks.select("key", (F.col("alo") + F.col("k")).alias("i"), (F.col("blo") + F.col("k")).alias("j"))
+        met = met.join(a.select("key", F.col("pos").alias("i"), F.col("owner").alias("line_idx"), "t"), ["key", "i"]).join(b.select("key", F.col("pos").alias("j"), F.col("owner").alias("sidx")), ["key", "j"])
+        pairs = pairs.unionByName(met.select(F.col("key").alias("episode_id"), "line_idx", "t", "sidx"))
+    timed = pairs.join(h.select("episode_id", "line_idx", token_times().alias("times")), ["episode_id", "line_idx"]).withColumn("time", F.get("times", F.col("t")))
     return timed.select("episode_id", F.col("line_idx").cast("int").alias("line_idx"), F.col("sidx").cast("int").alias("sidx"), F.col("time.s").cast("double").alias("s"), F.col("time.e").cast("double").alias("e"))
 
 
+def _whole_matches(heard: DataFrame, script: DataFrame, small: DataFrame) -> DataFrame:
+    """(episode_id, line_idx, t, sidx): matched words of the episodes ``small``. Their lines meet as arrays of words, so no word of
+    theirs becomes a row but a matched one."""
+
+    def side(x: DataFrame, line: str, name: str) -> DataFrame:
+        lines = x.where(F.size("tokens") > 0).join(small.select("episode_id"), "episode_id", "left_semi")
+        return lines.groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct(F.col(line).cast("long").alias("line"), "tokens"))).alias(name))
+
+    both = side(heard, "line_idx", "a").join(side(script, "sidx", "b"), "episode_id")
+    both = both.select("episode_id", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("line", "tokens")])
+    both = both.where(F.arrays_overlap(F.flatten("a_tokens"), F.flatten("b_tokens")))
+
+    def match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for episode, a_line, a, b_line, b in part.itertuples(index=False):
+                size_a, size_b = [len(x) for x in a], [len(x) for x in b]
+                line, place, sidx = np.repeat(a_line, size_a), np.concatenate([np.arange(n) for n in size_a]), np.repeat(b_line, size_b)
+                for i, j, n in SequenceMatcher(None, list(chain.from_iterable(a)), list(chain.from_iterable(b)), autojunk=False).get_matching_blocks():
+                    out += zip([episode] * n, line[i : i + n].tolist(), place[i : i + n].tolist(), sidx[j : j + n].tolist(), strict=True)
+            yield pd.DataFrame(out, columns=["episode_id", "line_idx", "t", "sidx"])
+
+    kind = heard.schema["episode_id"].dataType.simpleString()
+    return both.mapInPandas(match, f"episode_id {kind}, line_idx long, t int, sidx long")
+
+
 def best_lines(matches: DataFrame, heard: DataFrame) -> DataFrame:
     """(episode_id, line_idx, sidx) of the lines whose most matched script line has enough of their words; ties go to the
     earlier script line."""

@@ -64,13 +64,25 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint in the folder that spark.checkpoint.dir names: the plan behind it ends there, and its rows
     outlive lost executors. Where none is set, a local master gets a temporary one; on a cluster that is an error, since its
     machines would not see each other's files."""
+    _checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a compressed table by columns: a fraction of a checkpoint's bytes where rows hold words."""
     spark = df.sparkSession
+    path = f"{_checkpoints(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _checkpoints(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not named and spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidecue-"))
-    return df.checkpoint()
+    return spark.sparkContext.getCheckpointDir()
 
 
 def build_once(spark: SparkSession, root: str, parts: dict[str, object], build: Callable[[], DataFrame]) -> DataFrame:
