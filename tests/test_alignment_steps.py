@@ -29,3 +29,19 @@ def test_words_of_small_episodes_become_no_rows(spark, monkeypatch):
         got = sorted((r["episode_id"], r["line_idx"], r["sidx"]) for r in align.word_matches(h, s, cells=cells).collect())
         assert got == sorted(x for w in want.values() for x in w)
         assert placed == large
+
+
+def test_words_of_short_runs_become_no_rows(spark, monkeypatch):
+    rng = random.Random(8)
+    said = lambda: " ".join(rng.choice(("sun", "moon", "star", "sky", "sea", "fog", "run")) for _ in range(rng.randint(0, 5)))
+    script = [(e, k, said()) for e in ("a", "b") for k in range(30)]
+    lines = [(e, k, said(), k if rng.random() < (0.5 if e == "a" else 0.1) else None) for e in ("a", "b", "none") for k in range(30)]
+    tables = spark.createDataFrame(lines, "episode_id string, line_idx int, en string, sidx int"), spark.createDataFrame(script, SCRIPT)
+    got = {}
+    for short in (1000, 20, 0):
+        monkeypatch.setattr(align, "SHORT", short, raising=False)
+        filled = align.fill_gaps(*tables)
+        got[short] = sorted(map(tuple, filled.collect()), key=str)
+        by_word = "explode(words" in filled._jdf.queryExecution().toString()
+        assert by_word == (short in (20, 0))
+    assert len({str(x) for x in got.values()}) == 1 and len(got) == 3

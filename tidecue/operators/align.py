@@ -17,6 +17,8 @@ from ..plans.stages import cut, kept
 from .blocks import CELLS, LEVELS, matching_blocks, positions
 
 MATCH, NEAR, LEAD = 0.34, 0.30, 0.10
+#: Unmatched lines of a run times the script lines between its matches, up to which they meet as sets of words.
+SHORT = 256
 
 
 def token_times() -> Column:
@@ -107,20 +109,35 @@ def _gap_candidates(lines: DataFrame, script: DataFrame) -> DataFrame:
     the difference of both changes anything."""
     order = W.partitionBy("episode_id").orderBy("line_idx")
     back, ahead = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
-    x = lines.select("episode_id", "line_idx", "en", "sidx").withColumns({"prev": F.last("sidx", ignorenulls=True).over(back), "next": F.first("sidx", ignorenulls=True).over(ahead)})
+    bag = lambda c: F.array_distinct(norm_words(c))
+    # sets of words travel, not texts
+    x = lines.select("episode_id", "line_idx", bag("en").alias("bag"), "sidx").withColumns({"prev": F.last("sidx", ignorenulls=True).over(back), "next": F.first("sidx", ignorenulls=True).over(ahead)})
     x = x.withColumn("run", F.coalesce(F.last(F.when(F.col("sidx").isNotNull(), F.col("line_idx")), ignorenulls=True).over(back), F.lit(-1))).where("sidx is null").drop("sidx")
     x = x.join(script.groupBy("episode_id").agg((F.count(F.lit(1)) - 1).cast("int").alias("last")), "episode_id")
-    bag = lambda c: F.array_distinct(norm_words(c))
     lo, hi = F.greatest(F.coalesce("prev", F.lit(0)), F.lit(0)), F.least(F.coalesce("next", F.col("last") + 1), "last")
-    runs = x.select("episode_id", "run", lo.alias("lo"), hi.alias("hi")).distinct().where("lo <= hi")
-    # an inverted index of the script lines that a run of unmatched lines may take, and of its own lines
+    runs = x.groupBy("episode_id", "run", lo.alias("lo"), hi.alias("hi")).agg(F.count(F.lit(1)).alias("lines")).where("lo <= hi")
+    runs = kept(runs)
     place = F.row_number().over(W.partitionBy("episode_id").orderBy("sidx")) - 1
-    said = script.select("episode_id", place.alias("j"), bag("text").alias("words"))
-    said = runs.withColumn("j", F.explode(F.sequence("lo", "hi"))).join(said, ["episode_id", "j"]).select("episode_id", "run", "j", F.size("words").alias("m"), F.explode("words").alias("word"))
-    heard = x.select("episode_id", "run", "line_idx", bag("en").alias("words")).select("episode_id", "run", "line_idx", F.size("words").alias("n"), F.explode("words").alias("word"))
-    both = heard.join(said, ["episode_id", "run", "word"]).groupBy("episode_id", "line_idx", "j", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    scored = both.withColumn("score", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).where(F.col("score") > NEAR - LEAD - 1e-9)
-    return x.join(scored.groupBy("episode_id", "line_idx").agg(F.collect_list(F.struct("j", "score")).alias("found")), ["episode_id", "line_idx"], "left")
+    said = script.select("episode_id", "sidx", bag("text").alias("words")).select("episode_id", place.alias("j"), "words")
+    taken = lambda runs: runs.select("episode_id", "run", F.explode(F.sequence("lo", "hi")).alias("j")).join(said, ["episode_id", "j"])
+    short = F.col("lines") * (F.col("hi") - F.col("lo") + 1) <= SHORT
+    # the few script lines that a short run may take go to it as sets of words
+    near = taken(runs.where(short)).groupBy("episode_id", "run").agg(F.collect_list(F.struct("j", "words")).alias("near"))
+    x = x.join(near, ["episode_id", "run"], "left")
+    both = lambda y: F.size(F.array_intersect("bag", y["words"]))
+    score = lambda y, c: c / F.greatest(F.size("bag") + F.size(y["words"]) - c, F.lit(1))
+    least = NEAR - LEAD - 1e-9
+    found = F.filter(F.transform("near", lambda y: F.struct(y["j"].alias("j"), score(y, both(y)).alias("score"))), lambda f: f["score"] > least)
+    x = x.withColumn("found", found).drop("near")
+    if (long := runs.where(~short)).isEmpty():
+        return x.drop("bag")
+    # an inverted index of the script lines that a long run may take, and of its own lines
+    index = taken(long).select("episode_id", "run", "j", F.size("words").alias("m"), F.explode("words").alias("word"))
+    heard = x.join(long.select("episode_id", "run"), ["episode_id", "run"], "left_semi").select("episode_id", "run", "line_idx", F.size("bag").alias("n"), F.explode("bag").alias("word"))
+    both = heard.join(index, ["episode_id", "run", "word"]).groupBy("episode_id", "line_idx", "j", "n", "m").agg(F.count(F.lit(1)).alias("c"))
+    scored = both.withColumn("score", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).where(F.col("score") > least)
+    more = scored.groupBy("episode_id", "line_idx").agg(F.collect_list(F.struct("j", "score")).alias("more"))
+    return x.join(more, ["episode_id", "line_idx"], "left").withColumn("found", F.coalesce("found", "more")).drop("more", "bag")
 
 
 def _fill_run(prev: int | None, after: int | None, last: int, found: list[list[tuple[int, float]]]) -> list[int | None]:
