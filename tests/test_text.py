@@ -129,3 +129,14 @@ def test_profiles_of_folders(tmp_path):
     (tmp_path / "b/broken.toml").write_text("name = ")
     assert list_profiles(tmp_path / "a", tmp_path / "b", tmp_path / "none") == [("x", "New")]
     assert parse_profile(GOOD).labels == ["Ann", "OtherMale", "OtherFemale", "Skip"]
+
+
+def test_hints_are_looked_for_by_one_pattern(spark):
+    hints = {h for words in (labels.FEMALE_HINTS, labels.MALE_HINTS, labels.DENIED) for h in words}
+    texts = [None, "", "plain", "18 +", "118+x", "SHE is a Woman\nand more", *hints, *(f"x{h.upper()}y" for h in hints), *(h[:-1] for h in hints)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    x = rows.select("t", labels.is_bad_voice("t"), labels.voice_gender("t"))
+    has = lambda t, words: any(w in (t or "").lower() for w in words)
+    want = [(t, has(t, labels.DENIED), "FEMALE" if has(t, labels.FEMALE_HINTS) else "MALE" if has(t, labels.MALE_HINTS) else "") for t in texts]
+    assert [tuple(r) for r in x.collect()] == want
+    assert "exists(" not in x._jdf.queryExecution().toString().lower()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import chain
 
 from pyspark.sql import Column
@@ -122,8 +123,8 @@ def guest_gender(name: Column | str) -> Column:
 
 
 def _any(c: Column | str, hints: tuple[str, ...]) -> Column:
-    low = F.lower(F.coalesce(col(c), F.lit("")))
-    return F.exists(F.array(*[F.lit(h) for h in hints]), lambda h: F.contains(low, h))
+    # one pattern: a function over the hints would put the text in lower case for each of them
+    return F.lower(F.coalesce(col(c), F.lit(""))).rlike("|".join(re.escape(h) for h in hints))
 
 
 def is_bad_voice(c: Column | str) -> Column:
