@@ -56,3 +56,37 @@ def test_only_named_lines_are_read_when_texts_are_cut(monkeypatch):
         (out,) = line_dedup._cut(1, True, "gone", most)(iter([batch]))
         assert out.column(1).to_pylist() == [first, texts[1], None, "eleven\n" * 499]
     assert sum(read) < 100
+
+
+def test_pairs_of_few_edits_are_compared_side_by_side(monkeypatch):
+    rng = random.Random(8)
+    pairs = []
+    for n in [*range(1, 60), 300, 640, 649, 700]:
+        for _ in range(8):
+            x = [rng.randrange(1, 12) for _ in range(n)]
+            y = list(x)
+            for _ in range(rng.randrange(n // 4 + 3)):
+                at = rng.randrange(len(y) + 1)
+                y[at : at + rng.randrange(2)] = [rng.randrange(1, 12)] * rng.randrange(2)
+            pairs.append((np.array(x, np.uint64), np.array(y or [1], np.uint64)))
+    want = {i for i, (x, y) in enumerate(pairs) if line_dedup.within(x, y, max(len(x), len(y)) // 10)}
+    assert 100 < len(want) < len(pairs) - 100
+    compared, plain = [], line_dedup.within
+    monkeypatch.setattr(line_dedup, "within", lambda x, y, most: compared.append(most) or plain(x, y, most))
+    # sides of a few pairs at a time, too
+    for words in (1 << 17, 500):
+        monkeypatch.setattr(line_dedup, "SIDE_BY_SIDE", words)
+        sides = [pa.array([p[j].tobytes() for p in pairs], pa.binary()) for j in (0, 1)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(pairs))), pa.array(range(len(pairs))), *sides], ["a", "b", "ta", "tb"])
+        assert {a for out in line_dedup._confirm(iter([batch])) for a in out.column(0).to_pylist()} == want
+    assert all(most > 64 for most in compared)
+
+
+def test_links_of_cells_name_components():
+    line = [[rng.getrandbits(64) for _ in range(20)] for rng in [random.Random(5)]][0]
+    texts = [line, [1, *line[1:]], [2, 3, *line[2:]], [*line[:18], 4, 5], list(range(20))]
+    known, n = [10, 10, 12, 13, 14], len(texts)
+    table = pa.table({"id": [10, 11, 12, 13, 14], "known": known, "side": [2] * n, "words": [20] * n, "sim": [0] * n, "text": pa.array([np.array(t, np.uint64).tobytes() for t in texts])})
+    out = line_dedup._links(table, np.zeros(n, np.int64))
+    links = {frozenset(p) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)}
+    assert links in ({frozenset((10, 12)), frozenset((10, 13))},)

@@ -72,8 +72,8 @@ def _followers(may: May | None, carried: tuple[str, ...]) -> Callable:
     return run
 
 
-def cells(rows: DataFrame, known: DataFrame, block: int, block_mass: int) -> DataFrame:
-    """(group, x, y, id, known, side) of the blocks in which the members of groups (group, id, mass) still have to meet. In a
+def cells(rows: DataFrame, known: DataFrame, block: int, block_mass: int, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(group, x, y, id, known, side, and the columns ``carried``) of the blocks in which the members of groups (group, id, mass) still have to meet. In a
     block, side 0 meets side 1; where all are of side 2, all meet.
 
     ``known`` (node, component) has what was found so far. A group within one component is done. In the others, the largest
@@ -84,7 +84,7 @@ def cells(rows: DataFrame, known: DataFrame, block: int, block_mass: int) -> Dat
     parts = members.groupBy("group", "known").agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("mass"))
     whole = parts.groupBy("group").agg(F.max(F.struct("n", F.negative("known").alias("less"), "mass")).alias("top"), F.sum("n").alias("size"), F.sum("mass").alias("mass")).where("top.n < size")
     blocks = lambda n, mass: F.ceil(F.greatest(n / block, mass / block_mass)).cast("int")
-    whole = whole.select("group", F.negative("top.less").alias("main"), blocks(F.col("top.n"), F.col("top.mass")).alias("mains"), blocks(F.col("size") - F.col("top.n"), F.col("mass") - F.col("top.mass")).alias("rests"))
+    whole = whole.select("group", F.negative("top.less").alias("main"), blocks(F.col("top.n"), F.col("top.mass")).alias("mains"), blocks(F.col("size") - F.col("top.n"), F.col("mass") - F.col("top.mass")).alias("rests"), (F.col("size") - F.col("top.n") == 1).alias("alone"))
     met = members.join(whole, "group").withColumn("is_main", F.col("known") == F.col("main"))
     met = met.withColumn("me", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
@@ -92,19 +92,28 @@ def cells(rows: DataFrame, known: DataFrame, block: int, block_mass: int) -> Dat
     of_main = F.transform(upto("rests"), lambda x: cell(x, F.col("me"), F.lit(1)))
     to_main = F.transform(upto("mains"), lambda y: cell(F.col("me"), y, F.lit(0)))
     to_rest = F.transform(upto("rests"), lambda o: cell(F.least("me", o), F.col("mains") + F.greatest(F.col("me"), o), F.when(F.col("me") == o, 2).when(F.col("me") < o, 0).otherwise(1)))
-    met = met.select("group", "id", "known", F.explode(F.when(F.col("is_main"), of_main).otherwise(F.concat(to_main, to_rest))).alias("cell"))
-    return met.select("group", "cell.x", "cell.y", "id", "known", "cell.side")
+    # mostly there is one block of each, and the rest is often a single row, which meets nothing but the largest component
+    zero, one = F.lit(0), F.lit(1)
+    few = F.when(F.col("is_main"), F.array(cell(zero, zero, one))).when(F.col("alone"), F.array(cell(zero, zero, zero))).otherwise(F.array(cell(zero, zero, zero), cell(zero, one, F.lit(2))))
+    many = F.when(F.col("is_main"), of_main).otherwise(F.concat(to_main, to_rest))
+    met = met.select("group", "id", "known", *carried, F.explode(F.when((F.col("mains") == 1) & (F.col("rests") == 1), few).otherwise(many)).alias("cell"))
+    return met.select("group", "cell.x", "cell.y", "id", "known", "cell.side", *carried)
+
+
+#: Columns of ``members_mark``.
+SAME = ["same_a", "same_b", "same_c", "same_d"]
 
 
 def members_mark(member: str) -> list[Column]:
-    """Aggregates that are equal for groups of the same members, each as often: sums of their hashes."""
-    mark = lambda *c: F.sum(F.xxhash64(member, *c).cast("decimal(20,0)"))
-    return [mark().alias("same_a"), mark(F.lit(1)).alias("same_b")]
+    """Aggregates that are equal for groups of the same members, each as often: sums of their hashes, of the upper and
+    lower 32 bits, which a long holds for 2**31 members."""
+    sums = lambda h: (F.sum(F.shiftright(h, 32)), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))))
+    return [c.alias(n) for c, n in zip((*sums(F.xxhash64(member)), *sums(F.xxhash64(member, F.lit(1)))), SAME, strict=True)]
 
 
 def different(sized: DataFrame) -> DataFrame:
     """Of groups (size, ``members_mark``) with the same members, one."""
-    return sized.dropDuplicates(["size", "same_a", "same_b"]).drop("same_a", "same_b")
+    return sized.dropDuplicates(["size", *SAME]).drop(*SAME)
 
 
 def by_cell(rows: DataFrame, links: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:

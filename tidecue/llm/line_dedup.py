@@ -26,6 +26,8 @@ BUCKET, BLOCK, BLOCK_WORDS = 4, 1024, 1 << 18
 PACK = 1 << 21
 #: Lines of a larger bucket are sorted by so many words at their start, and at their end.
 ENDS = 8
+#: Words of lines that are compared side by side, and up to how many edits they are.
+SIDE_BY_SIDE, FEW_EDITS = 1 << 17, 64
 
 
 def _sketch(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -56,7 +58,11 @@ def _marks(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
     whichever of the two windows is narrower, it fits into the other one around that place. Where a line has more
     than MARKS, that is so with high probability: lines of 40 words or more at the bound share 0.28 of their grams at least
     (an edit changes GRAM of them), so none of the MARKS smallest of both is shared in (1 - 0.28)**MARKS < 0.006 of
-    such pairs, and in far fewer with less edits (in less than 2e-6 with half as many)."""
+    such pairs, and in far fewer with less edits (in less than 2e-6 with half as many). Marks have 48 bits, the upper ones:
+    with a line's number they are one number, which is sorted faster."""
+    if len(size) > 1 << 16:
+        some = [_marks(h, first[lo : lo + (1 << 16)], size[lo : lo + (1 << 16)]) for lo in range(0, len(size), 1 << 16)]
+        return np.concatenate([v for v, _ in some]), np.append(0, np.cumsum(np.concatenate([np.diff(c) for _, c in some])))
     gram = runs(h, GRAM)
     width = np.maximum(0, RUNS[np.minimum(size, len(RUNS) - 1)] - GRAM + 1)
     line, value = [], []
@@ -76,12 +82,10 @@ def _marks(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
     count = np.zeros(len(size) + 1, np.int64)
     if not line:
         return np.zeros(0, np.uint64), count
-    line, value = np.concatenate(line), np.concatenate(value)
-    order = np.lexsort((value, line))
-    line, value = line[order], value[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (value[1:] != value[:-1])
-    line, value = line[new], value[new]
+    both = np.concatenate(line).astype(np.uint64) << np.uint64(48) | np.concatenate(value) >> np.uint64(16)
+    both.sort()
+    both = both[np.append(True, both[1:] != both[:-1])]
+    line, value = (both >> np.uint64(48)).astype(np.int64), both << np.uint64(16)
     have = np.bincount(line, minlength=len(size))
     few = np.arange(len(line)) - np.repeat(np.cumsum(have) - have, have) < MARKS
     count[1:] = np.cumsum(np.minimum(have, MARKS))
@@ -136,7 +140,7 @@ def _survey(min_words: int, parts: int) -> Callable:
 
         def marks() -> pa.RecordBatch:
             mark, key = (np.concatenate([h[j] for h in held]) for j in (0, 1))
-            order = np.argsort(mark, kind="stable")
+            order = np.argsort(mark)
             mark, key = mark[order], key[order]
             # equal ranges of the 64-bit hashes
             cut = np.searchsorted(mark, (np.arange(parts + 1, dtype=np.float64) * (2.0**64 / parts))[1:-1].astype(np.uint64))
@@ -155,7 +159,8 @@ def _survey(min_words: int, parts: int) -> Callable:
                     continue
                 sim = _sketch(x.words, np.append(x.first, len(x.words)), x.size)
                 yield lines(doc.take(pa.array(c.lo + x.row)), x, sim)
-                fresh = [i for i in np.flatnonzero(x.size >= EDIT - 1).tolist() if (k := int(x.key[i])) not in seen and not seen.add(k)]
+                long = np.flatnonzero(x.size >= EDIT - 1)
+                fresh = [i for i, k in zip(long.tolist(), x.key[long].tolist(), strict=True) if k not in seen and not seen.add(k)]
                 got, offsets = _marks(x.words, x.first[fresh], x.size[fresh])
                 held.append((got, np.repeat(x.key[fresh], np.diff(offsets))))
                 size += len(got)
@@ -173,11 +178,11 @@ def _shared(table: pa.Table) -> pa.Table:
     where it met several, so a common mark takes no more room here than there are tasks."""
     mark = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("marks")])
     key = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("keys")])
-    order = np.lexsort((key, mark))
+    order = np.argsort(mark)
     mark, key = mark[order], key[order]
     first = np.flatnonzero(np.append(True, mark[1:] != mark[:-1]))
-    last = np.append(first[1:], len(mark)) - 1
-    several = (key[first] != key[last]) | (key[first] == 0)
+    least = np.minimum.reduceat(key, first)
+    several = (least != np.maximum.reduceat(key, first)) | (least == 0)
     return pa.table({"part": table.column("part")[:1], "shared": binary([mark[first[several]].tobytes()])})
 
 
@@ -214,7 +219,8 @@ def _fetch(min_words: int, wanted: Broadcast) -> Callable:
         for batch in batches:
             for c in chunks(batch, lower=True, letters=True):
                 x = Lines.of(c, min_words)
-                at = [i for i in np.flatnonzero(maybe_in(wanted.value, x.key)).tolist() if (k := int(x.key[i])) not in seen and not seen.add(k)]
+                asked = np.flatnonzero(maybe_in(wanted.value, x.key))
+                at = [i for i, k in zip(asked.tolist(), x.key[asked].tolist(), strict=True) if k not in seen and not seen.add(k)]
                 yield pa.RecordBatch.from_arrays([pa.array(x.key[at]), binary([x.words[x.first[i] : x.first[i] + x.size[i]].tobytes() for i in at])], ["key", "text"])
 
     return run
@@ -286,8 +292,53 @@ def _band(x: np.ndarray, y: np.ndarray, most: int) -> bool:
     return bool(before[len(y) - len(x) + most] <= most)
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> bool:
-    return within(x, y, max(len(x), len(y)) // EDIT)
+def _side_by_side(x: np.ndarray, first_x: np.ndarray, n: np.ndarray, y: np.ndarray, first_y: np.ndarray, m: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which lines (``n`` words of ``x`` from ``first_x`` on) become those of ``y`` by at most ``most`` edits each: the rows of
+    all edit tables at once, within a band to each side of the diagonal."""
+    k = int(most.max())
+    shift = np.arange(-k, k + 1, dtype=np.int16)[:, None]
+    # a column for each pair; what lies beyond a line's end has no part in its result
+    xs = x[np.minimum(first_x + np.arange(n.max())[:, None], len(x) - 1)]
+    ys = y[np.clip(first_y + np.arange(-k, n.max() + k)[:, None], 0, len(y) - 1)]
+    now = np.repeat(np.where(shift >= 0, shift, np.int16(k + 1)), len(n), axis=1)
+    ok, pair = np.zeros(len(n), bool), np.arange(len(n))
+    for i in range(1, len(xs) + 1):
+        after = now + (ys[i - 1 : i + 2 * k] != xs[i - 1])
+        np.minimum(after[:-1], now[1:] + np.int16(1), out=after[:-1])
+        if i <= k:
+            after[k - i], after[: k - i] = i, k + 1
+        # insertions run along the row
+        after -= shift
+        np.minimum.accumulate(after, axis=0, out=after)
+        after += shift
+        now = after
+        done = np.flatnonzero(n == i)
+        ok[pair[done]] = now[(m - n + k)[done], done] <= most[done]
+        if i % 8 == 0:
+            goes_on = (n > i) & (now.min(axis=0) <= most)
+            if 2 * goes_on.sum() < len(n):
+                xs, ys, now = xs[:, goes_on], ys[:, goes_on], now[:, goes_on]
+                n, m, most, pair = n[goes_on], m[goes_on], most[goes_on], pair[goes_on]
+                if not len(n):
+                    break
+    return ok
+
+
+def _alike(x: np.ndarray, at_x: np.ndarray, i: np.ndarray, y: np.ndarray, at_y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which lines ``i`` of ``x`` are within the edit bound of lines ``j`` of ``y``."""
+    n, m = at_x[i + 1] - at_x[i], at_y[j + 1] - at_y[j]
+    most = np.maximum(n, m) // EDIT
+    ok = np.zeros(len(i), bool)
+    for p in np.flatnonzero((most > FEW_EDITS) | (np.minimum(n, m) == 0)).tolist():
+        ok[p] = within(x[at_x[i[p]] : at_x[i[p] + 1]], y[at_y[j[p]] : at_y[j[p] + 1]], int(most[p]))
+    rest = np.flatnonzero((most <= FEW_EDITS) & (np.minimum(n, m) > 0) & (np.abs(n - m) <= most))
+    rest = rest[np.argsort(-np.maximum(n, m)[rest], kind="stable")]
+    lo = 0
+    while lo < len(rest):
+        p = rest[lo : lo + max(1, SIDE_BY_SIDE // int(max(n[rest[lo]], m[rest[lo]])))]
+        ok[p] = _side_by_side(x, at_x[i[p]], n[p], y, at_y[j[p]], m[p], most[p])
+        lo += len(p)
+    return ok
 
 
 def _near(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -327,8 +378,8 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             differ = np.append(0, np.cumsum(x[np.repeat(at_x[same], n) + inside] != y[np.repeat(at_y[same], n) + inside]))
             sure = np.zeros(len(ok), bool)
             sure[same] = np.diff(differ[np.append(0, np.cumsum(n))]) <= most[same]
-            for i in np.flatnonzero(ok & ~sure).tolist():
-                ok[i] = within(x[at_x[i] : at_x[i + 1]], y[at_y[i] : at_y[i + 1]], int(most[i]))
+            unsure = np.flatnonzero(ok & ~sure)
+            ok[unsure] = _alike(x, at_x, unsure, y, at_y, unsure)
             keep = pa.array(ok)
             yield pa.RecordBatch.from_arrays([ids(batch, "a").filter(keep), ids(batch, "b").filter(keep)], ["a", "b"])
 
@@ -352,13 +403,13 @@ def _open(table: pa.Table, cell: np.ndarray) -> pa.RecordBatch:
 
 
 def _links(table: pa.Table, cell: np.ndarray) -> pa.RecordBatch:
-    """Links (a, b) that connect what ``known`` leaves apart in cells."""
-    key, known = (np.asarray(table.column(x)) for x in ("id", "known"))
+    """Links (a, b) of components that ``known`` leaves apart in cells."""
+    known = np.asarray(table.column("known"))
     words, first = _packed(table.column("text"))
     size, tally = np.diff(first), _tally(words, first)
     # differences of sums are no larger than the sums of differences, and quicker
-    coarse = tally.reshape(len(key), 8, 16).sum(axis=1, dtype=np.int32)
-    forest, a, b = Forest(len(key)), [], []
+    coarse = tally.reshape(len(known), 8, 16).sum(axis=1, dtype=np.int32)
+    forest, a, b = Forest(len(known)), [], []
     order = np.lexsort((known, cell))
     for x, y in zip(order[:-1].tolist(), order[1:].tolist(), strict=True):
         if cell[x] == cell[y] and known[x] == known[y]:
@@ -372,11 +423,13 @@ def _links(table: pa.Table, cell: np.ndarray) -> pa.RecordBatch:
         for lo in range(0, len(left), 4096):
             i, j = left[lo : lo + 4096], right[lo : lo + 4096]
             ok = np.abs(tally[i] - tally[j]).sum(axis=1, dtype=np.int64) <= 2 * (np.maximum(size[i], size[j]) // EDIT)
-            for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                if forest.root(x) != forest.root(y) and _alike(words[first[x] : first[x + 1]], words[first[y] : first[y + 1]]):
-                    forest.join(x, y)
-                    a.append(int(key[x]))
-                    b.append(int(key[y]))
+            ok[ok] = [forest.root(x) != forest.root(y) for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True)]
+            i, j = i[ok], j[ok]
+            alike = _alike(words, first, i, words, first, j)
+            for x, y in zip(i[alike].tolist(), j[alike].tolist(), strict=True):
+                if forest.join(x, y):
+                    a.append(int(known[x]))
+                    b.append(int(known[y]))
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -387,20 +440,24 @@ def _cut(min_words: int, full: bool, named: str = "gone", most: float = 1.0) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = column(batch, "text")
-            gone = {i: r for i, r in enumerate(ids(batch, named).to_pylist()) if r}
-            lines = {i: data[offsets[i] : offsets[i + 1]].tobytes().split(b"\n") for i in gone}
-            drop: dict[int, set[int]] = {i: set() for i in gone}
+            gone = ids(batch, named)
+            count = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(gone), 0))
+            each = gone.flatten()
+            of, number, key = np.repeat(np.arange(len(count)), count), np.asarray(each.field("line")), np.asarray(each.field("key"))
+            lines = {i: data[offsets[i] : offsets[i + 1]].tobytes().split(b"\n") for i in np.flatnonzero(count).tolist()}
+            drop: dict[int, set[int]] = {i: set() for i in lines}
             lost = np.zeros(batch.num_rows, np.int64)
             # rows may share a doc_id, so a line counts if its hash is the one named; no other line is read
-            asked = [(i, x["line"], x["key"]) for i, r in gone.items() for x in r if x["line"] < len(lines[i])]
-            said = pa.array([lines[i][n] for i, n, _ in asked], pa.large_binary()).cast(pa.large_string())
+            has = number < np.array([len(lines.get(i, ())) for i in range(batch.num_rows)], np.int64)[of]
+            of, number, key = of[has], number[has], key[has]
+            said = pa.array([lines[i][n] for i, n in zip(of.tolist(), number.tolist(), strict=True)], pa.large_binary()).cast(pa.large_string())
             for c in chunks(pa.RecordBatch.from_arrays([said], ["text"]), lower=True, letters=True):
                 x = Lines.of(c, min_words)
-                for row, key, size in zip((c.lo + x.row).tolist(), x.key.tolist(), x.size.tolist(), strict=True):
-                    i, n, named_key = asked[row]
-                    if key == named_key:
-                        drop[i].add(n)
-                        lost[i] += size
+                row = c.lo + x.row
+                same = x.key == key[row]
+                for i, n in zip(of[row[same]].tolist(), number[row[same]].tolist(), strict=True):
+                    drop[i].add(n)
+                np.add.at(lost, of[row[same]], x.size[same])
             if most < 1 and drop:
                 rows = np.array(list(drop))
                 for c in chunks(pa.RecordBatch.from_arrays([ids(batch, "text").take(pa.array(rows))], ["text"]), letters=True):
@@ -448,8 +505,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     kinds = "doc_id long, line long, key long, sim long, words int, part int, marks binary, keys binary"
     survey = materialize(spark, docs.mapInArrow(_survey(min_words, parts), kinds), "survey")
     lines = materialize(spark, survey.where("part is null").select("doc_id", "line", "key", "sim", "words"), "lines")
-    classes = lines.groupBy("key", "sim", "words", "doc_id").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n")).groupBy("key", "sim", "words")
-    classes = materialize(spark, classes.agg(F.min("doc_id").alias("first_doc"), F.min_by("line", "doc_id").alias("line"), F.sum("n").alias("n")).withColumnRenamed("first_doc", "doc_id"), "classes")
+    classes = materialize(spark, lines.groupBy("key", "sim", "words").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")), "classes")
     # which marks lines have in common is found from packed ranges; only those become rows
     packed = survey.where("part is not null").select("part", "marks", "keys")
     shared = packed.mapInArrow(_once, "part int, marks binary, keys binary").groupBy("part").applyInArrow(_shared, "part int, shared binary")
@@ -462,7 +518,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     sized = index.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *members_mark("key")).where("size > 1")
     # lines that share a passage share all its marks: of buckets with the same lines one is enough
     sized = materialize(spark, different(sized), "sized")
-    buckets = materialize(spark, index.join(sized.hint("shuffle_hash"), "bucket").join(classes.select("key", "sim", "words"), "key"), "buckets")
+    buckets = materialize(spark, index.join(sized.hint("shuffle_hash"), "bucket").join(classes.select("key", "sim", "words").hint("shuffle_hash"), "key"), "buckets")
     forget(spark, index, sized)
 
     small = buckets.where(F.col("size") <= BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("words", "key", "sim"))).alias("m"))
@@ -476,32 +532,41 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WO
     # texts stay where they are: a filter of fixed size goes to them, and the lines that pass are joined
     wanted = materialize(spark, wanted, "wanted")
     text = docs.select("text").mapInArrow(_fetch(min_words, bit_filter(spark, wanted, "key", hashed=True)), "key long, text binary")
-    text = materialize(spark, text.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "words")
+    text = text.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    # the ends have columns of their own, as they are read alone
+    ends = F.substring("text", 1, 8 * ENDS).alias("start"), F.expr(f"substring(text, greatest(1, length(text) - {8 * ENDS - 1}))").alias("stop")
+    text = materialize(spark, text.select("key", "text", *ends), "words")
     forget(spark, wanted)
     # lines of a large bucket meet those that begin or end like them
-    deep = large.join(text.select(F.col("key").alias("id"), "text"), "id")
-    deep = materialize(spark, deep.select("group", F.substring("text", 1, 8 * ENDS).alias("start"), F.expr(f"substring(text, greatest(1, length(text) - {8 * ENDS - 1}))").alias("stop"), "id", "words", "sim"), "deep")
+    deep = large.drop("mass").hint("shuffle_hash").join(text.select(F.col("key").alias("id"), "start", "stop"), "id")
+    deep = materialize(spark, deep.select("group", "start", "stop", "id", "words", "sim"), "deep")
     near = [neighbours(deep.select("group", F.col(c).alias("rest"), "id", "words", "sim"), _near, ("words", "sim")) for c in ("start", "stop")]
     of = lambda c: text.select(F.col("key").alias(c), F.col("text").alias(f"t{c}"))
-    links = pairs.union(near[0]).union(near[1]).distinct().join(of("a"), "a").join(of("b"), "b").mapInArrow(_confirm, "a long, b long")
+    links = pairs.union(near[0]).union(near[1]).distinct().hint("shuffle_hash").join(of("a"), "a").join(of("b"), "b").mapInArrow(_confirm, "a long, b long")
     links = materialize(spark, links, "near")
     forget(spark, pairs, deep)
     comp = materialize(spark, connected_components(spark, links), "components")
     # who may be linked in a cell is told by length and sketch; only those lines' texts go there
-    apart = cells(large.drop("words", "sim"), comp, BLOCK, BLOCK_WORDS).join(classes.select(F.col("key").alias("id"), "words", "sim"), "id")
+    apart = cells(large, comp, BLOCK, BLOCK_WORDS, ("words", "sim"))
     cell = "group long, x int, y int, id long, known long, side int, words int, sim long"
     apart = materialize(spark, in_cells(apart.select("group", "x", "y", "id", "known", "side", "words", "sim"), _open, cell), "apart")
-    closing = materialize(spark, in_cells(apart.join(text.select(F.col("key").alias("id"), "text"), "id"), _links, "a long, b long"), "closing")
+    closing = materialize(spark, in_cells(apart.hint("shuffle_hash").join(text.select(F.col("key").alias("id"), "text"), "id"), _links, "a long, b long"), "closing")
     forget(spark, buckets, text, links, apart)
     if not closing.isEmpty():
-        comp = connected_components(spark, closing.union(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    group = comp
+        # components take the place of their members, and are few
+        joined = materialize(spark, connected_components(spark, closing), "joined").select(F.col("node").alias("was"), F.col("component").alias("is"))
+        comp = comp.union(joined.select("was", "was")).distinct()
+        comp = comp.join(joined, F.col("component") == F.col("was"), "left").select("node", F.coalesce("is", "component").alias("component"))
     # a class of one line that is linked with none loses none
-    grouped = classes.join(group, F.col("key") == F.col("node"), "left").where("component is not null or n > 1").withColumn("group", F.coalesce("component", "key"))
-    first = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "line")).alias("stays"))
-    grouped = grouped.select("key", "group").distinct().join(first, "group")
-    gone = lines.select("doc_id", "line", "key").join(grouped, "key").where((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("line") != F.col("stays.line")))
-    return gone.select("doc_id", "line", "key", "group")
+    grouped = classes.join(comp.hint("shuffle_hash"), F.col("key") == F.col("node"), "left").where("component is not null or n > 1")
+    grouped = materialize(spark, grouped.select("key", F.coalesce("component", "key").alias("group"), "first_doc"), "grouped")
+    stays = grouped.groupBy("group").agg(F.min("first_doc").alias("stays"))
+    named = lines.select("doc_id", "line", "key").join(grouped.select("key", "group").join(stays, "group").hint("shuffle_hash"), "key")
+    named = materialize(spark, named, "named")
+    forget(spark, lines, classes, grouped)
+    # of the document that keeps a group's line, its first
+    first = named.where("doc_id = stays").groupBy("group", "doc_id").agg(F.min("line").alias("line"))
+    return named.join(first.hint("shuffle_hash"), ["group", "doc_id", "line"], "left_anti").select("doc_id", "line", "key", "group")
 
 
 def _per_document(gone: DataFrame, doc_id: str = "doc_id", named: str = "gone") -> DataFrame:
@@ -513,7 +578,7 @@ def count_repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int =
     and empty texts have no lines). Other columns are not read."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     gone = _per_document(repeated_lines(spark, docs, min_words))
-    return docs.join(gone, "doc_id", "left").mapInArrow(_cut(min_words, False), "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left").mapInArrow(_cut(min_words, False), "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = MIN_WORDS, most: float = 1.0) -> DataFrame:
@@ -522,5 +587,5 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, min_words: int = M
     as documents, for a step that compares documents."""
     of, named = free_name(docs, "_of"), free_name(docs, "_gone")
     gone = _per_document(repeated_lines(spark, docs, min_words), of, named)
-    both = docs.join(gone, F.col("doc_id") == F.col(of), "left").select(*docs.columns, named)
+    both = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(of), "left").select(*docs.columns, named)
     return both.mapInArrow(_cut(min_words, True, named, most), docs.schema)
