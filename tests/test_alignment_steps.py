@@ -6,6 +6,7 @@ import random
 from difflib import SequenceMatcher
 
 from tidecue.operators import align
+from tidecue.plans import sequences
 
 HEARD, SCRIPT = "episode_id string, line_idx int, start double, end double, en string, words array<struct<s:double,e:double>>", "episode_id string, sidx int, text string"
 
@@ -45,3 +46,24 @@ def test_words_of_short_runs_become_no_rows(spark, monkeypatch):
         by_word = "explode(words" in filled._jdf.queryExecution().toString()
         assert by_word == (short in (20, 0))
     assert len({str(x) for x in got.values()}) == 1 and len(got) == 3
+
+
+def test_episodes_in_rows_fill_like_tables_of_lines(spark):
+    rng = random.Random(9)
+    said = lambda: " ".join(rng.choice(("sun", "moon", "star", "sky", "sea", "fog", "run")) for _ in range(rng.randint(0, 5)))
+    rows = [(str(e), [(10 * k, said(), rng.choice((rng.randint(0, 9), None, None))) for k in range(rng.randint(0, 14))], [said() for _ in range(rng.randint(1, 12))] if e % 7 else None) for e in range(60)]
+    rows += [("empty", [(0, "sun", None), (1, "sun", 0), (2, None, None)], []), ("far", [(0, "sun", 40), (1, "sun", None), (2, "sun", 0)], ["sun", "moon"])]
+    words = lambda text: text if text is None else text.split()
+    split = [(e, [(k, words(en), sidx) for k, en, sidx in heard], texts and [words(x) for x in texts]) for e, heard, texts in rows]
+    filled = align.fill_whole(spark.createDataFrame(split, "episode_id string, heard array<struct<line_idx:int,words:array<string>,sidx:int>>, script array<array<string>>"))
+    assert "Exchange" not in filled._jdf.queryExecution().executedPlan().toString()
+    lines, script = [(e, *x) for e, heard, _ in rows for x in heard], [(e, j, x) for e, _, texts in rows for j, x in enumerate(texts or [])]
+    want = align.fill_gaps(spark.createDataFrame(lines, "episode_id string, line_idx int, en string, sidx int"), spark.createDataFrame(script, SCRIPT))
+    assert sorted(map(tuple, filled.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_only_the_texts_of_filled_gaps_are_shuffled(spark, tmp_path):
+    spark.createDataFrame([(1, "The sun rose. A cold moon. It set\nagain"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    filled = sequences.filled_gaps(spark, str(tmp_path))
+    assert filled._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted((r["episode_id"], r["line_idx"]) for r in filled.collect()) == [("1", 0), ("1", 1), ("1", 2), ("1", 3), ("2", 0)]

@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_words, round_to
+from ..functions.text import let, norm_words, round_to
 from ..plans.stages import cut, kept
 from .blocks import CELLS, LEVELS, matching_blocks, positions
 
 MATCH, NEAR, LEAD = 0.34, 0.30, 0.10
+#: The likeness of the best has to reach NEAR and lead by LEAD, so no score up to here changes anything.
+LEAST = NEAR - LEAD - 1e-9
 #: Unmatched lines of a run times the script lines between its matches, up to which they meet as sets of words.
 SHORT = 256
 
@@ -102,11 +104,23 @@ def anchored_spans(matches: DataFrame, script: DataFrame, least: float = MATCH)
     return x.select("episode_id", "sidx", round_to("onset", 3).alias("onset"), round_to(F.greatest("end", F.col("onset") + 0.3), 3).alias("end"), "n")
 
 
+def _lowest(prev: Column) -> Column:
+    return F.greatest(F.coalesce(prev, F.lit(0)), F.lit(0))
+
+
+def _highest(after: Column, last: Column) -> Column:
+    return F.least(F.coalesce(after, last + 1), last)
+
+
+def _likeness(a: Column, b: Column) -> Column:
+    """Shared part of two sets of words; 0 if one is empty."""
+    return let(F.size(F.array_intersect(a, b)), lambda c: c / F.greatest(F.size(a) + F.size(b) - c, F.lit(1)))
+
+
 def _gap_candidates(lines: DataFrame, script: DataFrame) -> DataFrame:
     """Unmatched lines of (episode_id, line_idx, en, sidx) with ``run``, the line at which their run of unmatched lines begins,
     ``prev`` and ``next``, the matched script lines around the run, ``last``, the script's last line, and ``found``, the script lines
-    in between with (j, score) that can matter: the likeness of the best has to reach NEAR and lead by LEAD, so no score under
-    the difference of both changes anything."""
+    in between with (j, score) that can matter."""
     order = W.partitionBy("episode_id").orderBy("line_idx")
     back, ahead = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
     bag = lambda c: F.array_distinct(norm_words(c))
@@ -114,7 +128,7 @@ def _gap_candidates(lines: DataFrame, script: DataFrame) -> DataFrame:
     x = lines.select("episode_id", "line_idx", bag("en").alias("bag"), "sidx").withColumns({"prev": F.last("sidx", ignorenulls=True).over(back), "next": F.first("sidx", ignorenulls=True).over(ahead)})
     x = x.withColumn("run", F.coalesce(F.last(F.when(F.col("sidx").isNotNull(), F.col("line_idx")), ignorenulls=True).over(back), F.lit(-1))).where("sidx is null").drop("sidx")
     x = x.join(script.groupBy("episode_id").agg((F.count(F.lit(1)) - 1).cast("int").alias("last")), "episode_id")
-    lo, hi = F.greatest(F.coalesce("prev", F.lit(0)), F.lit(0)), F.least(F.coalesce("next", F.col("last") + 1), "last")
+    lo, hi = _lowest(F.col("prev")), _highest(F.col("next"), F.col("last"))
     runs = x.groupBy("episode_id", "run", lo.alias("lo"), hi.alias("hi")).agg(F.count(F.lit(1)).alias("lines")).where("lo <= hi")
     runs = kept(runs)
     place = F.row_number().over(W.partitionBy("episode_id").orderBy("sidx")) - 1
@@ -124,10 +138,7 @@ def _gap_candidates(lines: DataFrame, script: DataFrame) -> DataFrame:
     # the few script lines that a short run may take go to it as sets of words
     near = taken(runs.where(short)).groupBy("episode_id", "run").agg(F.collect_list(F.struct("j", "words")).alias("near"))
     x = x.join(near, ["episode_id", "run"], "left")
-    both = lambda y: F.size(F.array_intersect("bag", y["words"]))
-    score = lambda y, c: c / F.greatest(F.size("bag") + F.size(y["words"]) - c, F.lit(1))
-    least = NEAR - LEAD - 1e-9
-    found = F.filter(F.transform("near", lambda y: F.struct(y["j"].alias("j"), score(y, both(y)).alias("score"))), lambda f: f["score"] > least)
+    found = F.filter(F.transform("near", lambda y: F.struct(y["j"].alias("j"), _likeness(F.col("bag"), y["words"]).alias("score"))), lambda f: f["score"] > LEAST)
     x = x.withColumn("found", found).drop("near")
     if (long := runs.where(~short)).isEmpty():
         return x.drop("bag")
@@ -135,7 +146,7 @@ def _gap_candidates(lines: DataFrame, script: DataFrame) -> DataFrame:
     index = taken(long).select("episode_id", "run", "j", F.size("words").alias("m"), F.explode("words").alias("word"))
     heard = x.join(long.select("episode_id", "run"), ["episode_id", "run"], "left_semi").select("episode_id", "run", "line_idx", F.size("bag").alias("n"), F.explode("bag").alias("word"))
     both = heard.join(index, ["episode_id", "run", "word"]).groupBy("episode_id", "line_idx", "j", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    scored = both.withColumn("score", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).where(F.col("score") > least)
+    scored = both.withColumn("score", F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).where(F.col("score") > LEAST)
     more = scored.groupBy("episode_id", "line_idx").agg(F.collect_list(F.struct("j", "score")).alias("more"))
     return x.join(more, ["episode_id", "line_idx"], "left").withColumn("found", F.coalesce("found", "more")).drop("more", "bag")
 
@@ -167,20 +178,54 @@ def fill_gaps(lines: DataFrame, script: DataFrame) -> DataFrame:
     Scores come from joins; only the lines of one run between two matches, with the few script lines that are near enough,
     are gone through in order."""
     open_lines = _gap_candidates(lines, script)
-    kind = lines.schema["episode_id"].dataType.simpleString()
     line = F.struct("line_idx", F.coalesce("found", F.array().cast("array<struct<j:int,score:double>>")).alias("found"))
     runs = open_lines.groupBy("episode_id", "run").agg(F.first("prev").alias("prev"), F.first("next").alias("next"), F.first("last").alias("last"), F.array_sort(F.collect_list(line)).alias("lines"))
+    filled = _filled(runs.withColumn("matched", F.lit(None).cast("int"))).where("sidx is not null").withColumnRenamed("sidx", "filled")
+    return lines.join(filled, ["episode_id", "line_idx"], "left").select("episode_id", "line_idx", F.coalesce("sidx", "filled").alias("sidx"))
+
+
+def _filled(runs: DataFrame) -> DataFrame:
+    """(episode_id, line_idx, sidx) of the lines of runs (episode_id, matched, prev, next, last, lines): those in ``lines`` (line_idx,
+    found), and before them the matched one, if there is one."""
+    kind = runs.schema["episode_id"].dataType.simpleString()
 
     def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for episode, prev, after, last, rows in part.itertuples(index=False):
+            out: list[tuple] = []
+            for episode, matched, prev, after, last, rows in part.itertuples(index=False):
+                if not pd.isna(matched):
+                    out.append((episode, int(matched), int(prev)))
                 got = _fill_run(None if pd.isna(prev) else int(prev), None if pd.isna(after) else int(after), int(last), [[(f["j"], f["score"]) for f in r["found"]] for r in rows])
-                out += [(episode, r["line_idx"], j) for r, j in zip(rows, got, strict=True) if j is not None]
-            yield pd.DataFrame(out, columns=["episode_id", "line_idx", "filled"])
-
-    filled = runs.select("episode_id", "prev", "next", "last", "lines").mapInPandas(fill, f"episode_id {kind}, line_idx int, filled int")
-    return lines.join(filled, ["episode_id", "line_idx"], "left").select("episode_id", "line_idx", F.coalesce("sidx", "filled").alias("sidx"))
+                out += [(episode, r["line_idx"], j) for r, j in zip(rows, got, strict=True)]
+            yield pd.DataFrame(out, columns=["episode_id", "line_idx", "sidx"], dtype=object)
+
+    return runs.select("episode_id", "matched", "prev", "next", "last", "lines").mapInPandas(fill, f"episode_id {kind}, line_idx int, sidx int")
+
+
+def fill_whole(episodes: DataFrame) -> DataFrame:
+    """``fill_gaps`` for episodes that are a row each: ``heard`` is an array of (line_idx, words, sidx) in the lines' order, ``script`` an
+    array of the words of each line, as ``norm_words`` has them. Nothing is shuffled, and what grows with a run of unmatched lines
+    stays in its row: the lines times the script lines between its matches. Where those may be many, ``fill_gaps`` deals them out."""
+    bag = lambda words: F.array_distinct(F.coalesce(words, F.array().cast("array<string>")))
+    none = F.array().cast("array<array<string>>")
+    sets = F.transform("heard", lambda y: F.struct(y["line_idx"].alias("line_idx"), y["sidx"].alias("sidx"), bag(y["words"]).alias("bag")))
+    x = episodes.select("episode_id", sets.alias("heard"), F.coalesce(F.transform("script", bag), none).alias("script"))
+    # each run is a matched line, or the first one, and the unmatched lines after it
+    begins = F.transform("heard", lambda y, i: F.when((i == 0) | y["sidx"].isNotNull(), i))
+    x = x.withColumn("begins", F.filter(begins, lambda i: i.isNotNull()))
+    until = lambda k: F.get("begins", k + 1)
+    size = lambda i, k: F.coalesce(until(k), F.size("heard")) - i
+    run = lambda i, k: F.struct(F.slice("heard", i + 1, size(i, k)).alias("lines"), F.get("heard", i)["sidx"].alias("prev"), F.get("heard", until(k))["sidx"].alias("next"), (F.size("script") - 1).alias("last"))
+    between = lambda r: F.struct(_lowest(r["prev"]).alias("lo"), _highest(r["next"], r["last"]).alias("hi"))
+    near = lambda r, y: F.struct(r.alias("run"), y["lo"].alias("lo"), F.slice("script", y["lo"] + 1, F.greatest(y["hi"] - y["lo"] + 1, F.lit(0))).alias("near"))
+    x = x.select("episode_id", F.explode(F.transform(F.transform("begins", run), lambda r: let(between(r), lambda y: near(r, y)))).alias("r"))
+    x = x.select("episode_id", "r.run.prev", "r.run.next", "r.run.last", "r.lo", "r.near", F.col("r.run.lines").alias("all"))
+    first = F.get("all", F.lit(0))
+    x = x.withColumn("matched", F.when(first["sidx"].isNotNull(), first["line_idx"]))
+    score = lambda y, s, i: F.struct((F.col("lo") + i).alias("j"), _likeness(y["bag"], s).alias("score"))
+    found = lambda y: F.filter(F.transform("near", lambda s, i: score(y, s, i)), lambda f: f["score"] > LEAST)
+    lines = F.transform(F.filter("all", lambda y: y["sidx"].isNull()), lambda y: F.struct(y["line_idx"].alias("line_idx"), found(y).alias("found")))
+    return _filled(x.withColumn("lines", lines))
 
 
 def align(heard: DataFrame, script: DataFrame) -> tuple[DataFrame, DataFrame]:
